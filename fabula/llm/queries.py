@@ -10,12 +10,24 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fabula.llm.warc import archive_pages
+
+    return archive_pages(_read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fabula.llm.quality import judge_quality
 
     return judge_quality(_read(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fabula.llm.langid import identify
+
+    return identify(_read(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fabula.llm.decontam import contamination
 
@@ -32,6 +44,6 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op3_quality_rules, op8_decontamination, op10_url_filters)
+    for f in (op1_warc, op3_quality_rules, op4_language_id, op8_decontamination, op10_url_filters)
 }
 ORACLES: dict[str, str] = {}
