@@ -10,7 +10,7 @@ its documents have it.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -61,27 +61,3 @@ def answered(answers: pa.Table, kind: type) -> np.ndarray:
     """The numbers for a block's keys, in the order of its sorted keys."""
     rows = sorted(answers.select(["bucket", "totals"]).to_pylist(), key=lambda r: r["bucket"])
     return np.concatenate([np.frombuffer(r["totals"], kind) for r in rows]) if rows else np.zeros(0, kind)
-
-
-def whole_partitions(ask: Callable[[int, pa.Table], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For mapInArrow over rows that are partitioned and sorted by ``block``: calls ``ask``
-    with each block's table, one block in memory at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        current = None
-        for batch in batches:
-            block = batch.column("block").to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero(np.diff(block)) + 1
-            for s, e in zip([0, *cuts], [*cuts, len(block)], strict=True):
-                if e == s:
-                    continue
-                if current is not None and block[s] != current:
-                    yield ask(current, pa.Table.from_batches(held))
-                    held = []
-                current = int(block[s])
-                held.append(batch.slice(s, e - s))
-        if held:
-            yield ask(current, pa.Table.from_batches(held))
-
-    return run

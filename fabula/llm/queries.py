@@ -16,6 +16,12 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(_read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fabula.llm.ngram_join import jaccard_components
+
+    return jaccard_components(_read(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fabula.llm.quality import judge_quality
 
@@ -44,6 +50,6 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc, op3_quality_rules, op4_language_id, op8_decontamination, op10_url_filters)
+    for f in (op1_warc, op2_ngram_jaccard, op3_quality_rules, op4_language_id, op8_decontamination, op10_url_filters)
 }
 ORACLES: dict[str, str] = {}
