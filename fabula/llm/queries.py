@@ -34,6 +34,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_read(spark, sf_dir, "documents"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fabula.llm.lm import score_texts
+
+    return score_texts(_read(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fabula.llm.decontam import contamination
 
@@ -50,6 +56,6 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc, op2_ngram_jaccard, op3_quality_rules, op4_language_id, op8_decontamination, op10_url_filters)
+    for f in (op1_warc, op2_ngram_jaccard, op3_quality_rules, op4_language_id, op7_lm_scoring, op8_decontamination, op10_url_filters)
 }
 ORACLES: dict[str, str] = {}
