@@ -16,10 +16,12 @@ first division that serves one of them).
 
 Blocks of documents ask which signatures occur with two different sets anywhere
 (exchange.py). Only sets that have such a signature go on, with those signatures.
-Equal sets are one class from there on. Each signature's class of smallest id is
-compared with its others, and links are closed to components; then every two
-classes that share a signature but no component are compared, so the components
-are exact without the pairs within a group.
+Equal sets are one class from there on. Each signature's classes are compared with
+one leader among them, and links are closed to components, a few times over; then
+every two classes that share a signature but no component are compared, so the
+components are exact without the pairs within a group. Pairs of which the parity
+sketches differ in more bits than similar sets differ in elements are left out
+before the sets themselves are fetched; that loses none.
 
 Defined cases: texts that are null, empty or blank have no shingles and link with
 nothing; a text with fewer words than a shingle has its whole sequence as one.
@@ -31,12 +33,13 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fabula.llm import exchange as X
@@ -44,7 +47,11 @@ from fabula.llm import words as W
 from fabula.llm.cluster import block_count, block_of, materialize
 from fabula.llm.graph import components
 
-FEATURES = "doc_id bigint, n_shingles bigint, hi bigint, lo bigint, signatures array<bigint>, shingles array<bigint>"
+FEATURES = "doc_id bigint, n_shingles bigint, hi bigint, lo bigint, signatures array<bigint>, shingles array<bigint>, sketch array<bigint>"
+#: 64-bit words of the parity sketch that goes with a set.
+SKETCH = 16
+#: Rounds of comparing with one leader of each signature, before all that is left is compared.
+LEADER_TURNS = 4
 
 
 @dataclass(frozen=True)
@@ -183,6 +190,14 @@ class _Block:
         total = np.concatenate([[np.uint64(0)], np.cumsum(x, dtype=np.uint64)])
         return W.mix(total[self.first[1:]] - total[self.first[:-1]] + self.size.astype(np.uint64))
 
+    def sketches(self, keep: np.ndarray) -> np.ndarray:
+        """For the chosen sets the parity of their elements in each of SKETCH * 64 cells."""
+        bit = W.mix(self.value ^ np.uint64(0x7E57)) % np.uint64(SKETCH * 64)
+        owner = np.repeat(np.cumsum(keep) - 1, self.size)
+        use = np.repeat(keep, self.size)
+        cells = np.bincount(owner[use] * (SKETCH * 64) + bit[use].astype(np.int64), minlength=int(keep.sum()) * SKETCH * 64)
+        return np.packbits((cells & 1).astype(np.uint8), bitorder="little").view(np.uint64).reshape(-1, SKETCH)
+
     def marks(self) -> tuple[np.ndarray, np.ndarray]:
         """The distinct signatures, and for each 32 bits of its set, or 0 where two sets
         of the block have it. The bits depend on the signature too, so that two sets
@@ -213,7 +228,7 @@ def shingle_features(docs: DataFrame, p: PartEnum, id_col: str = "doc_id", text_
         return pa.Table.from_batches([X.asked(table.column("block")[0].as_py(), keys, marks, blocks)])
 
     def expand(key: tuple, answers: pa.Table, table: pa.Table) -> pa.Table:
-        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("signatures", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("signatures", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
         if not len(table):
             return schema.empty_table()
         b = _Block(p, table)
@@ -235,6 +250,7 @@ def shingle_features(docs: DataFrame, p: PartEnum, id_col: str = "doc_id", text_
                 pa.array(b.lo.view(np.int64)),
                 pa.ListArray.from_arrays(pa.array(sig_at), pa.array(key64, pa.int64())),
                 pa.ListArray.from_arrays(pa.array(set_at), pa.array(b.value[kept].view(np.int64), pa.int64())),
+                pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep * SKETCH)]).astype(np.int32)), pa.array(b.sketches(keep).ravel().view(np.int64))),
             ],
             schema=schema,
         )
@@ -244,6 +260,17 @@ def shingle_features(docs: DataFrame, p: PartEnum, id_col: str = "doc_id", text_
     return answers.groupBy("block").cogroup(d.groupBy("block")).applyInArrow(expand, FEATURES)
 
 
+def _sketch(prefix: str) -> list[str]:
+    return [f"{prefix}{i}" for i in range(SKETCH)]
+
+
+def may_link(p: PartEnum, n_a: str, s_a: str, n_b: str, s_b: str) -> Column:
+    """False only for pairs that can't be similar enough: sketches differ in at most as many
+    bits as the sets do in elements, and similar sets differ in few for their sizes."""
+    bits = reduce(add, [F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(_sketch(s_a), _sketch(s_b), strict=True)])
+    return (p.den + p.num) * bits.cast("long") <= (p.den - p.num) * (F.col(n_a) + F.col(n_b))
+
+
 def verify(pairs: DataFrame, sets: DataFrame, p: PartEnum) -> DataFrame:
     """The pairs (a, b) of which the exact similarity is high enough."""
     a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
@@ -253,33 +280,67 @@ def verify(pairs: DataFrame, sets: DataFrame, p: PartEnum) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(enough).select("a", "b")
 
 
+def _open_signatures(at: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """Rows (sig, node, ...) with each node's component, of signatures that still have two."""
+    if parts is None:
+        placed = at.withColumn("component", F.col("node"))
+    else:
+        placed = at.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = placed.groupBy("sig", (F.col("sig") % 2).alias("odd")).agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("sig")
+    return materialize(placed.join(several, "sig", "left_semi"), "open-signatures")
+
+
+def _to_leaders(placed: DataFrame, p: PartEnum, turn: int) -> DataFrame:
+    """Each node with its signatures' leaders, where a link is possible and not known: first
+    the nodes of most shared signatures (what all copies come from), later others."""
+    rank = F.col("rank") if turn == 0 else F.xxhash64("node", F.lit(turn))
+    leader = F.max(F.struct(rank.alias("rank"), F.col("node"), F.col("component"), F.col("n"), *_sketch("s"))).alias("lead")
+    lead = placed.groupBy("sig", (F.col("sig") % 2).alias("odd")).agg(leader).select("sig", F.col("lead.node").alias("b"), F.col("lead.component").alias("cb"), F.col("lead.n").alias("nb"), *(F.col(f"lead.s{i}").alias(f"t{i}") for i in range(SKETCH)))
+    fits = (F.col("component") != F.col("cb")) & may_link(p, "n", "s", "nb", "t")
+    pairs = placed.join(lead, "sig").where(fits)
+    return pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+
+
+def _across(placed: DataFrame, p: PartEnum) -> DataFrame:
+    """Every possible link between two components that share a signature."""
+    other = placed.select("sig", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), *(F.col(f"s{i}").alias(f"t{i}") for i in range(SKETCH)))
+    fits = (F.col("node") < F.col("b")) & (F.col("component") != F.col("cb")) & may_link(p, "n", "s", "nb", "t")
+    return placed.join(other, "sig").where(fits).select(F.col("node").alias("a"), "b").distinct()
+
+
+def _joined(parts: DataFrame | None, links: DataFrame) -> DataFrame:
+    if parts is not None:
+        links = links.union(parts.select(F.col("component").alias("a"), F.col("node").alias("b")).where("a <> b"))
+    return materialize(components(links), "components")
+
+
 def jaccard_components(docs: DataFrame, p: PartEnum = PartEnum(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008
     """doc_id, n_shingles and component_id: the smallest id that links lead to."""
     features = materialize(shingle_features(docs, p, id_col, text_col), "shingle-features")
     classes = (
         features.where("n_shingles > 0 and doc_id is not null")
         .groupBy("hi", "lo", "n_shingles")
-        .agg(F.min("doc_id").alias("node"), F.first("signatures").alias("signatures"), F.first("shingles").alias("shingles"))
+        .agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("signatures", "shingles", "sketch")))
     )
     classes = materialize(classes, "shingle-classes")
     near = classes.where(F.size("signatures") > 0)
-    at = near.select("node", F.explode("signatures").alias("sig"))
-    lead = at.groupBy("sig", (F.col("sig") % 2).alias("odd")).agg(F.min("node").alias("lead"), F.max("node").alias("most")).where("lead < most").drop("odd", "most")
-    star = at.join(lead, "sig").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    star = materialize(star, "star-pairs")
-    links = materialize(verify(star, near, p), "links")
-    parts = materialize(components(links), "components")
-    # what shares a signature but no component yet: every such pair, once, unless compared already
-    placed = at.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("sig", (F.col("sig") % 2).alias("odd")).agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("sig")
-    placed = materialize(placed.join(mixed, "sig", "left_semi"), "mixed")
-    other = placed.select("sig", F.col("node").alias("b"), F.col("component").alias("cb"))
-    cross = placed.select("sig", F.col("node").alias("a"), F.col("component").alias("ca")).join(other, "sig").where("a < b and ca <> cb").select("a", "b").distinct()
-    cross = materialize(cross.join(star, ["a", "b"], "left_anti"), "cross-pairs")
-    more = materialize(verify(cross, near, p), "links")
-    if more.limit(1).count():
-        joined = parts.select(F.col("component").alias("a"), F.col("node").alias("b")).where("a <> b")
-        parts = materialize(components(joined.union(more)), "components")
-    roots = classes.select("hi", "lo", "node").join(parts, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("component"))
-    out = features.select("doc_id", "n_shingles", "hi", "lo").join(roots, ["hi", "lo"], "left")
+    at = near.select("node", F.col("n_shingles").alias("n"), F.size("signatures").alias("rank"), *(F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)), F.explode("signatures").alias("sig"))
+    parts, placed = None, at
+    for turn in range(LEADER_TURNS):
+        placed = _open_signatures(placed if parts is None else placed.drop("component"), parts)
+        links = materialize(verify(_to_leaders(placed, p, turn), near, p), "links")
+        if not links.limit(1).count():
+            break
+        parts = _joined(parts, links)
+    else:
+        placed = _open_signatures(placed.drop("component"), parts)
+    links = materialize(verify(_across(placed, p), near, p), "links")
+    if links.limit(1).count():
+        parts = _joined(parts, links)
+    roots = classes.select("hi", "lo", "node")
+    if parts is None:
+        roots = roots.withColumn("component", F.col("node"))
+    else:
+        roots = roots.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    out = features.select("doc_id", "n_shingles", "hi", "lo").join(roots.drop("node"), ["hi", "lo"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
