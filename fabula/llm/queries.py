@@ -34,6 +34,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_read(spark, sf_dir, "documents"))
 
 
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fabula.llm.secrets import labelled_findings, scan_secrets, train_forest
+
+    return scan_secrets(_read(spark, sf_dir, "documents"), train_forest(labelled_findings(spark)))
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fabula.llm.lm import score_texts
 
@@ -65,6 +71,6 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc, op2_ngram_jaccard, op3_quality_rules, op4_language_id, op7_lm_scoring, op8_decontamination, op9_chat_formatting, op10_url_filters)
+    for f in (op1_warc, op2_ngram_jaccard, op3_quality_rules, op4_language_id, op6_secret_scans, op7_lm_scoring, op8_decontamination, op9_chat_formatting, op10_url_filters)
 }
 ORACLES: dict[str, str] = {}
