@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one block of documents aims at; a block is what one task holds.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Blocks at least, so that small inputs still use every core.
 LEAST_BLOCKS = 48
 

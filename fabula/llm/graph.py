@@ -8,10 +8,25 @@ from pyspark.sql import functions as F
 from fabula.llm.cluster import materialize
 
 
-def _joinable(least: DataFrame) -> DataFrame:
-    """Grouped rows whose partitioning doesn't serve a join by ``u`` alone: the join then
-    has an exchange on either side, and adaptive execution may split a hot ``u``."""
-    return least.drop("odd")
+def _minima(edges: DataFrame) -> DataFrame:
+    """The smallest neighbour of each u. Grouped by one column more than the joins use,
+    so that either side of a join has an exchange and a hot u can be split."""
+    return edges.groupBy("u", (F.col("u") % 2).alias("odd")).agg(F.min("v").alias("m")).drop("odd")
+
+
+def _step(e: DataFrame) -> DataFrame:
+    """One large-star and one small-star step."""
+    both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = _minima(both).withColumn("m", F.least("m", "u"))
+    large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    small = large.join(_minima(large), "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x"))
+    return small.select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).where("u <> v").distinct()
+
+
+def _settled(e: DataFrame) -> bool:
+    """All trees are stars: no node has two centres, and no centre has one itself."""
+    ends = e.select(F.col("u").alias("k"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("v", F.lit(0), F.lit(1)))
+    return not ends.groupBy("k").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").limit(1).count()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -20,25 +35,14 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     ``edges`` has columns a and b. Alternates large-star and small-star steps: every
     node's neighbours are hung below the smallest one, until all trees are stars.
     Only minima are gathered per node, never its neighbours, so a node with very
-    many edges costs no task more. Each round's edges are written, as lineage would
-    otherwise double with every round.
+    many edges costs no task more. Edges are written every second step, as lineage
+    would otherwise double with each.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = materialize(e, "edges")
-    before = None
     for _ in range(most_rounds):
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = _joinable(both.groupBy("u", (F.col("u") % 2).alias("odd")).agg(F.min("v").alias("m"))).withColumn("m", F.least("m", "u"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = _joinable(large.groupBy("u", (F.col("u") % 2).alias("odd")).agg(F.min("v").alias("m")))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x"))
-        small = small.select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).where("u <> v").distinct()
-        e = materialize(small, "edges")
-        # all stars: no node is both a leaf and a centre; the same sums twice mean no change
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        e = materialize(_step(_step(e)), "edges")
+        if _settled(e):
             break
-        before = now
     else:
         raise RuntimeError("components did not settle")
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))

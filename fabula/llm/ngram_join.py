@@ -51,7 +51,7 @@ FEATURES = "doc_id bigint, n_shingles bigint, hi bigint, lo bigint, signatures a
 #: 64-bit words of the parity sketch that goes with a set.
 SKETCH = 16
 #: Rounds of comparing with one leader of each signature, before all that is left is compared.
-LEADER_TURNS = 4
+LEADER_TURNS = 2
 
 
 @dataclass(frozen=True)
@@ -124,7 +124,7 @@ def signatures(p: PartEnum, value: np.ndarray, first: np.ndarray) -> tuple[np.nd
             count = size[todo]
             who = np.repeat(np.arange(len(todo)), count)
             at = first[:-1][todo][who] + np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
-            v = W.mix(value[at] + np.uint64(0x9E3779B97F4A7C15) * np.uint64(division + 1))
+            v = W.mix(value[at] + np.uint64(0x9E3779B97F4A7C15 * (division + 1) % 2**64))
             group = group0[who] + (v % n1[who].astype(np.uint64)).astype(np.int64)
             part = group * p.n2 + ((v >> np.uint64(40)) % np.uint64(p.n2)).astype(np.int64)
             total = np.zeros(int(group0[-1]) * p.n2, np.uint64)
@@ -282,10 +282,9 @@ def verify(pairs: DataFrame, sets: DataFrame, p: PartEnum) -> DataFrame:
 
 def _open_signatures(at: DataFrame, parts: DataFrame | None) -> DataFrame:
     """Rows (sig, node, ...) with each node's component, of signatures that still have two."""
-    if parts is None:
-        placed = at.withColumn("component", F.col("node"))
-    else:
-        placed = at.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    if parts is None:  # as the blocks gave them, all have two
+        return at.withColumn("component", F.col("node"))
+    placed = at.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = placed.groupBy("sig", (F.col("sig") % 2).alias("odd")).agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("sig")
     return materialize(placed.join(several, "sig", "left_semi"), "open-signatures")
 
