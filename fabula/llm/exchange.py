@@ -27,14 +27,26 @@ def bucket_bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
-def asked(block: int, keys: np.ndarray, values: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """What one block asks: distinct sorted keys and a number for each."""
+def pack_keys(keys: np.ndarray, width: int = 8) -> bytes:
+    """Keys by their first ``width`` bytes, most significant first."""
+    return keys.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpack_keys(data: bytes, width: int = 8) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
+def asked(block: int, keys: np.ndarray, values: np.ndarray, buckets: int, width: int = 8) -> pa.RecordBatch:
+    """What one block asks: distinct sorted keys and a number for each. With a ``width``
+    below 8, keys with the same first bytes are taken for one; that must do no harm."""
     at = bucket_bounds(keys, buckets)
-    rows = [(b, block, keys[s:e].tobytes(), values[s:e].tobytes()) for b, (s, e) in enumerate(zip(at[:-1], at[1:], strict=True)) if e > s]
+    rows = [(b, block, pack_keys(keys[s:e], width), values[s:e].tobytes()) for b, (s, e) in enumerate(zip(at[:-1], at[1:], strict=True)) if e > s]
     return pa.RecordBatch.from_pylist([dict(zip(_ASK.names, r, strict=True)) for r in rows], schema=_ASK)
 
 
-def answer(asks: DataFrame, combine: Callable[[np.ndarray, np.ndarray, int], np.ndarray], value_type: type) -> DataFrame:
+def answer(asks: DataFrame, combine: Callable[[np.ndarray, np.ndarray, int], np.ndarray], value_type: type, width: int = 8) -> DataFrame:
     """Combines the values of equal keys over all blocks of a bucket.
 
     ``combine(key number of each entry, its value, how many keys)`` gives an array
@@ -44,7 +56,7 @@ def answer(asks: DataFrame, combine: Callable[[np.ndarray, np.ndarray, int], np.
 
     def one(table: pa.Table) -> pa.Table:
         rows = table.select(["block", "bucket", "keys", "values"]).to_pylist()
-        keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
+        keys = [unpack_keys(r["keys"], width) for r in rows]
         values = np.concatenate([np.frombuffer(r["values"], value_type) for r in rows])
         distinct, back = np.unique(np.concatenate(keys), return_inverse=True)
         per_entry = combine(back, values, len(distinct))[back]

@@ -14,6 +14,10 @@ such groups leaves their signatures out; any other set repeats the signatures wi
 another division of the domain (both sets of a pair have the signatures of the
 first division that serves one of them).
 
+The domain may be divided in any way, so the first division sets the shingles that
+many documents have apart: a passage that many documents share then makes no
+signatures. Sets that consist of such shingles use the next, random, division.
+
 Blocks of documents ask which signatures occur with two different sets anywhere
 (exchange.py). Only sets that have such a signature go on, with those signatures.
 Equal sets are one class from there on. Each signature's classes are compared with
@@ -50,6 +54,11 @@ from fabula.llm.graph import components
 FEATURES = "doc_id bigint, n_shingles bigint, hi bigint, lo bigint, signatures array<bigint>, shingles array<bigint>, sketch array<bigint>"
 #: 64-bit words of the parity sketch that goes with a set.
 SKETCH = 16
+#: Documents counted to find common shingles, the share of them that makes one, and how many
+#: are used (8 bytes each, sent to every task).
+SAMPLE_DOCS, COMMON_SHARE, MOST_COMMON = 20_000, 2e-4, 500_000
+#: Bytes of a signature that blocks ask about; should two agree in these, a few sets go on in vain.
+KEY_BYTES = 6
 #: Rounds of comparing with one leader of each signature, before all that is left is compared.
 LEADER_TURNS = 2
 
@@ -94,11 +103,11 @@ def _table(p: PartEnum, largest: int):
     for i in range(len(low)):
         base = -(-(int(k[i]) + 1) // (p.k2 + 1))
         smallest = int(low[max(0, i - 1)])
-        best = 0
+        best = base // 2
         for m in range(base + 8):
-            part = math.exp(-smallest * (p.n2 - p.k2) / ((base + m) * p.n2))
+            part = math.exp(-smallest * (p.n2 - p.k2) / ((base + m) * p.n2))  # a subset has no element
             bad = (base + m) * min(1.0, math.comb(p.n2, p.k2) * part)
-            if m >= bad + 1.5 * math.sqrt(bad):
+            if m >= bad:  # every other set at least needs no further division
                 best = m
                 break
         n1.append(base + best)
@@ -106,8 +115,15 @@ def _table(p: PartEnum, largest: int):
     return low, k, np.array(n1), np.array(spare)
 
 
-def signatures(p: PartEnum, value: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All signatures of the sets value[first[i]:first[i + 1]], and the set of each."""
+def signatures(p: PartEnum, value: np.ndarray, first: np.ndarray, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All signatures of the sets value[first[i]:first[i + 1]], and the set of each.
+
+    The first division has one group more, which holds the ``common`` elements (sorted)
+    and gives no signature: it takes the place of a spare group.
+    """
+    rare = np.ones(len(value), bool)
+    if common is not None and len(common):
+        rare = common[np.minimum(np.searchsorted(common, value), len(common) - 1)] != value
     size = np.diff(first)
     low, k, n1s, spare = p.band_table(int(size.max(initial=1)))
     band = np.searchsorted(low, size, "right") - 1
@@ -124,6 +140,8 @@ def signatures(p: PartEnum, value: np.ndarray, first: np.ndarray) -> tuple[np.nd
             count = size[todo]
             who = np.repeat(np.arange(len(todo)), count)
             at = first[:-1][todo][who] + np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
+            if not division:
+                who, at = who[rare[at]], at[rare[at]]
             v = W.mix(value[at] + np.uint64(0x9E3779B97F4A7C15 * (division + 1) % 2**64))
             group = group0[who] + (v % n1[who].astype(np.uint64)).astype(np.int64)
             part = group * p.n2 + ((v >> np.uint64(40)) % np.uint64(p.n2)).astype(np.int64)
@@ -160,6 +178,7 @@ class _Block:
 
     p: PartEnum
     table: pa.Table
+    common: np.ndarray | None = None
 
     def __post_init__(self):
         values, counts, keys, owners, base = [], [], [], [], 0
@@ -167,7 +186,7 @@ class _Block:
             for part in W.slices(batch, "text", 2 << 20):
                 h, first = W.hash_words(*W.buffers(part.column("text")), W.BLANK_SEPARATED)
                 v, at = W.shingles(h, first, self.p.words)
-                k, o = signatures(self.p, v, at)
+                k, o = signatures(self.p, v, at, self.common)
                 values.append(v)
                 counts.append(np.diff(at))
                 keys.append(k)
@@ -216,22 +235,54 @@ def _shared(nth: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
     return ((least != most) | (least == 0)).astype(np.uint8)
 
 
+def common_shingles(docs: DataFrame, p: PartEnum, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
+    """Shingles that many documents have, as counted in a sample of about SAMPLE_DOCS.
+
+    They only decide how the domain is divided, and every division finds all links;
+    so a sample, and the most frequent MOST_COMMON of it, will do.
+    """
+    total = docs.count()
+    share = min(1.0, SAMPLE_DOCS / max(1, total))
+    place = F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 30))
+    sample = docs.where(place < int(share * (1 << 30))).select(F.col(text_col).alias("text"))
+    least = max(4, math.ceil(COMMON_SHARE * min(total, SAMPLE_DOCS)))
+
+    def count(batches):
+        for batch in batches:
+            for part in W.slices(batch, "text", 2 << 20):
+                v, _ = W.shingles(*W.hash_words(*W.buffers(part.column("text")), W.BLANK_SEPARATED), p.words)
+                keys, n = np.unique(v, return_counts=True)
+                yield X.asked(0, keys, n.astype(np.int32), 16)
+
+    def keep(table: pa.Table) -> pa.Table:
+        rows = table.select(["keys", "values"]).to_pylist()
+        keys, back = np.unique(np.concatenate([X.unpack_keys(r["keys"]) for r in rows]), return_inverse=True)
+        n = np.bincount(back, np.concatenate([np.frombuffer(r["values"], np.int32) for r in rows]), len(keys))
+        often = n >= least
+        return pa.table({"key": keys[often].view(np.int64), "n": n[often].astype(np.int64)})
+
+    found = sample.mapInArrow(count, X.ASK).groupBy("bucket").applyInArrow(keep, "key bigint, n bigint")
+    rows = found.orderBy(F.desc("n"), "key").limit(MOST_COMMON).collect()
+    return np.sort(np.array([r["key"] for r in rows], np.int64).view(np.uint64))
+
+
 def shingle_features(docs: DataFrame, p: PartEnum, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Size and fingerprint of each document's set; for those that share a signature with
     a different set also these signatures and the set itself."""
     blocks = block_count(docs, text_col)
+    common = common_shingles(docs, p, id_col, text_col)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     d = d.withColumn("block", block_of(blocks, "doc_id", "text"))
 
     def ask(table: pa.Table) -> pa.Table:
-        keys, marks = _Block(p, table).marks()
-        return pa.Table.from_batches([X.asked(table.column("block")[0].as_py(), keys, marks, blocks)])
+        keys, marks = _Block(p, table, common).marks()
+        return pa.Table.from_batches([X.asked(table.column("block")[0].as_py(), keys, marks, blocks, KEY_BYTES)])
 
     def expand(key: tuple, answers: pa.Table, table: pa.Table) -> pa.Table:
         schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("signatures", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
         if not len(table):
             return schema.empty_table()
-        b = _Block(p, table)
+        b = _Block(p, table, common)
         flags = X.answered(answers, np.uint8)
         use = flags[b.nth] > 0 if len(b.nth) else np.zeros(0, bool)
         owner, key64 = b.owner[use], b.key[use]
@@ -256,7 +307,7 @@ def shingle_features(docs: DataFrame, p: PartEnum, id_col: str = "doc_id", text_
         )
 
     asks = d.groupBy("block").applyInArrow(ask, X.ASK)
-    answers = X.answer(asks, _shared, np.uint32)
+    answers = X.answer(asks, _shared, np.uint32, KEY_BYTES)
     return answers.groupBy("block").cogroup(d.groupBy("block")).applyInArrow(expand, FEATURES)
 
 

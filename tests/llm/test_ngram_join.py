@@ -71,7 +71,8 @@ def test_similar_sets_share_a_signature(seed, size, p):
         b = np.sort(b)
         if np.array_equal(a, b):
             continue
-        key, owner = J.signatures(p, np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+        common = np.sort(r.choice(np.union1d(a, b), r.integers(0, len(a)), replace=False))
+        key, owner = J.signatures(p, np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), common)
         assert set(key[owner == 0].tolist()) & set(key[owner == 1].tolist())
 
 
