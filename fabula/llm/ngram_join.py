@@ -239,7 +239,7 @@ def common_shingles(docs: DataFrame, p: PartEnum, id_col: str = "doc_id", text_c
     """Shingles that many documents have, as counted in a sample of about SAMPLE_DOCS.
 
     They only decide how the domain is divided, and every division finds all links;
-    so a sample, and the most frequent MOST_COMMON of it, will do.
+    so a sample, and the most frequent ones of each of 16 buckets, will do.
     """
     total = docs.count()
     share = min(1.0, SAMPLE_DOCS / max(1, total))
@@ -258,12 +258,12 @@ def common_shingles(docs: DataFrame, p: PartEnum, id_col: str = "doc_id", text_c
         rows = table.select(["keys", "values"]).to_pylist()
         keys, back = np.unique(np.concatenate([X.unpack_keys(r["keys"]) for r in rows]), return_inverse=True)
         n = np.bincount(back, np.concatenate([np.frombuffer(r["values"], np.int32) for r in rows]), len(keys))
-        often = n >= least
-        return pa.table({"key": keys[often].view(np.int64), "n": n[often].astype(np.int64)})
+        often = np.flatnonzero(n >= least)
+        top = often[np.lexsort((keys[often], -n[often]))[: MOST_COMMON // 16]]
+        return pa.table({"keys": pa.array([np.sort(keys[top]).tobytes()], pa.binary())})
 
-    found = sample.mapInArrow(count, X.ASK).groupBy("bucket").applyInArrow(keep, "key bigint, n bigint")
-    rows = found.orderBy(F.desc("n"), "key").limit(MOST_COMMON).collect()
-    return np.sort(np.array([r["key"] for r in rows], np.int64).view(np.uint64))
+    found = sample.mapInArrow(count, X.ASK).groupBy("bucket").applyInArrow(keep, "keys binary").collect()
+    return np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["keys"], np.uint64) for r in found)]))
 
 
 def shingle_features(docs: DataFrame, p: PartEnum, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
