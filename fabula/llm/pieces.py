@@ -40,7 +40,7 @@ from fabula.llm.cluster import materialize
 
 MARK = "▁"
 #: Texts with more characters are split into chunks of this many.
-CHUNK = 32_768
+CHUNK = 65_536
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _NONE = -(1 << 60)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -70,8 +70,9 @@ class Vocabulary:
         whole = all(float(s).is_integer() for s in scores)
         return Vocabulary(pieces, [int(s) for s in scores] if whole else scores, byte_ids, special)
 
-    def __getstate__(self):
-        return {k: self.__dict__[k] for k in ("pieces", "scores", "byte_ids", "special")}
+    def __reduce__(self):
+        # a worker derives the tables of a vocabulary once, not for every task
+        return _shared, (self.pieces, self.scores, self.byte_ids, self.special)
 
     @cached_property
     def _normal(self) -> list[int]:
@@ -87,25 +88,47 @@ class Vocabulary:
         """Below all pieces, as in the library: the smallest score less ten."""
         return min(self.scores[i] for i in self._normal) - 10
 
+    @cached_property
+    def _codes(self) -> tuple[np.ndarray, np.ndarray]:
+        """The characters of all pieces one after the other, and where each begins."""
+        size = [len(self.pieces[i]) for i in self._normal]
+        return codes("".join(self.pieces[i] for i in self._normal)), np.concatenate([[0], np.cumsum(size)])
+
     @cached_property
     def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted hashes of the pieces with their ids and scores."""
-        ids = np.array(self._normal)
-        keys = np.array([int(hash_range(codes(self.pieces[i]))[-1]) for i in self._normal], np.uint64)
+        c, at = self._codes
+        spread, size, h = W.mix(c.astype(np.uint64) + np.uint64(1)), np.diff(at), np.zeros(len(at) - 1, np.uint64)
+        for t in range(self.longest):
+            live = size > t
+            h[live] = h[live] * _BASE + spread[at[:-1][live] + t]
+        keys = W.mix(h)
         order = np.argsort(keys)
         assert len(np.unique(keys)) == len(keys)
         kind = np.int64 if isinstance(self.scores[0], int) else np.float64
-        return keys[order], ids[order], np.array([self.scores[i] for i in self._normal], kind)[order]
+        return keys[order], np.array(self._normal)[order], np.array([self.scores[i] for i in self._normal], kind)[order]
+
+    @cached_property
+    def first_bits(self) -> np.ndarray:
+        """Which first 20 bits some piece's hash has."""
+        out = np.zeros(1 << 20, bool)
+        out[(self.table[0] >> np.uint64(44)).astype(np.int64)] = True
+        return out
 
     @cached_property
     def together(self) -> tuple[np.ndarray, np.ndarray]:
-        """The characters of all pieces, and which two stand side by side in one."""
-        chars = np.unique(np.concatenate([codes(self.pieces[i]) for i in self._normal]))
+        """A number for each character of any piece (the last for all others), by its code,
+        and which two stand side by side in a piece."""
+        c, at = self._codes
+        chars, kind = np.unique(c, return_inverse=True)
+        number = np.full(0x110000, len(chars), np.int32)
+        number[chars] = np.arange(len(chars))
+        inside = np.ones(len(c), bool)
+        inside[at[:-1]] = False
+        second = np.flatnonzero(inside)
         beside = np.zeros((len(chars) + 1, len(chars) + 1), bool)
-        for i in self._normal:
-            c = np.searchsorted(chars, codes(self.pieces[i]))
-            beside[c[:-1], c[1:]] = True
-        return chars, beside
+        beside[kind[second - 1], kind[second]] = True
+        return number, beside
 
     @cached_property
     def bytes_of(self) -> list[bytes]:
@@ -117,22 +140,18 @@ class Vocabulary:
         return out
 
 
-def codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+_made: dict[int, Vocabulary] = {}
 
 
-def hash_range(c: np.ndarray) -> np.ndarray:
-    """Hashes of all prefixes of ``c`` (Horner's rule, so equal strings anywhere agree)."""
-    out = np.zeros(len(c), np.uint64)
-    h = 0
-    for i, x in enumerate(c.tolist()):
-        h = (h * int(_BASE) + _spread(x)) & (2**64 - 1)
-        out[i] = h
-    return W.mix(out)
+def _shared(*fields) -> Vocabulary:
+    key = hash((tuple(fields[0]), tuple(fields[1])))
+    if key not in _made:
+        _made[key] = Vocabulary(*fields)
+    return _made[key]
 
 
-def _spread(x: int) -> int:
-    return int(W.mix(np.array([x + 1], np.uint64))[0])
+def codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
 def normalized(text: str) -> np.ndarray:
@@ -146,20 +165,25 @@ def normalized(text: str) -> np.ndarray:
 
 
 def lookup(v: Vocabulary, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and scores of substrings by hash, -1 where there is no such piece."""
+    """Ids and scores of substrings by hash, -1 where there is no such piece. Most have
+    none, which the first bits of the hash already tell."""
     keys, ids, scores = v.table
-    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-    hit = keys[at] == h
-    return np.where(hit, ids[at], -1), scores[at]
-
-
-def stretches(v: Vocabulary, c: np.ndarray) -> np.ndarray:
-    """Where the stretches of ``c`` begin that no piece reaches beyond."""
-    chars, beside = v.together
-    at = np.searchsorted(chars, c)
-    kind = np.where((at < len(chars)) & (chars[np.minimum(at, len(chars) - 1)] == c), at, len(chars))
+    out, score = np.full(len(h), -1, np.int64), np.zeros(len(h), scores.dtype)
+    rows = np.flatnonzero(v.first_bits[(h >> np.uint64(44)).astype(np.int64)])
+    at = np.minimum(np.searchsorted(keys, h[rows]), len(keys) - 1)
+    hit = keys[at] == h[rows]
+    rows, at = rows[hit], at[hit]
+    out[rows], score[rows] = ids[at], scores[at]
+    return out, score
+
+
+def stretches(v: Vocabulary, c: np.ndarray, at: np.ndarray = np.zeros(0, np.int64)) -> np.ndarray:  # noqa: B008
+    """Where the stretches of ``c`` begin that no piece reaches beyond; and at ``at``."""
+    kind, beside = v.together
+    k = kind[c]
     cut = np.ones(len(c), bool)
-    cut[1:] = ~beside[kind[:-1], kind[1:]]
+    cut[1:] = ~beside.ravel()[k[:-1] * np.int32(len(beside)) + k[1:]]
+    cut[at[at < len(c)]] = True
     return np.flatnonzero(cut)
 
 
@@ -229,9 +253,10 @@ def _spelled(v: Vocabulary, code: int) -> list[int]:
     return [v.byte_ids[b] for b in raw]
 
 
-def encode_codes(v: Vocabulary, c: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    """Ids of many normalized texts, the characters of which follow each other in ``c``."""
-    starts = np.union1d(stretches(v, c), at[:-1][at[:-1] < len(c)])
+def segment(v: Vocabulary, c: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Best segmentations of the stretches that begin at ``starts``, each distinct one solved
+    once: ids (-1: unknown) and characters of the distinct ones' pieces, where each
+    distinct one's begin, and which of them every stretch is."""
     size = np.diff(np.append(starts, len(c)))
     spread = W.mix(c.astype(np.uint64) + np.uint64(1))
     key = _stretch_hashes(spread, starts, size)
@@ -239,18 +264,24 @@ def encode_codes(v: Vocabulary, c: np.ndarray, at: np.ndarray) -> list[np.ndarra
     length, piece = solve(v, c, starts[one], size[one])
     first = np.concatenate([[0], np.cumsum(size[one])])
     owner, place, ids = trace(length, piece, first)
+    char = c[starts[one][owner] + place - first[owner]]
+    return ids, char, np.searchsorted(owner, np.arange(len(one) + 1)), which
+
+
+def encode_codes(v: Vocabulary, c: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Ids of many normalized texts, the characters of which follow each other in ``c``."""
+    starts = stretches(v, c, at)
+    ids, char, begin, which = segment(v, c, starts)
     unknown = np.flatnonzero(ids < 0)
     if len(unknown):
-        char = c[starts[one][owner[unknown]] + place[unknown] - first[owner[unknown]]]
-        spelled = {x: _spelled(v, x) for x in np.unique(char).tolist()}
+        spelled = {x: _spelled(v, x) for x in np.unique(char[unknown]).tolist()}
         many = np.ones(len(ids), np.int64)
-        many[unknown] = [len(spelled[x]) for x in char.tolist()]
+        many[unknown] = [len(spelled[x]) for x in char[unknown].tolist()]
         wide = np.repeat(ids, many)
-        begin = np.cumsum(many) - many
-        for b, x in zip(begin[unknown].tolist(), char.tolist(), strict=True):
+        total = np.concatenate([[0], np.cumsum(many)])
+        for b, x in zip(total[unknown].tolist(), char[unknown].tolist(), strict=True):
             wide[b : b + len(spelled[x])] = spelled[x]
-        owner, ids = np.repeat(owner, many), wide
-    begin = np.searchsorted(owner, np.arange(len(one) + 1))
+        ids, begin = wide, total[begin]
     n = np.diff(begin)[which]
     total = np.concatenate([[0], np.cumsum(n)])
     flat = ids[np.repeat(begin[:-1][which], n) + np.arange(total[-1]) - np.repeat(total[:-1], n)].astype(np.int32)
@@ -258,6 +289,16 @@ def encode_codes(v: Vocabulary, c: np.ndarray, at: np.ndarray) -> list[np.ndarra
     return [flat[s:e] for s, e in zip(border[:-1], border[1:], strict=True)]
 
 
+def best_sum(v: Vocabulary, c: np.ndarray) -> int:
+    """The largest sum of scores over ``c``."""
+    if not len(c):
+        return 0
+    ids, _, begin, which = segment(v, c, stretches(v, c))
+    by_id = np.append(np.array(v.scores), v.unknown_score)  # -1 is the last
+    total = np.concatenate([[0], np.cumsum(by_id[ids])])
+    return int((total[begin[1:]] - total[begin[:-1]])[which].sum())
+
+
 def _stretch_hashes(spread: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
     """A hash of each stretch, in rounds over those that are still long enough."""
     out = size.astype(np.uint64)
@@ -326,6 +367,13 @@ def _forward(v: Vocabulary, c: np.ndarray, n: int, entry: np.ndarray) -> tuple[n
     return best, edges
 
 
+def _cuts(v: Vocabulary, c: np.ndarray, n: int) -> tuple[int, int] | None:
+    """The first cut that no entry state reaches beyond, and the last in the chunk."""
+    cuts = stretches(v, c)
+    cuts = cuts[(cuts >= v.longest - 1) & (cuts <= n)]
+    return (int(cuts[0]), int(cuts[-1])) if len(cuts) else None
+
+
 def transfer(v: Vocabulary, c: np.ndarray, n: int) -> np.ndarray:
     """The chunk's matrix: state at the left border to state at the right one. ``c`` has the
     n characters of the chunk and those that a piece across its right border may take.
@@ -335,17 +383,12 @@ def transfer(v: Vocabulary, c: np.ndarray, n: int) -> np.ndarray:
     m = v.longest
     entry = np.full((m, m), _NONE, np.int64)
     np.fill_diagonal(entry, 0)
-    cuts = stretches(v, c)
-    cuts = cuts[(cuts >= m - 1) & (cuts <= n)]
-    if not len(cuts):
+    cuts = _cuts(v, c, n)
+    if cuts is None:
         return np.maximum(_forward(v, c, n, entry)[0][n : n + m].T, _NONE)
-    head = _forward(v, c[: cuts[0]], int(cuts[0]), entry)[0][cuts[0]]
-    middle = 0
-    if cuts[-1] > cuts[0]:
-        best, _ = _forward(v, c[cuts[0] : cuts[-1]], int(cuts[-1] - cuts[0]), entry[:1, :1])
-        middle = int(best[cuts[-1] - cuts[0], 0])
-    tail, _ = _forward(v, c[cuts[-1] :], int(n - cuts[-1]), entry[:1, :1])
-    return np.maximum(head[:, None] + middle + tail[n - cuts[-1] : n - cuts[-1] + m, 0][None, :], _NONE)
+    head = _forward(v, c[: cuts[0]], cuts[0], entry)[0][cuts[0]]
+    tail = _forward(v, c[cuts[1] :], n - cuts[1], entry[:1, :1])[0][n - cuts[1] : n - cuts[1] + m, 0]
+    return np.maximum(head[:, None] + best_sum(v, c[cuts[0] : cuts[1]]) + tail[None, :], _NONE)
 
 
 def compose(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -366,14 +409,13 @@ def prefix_products(matrices: np.ndarray) -> np.ndarray:
     return out
 
 
-def backtrace(v: Vocabulary, c: np.ndarray, n: int, scores: np.ndarray) -> list[tuple[int, int, list[int]]]:
-    """For each state the chunk may end in: (that state, the state it then begins in, ids of
-    the pieces that begin in the chunk). ``scores``: best score of each state at its left border."""
+def _back(v: Vocabulary, c: np.ndarray, n: int, scores: np.ndarray, ends: range) -> list[tuple[int, int, list[int]]]:
+    """For each reachable one of ``ends``: it, the entry state that leads there, and the ids."""
     best, edges = _forward(v, c, n, scores[:, None].astype(np.int64))
     best = best[:, 0]
     out = []
-    for exit_state in range(v.longest):
-        t = n + exit_state
+    for end in ends:
+        t = end
         if t >= len(best) or best[t] <= _NONE // 2:
             continue
         ids: list[int] = []
@@ -382,16 +424,30 @@ def backtrace(v: Vocabulary, c: np.ndarray, n: int, scores: np.ndarray) -> list[
                 break  # the piece across the left border is the longest of those that tie
             for k, i, s in reversed(edges[t] if t < len(edges) else []):
                 if best[t - k] + s == best[t]:
-                    ids.append(i)
+                    ids.extend([i])
                     t -= k
                     break
             else:
                 ids.extend(reversed(_spelled(v, int(c[t - 1]))))
                 t -= 1
-        out.append((exit_state, t, ids[::-1]))
+        out.append((end, t, ids[::-1]))
     return out
 
 
+def backtrace(v: Vocabulary, c: np.ndarray, n: int, scores: np.ndarray) -> list[tuple[int, int, list[int]]]:
+    """For each state the chunk may end in: (that state, the state it then begins in, ids of
+    the pieces that begin in the chunk). ``scores``: best score of each state at its left border."""
+    cuts = _cuts(v, c, n)
+    if cuts is None:
+        return [(e - n, b, ids) for e, b, ids in _back(v, c, n, scores, range(n, n + v.longest))]
+    first, last = cuts
+    [(_, entry, head)] = _back(v, c[:first], first, scores, range(first, first + 1)) if first else [(0, 0, [])]
+    middle = encode_codes(v, c[first:last], np.array([0, last - first]))[0].tolist() if last > first else []
+    start = np.zeros(1, np.int64)
+    tails = _back(v, c[last:], n - last, start, range(n - last, n - last + v.longest))
+    return [(e - (n - last), entry, head + middle + ids) for e, _, ids in tails]
+
+
 CHUNKS = "text_key string, chunk_no int, n int, codes binary"
 
 
@@ -460,7 +516,7 @@ def encode(docs: DataFrame, v: Vocabulary, text_col: str = "text", ids_col: str
         names = [f.name for f in schema]
         for batch in batches:
             keyed = batch.rename_columns([f"c{i}" for i in range(batch.num_columns)])
-            for part in W.slices(keyed, f"c{at}", 4 << 20):
+            for part in W.slices(keyed, f"c{at}", 6 << 20):
                 ids = encode_texts(v, part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], names=names)
 
