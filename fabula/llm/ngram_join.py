@@ -340,19 +340,22 @@ def _open_signatures(at: DataFrame, parts: DataFrame | None) -> DataFrame:
     return materialize(placed.join(several, "sig", "left_semi"), "open-signatures")
 
 
-def _to_leaders(placed: DataFrame, p: PartEnum, turn: int) -> DataFrame:
+def _to_leaders(placed: DataFrame, sketches: DataFrame, p: PartEnum, turn: int) -> DataFrame:
     """Each node with its signatures' leaders, where a link is possible and not known: first
     the nodes of most shared signatures (what all copies come from), later others."""
     rank = F.col("rank") if turn == 0 else F.xxhash64("node", F.lit(turn))
-    leader = F.max(F.struct(rank.alias("rank"), F.col("node"), F.col("component"), F.col("n"), *_sketch("s"))).alias("lead")
-    lead = placed.groupBy("sig", (F.col("sig") % 2).alias("odd")).agg(leader).select("sig", F.col("lead.node").alias("b"), F.col("lead.component").alias("cb"), F.col("lead.n").alias("nb"), *(F.col(f"lead.s{i}").alias(f"t{i}") for i in range(SKETCH)))
-    fits = (F.col("component") != F.col("cb")) & may_link(p, "n", "s", "nb", "t")
-    pairs = placed.join(lead, "sig").where(fits)
-    return pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+    leader = F.max(F.struct(rank.alias("rank"), F.col("node"), F.col("component"))).alias("lead")
+    lead = placed.groupBy("sig", (F.col("sig") % 2).alias("odd")).agg(leader).select("sig", F.col("lead.node").alias("b"), F.col("lead.component").alias("cb"))
+    pairs = placed.join(lead, "sig").where("component <> cb")
+    pairs = pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+    one = sketches.select(F.col("node").alias("a"), "n", *_sketch("s"))
+    two = sketches.select(F.col("node").alias("b"), F.col("n").alias("nb"), *(F.col(f"s{i}").alias(f"t{i}") for i in range(SKETCH)))
+    return pairs.join(one, "a").join(two, "b").where(may_link(p, "n", "s", "nb", "t")).select("a", "b")
 
 
-def _across(placed: DataFrame, p: PartEnum) -> DataFrame:
+def _across(placed: DataFrame, sketches: DataFrame, p: PartEnum) -> DataFrame:
     """Every possible link between two components that share a signature."""
+    placed = placed.select("sig", "node", "component").join(sketches, "node")
     other = placed.select("sig", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), *(F.col(f"s{i}").alias(f"t{i}") for i in range(SKETCH)))
     fits = (F.col("node") < F.col("b")) & (F.col("component") != F.col("cb")) & may_link(p, "n", "s", "nb", "t")
     return placed.join(other, "sig").where(fits).select(F.col("node").alias("a"), "b").distinct()
@@ -374,17 +377,18 @@ def jaccard_components(docs: DataFrame, p: PartEnum = PartEnum(), id_col: str =
     )
     classes = materialize(classes, "shingle-classes")
     near = classes.where(F.size("signatures") > 0)
-    at = near.select("node", F.col("n_shingles").alias("n"), F.size("signatures").alias("rank"), *(F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)), F.explode("signatures").alias("sig"))
+    sketches = near.select("node", F.col("n_shingles").alias("n"), *(F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)))
+    at = near.select("node", F.size("signatures").alias("rank"), F.explode("signatures").alias("sig"))
     parts, placed = None, at
     for turn in range(LEADER_TURNS):
         placed = _open_signatures(placed if parts is None else placed.drop("component"), parts)
-        links = materialize(verify(_to_leaders(placed, p, turn), near, p), "links")
+        links = materialize(verify(_to_leaders(placed, sketches, p, turn), near, p), "links")
         if not links.limit(1).count():
             break
         parts = _joined(parts, links)
     else:
         placed = _open_signatures(placed.drop("component"), parts)
-    links = materialize(verify(_across(placed, p), near, p), "links")
+    links = materialize(verify(_across(placed, sketches, p), near, p), "links")
     if links.limit(1).count():
         parts = _joined(parts, links)
     roots = classes.select("hi", "lo", "node")

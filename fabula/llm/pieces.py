@@ -24,7 +24,6 @@ others; other columns are kept by encode() and decode().
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -457,8 +456,8 @@ def giant_chunks(giants: DataFrame, v: Vocabulary, chunk: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, text in zip(batch.column("text_key").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                c = normalized(text)
+            for row in range(len(batch)):
+                key, c = batch.column("text_key")[row].as_py(), normalized(batch.column("text")[row].as_py())
                 for i, s in enumerate(range(0, len(c), chunk)):
                     n = min(chunk, len(c) - s)
                     yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([i], pa.int32()), pa.array([n], pa.int32()), pa.array([c[s : s + n + ahead].tobytes()], pa.binary())], names=["text_key", "chunk_no", "n", "codes"])
@@ -471,7 +470,7 @@ def scan_chunks(chunks: DataFrame, v: Vocabulary) -> DataFrame:
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m = [transfer(v, np.frombuffer(c, np.uint32), n).tobytes() for c, n in zip(batch.column("codes").to_pylist(), batch.column("n").to_pylist(), strict=True)]
+            m = [transfer(v, np.frombuffer(c.as_buffer(), np.uint32), n.as_py()).tobytes() for c, n in zip(batch.column("codes"), batch.column("n"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("text_key"), batch.column("chunk_no"), pa.array(m, pa.binary())], names=["text_key", "chunk_no", "matrix"])
 
     def scan(table: pa.Table) -> pa.Table:
@@ -486,11 +485,12 @@ def scan_chunks(chunks: DataFrame, v: Vocabulary) -> DataFrame:
 
     def traces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for c, n, s in zip(*(batch.column(x).to_pylist() for x in ("codes", "n", "scores")), strict=True):
-                out.append([{"ends": e, "begins": b, "ids": ids} for e, b, ids in backtrace(v, np.frombuffer(c, np.uint32), n, np.frombuffer(s, np.int64))])
             kind = pa.list_(pa.struct([("ends", pa.int32()), ("begins", pa.int32()), ("ids", pa.list_(pa.int32()))]))
-            yield pa.RecordBatch.from_arrays([batch.column("text_key"), batch.column("chunk_no"), pa.array(out, kind)], names=["text_key", "chunk_no", "traces"])
+            for row in range(len(batch)):
+                c, n, s = (batch.column(x)[row] for x in ("codes", "n", "scores"))
+                found = backtrace(v, np.frombuffer(c.as_buffer(), np.uint32), n.as_py(), np.frombuffer(s.as_buffer(), np.int64))
+                traces = pa.array([[{"ends": e, "begins": b, "ids": ids} for e, b, ids in found]], kind)
+                yield pa.RecordBatch.from_arrays([batch.column("text_key")[row : row + 1], batch.column("chunk_no")[row : row + 1], traces], names=["text_key", "chunk_no", "traces"])
 
     def choose(table: pa.Table) -> pa.Table:
         table = table.sort_by("chunk_no")
@@ -516,15 +516,14 @@ def encode(docs: DataFrame, v: Vocabulary, text_col: str = "text", ids_col: str
         names = [f.name for f in schema]
         for batch in batches:
             keyed = batch.rename_columns([f"c{i}" for i in range(batch.num_columns)])
-            for part in W.slices(keyed, f"c{at}", 6 << 20):
+            for part in W.slices(keyed, f"c{at}", 2 << 20):
                 ids = encode_texts(v, part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], names=names)
 
     size = F.coalesce(F.length(text_col), F.lit(0))
     small = docs.where(size <= chunk).mapInArrow(short, schema)
     key = "_text_key"
-    mark = F.udf(lambda: uuid.uuid4().hex, "string").asNondeterministic()
-    giants = materialize(docs.where(size > chunk).withColumn(key, mark()), "giants")
+    giants = materialize(docs.where(size > chunk).withColumn(key, F.expr("uuid()")), "giants")
     chunks = giant_chunks(giants.select(F.col(key).alias("text_key"), F.col(text_col).alias("text")), v, chunk)
     found = scan_chunks(chunks, v).select(F.col("text_key").alias(key), F.col("ids").alias("_ids"))
     large = giants.join(found, key).select(*(giants[f.name] for f in docs.schema), F.col("_ids").alias(ids_col))
@@ -541,7 +540,10 @@ def decode(rows: DataFrame, v: Vocabulary, ids_col: str = "ids", text_col: str =
         for batch in batches:
             for s in range(0, len(batch), 1000):
                 part = batch.slice(s, 1000)
-                texts = [decode_ids(v, ids) for ids in part.column(at).to_pylist()]
+                lists = part.column(at)
+                flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+                known = lists.is_valid().to_numpy(zero_copy_only=False)
+                texts = [decode_ids(v, flat[b:e].tolist()) if k else None for b, e, k in zip(ends[:-1].tolist(), ends[1:].tolist(), known.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[f.name for f in schema])
 
     return rows.mapInArrow(run, schema)
