@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from fabula.llm import words as W
 from fabula.llm.cluster import materialize
@@ -516,9 +516,11 @@ def encode(docs: DataFrame, v: Vocabulary, text_col: str = "text", ids_col: str
         names = [f.name for f in schema]
         for batch in batches:
             keyed = batch.rename_columns([f"c{i}" for i in range(batch.num_columns)])
-            for part in W.slices(keyed, f"c{at}", 2 << 20):
+            for part in W.slices(keyed, f"c{at}", 1 << 20):
                 ids = encode_texts(v, part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], names=names)
+            del keyed, part, batch
+            pa.default_memory_pool().release_unused()
 
     size = F.coalesce(F.length(text_col), F.lit(0))
     small = docs.where(size <= chunk).mapInArrow(short, schema)
@@ -530,20 +532,22 @@ def encode(docs: DataFrame, v: Vocabulary, text_col: str = "text", ids_col: str
     return small.union(large)
 
 
-def decode(rows: DataFrame, v: Vocabulary, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """The rows with the texts of their ids."""
+def decode(rows: DataFrame, v: Vocabulary, ids_col: str = "ids", text_col: str = "decoded", keep_ids: bool = True) -> DataFrame:
+    """The rows with the texts of their ids, and with the ids unless told otherwise."""
     at = rows.columns.index(ids_col)
-    schema = rows.select("*", F.lit("").alias(text_col)).schema
-    schema[text_col].nullable = True
+    kept = [i for i in range(len(rows.columns)) if keep_ids or i != at]
+    schema = StructType([*(rows.schema[i] for i in kept), StructField(text_col, StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in range(0, len(batch), 1000):
-                part = batch.slice(s, 1000)
+            for s in range(0, len(batch), 500):
+                part = batch.slice(s, 500)
                 lists = part.column(at)
                 flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
                 known = lists.is_valid().to_numpy(zero_copy_only=False)
                 texts = [decode_ids(v, flat[b:e].tolist()) if k else None for b, e, k in zip(ends[:-1].tolist(), ends[1:].tolist(), known.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[f.name for f in schema])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), pa.array(texts, pa.string())], names=[f.name for f in schema])
+            del batch
+            pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, schema)

@@ -38,13 +38,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fabula.llm.pieces import Vocabulary, decode, encode
 
     v = Vocabulary.load()
-    rows = decode(encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), v), v)
-    return rows.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
-        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
-    )
+    rows = encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), v)
+    rows = rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("text", 256).alias("text_sha256"), "ids")
+    back = F.sha2("decoded", 256).eqNullSafe(F.col("text_sha256"))
+    return decode(rows, v, keep_ids=False).select("doc_id", "n_tokens", "ids_sha256", back.alias("round_trip"))
 
 
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
