@@ -116,11 +116,11 @@ def _latest(value: Column) -> Column:
     return F.max_by(value, F.when(value.isNotNull() & (value != ""), F.struct("chapter_index", "id")))
 
 
-def _average() -> Column:
-    return F.round(F.avg("confidence"), 4)
+def _average(digits: int) -> Column:
+    return F.round(F.avg("confidence"), digits)
 
 
-def character_versions(segmented: DataFrame) -> DataFrame:
+def character_versions(segmented: DataFrame, digits: int = 4) -> DataFrame:
     """One row per version with its age, appearance, personality, clothing and range."""
     of = lambda kind: F.when(F.col("type") == kind, F.col("summary"))
     looks = of("CHARACTER_APPEARANCE")
@@ -132,7 +132,7 @@ def character_versions(segmented: DataFrame) -> DataFrame:
         F.min("chapter_index").alias("start_chapter"),
         F.max("chapter_index").alias("end_chapter"),
         _ordered_distinct(F.col("timeline_hint")).alias("hints"),
-        _average().alias("confidence"),
+        _average(digits).alias("confidence"),
         F.transform(F.array_sort(F.collect_list(F.struct("chapter_index", "id"))), lambda x: x["id"]).alias("source_fact_ids"),
     )
     dressed = F.filter("_looks", lambda s: F.exists(F.array(*map(F.lit, CLOTHING)), lambda k: F.lower(s).contains(k)))
@@ -154,14 +154,14 @@ def character_versions(segmented: DataFrame) -> DataFrame:
     )
 
 
-def location_versions(segmented: DataFrame) -> DataFrame:
+def location_versions(segmented: DataFrame, digits: int = 4) -> DataFrame:
     """One row per version with its description and latest known values."""
     values = ("atmosphere", "architecture", "era", "social_context", "lighting")
     have = [c for c in values if c in segmented.columns]
     rows = segmented.groupBy("scope", "root", "version").agg(
         _ordered_distinct(F.col("summary")).alias("_said"),
         *(_latest(F.col(c)).alias(c) for c in have),
-        _average().alias("confidence"),
+        _average(digits).alias("confidence"),
         F.transform(F.array_sort(F.collect_list(F.struct("chapter_index", "id"))), lambda x: x["id"]).alias("source_fact_ids"),
     )
     said = F.when(F.size("_said") > 0, F.array_join("_said", " ")).otherwise(NO_DESCRIPTION)
@@ -211,7 +211,7 @@ def patch(rows: DataFrame, patches: DataFrame, key: str) -> DataFrame:
     return rows.join(p, key, "left").select(*(F.coalesce(f"_new_{c}", c).alias(c) if c in changed else F.col(c) for c in rows.columns))
 
 
-def merge_characters(facts: DataFrame) -> dict[str, DataFrame]:
+def merge_characters(facts: DataFrame, digits: int = 4) -> dict[str, DataFrame]:
     """All tables of a character merge; unlike an approach that replaces a scope at large,
     conflicts of locations are never touched."""
     groups = entity_groups(facts.where(F.col("type").isin(*CHARACTER_TYPES)))
@@ -219,7 +219,7 @@ def merge_characters(facts: DataFrame) -> dict[str, DataFrame]:
     listed = names.select("scope", "root", F.explode(F.concat(F.array("canonical_name"), "aliases")).alias("name"))
     return {
         "characters": names,
-        "versions": character_versions(version_segments(groups)),
+        "versions": character_versions(version_segments(groups), digits),
         "attribute_conflicts": attribute_conflicts(groups),
         "possible_duplicates": possible_duplicates(listed),
     }

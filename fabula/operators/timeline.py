@@ -25,7 +25,7 @@ def running_pairwise_mean(value: str, *keys: str, order: str = "seq") -> list[Co
     return [F.pow(F.lit(0.5), power).alias("weight")]
 
 
-def merge_events(events: DataFrame) -> DataFrame:
+def merge_events(events: DataFrame, digits: int = 4) -> DataFrame:
     """Events of one chapter with the same title as one: first title and description,
     united lists, and the running pairwise mean of the confidences."""
     keys = ["scope", "chapter_index", "_title"]
@@ -41,7 +41,7 @@ def merge_events(events: DataFrame) -> DataFrame:
         F.max_by("anchor_title", F.when(F.col("anchor_title").isNotNull(), F.col("seq"))).alias("anchor_title"),
         F.min_by("absolute_date", "seq").alias("absolute_date"),
         ordered("id").alias("source_fact_ids"),
-        F.round(F.sum(F.col("weight") * F.col("confidence")), 4).alias("confidence"),
+        F.round(F.sum(F.col("weight") * F.col("confidence")), digits).alias("confidence"),
     ).drop("_title")
 
 

@@ -73,7 +73,7 @@ _TITLE_SQL = r"""length(title) BETWEEN 3 AND 140 AND (
     OR regexp_matches(title, '(?i)^(глава|часть)\s+([ivxlcdm]+|\d+|[а-яё]+)\b[\s:.-]*(.*)$')
     OR regexp_matches(title, '^\d{1,3}[\s.:-]+[^\n]{1,120}$'))"""
 _LINES_SQL = """lines AS (SELECT doc_id, n, i AS line_no, w[i] AS line FROM (SELECT doc_id, length(text) AS n, string_split(text, chr(10)) AS w, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
-    placed AS (SELECT doc_id, n, trim(line) AS title, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM lines)"""
+    placed AS (SELECT doc_id, n, trim(line) AS title, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM lines)"""
 
 
 @query(f"WITH {_LINES_SQL} SELECT doc_id, count(*) AS n_titles FROM placed WHERE {_TITLE_SQL} GROUP BY doc_id")
@@ -84,8 +84,8 @@ def chapter_titles(spark, sf_dir):
 
 @query(
     f"""WITH {_LINES_SQL}, t AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS c FROM placed WHERE {_TITLE_SQL})
-    SELECT doc_id, row_number() OVER w - 1 AS chapter_index, title, CAST(at AS BIGINT) AS start_offset, CAST(lead(at, 1, n) OVER w AS BIGINT) AS end_offset
-    FROM t WHERE c > 1 WINDOW w AS (PARTITION BY doc_id ORDER BY at)
+    SELECT doc_id, row_number() OVER w - 1 AS chapter_index, title, CAST(pos AS BIGINT) AS start_offset, CAST(lead(pos, 1, n) OVER w AS BIGINT) AS end_offset
+    FROM t WHERE c > 1 WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
     UNION ALL SELECT doc_id, 0, NULL, 0, length(text) FROM documents WHERE length(text) > 0 AND doc_id NOT IN (SELECT doc_id FROM t WHERE c > 1)"""
 )
 def chapter_ranges(spark, sf_dir):
@@ -162,8 +162,8 @@ FACTS = """facts AS (SELECT 's' || (user_id % 3) AS scope, event_id AS id,
     FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events))"""
 
 _ROOTS = """edges AS (SELECT DISTINCT scope, entity_name AS a, coalesce(candidate, entity_name) AS b FROM facts),
-    both AS (SELECT scope, a, b FROM edges UNION SELECT scope, b, a FROM edges),
-    reach AS (SELECT DISTINCT scope, a AS node, a AS other FROM both UNION SELECT reach.scope, reach.node, both.b FROM reach JOIN both ON reach.scope = both.scope AND reach.other = both.a),
+    sym AS (SELECT scope, a, b FROM edges UNION SELECT scope, b, a FROM edges),
+    reach AS (SELECT DISTINCT scope, a AS node, a AS other FROM sym UNION SELECT reach.scope, reach.node, sym.b FROM reach JOIN sym ON reach.scope = sym.scope AND reach.other = sym.a),
     roots AS (SELECT scope, node, scope || chr(31) || min(other) AS root FROM reach GROUP BY scope, node),
     grouped AS (SELECT facts.*, root FROM facts JOIN roots ON facts.scope = roots.scope AND facts.entity_name = roots.node)"""
 
@@ -215,12 +215,12 @@ def version_segments(spark, sf_dir):
     told AS (SELECT root, version, string_agg(summary, ' ' ORDER BY seen) AS appearance FROM looks GROUP BY ALL)
     SELECT root, version, arg_max(summary, struct_pack(c := chapter_index, i := id)) FILTER (type = 'CHARACTER_AGE') AS age,
            coalesce(any_value(appearance), 'No reliable appearance facts extracted yet.') AS appearance, min(chapter_index) AS start_chapter, max(chapter_index) AS end_chapter,
-           round(avg(confidence), 3) AS confidence, count(*) AS n_facts
+           round(avg(confidence), 9) AS confidence, count(*) AS n_facts
     FROM f LEFT JOIN told USING (root, version) GROUP BY root, version"""
 )
 def character_versions(spark, sf_dir):
-    made = entities.merge_characters(facts(spark, sf_dir))["versions"]
-    return made.select("root", "version", "age", "appearance", "start_chapter", "end_chapter", F.round("confidence", 3).alias("confidence"), F.size("source_fact_ids").cast("long").alias("n_facts"))
+    made = entities.merge_characters(facts(spark, sf_dir), digits=9)["versions"]
+    return made.select("root", "version", "age", "appearance", "start_chapter", "end_chapter", "confidence", F.size("source_fact_ids").cast("long").alias("n_facts"))
 
 
 @query(
@@ -266,14 +266,14 @@ PLANNED = f"""{FACTS}, planned AS (SELECT *, chapter_index * 1000 + seq AS own F
 _MERGED = """w AS (SELECT *, count(*) OVER g AS n, row_number() OVER (g ORDER BY seq) AS i FROM planned WINDOW g AS (PARTITION BY who, chapter_index, title)),
     merged AS (SELECT who AS scope, chapter_index, title, arg_min(description, seq) FILTER (description IS NOT NULL) AS description, min(seq) AS seq, min(own) AS own,
                arg_max(hint, seq) FILTER (hint IS NOT NULL) AS hint, arg_max(anchor_title, seq) FILTER (anchor_title IS NOT NULL) AS anchor_title, (array_agg(absolute_date ORDER BY seq))[1] AS absolute_date,
-               string_agg(CAST(id AS VARCHAR), ',' ORDER BY seq) AS source_facts, round(sum(confidence * pow(0.5, CASE WHEN i = 1 THEN n - 1 ELSE n - i + 1 END)), 3) AS confidence
+               string_agg(CAST(id AS VARCHAR), ',' ORDER BY seq) AS source_facts, round(sum(confidence * pow(0.5, CASE WHEN i = 1 THEN n - 1 ELSE n - i + 1 END)), 12) AS confidence
                FROM w GROUP BY who, chapter_index, title)"""
 
 
 @query(f"WITH {PLANNED}, {_MERGED} SELECT scope, chapter_index, title, description, source_facts, confidence FROM merged")
 def event_merge(spark, sf_dir):
-    m = timeline.merge_events(planned(spark, sf_dir))
-    return m.select("scope", "chapter_index", "title", "description", F.array_join(F.transform("source_fact_ids", lambda x: x.cast("string")), ",").alias("source_facts"), F.round("confidence", 3).alias("confidence"))
+    m = timeline.merge_events(planned(spark, sf_dir), digits=12)
+    return m.select("scope", "chapter_index", "title", "description", F.array_join(F.transform("source_fact_ids", lambda x: x.cast("string")), ",").alias("source_facts"), "confidence")
 
 
 @query(
