@@ -15,6 +15,7 @@ are returned with zeros. Only ids and texts are read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,23 +33,26 @@ WINDOW = 13
 QUERY_WORDS = 2_000_000
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Index rows, one for each few MB of documents, without a shuffle. Write them
-    to reuse them."""
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in W.slices(batch, "text", 2 << 20):
+            token, first = W.hash_words(*W.buffers(part.column("text")), W.ALPHANUMERIC)
+            order = np.argsort(token, kind="stable").astype(np.int32)
+            tokens, lists = np.unique(token[order], return_index=True)
+            lists = np.append(lists, len(token)).astype(np.int32)
+            row = [uuid.uuid4().hex, part.column("doc_id").to_pylist(), first.astype(np.int32).tobytes(), tokens.tobytes(), lists.tobytes(), order.tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, [pa.string(), pa.list_(pa.int64()), *[pa.binary()] * 4], strict=True)], names=["shard", "doc_ids", "begins", "tokens", "lists", "postings"])
+        W.release()
 
-    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
 
-        for batch in batches:
-            for part in W.slices(batch, "text"):
-                token, first = W.hash_words(*W.buffers(part.column("text")), W.ALPHANUMERIC)
-                order = np.argsort(token, kind="stable").astype(np.int32)
-                tokens, lists = np.unique(token[order], return_index=True)
-                lists = np.append(lists, len(token)).astype(np.int32)
-                row = [uuid.uuid4().hex, part.column("doc_id").to_pylist(), first.astype(np.int32).tobytes(), tokens.tobytes(), lists.tobytes(), order.tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, [pa.string(), pa.list_(pa.int64()), *[pa.binary()] * 4], strict=True)], names=["shard", "doc_ids", "begins", "tokens", "lists", "postings"])
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(shards, INDEX_SCHEMA)
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Index rows, one for each few MB of documents, without a shuffle. Write them
+    to reuse them."""
+    return _texts(docs, id_col, text_col).mapInArrow(_shards, INDEX_SCHEMA)
 
 
 class Phrases:
@@ -159,6 +163,17 @@ def _query_blocks(items: DataFrame, id_col: str, text_col: str, most: int) -> It
         yield block
 
 
+def index_and_find(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0, id_col: str = "doc_id", text_col: str = "text", query_words: int = QUERY_WORDS) -> DataFrame:
+    """find_items() over an index that is used once: where all queries fit in one block, each
+    shard is searched by the task that made it and never leaves it."""
+    blocks = _query_blocks(items, "item_id", "text", query_words)
+    first = next(blocks, [])
+    if next(blocks, None) is not None:
+        return find_items(build_index(docs, id_col, text_col), items, window, slop, query_words=query_words)
+    search = _matches(Phrases(first, window), slop)
+    return _texts(docs, id_col, text_col).mapInArrow(lambda batches: search(_shards(batches)), MATCH_SCHEMA)
+
+
 def find_items(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0, id_col: str = "item_id", text_col: str = "text", query_words: int = QUERY_WORDS) -> DataFrame:
     """One row per indexed document: merged word spans that match a window of some
     item, and the items' ids.
@@ -203,6 +218,6 @@ def _merged(col: str):
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents with ``n_hit`` words inside matches; contaminated where those are at
     least a twentieth of the words."""
-    found = find_items(build_index(docs, id_col, text_col), items, window, slop)
+    found = index_and_find(docs, items, window, slop, id_col, text_col)
     hit = F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["begin"]).cast("long")
     return found.withColumn("n_hit", hit).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))

@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from fabula.llm import words as W
+
 ASK = "bucket int, block int, keys binary, values binary"
 ANSWER = "block int, bucket int, totals binary"
 _ASK = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("values", pa.binary())])
@@ -55,6 +57,7 @@ def answer(asks: DataFrame, combine: Callable[[np.ndarray, np.ndarray, int], np.
     """
 
     def one(table: pa.Table) -> pa.Table:
+        W.release()
         rows = table.select(["block", "bucket", "keys", "values"]).to_pylist()
         keys = [unpack_keys(r["keys"], width) for r in rows]
         values = np.concatenate([np.frombuffer(r["values"], value_type) for r in rows])

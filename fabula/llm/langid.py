@@ -166,6 +166,7 @@ def fit_hierarchy(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, f
                             langs.append(lang)
                             rows.append((np.bincount(code, minlength=size) * (_SCALE / len(code))).astype(np.float16).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(rows, pa.binary())], names=["lang", "x"])
+            W.release()
 
     rows = _sample(docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()), rows_per_language).mapInArrow(count, "lang string, x binary").collect()
     if not rows:
@@ -210,6 +211,7 @@ def predict_language(docs: DataFrame, model: Hierarchy | None, text_col: str = "
                     lang[known], score[known] = (x[known] for x in model.predict(margins))
                 arrays = [part.column(f.name) for f in schema] + [pa.array(lang, pa.string()), pa.array(score, pa.float64())]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*(f.name for f in schema), "lang_pred", "score"])
+            W.release()
 
     return docs.mapInArrow(predict, out)
 

@@ -520,7 +520,7 @@ def encode(docs: DataFrame, v: Vocabulary, text_col: str = "text", ids_col: str
                 ids = encode_texts(v, part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], names=names)
             del keyed, part, batch
-            pa.default_memory_pool().release_unused()
+            W.release()
 
     size = F.coalesce(F.length(text_col), F.lit(0))
     small = docs.where(size <= chunk).mapInArrow(short, schema)
@@ -548,6 +548,6 @@ def decode(rows: DataFrame, v: Vocabulary, ids_col: str = "ids", text_col: str =
                 texts = [decode_ids(v, flat[b:e].tolist()) if k else None for b, e, k in zip(ends[:-1].tolist(), ends[1:].tolist(), known.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), pa.array(texts, pa.string())], names=[f.name for f in schema])
             del batch
-            pa.default_memory_pool().release_unused()
+            W.release()
 
     return rows.mapInArrow(run, schema)

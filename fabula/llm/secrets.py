@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fabula.llm import words as W
+
 FINDINGS = "array<struct<begin:int,end:int,score:double,sha256:string>>"
 LABELLED = "value string, before string, after string, secret int"
 CANDIDATE = re.compile(
@@ -276,8 +278,10 @@ def scan_secrets(docs: DataFrame, forest: Forest, least: float = 0.5, id_col: st
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, found = scan_texts(batch.column("text").to_pylist(), forest, least)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(found, _findings_type())], names=["doc_id", "n_candidates", "findings"])
+            for part in W.slices(batch, "text"):
+                counts, found = scan_texts(part.column("text").to_pylist(), forest, least)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(found, _findings_type())], names=["doc_id", "n_candidates", "findings"])
+            W.release()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scan, f"doc_id bigint, n_candidates bigint, findings {FINDINGS}")
 
@@ -288,11 +292,13 @@ def redact(docs: DataFrame, forest: Forest, least: float = 0.5, text_col: str =
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            _, found = scan_texts(texts, forest, least)
-            for i, spans in enumerate(found):
-                for s in reversed(spans):
-                    texts[i] = texts[i][: s["begin"]] + mark + texts[i][s["end"] :]
-            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+            for part in W.slices(batch, batch.schema.names[at]):
+                texts = part.column(at).to_pylist()
+                _, found = scan_texts(texts, forest, least)
+                for i, spans in enumerate(found):
+                    for s in reversed(spans):
+                        texts[i] = texts[i][: s["begin"]] + mark + texts[i][s["end"] :]
+                yield part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
+            W.release()
 
     return docs.mapInArrow(write, docs.schema)

@@ -8,6 +8,7 @@ words, so the memory beside the hashes themselves is bounded for any text.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,17 @@ _POW = _powers(_BASE, _SEGMENT + 1)
 _INV = _powers(pow(_BASE, -1, 2**64), _SEGMENT + 1)
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Gives unused memory back to the system. Python workers live long and serve one
+    operator after the other, so what each kept for itself would add up."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = x.astype(np.uint64, copy=True)

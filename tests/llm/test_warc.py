@@ -1,6 +1,7 @@
 import hashlib
 import io
 import random
+import uuid
 
 from fabula.llm import warc as A
 
@@ -42,8 +43,9 @@ def test_records_read_back_equal_brute_force(spark):
 def test_chunks_carry_digests_so_far(spark):
     from fabula.llm.cluster import shared_dir
 
+    folder = f"{shared_dir(spark)}/warc-test-{uuid.uuid4().hex}"
     df = spark.createDataFrame([(1, "u", "abc" * 1000, "", ""), (2, "u", "", "", "")], SCHEMA)
-    manifest = A.write_archives(A.mark_revisits(df), shared_dir(spark) + "/warc-test", archive_bytes=1)
+    manifest = A.write_archives(A.mark_revisits(df), folder, archive_bytes=1)
     assert manifest.count() == 2
     rows = A.read_chunks(manifest, chunk_bytes=700).orderBy("record_id", "chunk_no").collect()
     data = b""
@@ -52,7 +54,7 @@ def test_chunks_carry_digests_so_far(spark):
         data += r.data
         assert r.sha1 == hashlib.sha1(data).hexdigest() and r.last == (len(data) == 3000)
     assert data == b"abc" * 1000 and rows[5].last and rows[5].data == b""
-    glob = A.list_archives(spark, shared_dir(spark) + "/warc-test/*.warc.gz")
+    glob = A.list_archives(spark, folder + "/*.warc.gz")
     assert A.read_chunks(glob).count() == 2
 
 
