@@ -31,7 +31,7 @@ FUNCTION_WORDS = (
     "el los las y del se por con para una su al lo como más es "
     "il che di e non per sono o os um uma não de het een van"
 ).split()
-RULES = ("length", "word_length", "symbols", "dup_lines", "repeats", "capitals", "shouting", "function_words", "sentences", "variety")
+RULES = ("length", "word_length", "symbols", "dup_lines", "repeats", "capitals", "shouting", "function_words", "sentences", "variety", "letters")
 
 
 def _count(chars: str) -> Column:
@@ -69,6 +69,7 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.size("lines").cast("long").alias("n_lines"),
         _count("A-ZÄÖÜÀÂÇÉÈÊËÎÏÔÙÛÑÁÍÓÚ").alias("n_capitals"),
         _count("!?").alias("n_marks"),
+        _count("\\p{L}").alias("n_letters"),
         _count(".!?;:").alias("n_stops"),
         F.size(F.array_intersect("words", F.array(*map(F.lit, FUNCTION_WORDS)))).cast("long").alias("n_function_words"),
         F.size(F.array_distinct("words")).cast("long").alias("n_distinct_words"),
@@ -111,26 +112,45 @@ def votes() -> list[Column]:
         vote(F.col("n_function_words") >= 3, (F.col("n_function_words") == 0) & (F.col("n_words") >= 20)),
         vote((F.col("n_stops") > 0) & (F.col("n_stops") * 2 <= n), (F.col("n_stops") == 0) & (F.col("n_words") >= 50)),
         vote(F.col("n_distinct_words") * 3 >= n, F.col("n_distinct_words") * 6 < n),
+        vote(F.col("n_letters") * 20 >= chars * 18, F.col("n_letters") * 20 < chars * 17),
     ]
 
 
 @dataclass
 class VoteModel:
-    """``accuracy[j]``: how often rule j is right when it votes; ``prior``: share of good documents."""
+    """How rules vote on good and on bad documents, and the share of good ones.
+
+    ``good[j]`` and ``bad[j]`` are the probabilities of the votes (-1, 0, 1) of rule j on
+    a document of that kind. How right a bad vote is and how right a good one is are
+    two things: most rules are content with most bad documents.
+    """
 
     prior: float = 0.8
-    accuracy: list[float] = field(default_factory=lambda: [0.75] * len(RULES))
+    good: list[list[float]] = field(default_factory=lambda: [[0.03, 0.12, 0.85]] * len(RULES))
+    bad: list[list[float]] = field(default_factory=lambda: [[0.35, 0.15, 0.5]] * len(RULES))
+
+    def weights(self, j: int) -> list[float]:
+        """Log-odds that votes of -1, 0 and 1 of rule j add; abstaining adds nothing."""
+        w = [math.log(g / b) for g, b in zip(self.good[j], self.bad[j], strict=True)]
+        return [min(0.0, w[0]), 0.0, max(0.0, w[2])]
 
     def log_odds(self, pattern: list[int]) -> float:
-        return math.log(self.prior / (1 - self.prior)) + sum(v * math.log(a / (1 - a)) for v, a in zip(pattern, self.accuracy, strict=True))
+        return math.log(self.prior / (1 - self.prior)) + sum(self.weights(j)[v + 1] for j, v in enumerate(pattern))
+
+    def accuracy(self, j: int) -> tuple[float, float]:
+        """How often a good, and a bad, vote of rule j is right."""
+        p = self.prior
+        right = lambda k: p * self.good[j][k] / (p * self.good[j][k] + (1 - p) * self.bad[j][k])
+        return right(2), 1 - right(0)
 
 
-def fit_votes(patterns: DataFrame, rounds: int = 50) -> VoteModel:
+def fit_votes(patterns: DataFrame, rounds: int = 100) -> VoteModel:
     """Expectation maximisation over counted vote patterns.
 
-    ``patterns`` has at most 3 ** len(RULES) = 59,049 rows whatever the corpus, each
-    an array of votes and a count, so it may come to the driver. Accuracies stay
-    within 0.55 and 0.99: a rule may be weak but not reversed, and none is certain.
+    ``patterns`` has at most 3 ** len(RULES) = 177,147 rows whatever the corpus, each
+    an array of votes and a count, so it may come to the driver. A bad vote never
+    speaks for a document and a good one never against it, so the two kinds keep
+    their meaning.
     """
     rows = [(list(r["pattern"]), r["n"]) for r in patterns.collect()]
     model = VoteModel()
@@ -138,39 +158,44 @@ def fit_votes(patterns: DataFrame, rounds: int = 50) -> VoteModel:
     if not total:
         return model
     for _ in range(rounds):
-        good = [0.0] * len(RULES)
-        cast = [0.0] * len(RULES)
+        counts = [[[1.0, 1.0, 1.0] for _ in RULES] for _ in range(2)]
         mass = 0.0
+        weights = [model.weights(j) for j in range(len(RULES))]
+        base = math.log(model.prior / (1 - model.prior))
         for pattern, n in rows:
-            p = 1 / (1 + math.exp(-max(-500.0, min(500.0, model.log_odds(pattern)))))
+            odds = base + sum(weights[j][v + 1] for j, v in enumerate(pattern))
+            p = 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
             mass += p * n
             for j, v in enumerate(pattern):
-                if v:
-                    cast[j] += n
-                    good[j] += n * (p if v > 0 else 1 - p)
-        accuracy = [min(0.99, max(0.55, (g + 1.5) / (c + 2))) for g, c in zip(good, cast, strict=True)]
-        moved = max(abs(a - b) for a, b in zip(accuracy, model.accuracy, strict=True))
-        model = VoteModel(min(0.95, max(0.05, mass / total)), accuracy)
-        if moved < 1e-6:
+                counts[0][j][v + 1] += p * n
+                counts[1][j][v + 1] += (1 - p) * n
+        share = [[[x / sum(c) for x in c] for c in kind] for kind in counts]
+        new = VoteModel(min(0.98, max(0.02, mass / total)), *share)
+        moved = max(abs(a - b) for old, now in ((model.good, new.good), (model.bad, new.bad)) for x, y in zip(old, now, strict=True) for a, b in zip(x, y, strict=True))
+        model = new
+        if moved < 1e-7:
             break
     return model
 
 
 def posterior(model: VoteModel, votes_col: str = "votes") -> Column:
     odds = F.lit(math.log(model.prior / (1 - model.prior)))
-    for j, a in enumerate(model.accuracy):
-        odds = odds + F.col(votes_col)[j] * F.lit(math.log(a / (1 - a)))
+    for j in range(len(RULES)):
+        against, _, favour = model.weights(j)
+        vote = F.col(votes_col)[j]
+        odds = odds + F.when(vote > 0, favour).when(vote < 0, against).otherwise(0.0)
     return 1 / (1 + F.exp(-odds))
 
 
 def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """Statistics, votes, posterior and verdict per document.
+    """Statistics, votes, posterior and verdict per document. Documents that fail the base
+    rule are decided already, so votes are weighed on the others.
 
     The narrow statistics are written once (about 100 bytes a document), so texts are
     read once: first the patterns are counted, then every row gets its posterior.
     """
     stats = text_statistics(docs, id_col, text_col).withColumn("votes", F.array(*votes()))
     stats = materialize(stats, "quality")
-    model = fit_votes(stats.groupBy(F.col("votes").alias("pattern")).agg(F.count("*").alias("n")))
+    model = fit_votes(stats.where(~base_failed()).groupBy(F.col("votes").alias("pattern")).agg(F.count("*").alias("n")))
     failed = base_failed()
     return stats.withColumns({"base_failed": failed, "posterior": posterior(model)}).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= least))

@@ -40,15 +40,17 @@ def test_statistics_equal_brute_force(spark):
 
 def test_expectation_maximisation_finds_reliable_rules(spark):
     r = random.Random(1)
-    truth = [0.9, 0.9, 0.85, 0.8, 0.6, 0.6, 0.9, 0.7, 0.8, 0.75]
+    catches = [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.5, 0.6, 0.7, 0.5]  # of bad documents; 2 % of good ones
     rows = []
     for _ in range(4000):
-        y = 1 if r.random() < 0.7 else -1
-        rows.append(([0 if r.random() < 0.3 else (y if r.random() < a else -y) for a in truth],))
+        good = r.random() < 0.7
+        rows.append(([-1 if r.random() < (0.02 if good else c) else r.choice([0, 1, 1]) for c in catches],))
     df = spark.createDataFrame(rows, "pattern array<int>").groupBy("pattern").count().withColumnRenamed("count", "n")
     model = Q.fit_votes(df)
     assert abs(model.prior - 0.7) < 0.05
-    assert all(abs(a - b) < 0.07 for a, b in zip(model.accuracy, truth, strict=True))
+    assert all(abs(b[0] - c) < 0.08 for b, c in zip(model.bad, catches, strict=True))
+    assert all(abs(g[0] - 0.02) < 0.02 for g in model.good) and model.accuracy(0)[1] > 0.9
+    assert Q.VoteModel() == Q.fit_votes(df.limit(0))
 
 
 def test_verdicts_empty_tables_and_repeated_rows(spark):
