@@ -1,46 +1,20 @@
-"""Where intermediate tables go, and how documents are dealt into blocks."""
+"""How documents are dealt into blocks, and where intermediate tables go."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fabula.plans.storage import materialize, shared_dir
+
+__all__ = ["BLOCK_BYTES", "LEAST_BLOCKS", "block_count", "block_of", "materialize", "shared_dir"]
+
 #: Text bytes that one block of documents aims at; a block is what one task holds.
 BLOCK_BYTES = 8 << 20
 #: Blocks at least, so that small inputs still use every core.
 LEAST_BLOCKS = 48
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only where the setting is missing and the session is local, as in tests,
-    a temporary folder is made and used instead.
-    """
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = getattr(context, "_fabula_dir", None)
-    if own is None:
-        own = context._fabula_dir = "file://" + tempfile.mkdtemp(prefix="fabula-")
-        context.setCheckpointDir(own)
-    return own
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it back: the lineage
-    ends there, and a lost executor costs no more than the read."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def block_count(df: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> int:
     """Blocks for ``df`` by the bytes of its texts; one aggregate over the column."""
     total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0

@@ -30,13 +30,14 @@ def bucket_bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def pack_keys(keys: np.ndarray, width: int = 8) -> bytes:
-    """Keys by their first ``width`` bytes, most significant first."""
-    return keys.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    """Keys by their first ``width`` bytes: all first bytes, then all second ones ... As the
+    keys are sorted, the leading bytes hardly change and compress well that way."""
+    return keys.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
 def unpack_keys(data: bytes, width: int = 8) -> np.ndarray:
     out = np.zeros((len(data) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
     return out.view(">u8").ravel().astype(np.uint64)
 
 

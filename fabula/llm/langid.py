@@ -173,7 +173,8 @@ def fit_hierarchy(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, f
         return None
     rows.sort(key=lambda r: (r["lang"], bytes(r["x"])))
     label = np.array([r["lang"] for r in rows], object)
-    x = np.stack([np.frombuffer(r["x"], np.float16) for r in rows]).astype(np.float32)
+    x = np.stack([np.frombuffer(r["x"], np.float16) for r in rows])
+    del rows
     of = {lang: name for name, langs in families.items() for lang in langs}
     tree: dict[str, list[str]] = {}
     for lang in sorted(set(label)):
@@ -183,11 +184,13 @@ def fit_hierarchy(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, f
     for kind, names, classes in [("f:", sorted(tree), family)] + [("", langs, label) for langs in tree.values()]:
         for a, b in combinations(names, 2):
             rows_ab = (classes == a) | (classes == b)
-            w, bias = fit_svm(x[rows_ab], np.where(classes[rows_ab] == a, 1, -1).astype(np.float32))
+            w, bias = fit_svm(x[rows_ab].astype(np.float32), np.where(classes[rows_ab] == a, 1, -1).astype(np.float32))
             machines.append((kind + a, kind + b))
             columns.append(w * _SCALE)
             biases.append(bias)
     weights = np.stack(columns, 1) if columns else np.zeros((size, 0))
+    del x
+    W.release()
     return Hierarchy(tree, machines, weights.astype(np.float32), np.array(biases))
 
 

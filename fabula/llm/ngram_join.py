@@ -56,7 +56,7 @@ FEATURES = "doc_id bigint, n_shingles bigint, hi bigint, lo bigint, signatures a
 SKETCH = 16
 #: Documents counted to find common shingles, the share of them that makes one, and how many
 #: are used (8 bytes each, sent to every task).
-SAMPLE_DOCS, COMMON_SHARE, MOST_COMMON = 20_000, 2e-4, 500_000
+SAMPLE_DOCS, COMMON_SHARE, MOST_COMMON = 20_000, 2e-4, 200_000
 #: Bytes of a signature that blocks ask about; should two agree in these, a few sets go on in vain.
 KEY_BYTES = 6
 #: Rounds of comparing with one leader of each signature, before all that is left is compared.
