@@ -105,14 +105,14 @@ def version_segments(groups: DataFrame, family: str = "character") -> DataFrame:
     return sorted_scan(groups, "root", order, ["type", "timeline_hint", "era"], start, _location_step, "version", LongType())
 
 
-def _ordered_distinct(value: Column) -> Column:
+def ordered_distinct(value: Column) -> Column:
     """Distinct non-empty trimmed strings in the order of facts."""
     v = T.trim_ws(value)
     items = F.array_sort(F.collect_list(F.when(v != "", F.struct("chapter_index", "id", v.alias("v")))))
     return F.array_distinct(F.transform(items, lambda x: x["v"]))
 
 
-def _latest(value: Column) -> Column:
+def latest(value: Column) -> Column:
     return F.max_by(value, F.when(value.isNotNull() & (value != ""), F.struct("chapter_index", "id")))
 
 
@@ -125,13 +125,13 @@ def character_versions(segmented: DataFrame, digits: int = 4) -> DataFrame:
     of = lambda kind: F.when(F.col("type") == kind, F.col("summary"))
     looks = of("CHARACTER_APPEARANCE")
     rows = segmented.groupBy("scope", "root", "version").agg(
-        _latest(of("CHARACTER_AGE")).alias("age"),
-        _ordered_distinct(looks).alias("_looks"),
-        _ordered_distinct(of("CHARACTER_PERSONALITY")).alias("_traits"),
-        _latest(of("CHARACTER_SPEECH_MANNER")).alias("speech_manner"),
+        latest(of("CHARACTER_AGE")).alias("age"),
+        ordered_distinct(looks).alias("_looks"),
+        ordered_distinct(of("CHARACTER_PERSONALITY")).alias("_traits"),
+        latest(of("CHARACTER_SPEECH_MANNER")).alias("speech_manner"),
         F.min("chapter_index").alias("start_chapter"),
         F.max("chapter_index").alias("end_chapter"),
-        _ordered_distinct(F.col("timeline_hint")).alias("hints"),
+        ordered_distinct(F.col("timeline_hint")).alias("hints"),
         _average(digits).alias("confidence"),
         F.transform(F.array_sort(F.collect_list(F.struct("chapter_index", "id"))), lambda x: x["id"]).alias("source_fact_ids"),
     )
@@ -159,8 +159,8 @@ def location_versions(segmented: DataFrame, digits: int = 4) -> DataFrame:
     values = ("atmosphere", "architecture", "era", "social_context", "lighting")
     have = [c for c in values if c in segmented.columns]
     rows = segmented.groupBy("scope", "root", "version").agg(
-        _ordered_distinct(F.col("summary")).alias("_said"),
-        *(_latest(F.col(c)).alias(c) for c in have),
+        ordered_distinct(F.col("summary")).alias("_said"),
+        *(latest(F.col(c)).alias(c) for c in have),
         _average(digits).alias("confidence"),
         F.transform(F.array_sort(F.collect_list(F.struct("chapter_index", "id"))), lambda x: x["id"]).alias("source_fact_ids"),
     )

@@ -7,8 +7,23 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Relationship kinds and the edges they become; others are KNOWS.
-RELATIONS = {"FAMILY": "RELATED_TO", "ROMANTIC": "LOVES", "ENEMY": "ENEMY_OF", "RIVAL": "ENEMY_OF"}
+#: Relationship kinds and the edges they become.
+RELATIONS = {
+    "KNOWS": "KNOWS",
+    "ALLY": "KNOWS",
+    "MENTOR": "KNOWS",
+    "ROMANTIC": "LOVES",
+    "ENEMY": "HATES",
+    "RIVAL": "HATES",
+    "FAMILY": "RELATED_TO",
+    "SERVES": "RELATED_TO",
+    "OTHER": "RELATED_TO",
+}
+
+
+def relation_label(kind: Column) -> Column:
+    """The edge a relationship becomes; null for unknown kinds."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in RELATIONS.items() for x in pair]), kind)
 
 
 def graph_key(project: Column | str, label: str, key: Column | str) -> Column:

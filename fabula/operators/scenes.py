@@ -77,3 +77,18 @@ def next_order_index(scenes: DataFrame, key: str, order: str = "order_index") ->
 def newest(rows: DataFrame, key: str, *order: Column) -> DataFrame:
     """The first row of each key in this order."""
     return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_rank = 1").drop("_rank")
+
+
+def approve(assets: DataFrame, decisions: DataFrame, key: str = "asset_id") -> DataFrame:
+    """Assets with their decided status: approved ones are references, all others generated."""
+    joined = assets.join(decisions.select(key, F.col("status").alias("_status")), key, "left")
+    status = F.coalesce("_status", "status")
+    kind = F.when(F.col("_status").isNull(), F.col("type")).when(F.col("_status") == "APPROVED", "REFERENCE").otherwise("GENERATED")
+    return joined.withColumns({"status": status, "type": kind}).drop("_status")
+
+
+def analysis_ids(sources: DataFrame, scope: str = "scope") -> DataFrame:
+    """(scope, ids): distinct ids in the order of their sources' rank, and within one by position.
+    ``sources`` has (scope, rank, position, id)."""
+    first = sources.where("id is not null").groupBy(scope, "id").agg(F.min(F.struct("rank", "position")).alias("at"))
+    return first.groupBy(scope).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "id"))), lambda x: x["id"]).alias("ids"))

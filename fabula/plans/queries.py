@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fabula.functions import prompts
 from fabula.functions import text as T
 from fabula.operators import books, components, entities, graph, scenes, timeline, vectors
 
@@ -497,3 +498,74 @@ def llm_extract_mock(spark, sf_dir):
 @query("WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, o_custkey % 97 AS b FROM orders), x AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS other FROM x UNION SELECT r.node, x.b FROM r JOIN x ON r.other = x.a) SELECT node, min(other) AS root FROM r GROUP BY node")
 def connected_components(spark, sf_dir):
     return components.components(read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("a"), (F.col("o_custkey") % 97).alias("b")))
+
+
+# ------------------------------------------------------------------ more of facts, prompts and scopes
+
+
+@query(
+    f"""WITH RECURSIVE {FACTS}, {_ROOTS}, ordered AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY chapter_index, id) AS i FROM grouped),
+    steps AS (SELECT root, i, id, 1::BIGINT AS version, timeline_hint AS hint, era AS age FROM ordered WHERE i = 1
+        UNION ALL SELECT root, i, id, CASE WHEN fresh THEN version + 1 ELSE version END, CASE WHEN fresh THEN th ELSE coalesce(th, hint) END, CASE WHEN fresh THEN era ELSE coalesce(era, age) END
+        FROM (SELECT o.root, o.i, o.id, o.timeline_hint AS th, o.era, s.version, s.hint, s.age, coalesce(o.timeline_hint <> s.hint, FALSE) OR coalesce(o.era <> s.age, FALSE) AS fresh
+              FROM steps s JOIN ordered o ON o.root = s.root AND o.i = s.i + 1)),
+    f AS (SELECT g.*, version FROM grouped g JOIN steps USING (id)),
+    said AS (SELECT root, version, string_agg(summary, ' ' ORDER BY seen) AS description FROM (SELECT root, version, summary, min(struct_pack(c := chapter_index, i := id)) AS seen FROM f GROUP BY ALL) GROUP BY ALL)
+    SELECT root, version, any_value(description) AS description, arg_max(era, struct_pack(c := chapter_index, i := id)) FILTER (era IS NOT NULL) AS era, round(avg(confidence), 9) AS confidence, count(*) AS n_facts
+    FROM f JOIN said USING (root, version) GROUP BY root, version"""
+)
+def location_versions(spark, sf_dir):
+    segmented = entities.version_segments(entities.entity_groups(facts(spark, sf_dir)), "location")
+    made = entities.location_versions(segmented, digits=9)
+    return made.select("root", "version", "description", "era", "confidence", F.size("source_fact_ids").cast("long").alias("n_facts"))
+
+
+@query(f"WITH {FACTS} SELECT scope, entity_name, string_agg(summary, ',' ORDER BY seen) AS summaries FROM (SELECT scope, entity_name, summary, min(struct_pack(c := chapter_index, i := id)) AS seen FROM facts GROUP BY ALL) GROUP BY ALL")
+def ordered_distinct_list(spark, sf_dir):
+    f = facts(spark, sf_dir).groupBy("scope", "entity_name").agg(entities.ordered_distinct(F.col("summary")).alias("summaries"))
+    return f.select("scope", "entity_name", F.array_join("summaries", ",").alias("summaries"))
+
+
+@query(f"WITH {FACTS} SELECT entity_name, arg_max(era, struct_pack(c := chapter_index, i := id)) FILTER (era IS NOT NULL) AS era FROM facts GROUP BY entity_name")
+def latest_value(spark, sf_dir):
+    return facts(spark, sf_dir).groupBy("entity_name").agg(entities.latest(F.col("era")).alias("era"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'signup' THEN 'KNOWS' WHEN 'view' THEN 'LOVES' WHEN 'click' THEN 'HATES' WHEN 'error' THEN 'RELATED_TO' END AS label FROM events")
+def relation_labels(spark, sf_dir):
+    kind = F.element_at(F.create_map(*[F.lit(x) for p in (("signup", "MENTOR"), ("view", "ROMANTIC"), ("click", "RIVAL"), ("error", "FAMILY"), ("purchase", "?")) for x in p]), F.col("event_type"))
+    return read(spark, sf_dir, "events").select("event_id", graph.relation_label(kind).alias("label"))
+
+
+@query("SELECT p_partkey, 'Draw ' || p_name || ' of ' || p_brand || ', {{ missing }}' || chr(10) || p_type AS prompt FROM part")
+def prompt_render(spark, sf_dir):
+    head = prompts.render("Draw {{name}} of {{ brand }}, {{ missing }}", name=F.col("p_name"), brand=F.col("p_brand"))
+    return read(spark, sf_dir, "part").select("p_partkey", prompts.lines(head, F.lit(""), F.col("p_type")).alias("prompt"))
+
+
+@query("SELECT p_partkey, CASE WHEN contains(lower(p_name), 'red') THEN 'warm' WHEN contains(lower(p_name), 'blue') OR contains(lower(p_name), 'bolt') THEN 'cold' END AS style, p_name AS subject FROM part")
+def style_match(spark, sf_dir):
+    presets = spark.createDataFrame([(1, "warm", "red"), (2, "cold", "blue"), (3, "cold", "bolt")], "rank int, style string, trigger string")
+    rows = read(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("Style of "), F.col("p_name")).alias("text"))
+    return prompts.abstract_styles(rows, presets, "p_partkey")
+
+
+@query(
+    """SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'PENDING' WHEN quality = 1 THEN 'APPROVED' ELSE 'REJECTED' END AS status, CASE WHEN l.doc_id IS NULL THEN 'DRAFT' WHEN quality = 1 THEN 'REFERENCE' ELSE 'GENERATED' END AS type
+    FROM documents d LEFT JOIN labels l USING (doc_id)"""
+)
+def approval_transition(spark, sf_dir):
+    assets = read(spark, sf_dir, "documents").select("doc_id", F.lit("PENDING").alias("status"), F.lit("DRAFT").alias("type"))
+    decided = read(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "APPROVED").otherwise("REJECTED").alias("status"))
+    return scenes.approve(assets, decided, "doc_id")
+
+
+@query(
+    """WITH s AS (SELECT o_custkey AS scope, 1 AS rank, o_orderkey AS position, o_orderkey % 7 AS id FROM orders WHERE o_orderpriority LIKE '1%' UNION ALL SELECT o_custkey, 2, o_orderkey, o_orderkey % 5 FROM orders),
+    f AS (SELECT scope, id, min(struct_pack(a := rank, b := position)) AS pos FROM s GROUP BY ALL) SELECT scope, string_agg(CAST(id AS VARCHAR), ',' ORDER BY pos) AS ids FROM f GROUP BY scope"""
+)
+def analysis_id_list(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    row = lambda rank, m: o.select(F.col("o_custkey").alias("scope"), F.lit(rank).alias("rank"), F.col("o_orderkey").alias("position"), (F.col("o_orderkey") % m).alias("id"), "o_orderpriority")
+    both = row(1, 7).where(F.col("o_orderpriority").startswith("1")).union(row(2, 5))
+    return scenes.analysis_ids(both).select("scope", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"))
