@@ -91,6 +91,16 @@ ORACLES: dict[str, str] = {
                CASE WHEN full_id IS NOT NULL AND page_id IS DISTINCT FROM full_id THEN full_id END AS refers_to,
                TRUE AS digest_ok
         FROM q""",
+    "op2_ngram_jaccard": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 2), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+        c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+        l AS (SELECT a, b.b FROM b JOIN c ca ON ca.doc_id = a JOIN c cb ON cb.doc_id = b.b WHERE 100 * b.n >= 90 * (ca.n + cb.n - b.n)),
+        e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        r AS (SELECT DISTINCT a AS node, a AS other FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.other = e.a),
+        k AS (SELECT node, min(other) AS component FROM r GROUP BY node)
+        SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, coalesce(k.component, d.doc_id) AS component_id FROM d LEFT JOIN c USING (doc_id) LEFT JOIN k ON k.node = d.doc_id""",
     "op8_decontamination": f"""
         WITH RECURSIVE d AS (SELECT doc_id, {_ALNUM_WORDS.format(c="coalesce(text, '')")} AS w FROM documents),
         i AS (SELECT item_id, {_ALNUM_WORDS.format(c="coalesce(text, '')")} AS w FROM benchmark),
