@@ -24,6 +24,7 @@ def test_stages_work_on_what_was_kept(spark, tmp_path):
         rows.append((i, prose(lang, 80), lang, "s", 0))
     rows += [(100, rows[3][1], "en", "s", 0), (101, rows[4][1] + " tail words here", "en", "s", 0), (102, prose("en", 60) + " " + passages[0], "en", "s", 0)]
     rows += [(103, "12345 !!", "en", "s", 0), (104, None, None, None, None), (105, prose("en", 60) + " password=a9ce335683f9772ddc " + prose("en", 20), "en", "s", 0)]
+    rows += [(3, rows[3][1], "en", "s", 0), (None, prose("en", 60), "en", "s", 0), (None, prose("de", 60), None, None, 0)]
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
     spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(list(enumerate(passages)), "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
@@ -31,7 +32,10 @@ def test_stages_work_on_what_was_kept(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
     v = Vocabulary.load()
-    out = {x.doc_id: decode_ids(v, x.ids) for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    made = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(decode_ids(v, x.ids) for x in made if x.doc_id is None) == sorted(t for i, t, *_ in rows[-2:])
+    assert len(made) == 83
+    out = {x.doc_id: decode_ids(v, x.ids) for x in made if x.doc_id is not None}
     text = {i: t for i, t, *_ in rows}
     assert set(out) == set(range(80)) | {105}
     assert all(out[i] == text[i] for i in range(80))
