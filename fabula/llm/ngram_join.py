@@ -276,13 +276,17 @@ def shingle_features(docs: DataFrame, p: PartEnum, id_col: str = "doc_id", text_
     d = d.withColumn("block", block_of(blocks, "doc_id", "text"))
 
     def ask(table: pa.Table) -> pa.Table:
-        W.release()
         keys, marks = _Block(p, table, common).marks()
+        W.release()
         return pa.Table.from_batches([X.asked(table.column("block")[0].as_py(), keys, marks, blocks, KEY_BYTES)])
 
     def expand(key: tuple, answers: pa.Table, table: pa.Table) -> pa.Table:
-        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("signatures", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+        out = features(answers, table)
         W.release()
+        return out
+
+    def features(answers: pa.Table, table: pa.Table) -> pa.Table:
+        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("signatures", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
         if not len(table):
             return schema.empty_table()
         b = _Block(p, table, common)
