@@ -1,7 +1,7 @@
 """Language-model scores from a weighted backoff automaton.
 
-States are the empty context and each frequent word as a context. A state's arcs
-are the n-grams seen in training with their smoothed probabilities; where no arc
+States are the empty context and each word seen in training as a context. A state's
+arcs are all the n-grams seen in training with their smoothed probabilities; where no arc
 fits, a failure arc leads to the shorter context at the cost of its backoff
 weight, from the empty context at last to the unknown word. A text is read once
 from left to right; the word just read is the next state, and log-probabilities
@@ -12,9 +12,10 @@ probabilities of all next events add up to 1.
 Counts cover all training texts and grow with them, so no task holds them all:
 blocks of documents ask for the counts of the words and word pairs they contain
 (exchange.py) and each traverses the part of the automaton that its own texts can
-reach. Contexts are the words with at least ``share`` of all training tokens, so
-there are at most 1 / share of them; only these and their totals are sent to all
-tasks.
+reach. The bucket that counts a pair also names one of the blocks that asked for it its
+owner. Owners add up the arcs of each first word, and in a second exchange blocks ask
+for these sums, the backoff weights, of their own words. So no list of words is sent to
+all tasks, and no task gets all pairs of a frequent word.
 
 Defined cases: a null or empty text has the end token only. Without training texts
 every token is the unknown event, with probability 1. Repeated rows count as often
@@ -29,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +39,6 @@ from fabula.llm import words as W
 from fabula.llm.cluster import block_count, block_of, materialize
 from fabula.llm.langid import held_out
 
-#: Part of all training tokens that makes a word a context.
-SHARE = 1e-4
 DISCOUNT = 0.75
 END = np.uint64(0x5EED0FE4D)
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
@@ -54,224 +54,151 @@ def _documents(docs: DataFrame, id_col: str, text_col: str, of: int, rest: int)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), held_out(id_col, of, rest).alias("held_out"))
 
 
-def _word_counts(train: DataFrame, buckets: int) -> DataFrame:
-    """Counts of all training tokens: rows of (bucket, total, types, keys, counts)."""
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            return X.asked(0, keys, counts.astype(np.int64), buckets)
-
-        for batch in batches:
-            for part in W.slices(batch, "text", 1 << 20):
-                token, _ = tokens(*W.buffers(part.column("text")))
-                held.append(token)
-                size += len(token)
-                if size >= 4_000_000:
-                    yield flush()
-                    held, size = [], 0
-        if held:
-            yield flush()
-
-    def total(table: pa.Table) -> pa.Table:
-        rows = table.select(["keys", "values"]).to_pylist()
-        keys, back = np.unique(np.concatenate([X.unpack_keys(r["keys"]) for r in rows]), return_inverse=True)
-        counts = np.bincount(back, np.concatenate([np.frombuffer(r["values"], np.int64) for r in rows]), len(keys)).astype(np.int64)
-        row = {"bucket": table.column("bucket")[0].as_py(), "total": int(counts.sum()), "types": len(keys), "keys": keys.tobytes(), "counts": counts.tobytes()}
-        schema = pa.schema([("bucket", pa.int32()), ("total", pa.int64()), ("types", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
-        return pa.Table.from_pylist([row], schema=schema)
-
-    asks = train.select("text").mapInArrow(ask, X.ASK)
-    return asks.groupBy("bucket").applyInArrow(total, "bucket int, total bigint, types bigint, keys binary, counts binary")
-
-
-def _frequent(counts: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                k, c = np.frombuffer(r["keys"], np.int64), np.frombuffer(r["counts"], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(k[c >= least]), pa.array(c[c >= least])], names=["key", "n"])
-
-    rows = counts.select("keys", "counts").mapInArrow(choose, "key bigint, n bigint").collect()
-    keys = np.array([r["key"] for r in rows], np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], np.array([r["n"] for r in rows], np.int64)[order]
-
-
 @dataclass
 class Automaton:
-    """What every task needs: the contexts with their totals and backoff weights."""
+    """What every task needs: the totals, and the least count that makes a word a context."""
 
     total: int
     types: int
-    contexts: np.ndarray
-    context_counts: np.ndarray
-    backoff: np.ndarray | None = None  # log10 of each context's backoff weight
+    least: float = 0.0
 
     @property
     def floor(self) -> float:
         """log10 of the empty context's backoff weight, the unknown word's probability."""
         return float(np.log10(DISCOUNT * self.types / self.total)) if self.total else 0.0
 
-    def states(self, token: np.ndarray) -> np.ndarray:
-        """The context that each token leads to, or -1 for the empty one."""
-        if not len(self.contexts):
-            return np.full(len(token), -1)
-        at = np.minimum(np.searchsorted(self.contexts, token), len(self.contexts) - 1)
-        return np.where(self.contexts[at] == token, at, -1)
-
-    def pairs(self, token: np.ndarray) -> np.ndarray:
-        """For each token the number of its arc: state * contexts + word; -1 where either
-        is no context. Every text begins in the state of the end token."""
-        here = self.states(token)
-        start = self.states(np.array([END]))
-        before = np.concatenate([start, here[:-1]])
-        return np.where((before >= 0) & (here >= 0), before * len(self.contexts) + here, -1)
-
 
 @dataclass
 class _Block:
     """Tokens of a block, its distinct words and arcs."""
 
-    model: Automaton
     table: pa.Table
     buckets: int
 
     def __post_init__(self):
         parts = [p for b in self.table.combine_chunks().to_batches() for p in W.slices(b, "text", 1 << 20)]
-        self.texts = [W.buffers(p.column("text")) for p in parts]
-        got = [tokens(*t) for t in self.texts]
-        self.token = np.concatenate([t for t, _ in got])
+        got = [tokens(*W.buffers(p.column("text"))) for p in parts]
+        token = np.concatenate([t for t, _ in got])
         self.size = np.concatenate([np.diff(f) for _, f in got])
-        self.words, self.word = np.unique(self.token, return_inverse=True)
-        arc = self.model.pairs(self.token)
-        self.has_arc = arc >= 0
-        self.arcs, self.arc = np.unique(arc[self.has_arc], return_inverse=True)
+        self.words, self.word = np.unique(token, return_inverse=True)
+        # every text begins in the state of the end token, which is also the block's last
+        pairs = W.mix(np.roll(token, 1) * np.uint64(W._BASE) + token)
+        self.arcs, self.arc_at, self.arc = np.unique(pairs, return_index=True, return_inverse=True)
 
     def ask(self) -> pa.Table:
         train = np.repeat(~self.table.column("held_out").to_numpy().astype(bool), self.size)
         block = self.table.column("block")[0].as_py()
         words = np.bincount(self.word, train, len(self.words)).astype(np.int64)
-        arcs = np.bincount(self.arc, train[self.has_arc], len(self.arcs)).astype(np.int64)
-        one = X.asked(block, self.words, words, self.buckets)
-        # arcs keep their numbers as keys; they are dealt by a hash of the state
-        bucket = (W.mix(self.arcs // max(1, len(self.model.contexts))) % np.uint64(self.buckets)).astype(np.int64) if len(self.arcs) else np.zeros(0, np.int64)
-        rows = []
-        for b in np.unique(bucket).tolist():
-            mine = bucket == b
-            rows.append({"bucket": self.buckets + b, "block": block, "keys": X.pack_keys(self.arcs[mine].astype(np.uint64)), "values": arcs[mine].tobytes()})
-        return pa.Table.from_batches([one, pa.RecordBatch.from_pylist(rows, schema=X._ASK)])
-
-    def counts(self, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        """Training counts of each token, and of each arc (0 where there is none)."""
-        word = np.zeros(len(self.words), np.int64)
-        at = X.bucket_bounds(self.words, self.buckets)
-        arcs = np.zeros(len(self.arcs), np.int64)
-        bucket = W.mix(self.arcs // max(1, len(self.model.contexts))) % np.uint64(self.buckets) if len(self.arcs) else self.arcs
-        for r in answers.select(["bucket", "totals"]).to_pylist():
-            got = np.frombuffer(r["totals"], np.int64)
-            if r["bucket"] < self.buckets:
-                word[at[r["bucket"]] : at[r["bucket"] + 1]] = got
-            else:
-                arcs[bucket == np.uint64(r["bucket"] - self.buckets)] = got
-        arc = np.zeros(len(self.token), np.int64)
-        arc[self.has_arc] = arcs[self.arc]
-        return word[self.word], arc
-
-    def scores(self, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        arcs = np.bincount(self.arc, train, len(self.arcs)).astype(np.int64)
+        of_arcs = X.asked(block, self.arcs, arcs, self.buckets)
+        of_arcs = of_arcs.set_column(0, X._ASK.field(0), pc.add(of_arcs.column(0), pa.scalar(self.buckets, pa.int32())))
+        return pa.Table.from_batches([X.asked(block, self.words, words, self.buckets), of_arcs])
+
+    def counts(self, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Training counts of the block's words and of its arcs, and which arcs it owns."""
+        number = answers.column("bucket").to_numpy()
+        words = X.answered(answers.filter(pa.array(number < self.buckets)), np.int64)
+        arcs = X.answered(answers.filter(pa.array((number >= self.buckets) & (number < 2 * self.buckets))), np.int64)
+        return words, arcs >> 1, (arcs & 1).astype(bool)
+
+    def ask_taken(self, answers: pa.Table, model: Automaton) -> pa.Table:
+        """What the block's own arcs have of the counts of its contexts."""
+        words, arcs, own = self.counts(answers)
+        context = (words > 0) & (words >= model.least)
+        before, after = self.word[self.arc_at - 1], self.word[self.arc_at]
+        own &= (arcs > 0) & context[before] & context[after]
+        taken = np.bincount(before[own], arcs[own] - DISCOUNT, len(words))
+        block = self.table.column("block")[0].as_py()
+        return pa.Table.from_batches([X.asked(block, self.words[context], taken[context], self.buckets)])
+
+    def scores(self, answers: pa.Table, model: Automaton) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """n_known, base score and model score of each text."""
-        m = self.model
-        c, arc = self.counts(answers)
+        words, arcs, _ = self.counts(answers)
+        context = (words > 0) & (words >= model.least)
+        left = np.zeros(len(words))  # what the arcs of a state leave is its backoff weight
+        left[context] = words[context] - X.answered(answers.filter(pa.array(answers.column("bucket").to_numpy() >= 2 * self.buckets)), np.float64)
+        c, arc = words[self.word], arcs[self.arc]
         known = c > 0
-        base = np.log10((c + 0.5) / (m.total + 0.5 * (m.types + 1)))
-        here = np.full(len(c), m.floor)
-        here[known] = np.log10((c[known] - DISCOUNT) / max(m.total, 1))
-        start = m.states(np.array([END]))
-        state = np.concatenate([start, m.states(self.token)[:-1]])
-        inside = state >= 0
-        if inside.any():
-            here[inside] += m.backoff[state[inside]]
-        seen = inside & (arc > 0)
-        if seen.any():
-            here[seen] = np.log10((arc[seen] - DISCOUNT) / m.context_counts[state[seen]] + 10.0 ** here[seen])
+        base = np.log10((c + 0.5) / (model.total + 0.5 * (model.types + 1)))
+        here = np.full(len(c), model.floor)
+        here[known] = np.log10((c[known] - DISCOUNT) / max(model.total, 1))
+        before = np.roll(c, 1)
+        inside = np.roll(context[self.word], 1)
+        here[inside] += np.log10(np.maximum(np.roll(left[self.word], 1)[inside] / before[inside], 1e-12))
+        seen = inside & context[self.word] & (arc > 0)
+        here[seen] = np.log10((arc[seen] - DISCOUNT) / before[seen] + 10.0 ** here[seen])
         ends = np.cumsum(self.size)
         sums = lambda x: np.add.reduceat(x, ends - self.size)
         return sums(known.astype(np.int64)), sums(base), sums(here)
 
 
-def _answers(d: DataFrame, model: Automaton, buckets: int) -> DataFrame:
-    """Counts for every block; rows of block -1 have each bucket's states with the
-    training count and the number of their arcs."""
-    width = max(1, len(model.contexts))
+def _counts(d: DataFrame, buckets: int) -> DataFrame:
+    """Training counts of every block's words, and from bucket ``buckets`` on of its pairs,
+    doubled, with 1 more for the owner; rows of block -1 have the tokens and types of each
+    bucket of words."""
 
     def ask(table: pa.Table) -> pa.Table:
         W.release()
-        return _Block(model, table, buckets).ask()
+        return _Block(table, buckets).ask()
 
     def combine(table: pa.Table) -> pa.Table:
+        W.release()
         rows = table.select(["block", "bucket", "keys", "values"]).to_pylist()
-        keys, back = np.unique(np.concatenate([X.unpack_keys(r["keys"]) for r in rows]), return_inverse=True)
+        keys, first, back = np.unique(np.concatenate([X.unpack_keys(r["keys"]) for r in rows]), return_index=True, return_inverse=True)
         counts = np.bincount(back, np.concatenate([np.frombuffer(r["values"], np.int64) for r in rows]), len(keys)).astype(np.int64)
+        bucket = rows[0]["bucket"]
+        per_entry = counts[back]
         out, at = [], 0
+        if bucket < buckets:
+            out.append({"block": -1, "bucket": bucket, "totals": np.array([counts.sum(), (counts > 0).sum()], np.int64).tobytes()})
+        else:
+            per_entry *= 2
+            per_entry[first] += 1
         for r in rows:
             n = len(r["keys"]) // 8
-            out.append({"block": r["block"], "bucket": r["bucket"], "totals": counts[back[at : at + n]].tobytes()})
+            out.append({"block": r["block"], "bucket": bucket, "totals": per_entry[at : at + n].tobytes()})
             at += n
-        bucket = rows[0]["bucket"]
-        if bucket >= buckets:
-            seen = counts > 0
-            state, which = np.unique((keys[seen] // np.uint64(width)).astype(np.int64), return_inverse=True)
-            mass = np.bincount(which, counts[seen], len(state)).astype(np.int64)
-            arcs = np.bincount(which, minlength=len(state)).astype(np.int64)
-            out.append({"block": -1, "bucket": bucket, "totals": np.stack([state, mass, arcs], 1).tobytes()})
         return pa.Table.from_pylist(out, schema=pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("totals", pa.binary())]))
 
     return d.groupBy("block").applyInArrow(ask, X.ASK).groupBy("bucket").applyInArrow(combine, X.ANSWER)
 
 
-def _backoff(answers: DataFrame, model: Automaton) -> np.ndarray:
-    """What the arcs of a state leave is its backoff weight."""
-
+def _automaton(counts: DataFrame, share: float) -> Automaton:
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                x = np.frombuffer(r["totals"], np.int64).reshape(-1, 3)
-                yield pa.RecordBatch.from_arrays([pa.array(x[:, j].copy()) for j in range(3)], names=["state", "mass", "arcs"])
+            x = np.array([np.frombuffer(t, np.int64) for t in batch.column("totals").to_pylist()]).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, j].copy()) for j in range(2)], names=["total", "types"])
 
-    rows = answers.where("block = -1").select("totals").mapInArrow(unpack, "state bigint, mass bigint, arcs bigint")
-    weight = np.ones(len(model.contexts))
-    for r in rows.groupBy("state").agg(F.sum("mass").alias("mass"), F.sum("arcs").alias("arcs")).collect():
-        weight[r["state"]] = 1 - (r["mass"] - DISCOUNT * r["arcs"]) / model.context_counts[r["state"]]
-    return np.log10(np.maximum(weight, 1e-12))
+    rows = counts.where("block = -1").select("totals").mapInArrow(unpack, "total bigint, types bigint")
+    total, types = (int(x or 0) for x in rows.agg(F.sum("total"), F.sum("types")).first())
+    return Automaton(total, types, share * total)
 
 
-def fit_contexts(train: DataFrame, buckets: int, share: float = SHARE) -> Automaton:
-    counts = materialize(_word_counts(train, buckets), "word-counts")
-    total, types = (int(x or 0) for x in counts.agg(F.sum("total"), F.sum("types")).first())
-    contexts, context_counts = _frequent(counts, share * total) if total else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    return Automaton(total, types, contexts, context_counts)
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", of: int = 5, rest: int = 1, share: float = 0.0) -> DataFrame:
+    """Learns from the rows that are not held out and scores all of them. Every word is a
+    context; a ``share`` above 0 leaves those with as much of all training tokens."""
+    buckets = block_count(docs, text_col)
+    d = _documents(docs, id_col, text_col, of, rest).withColumn("block", block_of(buckets, "doc_id", "text"))
+    counts = materialize(_counts(d, buckets), "counts")
+    model = _automaton(counts, share)
+    counts = counts.where("block >= 0")
 
+    def ask(key: tuple, given: pa.Table, table: pa.Table) -> pa.Table:
+        W.release()
+        return _Block(table, buckets).ask_taken(given, model)
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", of: int = 5, rest: int = 1, share: float = SHARE) -> DataFrame:
-    """Learns from the rows that are not held out and scores all of them."""
-    buckets = block_count(docs, text_col)
-    d = _documents(docs, id_col, text_col, of, rest)
-    model = fit_contexts(d.where(~F.col("held_out")), buckets, share)
-    d = d.withColumn("block", block_of(buckets, "doc_id", "text"))
-    answers = materialize(_answers(d, model, buckets), "answers")
-    model.backoff = _backoff(answers, model)
+    asks = counts.groupBy("block").cogroup(d.groupBy("block")).applyInArrow(ask, X.ASK)
+    taken = X.answer(asks, lambda back, values, n: np.bincount(back, values, n), np.float64)
+    answers = counts.union(taken.select("block", F.col("bucket") + 2 * buckets, "totals"))
 
     def traverse(key: tuple, given: pa.Table, table: pa.Table) -> pa.Table:
         schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
         W.release()
         if not len(table):
             return schema.empty_table()
-        b = _Block(model, table, buckets)
-        known, base, score = b.scores(given)
+        b = _Block(table, buckets)
+        known, base, score = b.scores(given, model)
         columns = [table.column("doc_id").combine_chunks(), table.column("held_out").combine_chunks(), b.size, known, np.full(len(b.size), model.total), base, score]
         return pa.Table.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
-    return answers.where("block >= 0").groupBy("block").cogroup(d.groupBy("block")).applyInArrow(traverse, SCORES)
+    return answers.groupBy("block").cogroup(d.groupBy("block")).applyInArrow(traverse, SCORES)

@@ -63,6 +63,13 @@ def test_scores_equal_brute_force(spark, share):
         assert r.base_score == pytest.approx(want[4], rel=1e-9) and r.score == pytest.approx(want[5], rel=1e-9)
 
 
+def test_every_word_seen_is_a_context(spark):
+    rows = [*corpus(), (105, "once-a once-b once-a"), (106, "once-b once-c")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: r.score for r in M.score_texts(df).collect()}
+    assert got == {i: pytest.approx(want[5], rel=1e-9) for i, want in brute(rows, 0).items()}
+
+
 def test_probabilities_of_all_next_events_sum_to_one():
     texts = [["a", "b", "END"], ["a", "a", "c", "END"], ["b", "END"]] * 3
     c = Counter(w for t in texts for w in t)
