@@ -1,7 +1,8 @@
 """Secret scans: candidate strings judged by a random forest.
 
-Expressions find candidates: long runs of key characters that have a digit or
-mixed case, and what is assigned to names such as ``password``. Most candidates
+Expressions find candidates: long runs of key characters that have a digit, mixed
+case or the first characters of a known kind of key, and what is assigned to names
+with a word such as ``password`` in them. Most candidates
 are no secrets. A random forest, trained from labelled findings, decides by their
 length, character transitions, coverage by dictionary words, path and neighbouring
 words. Training runs in Spark; the trees, of bounded depth and number, then go to
@@ -33,10 +34,14 @@ from fabula.llm import words as W
 
 FINDINGS = "array<struct<begin:int,end:int,score:double,sha256:string>>"
 LABELLED = "value string, before string, after string, secret int"
-CANDIDATE = re.compile(
-    r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?[ \t]{0,2}[=:][ \t]{0,2}[\"']?)([^\s\"'<>]{6,256})"
-    r"|(?<![A-Za-z0-9_+/-])([A-Za-z0-9_+/-]{12,}={0,2})"
+#: What is assigned to a name with an asking word in it, as in DB_PASSWORD or token-v2. A name is
+#: tried once, from its begin and only before a sign, so any text is read in linear time.
+ASSIGNED = re.compile(
+    r"(?i:(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]++[\"']?[ \t]{0,2}[=:])"
+    r"(?>(?:[A-Za-z0-9]*[_-])*?(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)(?![A-Za-z0-9])[A-Za-z0-9_-]*+[\"']?[ \t]{0,2}[=:][ \t]{0,2}[\"']?))"
+    r"([^\s\"'<>]{6,256})"
 )
+RUN = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{12,}={0,2}")
 _MIXED = re.compile(r"[0-9]|[a-z][A-Z]")
 NEAR = 32
 #: Names that stand before secrets, and before values that only look like them.
@@ -51,10 +56,19 @@ FEATURES = ("length", "digits", "upper", "lower", "signs", "transitions", "entro
 
 
 def candidates(text: str) -> Iterator[tuple[int, int]]:
-    for m in CANDIDATE.finditer(text):
-        k = 1 if m[1] is not None else 2
-        if k == 1 or _MIXED.search(m[2]):
-            yield m.span(k)
+    """Assigned values, and the runs outside them that look mixed or begin like a known key."""
+    end = 0
+    runs = RUN.finditer(text)
+    run = next(runs, None)
+    for m in [*ASSIGNED.finditer(text), None]:
+        begin = m.start(1) if m else len(text)
+        while run and run.start() < begin:
+            if run.start() >= end and (run[0].startswith(PREFIXES) or _MIXED.search(run[0])):
+                yield run.span()
+            run = next(runs, None)
+        if m:
+            yield m.span(1)
+            end = m.end(1)
 
 
 def _coverage(value: str) -> float:

@@ -56,3 +56,20 @@ def test_redaction_keeps_everything_else(spark, forest):
 def test_empty_table(spark, forest):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert S.scan_secrets(empty, forest).count() == 0 and S.redact(empty, forest).count() == 0
+
+
+def test_every_labelled_secret_is_a_candidate_in_its_text(spark):
+    rows = S.labelled_findings(spark, 3000, seed=5).where("secret = 1").collect()
+    for r in rows:
+        at = len(r.before)
+        assert any(b == at and e >= at + len(r.value) for b, e in S.candidates(r.before + r.value + r.after)), r
+
+
+def test_names_may_be_part_of_longer_ones():
+    for name in ("db_password=", "DB_PASSWORD=", "client_secret: ", "AWS_SECRET_ACCESS_KEY=", "spring-db-password=", "conf/spring-db-password=", "--token-v2 = '", "x.auth="):
+        text = f"a {name}hunterx b"
+        assert "hunterx" in [text[b:e] for b, e in S.candidates(text)], name
+    key = "AKIA" + "ABCDEFGHIJKLMNOP"
+    assert list(S.candidates(f"a {key} b")) == [(2, 22)] and list(S.candidates("a ABCDEFGHIJKLMNOP b")) == []
+    assert list(S.candidates("authors: hunterx, mytokens=hunterx")) == []
+    assert list(S.candidates("token_" * 300_000 + "=abc " + "token_" * 300_000)) == []
