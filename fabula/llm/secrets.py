@@ -39,7 +39,7 @@ LABELLED = "value string, before string, after string, secret int"
 ASSIGNED = re.compile(
     r"(?i:(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]++[\"']?[ \t]{0,2}[=:])"
     r"(?>(?:[A-Za-z0-9]*[_-])*?(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)(?![A-Za-z0-9])[A-Za-z0-9_-]*+[\"']?[ \t]{0,2}[=:][ \t]{0,2}[\"']?))"
-    r"([^\s\"'<>]{6,256})"
+    r"([^\s\"'<>]{6,})"
 )
 RUN = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{12,}={0,2}")
 _MIXED = re.compile(r"[0-9]|[a-z][A-Z]")

@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 
 from fabula.llm import secrets as S
@@ -73,3 +75,12 @@ def test_names_may_be_part_of_longer_ones():
     assert list(S.candidates(f"a {key} b")) == [(2, 22)] and list(S.candidates("a ABCDEFGHIJKLMNOP b")) == []
     assert list(S.candidates("authors: hunterx, mytokens=hunterx")) == []
     assert list(S.candidates("token_" * 300_000 + "=abc " + "token_" * 300_000)) == []
+
+
+def test_an_assigned_value_of_any_length_is_one_candidate(spark, forest):
+    value = "x7Kq.2Lm9" * 100
+    text = f"a token={value} b"
+    assert list(S.candidates(text)) == [(8, 908)]
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    assert S.redact(df, forest).first().text == "a token=[SECRET] b"
+    assert S.scan_secrets(df, forest).first().findings[0].sha256 == hashlib.sha256(value.encode()).hexdigest()
