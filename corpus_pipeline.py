@@ -28,6 +28,8 @@ NEAR = PartEnum(words=5, num=80, den=100)
 
 #: Documents in an Arrow batch.
 BATCH_ROWS = 1000
+#: Columns that tell rows apart within a stage.
+KEY, SINGLE = "__row_key", "__single"
 
 
 def _prepare(spark: SparkSession) -> None:
@@ -44,22 +46,35 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return known.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows with a hash of id and text; what is found about a text is told by it, as ids
+    may be null or have several texts."""
+    return docs.withColumn(KEY, F.xxhash64("doc_id", "text"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest id stays, once. Rows
-    without an id can't be named in a group and stay."""
+    """Of each group of near duplicates the document of the smallest id stays, once; one
+    without an id only where no other is. Texts without a shingle are like no other and stay."""
     _prepare(spark)
-    found = jaccard_components(docs, NEAR)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    rows = _keyed(docs)
+    found = jaccard_components(rows.select("text", F.col(KEY).alias("doc_id")), NEAR)
+    groups = found.groupBy(F.col("doc_id").alias(KEY)).agg(F.min("component_id").alias("component"), F.min("n_shingles").alias("n"))
+    ids = rows.select(KEY, F.col("doc_id").alias("id")).distinct()
+    # a text without a shingle has its own key as its component
+    first = F.min(F.struct(F.col("id").isNull(), "id", KEY, "n"))[KEY]
+    kept = groups.join(ids, KEY).groupBy("component").agg(first.alias(KEY), F.min("n").alias(SINGLE))
+    out = rows.join(kept.select(KEY, SINGLE), KEY)
+    out = out.withColumn(SINGLE, F.when(F.col(SINGLE) == 0, F.monotonically_increasing_id()))
+    return out.dropDuplicates([KEY, SINGLE]).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth or more is in benchmark passages go."""
     _prepare(spark)
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = found.where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    rows = _keyed(docs)
+    found = contamination(rows.select("text", F.col(KEY).alias("doc_id")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    bad = found.where("contaminated").select(F.col("doc_id").alias(KEY)).distinct()
+    return rows.join(bad, KEY, "left_anti").select(docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

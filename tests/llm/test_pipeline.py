@@ -52,3 +52,21 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_are_judged_by_their_own_text(spark, tmp_path):
+    r = random.Random(3)
+    prose = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    passage, clean, other, third = prose(40), prose(60), prose(60), prose(60)
+    dirty = clean + " " + passage
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    spark.createDataFrame([(1, passage)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    def left(stage, rows):
+        path = str(tmp_path / f"d{len(list(tmp_path.iterdir()))}")
+        spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], schema).write.parquet(path)
+        return sorted((x.doc_id or 0, x.text or "") for x in stage(spark, spark.read.parquet(path), str(tmp_path)).collect())
+
+    assert left(corpus_pipeline.decontaminate, [(None, dirty), (None, clean), (7, dirty), (7, other)]) == sorted([(0, clean), (7, other)])
+    rows = [(5, clean), (5, other), (None, clean), (None, third), (None, third), (9, None), (None, ""), (None, "")]
+    assert left(corpus_pipeline.near_duplicates, rows) == sorted([(5, clean), (5, other), (0, third), (9, ""), (0, ""), (0, "")])
