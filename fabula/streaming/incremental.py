@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from fabula.operators.extraction import Provider, extract_facts
+from fabula.operators.extraction import FACTS, Provider, extract_facts
 from fabula.sources.tables import replace_scope
 
 CHUNKS = "chunk_id string, doc_id bigint, text string"
+#: Partitions of the facts; those of a batch's chunks are rewritten with it.
+BUCKETS = 64
 
 
 def watch_chunks(spark: SparkSession, folder: str) -> DataFrame:
@@ -16,12 +19,35 @@ def watch_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(CHUNKS).parquet(folder)
 
 
+def replace_chunks(chunks: DataFrame, provider: Provider, table: str) -> None:
+    """The facts of ``chunks`` in place of those that ``table`` has of the same chunks; a
+    chunk without facts leaves none."""
+    spark = chunks.sparkSession
+    bucket = F.pmod(F.xxhash64("chunk_id"), F.lit(BUCKETS)).cast("int").alias("bucket")
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    touched = [r.bucket for r in chunks.select(bucket).distinct().collect()]
+    rows = extract_facts(chunks, provider).select("*", bucket)
+    if files.exists(path):
+        old = spark.read.schema(f"{FACTS}, bucket int").parquet(table).where(F.col("bucket").isin(touched))
+        again = chunks.select(F.col("chunk_id").alias("again"))
+        rows = rows.union(old.join(again, old["chunk_id"].eqNullSafe(again["again"]), "left_anti"))
+    rows = rows.persist()
+    left = {r.bucket for r in rows.select("bucket").distinct().collect()}
+    replace_scope(rows, table, "bucket")
+    for b in set(touched) - left:  # an overwrite touches no partition without rows
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{table}/bucket={b}"), True)
+    rows.unpersist()
+
+
 def extract_continuously(chunks: DataFrame, provider: Provider, table: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Extracts facts of each arriving chunk into ``table``, partitioned by document. A chunk
-    that comes again replaces its document's facts, and so does a repeated batch."""
+    """Extracts facts of each arriving chunk into ``table``, partitioned by a hash of the chunk.
+    A chunk that comes again replaces its own facts, and so does a repeated batch."""
 
     def write(batch: DataFrame, _: int) -> None:
-        replace_scope(extract_facts(batch.dropDuplicates(["chunk_id"]), provider), table, "doc_id")
+        distinct = batch.dropDuplicates(["chunk_id"]).persist()
+        replace_chunks(distinct, provider, table)
+        distinct.unpersist()
 
     stream = chunks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (stream.trigger(availableNow=True) if once else stream).start()
