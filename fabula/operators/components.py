@@ -1,43 +1,85 @@
-"""Connected components of names that facts mention together."""
+"""Connected components of a graph that only exists as a table of edges."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fabula.plans.storage import materialize
 
+#: Edges that a task gathers before it contracts them.
+EDGES_AT_ONCE = 1 << 20
+
 
-def _minima(edges: DataFrame) -> DataFrame:
-    # one grouping column more than the joins use: both sides of a join then have an
-    # exchange, and adaptive execution can split a hot node
-    half = F.pmod(F.xxhash64("u"), F.lit(2))
-    return edges.groupBy("u", half.alias("half")).agg(F.min("v").alias("m")).drop("half")
+def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes the smallest number that the edges lead to: the larger of two
+    roots is hung below the smaller one, and paths are halved until nothing is open."""
+    root = np.arange(n)
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = low != high
+        if not apart.any():
+            return root
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, high[apart], low[apart])
+        while not np.array_equal(up := root[root], root):
+            root = up
 
 
-def _step(e: DataFrame) -> DataFrame:
-    both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = _minima(both).withColumn("m", F.least("m", "u"))
-    large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-    small = large.join(_minima(large), "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x"))
-    return small.select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).where("u <> v").distinct()
+def _stars(edges: pa.Table) -> pa.Table:
+    """The edges as (node, the smallest one it is connected with), those nodes left out."""
+    both = pa.chunked_array([*edges.column(0).chunks, *edges.column(1).chunks]).combine_chunks()
+    nodes = both.unique()
+    nodes = nodes.take(pc.sort_indices(nodes))
+    at = pc.index_in(both, value_set=nodes).to_numpy(zero_copy_only=False)
+    root = _roots(at[: len(edges)], at[len(edges) :], len(nodes))
+    child = np.flatnonzero(root != np.arange(len(nodes)))
+    return pa.table([nodes.take(pa.array(child)), nodes.take(pa.array(root[child]))], names=["u", "v"])
 
 
-def _settled(e: DataFrame) -> bool:
-    ends = e.select(F.col("u").alias("k"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("v", F.lit(0), F.lit(1)))
-    return not ends.groupBy("k").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").limit(1).count()
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The stars of a partition's edges; at most one row for each of its nodes."""
+    held: list[pa.RecordBatch] = []
+    fresh = 0
+    for batch in batches:
+        held.append(batch)
+        fresh += len(batch)
+        if fresh >= EDGES_AT_ONCE:
+            held, fresh = _stars(pa.Table.from_batches(held)).to_batches(), 0
+    if held:
+        yield from _stars(pa.Table.from_batches(held)).to_batches(1 << 16)
+
+
+def stars(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, root) of each node that has a smaller one in its component; the root is the
+    smallest. ``edges`` has columns a and b of one ordered type.
+
+    Every task contracts the edges it holds to stars. These are dealt by their outer
+    node, which has at most one edge from each task, so no node is hot, and contracted
+    again. What then is a child of two roots, or a root and a child, is open: edges jump
+    over it in the next round, until nothing is open. Each round leaves every node below
+    a smaller one than before or as it was, so the rounds end.
+    """
+    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    e = e.mapInArrow(_contract, e.schema)
+    for _ in range(rounds):
+        done = materialize(e.repartition("u").mapInArrow(_contract, e.schema), "stars")
+        ends = done.select(F.col("u").alias("k"), F.col("v").alias("w"), F.lit(0).alias("root")).union(done.select("v", F.lit(None).cast(done.schema["v"].dataType), F.lit(1)))
+        ends = ends.groupBy("k").agg(F.min("w").alias("w"), F.count("w").alias("n"), F.max("root").alias("root"))
+        jumps = materialize(ends.where("n > 1 or (n = 1 and root = 1)").select("k", "w"), "jumps")
+        if not jumps.head(1):
+            return done.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        e = done.join(jumps.withColumnRenamed("k", "v"), "v", "left").select("u", F.coalesce("w", "v").alias("v"))
+    raise RuntimeError("components did not settle")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) for each end of an edge (a, b) of any ordered type: the root is the
-    smallest node reached. Large-star and small-star steps to stars; an edge from a node
-    to itself keeps that node."""
+    """(node, root) of every node that has an edge; an edge from a node to itself keeps
+    that node. Nulls are no nodes."""
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).where("node is not null").distinct()
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    for _ in range(rounds):
-        e = materialize(_step(_step(e)), "edges")
-        if _settled(e):
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return nodes.join(e.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return nodes.join(stars(edges, rounds), "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from fabula.operators import graph as G
@@ -102,3 +104,25 @@ def test_chunks_of_one_document_in_several_batches(spark, tmp_path):
         spark.createDataFrame([(chunk, 1, text)], CHUNKS).write.mode("append").parquet(folder)
         extract_continuously(watch_chunks(spark, folder), RuleProvider(), table, str(tmp_path / "cp"), once=True).awaitTermination()
         assert sorted(r.entity_name for r in spark.read.schema("entity_name string").parquet(table).collect()) == names
+
+
+def test_stars_over_many_partitions(spark):
+    r = random.Random(5)
+    edges = [(i, i + 1) for i in range(100, 180)] + [(500, i) for i in range(501, 560)] + [(r.randrange(1000, 1400), r.randrange(1000, 1400)) for _ in range(260)] + [(9, 9), (3, 1), (1, 2)]
+    root = {n: n for e in edges for n in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        made = components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(5)).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert {x.node: x.root for x in made} == {n: find(n) for n in root}
