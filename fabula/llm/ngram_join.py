@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from fabula.llm import exchange as X
 from fabula.llm import words as W
 from fabula.llm.cluster import block_count, block_of, materialize
-from fabula.llm.graph import components
+from fabula.operators.components import stars
 
 FEATURES = "doc_id bigint, n_shingles bigint, hi bigint, lo bigint, signatures array<bigint>, shingles array<bigint>, sketch array<bigint>"
 #: 64-bit words of the parity sketch that goes with a set.
@@ -369,9 +369,10 @@ def _across(placed: DataFrame, sketches: DataFrame, p: PartEnum) -> DataFrame:
 
 
 def _joined(parts: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, component) of the nodes that have a smaller one in their component."""
     if parts is not None:
-        links = links.union(parts.select(F.col("component").alias("a"), F.col("node").alias("b")).where("a <> b"))
-    return materialize(components(links), "components")
+        links = links.union(parts.select(F.col("component").alias("a"), F.col("node").alias("b")))
+    return stars(links).withColumnRenamed("root", "component")
 
 
 def jaccard_components(docs: DataFrame, p: PartEnum = PartEnum(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008
@@ -390,13 +391,13 @@ def jaccard_components(docs: DataFrame, p: PartEnum = PartEnum(), id_col: str =
     for turn in range(LEADER_TURNS):
         placed = _open_signatures(placed if parts is None else placed.drop("component"), parts)
         links = materialize(verify(_to_leaders(placed, sketches, p, turn), near, p), "links")
-        if not links.limit(1).count():
+        if not links.head(1):
             break
         parts = _joined(parts, links)
     else:
         placed = _open_signatures(placed.drop("component"), parts)
     links = materialize(verify(_across(placed, sketches, p), near, p), "links")
-    if links.limit(1).count():
+    if links.head(1):
         parts = _joined(parts, links)
     roots = classes.select("hi", "lo", "node")
     if parts is None:

@@ -7,7 +7,6 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from fabula.llm import ngram_join as J
-from fabula.llm.graph import components
 
 
 def grams(text, n):
@@ -82,9 +81,3 @@ def test_empty_and_null_ids(spark):
     df = spark.createDataFrame([(None, "a b c d"), (7, "a b c d"), (7, "a b c d"), (None, "q r s"), (5, None)], schema)
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in J.jaccard_components(df).collect())
     assert got == [(0, 1, 0), (0, 2, 7), (5, 0, 5), (7, 2, 7), (7, 2, 7)]
-
-
-def test_components_of_paths_and_stars(spark):
-    edges = [(i, i + 1) for i in range(100, 140)] + [(500, i) for i in range(501, 560)] + [(9, 9), (3, 1), (1, 2)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
-    assert got == {i: 100 for i in range(100, 141)} | {i: 500 for i in range(500, 560)} | {1: 1, 2: 1, 3: 1}
