@@ -9,8 +9,8 @@ rows; prediction covers every byte of every text, without a shuffle.
 Defined cases: a null text, or one without any letter, is ``und`` with score 0.
 Without labelled training rows all texts are ``und``; with one language all
 others get that one. Repeated rows and null ids are predicted like any others;
-languages that no family lists are families of their own. Only id, text and
-label columns are read.
+languages that no family lists are families of their own. predict_language() keeps
+every column but those of the names it is given for its results, which it replaces.
 """
 
 from __future__ import annotations
@@ -24,7 +24,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+
 from fabula.llm import words as W
+from fabula.llm.cluster import materialize
 
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af"),
@@ -36,6 +39,8 @@ FAMILIES = {
 BITS = 12
 #: Labelled rows of one language that training uses at most.
 ROWS_PER_LANGUAGE = 400
+#: Languages that are learned at most, the most frequent labels first.
+LANGUAGES = 256
 _SCALE = 100.0
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -65,22 +70,38 @@ def has_letter(texts: pa.Array, data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 200) -> tuple[np.ndarray, float]:
+@dataclass
+class SparseRows:
+    """Rows of a matrix: column numbers and values one after the other, and where each row begins."""
+
+    code: np.ndarray
+    value: np.ndarray
+    at: np.ndarray
+    width: int
+
+    def times(self, z: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0.0], np.cumsum(self.value * z[self.code])])
+        return total[self.at[1:]] - total[self.at[:-1]]
+
+    def transposed_times(self, s: np.ndarray) -> np.ndarray:
+        return np.bincount(self.code, self.value * np.repeat(s, np.diff(self.at)), self.width)
+
+
+def fit_svm(x: SparseRows, y: np.ndarray, c: float = 1.0, rounds: int = 200) -> tuple[np.ndarray, float]:
     """A linear SVM (squared hinge) by accelerated gradient steps; y is 1 or -1. Classes
     weigh the same."""
-    n = np.where(y > 0, (y > 0).sum(), (y < 0).sum())
-    share = c / (2 * n)
-    v = np.ones(x.shape[1], np.float32)
+    share = c / (2 * np.where(y > 0, (y > 0).sum(), (y < 0).sum()))
+    v = np.ones(x.width)
     for _ in range(10):
-        v = x.T @ (share * (x @ v)).astype(np.float32)
+        v = x.transposed_times(share * x.times(v))
         top = float(np.linalg.norm(v))
         v /= top or 1
     step = 1 / (2 * (top + c) + 0.01)
-    w = z = np.zeros(x.shape[1], np.float32)
+    w = z = np.zeros(x.width)
     b = zb = 0.0
     for t in range(rounds):
-        slack = np.maximum(0, 1 - y * (x @ z + zb)) * y * share
-        new, nb = z + step * (2 * (x.T @ slack.astype(np.float32)) - 0.001 * z), zb + step * 2 * float(slack.sum())
+        slack = np.maximum(0, 1 - y * (x.times(z) + zb)) * y * share
+        new, nb = z + step * (2 * x.transposed_times(slack) - 0.001 * z), zb + step * 2 * float(slack.sum())
         k = t / (t + 3)
         z, zb = new + k * (new - w), nb + k * (nb - b)
         w, b = new, nb
@@ -133,76 +154,89 @@ class Hierarchy:
         return lang, score
 
 
-def _sample(docs: DataFrame, most: int) -> DataFrame:
+def _sample(docs: DataFrame, counts: dict[str, int], most: int) -> DataFrame:
     """At most ``most`` rows of each language, by the hash of id and text."""
-    counts = docs.groupBy("lang").count().collect()
-    if not counts:
-        return docs.limit(0)
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 3.0 * most / r["count"]))).otherwise(share)
+    for lang, n in counts.items():
+        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 3.0 * most / n))).otherwise(share)
     near = docs.withColumn("place", place).where(F.col("place") <= share)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= most).drop("rank", "place")
 
 
-def fit_hierarchy(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, families: dict[str, tuple[str, ...]] = FAMILIES) -> Hierarchy | None:
-    """Trains on rows (doc_id, text, lang). Each sampled text gives its own features and
-    those of a stretch of 80 bytes, so that short texts are known as well."""
-    size = 1 << BITS
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs, rows = [], []
-            for part in W.slices(batch, "text", 1 << 20):
-                data, at = W.buffers(part.column("text"))
-                for i, lang in enumerate(part.column("lang").to_pylist()):
-                    text = data[at[i] : at[i + 1]]
-                    middle = len(text) // 2
-                    for piece in (text, text[middle : middle + 80]):
-                        code, _ = features(piece, np.array([0, len(piece)]))
-                        if len(code):
-                            langs.append(lang)
-                            rows.append((np.bincount(code, minlength=size) * (_SCALE / len(code))).astype(np.float16).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(rows, pa.binary())], names=["lang", "x"])
-            W.release()
-
-    rows = _sample(docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()), rows_per_language).mapInArrow(count, "lang string, x binary").collect()
-    if not rows:
+def _trigram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shares of a text's trigrams, and those of a stretch of 80 bytes of it."""
+    for batch in batches:
+        rows: list[tuple] = []
+        for part in W.slices(batch, "text", 1 << 20):
+            data, at = W.buffers(part.column("text"))
+            for i, lang in enumerate(part.column("lang").to_pylist()):
+                text = data[at[i] : at[i + 1]]
+                middle = len(text) // 2
+                for piece in (text, text[middle : middle + 80]):
+                    code, n = np.unique(features(piece, np.array([0, len(piece)]))[0], return_counts=True)
+                    if len(code):
+                        rows.append((lang, code.astype(np.int16).tobytes(), (n * (_SCALE / n.sum())).astype(np.float32).tobytes()))
+        kinds = [pa.string(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["lang", "codes", "shares"])
+        W.release()
+
+
+def fit_hierarchy(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, families: dict[str, tuple[str, ...]] = FAMILIES, languages: int = LANGUAGES) -> Hierarchy | None:
+    """Trains on rows (doc_id, text, lang), of the most frequent ``languages``. Each sampled
+    text gives its own features and those of a stretch of 80 bytes, so that short texts are
+    known as well. Every machine is fitted by a task of its own; only weights come back."""
+    labelled = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
+    if not counts:
         return None
-    rows.sort(key=lambda r: (r["lang"], bytes(r["x"])))
-    label = np.array([r["lang"] for r in rows], object)
-    x = np.stack([np.frombuffer(r["x"], np.float16) for r in rows])
-    del rows
+    rows = materialize(_sample(labelled, counts, rows_per_language).mapInArrow(_trigram_rows, "lang string, codes binary, shares binary"), "trigrams")
     of = {lang: name for name, langs in families.items() for lang in langs}
     tree: dict[str, list[str]] = {}
-    for lang in sorted(set(label)):
+    for lang in sorted(r["lang"] for r in rows.select("lang").distinct().collect()):
         tree.setdefault(of.get(lang, lang), []).append(lang)
-    family = np.array([of.get(lang, lang) for lang in label], object)
-    machines, columns, biases = [], [], []
-    for kind, names, classes in [("f:", sorted(tree), family)] + [("", langs, label) for langs in tree.values()]:
-        for a, b in combinations(names, 2):
-            rows_ab = (classes == a) | (classes == b)
-            w, bias = fit_svm(x[rows_ab].astype(np.float32), np.where(classes[rows_ab] == a, 1, -1).astype(np.float32))
-            machines.append((kind + a, kind + b))
-            columns.append(w * _SCALE)
-            biases.append(bias)
-    weights = np.stack(columns, 1) if columns else np.zeros((size, 0))
-    del x
-    W.release()
-    return Hierarchy(tree, machines, weights.astype(np.float32), np.array(biases))
-
-
-def predict_language(docs: DataFrame, model: Hierarchy | None, text_col: str = "text") -> DataFrame:
-    """Adds lang_pred and score to the rows, all other columns kept."""
-    schema = docs.schema
-    out = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    if not tree:
+        return None
+    machines = [("f:" + a, "f:" + b) for a, b in combinations(sorted(tree), 2)] + [x for langs in tree.values() for x in combinations(langs, 2)]
+    classes = {lang: {lang, "f:" + name} for name, langs in tree.items() for lang in langs}
+    takes = {lang: [j for j, x in enumerate(machines) if classes[lang] & set(x)] for lang in classes}
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            many = [takes[lang] for lang in batch.column("lang").to_pylist()]
+            row = np.repeat(np.arange(len(batch)), [len(m) for m in many])
+            machine = pa.array([j for m in many for j in m], pa.int32())
+            yield pa.RecordBatch.from_arrays([machine, *(c.take(pa.array(row)) for c in batch.columns)], names=["machine", *batch.schema.names])
+
+    def fit(table: pa.Table) -> pa.Table:
+        given = sorted(table.select(["lang", "codes", "shares"]).to_pylist(), key=lambda r: (r["lang"], r["codes"], r["shares"]))
+        j = table.column("machine")[0].as_py()
+        codes = [np.frombuffer(r["codes"], np.int16) for r in given]
+        x = SparseRows(np.concatenate(codes).astype(np.int64), np.concatenate([np.frombuffer(r["shares"], np.float32) for r in given]).astype(np.float64), np.concatenate([[0], np.cumsum([len(c) for c in codes])]), 1 << BITS)
+        w, bias = fit_svm(x, np.array([1.0 if machines[j][0] in classes[r["lang"]] else -1.0 for r in given]))
+        W.release()
+        return pa.table({"machine": pa.array([j], pa.int32()), "weights": pa.array([(w * _SCALE).astype(np.float32).tobytes()], pa.binary()), "bias": pa.array([bias], pa.float64())})
+
+    dealt = rows.mapInArrow(deal, "machine int, lang string, codes binary, shares binary")
+    fitted = sorted(dealt.groupBy("machine").applyInArrow(fit, "machine int, weights binary, bias double").collect()) if machines else []
+    weights = np.stack([np.frombuffer(r["weights"], np.float32) for r in fitted], 1) if fitted else np.zeros((1 << BITS, 0), np.float32)
+    return Hierarchy(tree, machines, weights, np.array([r["bias"] for r in fitted]))
+
+
+def predict_language(docs: DataFrame, model: Hierarchy | None, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """The rows with ``lang_col`` and ``score_col``, in place of any columns of these names;
+    all others are kept."""
+    made = (lang_col, score_col)
+    kept = [i for i, name in enumerate(docs.columns) if name not in made]
+    out = StructType([*(docs.schema[i] for i in kept), StructField(lang_col, StringType()), StructField(score_col, DoubleType())])
+    at_text = docs.columns.index(text_col)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.slices(batch, text_col, 1 << 20):
-                texts = part.column(text_col)
+            numbered = batch.rename_columns([f"c{i}" for i in range(batch.num_columns)])
+            for part in W.slices(numbered, f"c{at_text}", 1 << 20):
+                texts = part.column(at_text)
                 data, at = W.buffers(texts)
                 n = len(part)
                 lang, score = np.full(n, "und", object), np.zeros(n)
@@ -212,8 +246,8 @@ def predict_language(docs: DataFrame, model: Hierarchy | None, text_col: str = "
                     margins = np.stack([np.bincount(owner, model.weights[:, j][code], n) / total + model.biases[j] for j in range(len(model.machines))], 1) if model.machines else np.zeros((n, 0))
                     known = has_letter(texts, data, at)
                     lang[known], score[known] = (x[known] for x in model.predict(margins))
-                arrays = [part.column(f.name) for f in schema] + [pa.array(lang, pa.string()), pa.array(score, pa.float64())]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*(f.name for f in schema), "lang_pred", "score"])
+                arrays = [*(part.column(i) for i in kept), pa.array(lang, pa.string()), pa.array(score, pa.float64())]
+                yield pa.RecordBatch.from_arrays(arrays, names=out.names)
             W.release()
 
     return docs.mapInArrow(predict, out)
