@@ -7,7 +7,9 @@ summed as a unigram model does, and whole numbers stay exact.
 
 Two neighbouring characters that stand together in no piece are always cut, so a
 text falls into short stretches that are solved once for each distinct stretch of
-a few MB of text, all at once, length by length.
+a few MB of text, all at once, length by length. Scores that aren't whole numbers are
+summed in units of 2 ** -24, about what a 32-bit score has: sums are then exact and
+don't depend on how a text is split.
 
 Giant texts are split into chunks across rows. A chunk's transfer matrix has the
 best score from each state at its left border to each at its right one, a state
@@ -19,7 +21,8 @@ state it may end in. Putting the traces together picks one for each chunk.
 Among equal sums the longest last piece is taken. Defined cases: null texts have
 null ids, empty ones no ids. A literal U+2581 is spelled in bytes, so decoding
 restores every text exactly. Repeated rows and null ids are encoded like any
-others; other columns are kept by encode() and decode().
+others; encode() and decode() keep all columns but one of the name of their result,
+which it replaces.
 """
 
 from __future__ import annotations
@@ -65,9 +68,7 @@ class Vocabulary:
         pieces = [sp.id_to_piece(i) for i in range(n)]
         byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         special = [i for i in range(n) if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i)]
-        scores = [sp.get_score(i) for i in range(n)]
-        whole = all(float(s).is_integer() for s in scores)
-        return Vocabulary(pieces, [int(s) for s in scores] if whole else scores, byte_ids, special)
+        return Vocabulary(pieces, [sp.get_score(i) for i in range(n)], byte_ids, special)
 
     def __reduce__(self):
         # a worker derives the tables of a vocabulary once, not for every task
@@ -78,6 +79,15 @@ class Vocabulary:
         special = set(self.special)
         return [i for i in range(len(self.pieces)) if i not in special]
 
+    @cached_property
+    def unit(self) -> int:
+        """What a score of 1 is in whole units."""
+        return 1 if all(float(s).is_integer() for s in self.scores) else 1 << 24
+
+    @cached_property
+    def units(self) -> list[int]:
+        return [round(s * self.unit) for s in self.scores]
+
     @cached_property
     def longest(self) -> int:
         return max(len(self.pieces[i]) for i in self._normal)
@@ -85,7 +95,7 @@ class Vocabulary:
     @cached_property
     def unknown_score(self):
         """Below all pieces, as in the library: the smallest score less ten."""
-        return min(self.scores[i] for i in self._normal) - 10
+        return min(self.units[i] for i in self._normal) - 10 * self.unit
 
     @cached_property
     def _codes(self) -> tuple[np.ndarray, np.ndarray]:
@@ -104,8 +114,7 @@ class Vocabulary:
         keys = W.mix(h)
         order = np.argsort(keys)
         assert len(np.unique(keys)) == len(keys)
-        kind = np.int64 if isinstance(self.scores[0], int) else np.float64
-        return keys[order], np.array(self._normal)[order], np.array([self.scores[i] for i in self._normal], kind)[order]
+        return keys[order], np.array(self._normal)[order], np.array([self.units[i] for i in self._normal], np.int64)[order]
 
     @cached_property
     def first_bits(self) -> np.ndarray:
@@ -197,8 +206,7 @@ def solve(v: Vocabulary, c: np.ndarray, begin: np.ndarray, size: np.ndarray) ->
     begin, size = begin[order], size[order]
     first = np.concatenate([[0], np.cumsum(size)])
     spread = W.mix(c.astype(np.uint64) + np.uint64(1))
-    kind = v.table[2].dtype
-    best = np.full(first[-1] + len(size), _NONE if kind == np.int64 else -np.inf, kind)  # one more entry each: before its first character
+    best = np.full(first[-1] + len(size), _NONE, np.int64)  # one more entry each: before its first character
     at0 = first[:-1] + np.arange(len(size))
     best[at0] = 0
     length, piece = np.zeros(first[-1], np.int16), np.full(first[-1], -1, np.int32)
@@ -293,7 +301,7 @@ def best_sum(v: Vocabulary, c: np.ndarray) -> int:
     if not len(c):
         return 0
     ids, _, begin, which = segment(v, c, stretches(v, c))
-    by_id = np.append(np.array(v.scores), v.unknown_score)  # -1 is the last
+    by_id = np.append(np.array(v.units), v.unknown_score)  # -1 is the last
     total = np.concatenate([[0], np.cumsum(by_id[ids])])
     return int((total[begin[1:]] - total[begin[:-1]])[which].sum())
 
@@ -334,7 +342,7 @@ def decode_ids(v: Vocabulary, ids: list[int] | None) -> str | None:
 # ---------------------------------------------------------------- the scan
 
 
-def _edges(v: Vocabulary, c: np.ndarray, n: int) -> list[list[tuple[int, int, int | float]]]:
+def _edges(v: Vocabulary, c: np.ndarray, n: int) -> list[list[tuple[int, int, int]]]:
     """For each end 1..n + longest - 1 the pieces (length, id, score) that end there and
     begin within the first n characters, longest last."""
     spread = W.mix(c.astype(np.uint64) + np.uint64(1))
@@ -485,30 +493,39 @@ def scan_chunks(chunks: DataFrame, v: Vocabulary) -> DataFrame:
 
     def traces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kind = pa.list_(pa.struct([("ends", pa.int32()), ("begins", pa.int32()), ("ids", pa.list_(pa.int32()))]))
             for row in range(len(batch)):
                 c, n, s = (batch.column(x)[row] for x in ("codes", "n", "scores"))
                 found = backtrace(v, np.frombuffer(c.as_buffer(), np.uint32), n.as_py(), np.frombuffer(s.as_buffer(), np.int64))
-                traces = pa.array([[{"ends": e, "begins": b, "ids": ids} for e, b, ids in found]], kind)
-                yield pa.RecordBatch.from_arrays([batch.column("text_key")[row : row + 1], batch.column("chunk_no")[row : row + 1], traces], names=["text_key", "chunk_no", "traces"])
+                same = pa.array(np.full(len(found), row))
+                ends, begins, ids = (pa.array([o[k] for o in found], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.list_(pa.int32()))))
+                yield pa.RecordBatch.from_arrays([batch.column("text_key").take(same), batch.column("chunk_no").take(same), ends, begins, ids], names=["text_key", "chunk_no", "ends", "begins", "ids"])
 
     def choose(table: pa.Table) -> pa.Table:
-        table = table.sort_by("chunk_no")
-        state, parts = 0, []
-        for options in reversed(table.column("traces").to_pylist()):
-            one = next(o for o in options if o["ends"] == state)
-            parts.append(one["ids"])
-            state = one["begins"]
-        return pa.table({"text_key": table.column("text_key")[:1], "ids": pa.array([[i for p in reversed(parts) for i in p]], pa.list_(pa.int32()))})
+        """From the last chunk on, the trace that ends where the next one's begins."""
+        begins = {x: b for *x, b in zip(*(table.column(c).to_pylist() for c in ("chunk_no", "ends", "begins")), strict=True) for x in [tuple(x)]}
+        state, path = 0, []
+        for chunk in range(max(x[0] for x in begins), -1, -1):
+            path.append((chunk, state))
+            state = begins[chunk, state]
+        return pa.table({"text_key": pa.array([table.column("text_key")[0].as_py()] * len(path)), **{c: pa.array(x, pa.int32()) for c, x in zip(("chunk_no", "ends"), zip(*path, strict=True), strict=True)}})
+
+    def assemble(table: pa.Table) -> pa.Table:
+        ids = table.sort_by("chunk_no").column("ids").combine_chunks().flatten()
+        return pa.table({"text_key": table.column("text_key")[:1], "ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)})
 
     scores = chunks.mapInArrow(matrices, "text_key string, chunk_no int, matrix binary").groupBy("text_key").applyInArrow(scan, "text_key string, chunk_no int, scores binary")
-    traced = chunks.join(scores, ["text_key", "chunk_no"]).select("text_key", "chunk_no", "n", "codes", "scores").mapInArrow(traces, "text_key string, chunk_no int, traces array<struct<ends:int,begins:int,ids:array<int>>>")
-    return traced.groupBy("text_key").applyInArrow(choose, "text_key string, ids array<int>")
+    traced = chunks.join(scores, ["text_key", "chunk_no"]).select("text_key", "chunk_no", "n", "codes", "scores").mapInArrow(traces, "text_key string, chunk_no int, ends int, begins int, ids array<int>")
+    traced = materialize(traced, "traces")
+    path = traced.drop("ids").groupBy("text_key").applyInArrow(choose, "text_key string, chunk_no int, ends int")
+    chosen = traced.join(path, ["text_key", "chunk_no", "ends"]).select("text_key", "chunk_no", "ids")
+    return chosen.groupBy("text_key").applyInArrow(assemble, "text_key string, ids array<int>")
 
 
 def encode(docs: DataFrame, v: Vocabulary, text_col: str = "text", ids_col: str = "ids", chunk: int = CHUNK) -> DataFrame:
-    """The rows with the ids of their texts. Texts of more than ``chunk`` characters go
-    through the scan; they are written once so that both uses see the same rows."""
+    """The rows with the ids of their texts, in place of any column of that name. Texts of
+    more than ``chunk`` characters go through the scan; they are written once so that both
+    uses see the same rows."""
+    docs = docs.drop(ids_col)
     schema = StructType([*docs.schema.fields, StructField(ids_col, ArrayType(IntegerType()))])
     at = docs.columns.index(text_col)
 
@@ -526,16 +543,17 @@ def encode(docs: DataFrame, v: Vocabulary, text_col: str = "text", ids_col: str
     small = docs.where(size <= chunk).mapInArrow(short, schema)
     key = "_text_key"
     giants = materialize(docs.where(size > chunk).withColumn(key, F.expr("uuid()")), "giants")
-    chunks = giant_chunks(giants.select(F.col(key).alias("text_key"), F.col(text_col).alias("text")), v, chunk)
+    chunks = materialize(giant_chunks(giants.select(F.col(key).alias("text_key"), F.col(text_col).alias("text")), v, chunk), "chunks")
     found = scan_chunks(chunks, v).select(F.col("text_key").alias(key), F.col("ids").alias("_ids"))
     large = giants.join(found, key).select(*(giants[f.name] for f in docs.schema), F.col("_ids").alias(ids_col))
     return small.union(large)
 
 
 def decode(rows: DataFrame, v: Vocabulary, ids_col: str = "ids", text_col: str = "decoded", keep_ids: bool = True) -> DataFrame:
-    """The rows with the texts of their ids, and with the ids unless told otherwise."""
+    """The rows with the texts of their ids, in place of any column of that name, and with the
+    ids unless told otherwise."""
     at = rows.columns.index(ids_col)
-    kept = [i for i in range(len(rows.columns)) if keep_ids or i != at]
+    kept = [i for i, name in enumerate(rows.columns) if (keep_ids or i != at) and name != text_col]
     schema = StructType([*(rows.schema[i] for i in kept), StructField(text_col, StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,6 +19,12 @@ def toy():
     return P.Vocabulary(pieces, scores, list(range(3, 259)), list(range(259)))
 
 
+def fractions():
+    v = toy()
+    r = random.Random(8)
+    return P.Vocabulary(v.pieces, [s + float(np.float32(r.random())) if s else 0.0 for s in v.scores], v.byte_ids, v.special)
+
+
 def brute(v, text):
     """Plain dynamic programming over the whole text."""
     if not text:
@@ -30,8 +36,8 @@ def brute(v, text):
         top = (best[t - 1] + v.unknown_score, 1, None)
         for k in range(1, min(t, v.longest) + 1):
             i = ids.get("".join(c[t - k : t]))
-            if i is not None and best[t - k] + v.scores[i] >= top[0]:
-                top = (best[t - k] + v.scores[i], k, i)
+            if i is not None and best[t - k] + v.units[i] >= top[0]:
+                top = (best[t - k] + v.units[i], k, i)
         best.append(top[0])
         last.append(top[1:])
     out, t = [], len(c)
@@ -51,9 +57,9 @@ def test_small_vocabulary_equals_plain_dynamic_programming(text):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(alphabet="abc ", min_size=1, max_size=80), st.integers(1, 30))
-def test_chunks_give_the_path_of_the_whole(text, chunk):
-    v = toy()
+@given(st.text(alphabet="abc ", min_size=1, max_size=80), st.integers(1, 30), st.booleans())
+def test_chunks_give_the_path_of_the_whole(text, chunk, whole):
+    v = toy() if whole else fractions()
     c = P.normalized(text)
     parts = [(c[s : s + chunk + v.longest - 1], min(chunk, len(c) - s)) for s in range(0, len(c), chunk)]
     products = P.prefix_products(np.stack([P.transfer(v, x, n) for x, n in parts]))
@@ -139,5 +145,8 @@ def test_tables_with_giant_texts(spark, vocabulary):
     for row in out:
         assert row.decoded == row.text and row.matrix == "clash"
         assert row.ids == (None if row.text is None else brute(vocabulary, row.text))
+    v = fractions()
+    for row in P.encode(df.withColumnRenamed("matrix", "ids"), v, chunk=500).collect():
+        assert row.ids == (None if row.text is None else brute(v, row.text))
     empty = df.limit(0)
     assert P.decode(P.encode(empty, vocabulary), vocabulary).count() == 0
