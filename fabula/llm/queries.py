@@ -45,9 +45,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from fabula.llm.secrets import labelled_findings, scan_secrets, train_forest
+    from fabula.llm.secrets import corpus_forest, scan_secrets
 
-    return scan_secrets(_read(spark, sf_dir, "documents"), train_forest(labelled_findings(spark)))
+    docs = _read(spark, sf_dir, "documents")
+    return scan_secrets(docs, corpus_forest(docs))
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

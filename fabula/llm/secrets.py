@@ -4,8 +4,8 @@ Expressions find candidates: long runs of key characters that have a digit, mixe
 case or the first characters of a known kind of key, and what is assigned to names
 with a word such as ``password`` in them. Most candidates
 are no secrets. A random forest, trained from labelled findings, decides by their
-length, character transitions, coverage by dictionary words, path and neighbouring
-words. Training runs in Spark; the trees, of bounded depth and number, then go to
+length, character transitions, coverage by the words that most documents have, path and
+neighbouring words. Training runs in Spark; the trees, of bounded depth and number, then go to
 the tasks that read the texts, so each text is read once and nothing is shuffled.
 
 Defined cases: null and empty texts have no candidates. Repeated rows and null ids
@@ -22,7 +22,8 @@ import math
 import random
 import re
 import string
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -48,10 +49,10 @@ NEAR = 32
 ASKING = ("password", "passwd", "pwd", "secret", "token", "key", "auth", "bearer", "credential", "private", "access")
 EXPLAINING = ("commit", "sha1", "sha256", "sha", "md5", "checksum", "digest", "etag", "uuid", "guid", "version", "build", "revision", "integrity", "example", "sample", "test", "isbn", "order", "invoice", "phone", "card", "data:image", "hash")
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "glpat-", "sk_live_", "sk-", "xoxb-", "xoxp-", "AIza", "eyJ", "SG.", "npm_")
-#: Words that names and placeholders are made of.
-DICTIONARY = frozenset(
-    "about access account action active address admin agent amount api application array article auth author base batch block board body book build button cache call card cart case category change channel check child class click client close code color column command comment commit config connect content context control cookie copy count create current custom data database date default delete demo detail device document domain download edit email enable error event example export factory fake false field file filter first format frame from function game get global group guide handler hash head header help home host http image import index info input insert install item java json key label language last layer layout level library license limit line link list load local lock login long main manager map mark master match member memory menu message method model module name native network news next node note null number object offer office open option order page param parent parse part password path payment person phone picture place plan player point policy post price private process product profile project property proxy public python query queue random read record redirect register release remote report request reset resource response result return role root route rule sample save scale screen script search secret section secure select send server service session set shop simple site size sort source space sql stack start state static status step stock storage store stream string style submit support system table tag target task team template term test text theme this thread time title token tool total track true type unit update upload url user utils value version video view visit web widget width window word work world write xml year your".split()
-)
+#: Words that names and placeholders of made-up findings have, beside those of a dictionary.
+WORDS = "account address admin agent base button cache client config content data default device error event file form group index input item list main manager model name number page param point query request service session setup string system table target test user value version window".split()
+#: A dictionary has the words that the most documents have: so many, of so many letters.
+DICTIONARY_WORDS, WORD_LETTERS = 20_000, (4, 11)
 FEATURES = ("length", "digits", "upper", "lower", "signs", "transitions", "entropy", "coverage", "hex", "path", "asking", "explaining", "assigned", "quoted", "prefix", "run", "url", "mail")
 
 
@@ -71,7 +72,23 @@ def candidates(text: str) -> Iterator[tuple[int, int]]:
             end = m.end(1)
 
 
-def _coverage(value: str) -> float:
+def corpus_dictionary(docs: DataFrame, most: int = DICTIONARY_WORDS, text_col: str = "text") -> tuple[str, ...]:
+    """The ``most`` words that the most documents have, at least two, by counts over all
+    documents; words of a-z only, in lower case, most frequent first, then by name."""
+    word = re.compile("[a-z]{%d,%d}" % WORD_LETTERS)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in W.slices(batch, "text"):
+                n = Counter(w for text in part.column("text").to_pylist() if text for w in set(word.findall(text.lower())))
+                yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], names=["word", "n"])
+            W.release()
+
+    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return tuple(r.word for r in counts.where("n > 1").orderBy(F.desc("n"), "word").limit(most).collect())
+
+
+def _coverage(value: str, dictionary: frozenset[str]) -> float:
     """Part of the letters that dictionary words cover, longest words first from the left."""
     low = value.lower()
     letters = sum(c.isalpha() for c in low)
@@ -79,8 +96,8 @@ def _coverage(value: str) -> float:
         return 0.0
     i = covered = 0
     while i < len(low):
-        for n in range(min(11, len(low) - i), 2, -1):
-            if low[i : i + n] in DICTIONARY:
+        for n in range(min(WORD_LETTERS[1], len(low) - i), WORD_LETTERS[0] - 1, -1):
+            if low[i : i + n] in dictionary:
                 covered += n
                 i += n
                 break
@@ -89,7 +106,7 @@ def _coverage(value: str) -> float:
     return covered / letters
 
 
-def describe(value: str, before: str, after: str) -> list[float]:
+def describe(value: str, before: str, after: str, dictionary: frozenset[str] = frozenset(WORDS)) -> list[float]:
     """The features of a candidate, from itself and up to NEAR characters on either side."""
     n = len(value)
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for c in value]
@@ -110,7 +127,7 @@ def describe(value: str, before: str, after: str) -> list[float]:
         kinds.count("s") / n,
         sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(1, n - 1),
         -sum(c / n * math.log2(c / n) for c in counts.values()),
-        _coverage(value),
+        _coverage(value, dictionary),
         float(all(c in "0123456789abcdefABCDEF" for c in value)),
         float(value.count("/") + (joined[-1:] in ("/", ".", "\\")) + (after[:1] in ("/", "\\") or bool(re.match(r"\.[a-z]", after)))),
         float(any(w in near for w in ASKING)),
@@ -124,14 +141,13 @@ def describe(value: str, before: str, after: str) -> list[float]:
     ]
 
 
-def labelled_findings(spark: SparkSession, rows: int = 3000, seed: int = 7) -> DataFrame:
+def labelled_findings(spark: SparkSession, rows: int = 3000, seed: int = 7, words: Sequence[str] = WORDS) -> DataFrame:
     """Labelled findings made by rule: keys of well-known formats in the places where
-    they stand, and look-alikes. Use reviewed findings of the same columns instead
-    where there are some; training works on a table of any size."""
+    they stand, and look-alikes made of ``words``. Use reviewed findings of the same columns
+    instead where there are some; training works on a table of any size."""
     r = random.Random(seed)
     pick = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
     alnum, hexa = string.ascii_letters + string.digits, "0123456789abcdef"
-    words = sorted(DICTIONARY)
     word = lambda: r.choice(words)
     prose = lambda: " ".join(pick("etaoinshrdlu", r.randrange(2, 9)) for _ in range(4))
     names = ("password", "secret", "token", "api_key", "access_key", "auth_token", "client_secret", "db_password")
@@ -207,6 +223,8 @@ class Forest:
     """Trees as arrays: feature (-1 at a leaf), threshold, the two children, and the leaf's class."""
 
     trees: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    #: The words that coverage was measured with.
+    dictionary: frozenset[str] = frozenset(WORDS)
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         """Share of the trees that call each row a secret."""
@@ -245,14 +263,15 @@ def _tree(lines: list[str]) -> tuple:
     return np.array(feature), np.array(threshold), np.array(left), np.array(right), np.array(value)
 
 
-def train_forest(labelled: DataFrame, trees: int = 30, depth: int = 7, seed: int = 7) -> Forest:
+def train_forest(labelled: DataFrame, trees: int = 30, depth: int = 7, seed: int = 7, dictionary: Iterable[str] = WORDS) -> Forest:
     """A random forest from rows (value, before, after, secret)."""
+    known = frozenset(dictionary)
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [describe(v, b or "", a or "") for v, b, a in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)]
+            x = [describe(v, b or "", a or "", known) for v, b, a in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(3).cast(pa.float64())], names=["x", "label"])
 
     usable = labelled.where("length(value) > 0 and secret is not null").select("value", "before", "after", "secret")
@@ -264,7 +283,15 @@ def train_forest(labelled: DataFrame, trees: int = 30, depth: int = 7, seed: int
     for s, e in zip(starts[:-1], starts[1:], strict=True):
         # an Else line only repeats its If the other way round; the order of lines says all
         out.append(_tree([line for line in text[s + 1 : e] if line.strip() and not line.strip().startswith("Else")]))
-    return Forest(out)
+    return Forest(out, known)
+
+
+def corpus_forest(docs: DataFrame, labelled: DataFrame | None = None, text_col: str = "text") -> Forest:
+    """A forest whose dictionary is that of the documents to be scanned."""
+    known = corpus_dictionary(docs, text_col=text_col)
+    if labelled is None:
+        labelled = labelled_findings(docs.sparkSession, words=[*WORDS, *known[:200]])
+    return train_forest(labelled, dictionary=[*WORDS, *known])
 
 
 def scan_texts(texts: list[str | None], forest: Forest, least: float) -> tuple[list[int], list[list[dict]]]:
@@ -276,7 +303,7 @@ def scan_texts(texts: list[str | None], forest: Forest, least: float) -> tuple[l
         spans += [(i, b, e) for b, e in found]
     out: list[list[dict]] = [[] for _ in texts]
     if spans:
-        x = np.array([describe(texts[i][b:e], texts[i][max(0, b - NEAR) : b], texts[i][e : e + NEAR]) for i, b, e in spans])
+        x = np.array([describe(texts[i][b:e], texts[i][max(0, b - NEAR) : b], texts[i][e : e + NEAR], forest.dictionary) for i, b, e in spans])
         for (i, b, e), p in zip(spans, forest.scores(x).tolist(), strict=True):
             if p >= least:
                 out[i].append({"begin": b, "end": e, "score": p, "sha256": hashlib.sha256(texts[i][b:e].encode()).hexdigest()})

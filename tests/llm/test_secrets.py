@@ -60,6 +60,18 @@ def test_empty_table(spark, forest):
     assert S.scan_secrets(empty, forest).count() == 0 and S.redact(empty, forest).count() == 0
 
 
+def test_the_dictionary_has_the_words_of_most_documents(spark, forest):
+    rows = [(1, "Alpha beta beta zz abcdefghijklm"), (2, "alpha beta x1gamma9"), (3, "ALPHA gamma"), (4, None), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert S.corpus_dictionary(df) == ("alpha", "beta", "gamma") and S.corpus_dictionary(df, 1) == ("alpha",)
+    words = frozenset(S.corpus_dictionary(df))
+    assert S._coverage("alphaBeta77", words) == 1.0 and S._coverage("x7KqLm", words) == 0.0
+    rows = [(i, t) for i, t in enumerate(TRUE + FALSE)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: len(r.findings) for r in S.scan_secrets(docs, S.corpus_forest(docs)).collect()}
+    assert [i for i, n in sorted(got.items()) if n] == list(range(len(TRUE)))
+
+
 def test_every_labelled_secret_is_a_candidate_in_its_text(spark):
     rows = S.labelled_findings(spark, 3000, seed=5).where("secret = 1").collect()
     for r in rows:
