@@ -64,6 +64,54 @@ def test_proximity_allows_words_between(spark):
     assert got(0) == set() and got(1) == {1} and got(3) >= {1, 2}
 
 
+def near(docs, items, slop, window=13):
+    """Every occurrence of the rarest term; the others' first words within reach, in the same document."""
+    corpus = [words(t) for _, t in docs]
+    count = {}
+    for w in corpus:
+        for x in w:
+            count[x] = count.get(x, 0) + 1
+    out = {}
+    for (key, _), w in zip(docs, corpus, strict=True):
+        for item, t in items:
+            q = words(t)[:window]
+            if not all(x in count for x in q):
+                continue
+            head = min(range(len(q)), key=lambda k: (count[q[k]], k))
+            for i, x in enumerate(w):
+                if x == q[head] and all(any(0 <= p < len(w) and w[p] == q[k] for p in range(i + k - head - slop, i + k - head + slop + 1)) for k in range(len(q))):
+                    out.setdefault(key, set()).add(item)
+    return out
+
+
+def test_proximity_stays_in_a_document(spark):
+    one = lambda rows, schema: spark.createDataFrame(rows, schema).coalesce(1)
+    docs = [(1, "a b z"), (2, "c d"), (3, "x a b"), (4, "b c a")]
+    items = [(7, "a b c"), (8, "z a b")]
+    got = {r.doc_id: r.item_ids for r in D.contamination(one(docs, "doc_id bigint, text string"), one(items, "item_id bigint, text string"), slop=1).collect() if r.n_hit}
+    assert 1 not in got and 2 not in got and 3 not in got
+    r = random.Random(9)
+    prose = lambda n: " ".join(r.choice("abcdefgh") for _ in range(n))
+    docs, items = [(i, prose(r.randrange(1, 14))) for i in range(200)], [(i, prose(r.randrange(2, 5))) for i in range(12)]
+    df, it = one(docs, "doc_id bigint, text string"), one(items, "item_id bigint, text string")
+    for slop in (0, 1, 2):
+        got = {r.doc_id: set(r.item_ids) for r in D.contamination(df, it, slop=slop).collect() if r.n_hit}
+        assert got == near(docs, items, slop)
+
+
+def test_long_items_in_blocks(spark):
+    r = random.Random(4)
+    docs, items = example()
+    items += [(70, " ".join(f"w{r.randrange(12)}" for _ in range(200)))]
+    docs += [(300, items[-1][1]), (301, "pad " + " ".join(items[-1][1].split()[60:90]))]
+    df, it = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([*items, (None, "one of a kind")], "item_id bigint, text string")
+    want = brute(docs, items)
+    got = {x.doc_id: (x.n_words, sum(s.end - s.begin for s in x.spans), list(x.item_ids)) for x in D.find_items(D.build_index(df), it, query_words=40).collect()}
+    assert got == {k: v[:3] for k, v in want.items()}
+    one = spark.createDataFrame([(1, "it is one of a kind")], "doc_id bigint, text string")
+    assert [x.item_ids for x in D.contamination(one, it).collect()] == [[None]]
+
+
 def test_empty_tables_repeats_and_null_ids(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a b")], "doc_id bigint, text string")
     it = spark.createDataFrame([(7, "a b")], "item_id bigint, text string")
