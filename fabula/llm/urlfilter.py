@@ -1,20 +1,31 @@
 """URL filters: many pattern rules, few of them run on any one URL.
 
-Each rule is a regular expression that needs certain literal tokens. It is filed
-under the rarest of them, by the tokens' frequency over the URLs at hand. A URL's
-tokens fetch the candidate rules, and only those expressions run. Rules without a
-literal token run on every URL, so they should be few.
+Each rule is a regular expression. Its parse tree says which literals are whole tokens
+(runs of a-z and 0-9) of every URL that it matches; alternatives are spelled out, and
+whatever isn't known to end a token doesn't. A rule is filed, for each alternative, under
+the rarest of its tokens, by the tokens' frequency over the URLs at hand. A URL's
+tokens fetch the candidate rules, and only those expressions run. Rules of which some
+alternative has no token run on every URL, so they should be few.
+
+The rules are a parameter; they go to the tasks as one dictionary, in which a URL looks
+up its own tokens, however many rules there are.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path; it
 has no rule and is allowed unless a pattern matches the text itself. Repeated
 rows are judged one by one, null ids included. An empty table gives an empty result.
+Columns named host, path, rule, pattern or verdict are replaced, all others kept.
 """
 
 from __future__ import annotations
 
 import re
+import re._constants as sre
+import re._parser as sre_parser
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import product
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,99 +46,107 @@ PATTERNS = (
     r"[?&]replytocom=",
     r"/(calendar|archive)/[0-9]{4}/",
 )
-_WORD = re.compile(r"[a-z0-9]+")
+_TOKEN = re.compile(r"[a-z0-9]+")
+_TOKEN_CHARS = frozenset(map(ord, "abcdefghijklmnopqrstuvwxyz0123456789"))
+#: Alternatives that are spelled out; what has more of them says nothing about tokens.
+ALTERNATIVES = 64
+#: Characters of the rules' tokens up to which they are sent to every task.
+BROADCAST_BYTES = 4 << 20
+#: Items of a spelled-out alternative beside literal characters: some characters of which none
+#: is of a token, the border of a token or of the text, and anything or nothing.
+BREAK, EDGE, ANY = "break", "edge", "any"
 
 
 @dataclass(frozen=True)
 class PatternRule:
     pattern: str
-    #: Each entry: literal tokens of which at least one is in any matching URL.
+    #: For each alternative the tokens that a URL which it matches has.
     needs: tuple[tuple[str, ...], ...]
 
 
-def required_tokens(pattern: str) -> PatternRule:
-    """The literal tokens that a URL must have for ``pattern`` to match.
-
-    Reads plain literals, classes, ``?``/``+``/``*`` and one level of alternatives. A
-    literal counts only if it stands between characters that end a token, so that
-    it is a whole token of each matching URL. Anything else yields no token.
-    """
-    needs: list[tuple[str, ...]] = []
-    token, opened, i = "", False, 0
-    edge = True
-
-    def close(whole: bool) -> None:
-        nonlocal token, opened
-        if token and opened and whole:
-            needs.append((token,))
-        token = ""
-
-    while i < len(pattern):
-        c = pattern[i]
-        nxt = pattern[i + 1] if i + 1 < len(pattern) else ""
-        if c.isascii() and (c.islower() or c.isdigit()):
-            if not token:
-                opened = edge
-            if nxt and nxt in "?*":  # optional last letter: two tokens are possible
-                j = i + 2
-                rest_ends = j < len(pattern) and _ends_token(pattern, j)
-                if token and opened and rest_ends and nxt == "?":
-                    needs.append((token, token + c))
-                token, opened = "", False
-                edge = False
-                i = j
-                continue
-            token += c
-            edge = False
-            i += 1
-        elif c == "[":
-            end = pattern.index("]", i + 1)
-            breaks = not re.search(r"[a-z0-9]", pattern[i + 1 : end]) or False
-            repeat = pattern[end + 1 : end + 2]
-            close(breaks and repeat not in ("?", "*"))
-            edge = breaks and repeat not in ("?", "*")
-            i = end + 1 + (repeat in ("+", "*", "?") and repeat != "")
-            if pattern[i : i + 1] == "{":
-                edge = False
-                i = pattern.index("}", i) + 1
-        elif c == "(":
-            end = pattern.index(")", i)
-            choices = pattern[i + 1 : end].split("|")
-            follows = pattern[end + 1 : end + 2]
-            if follows == "?":
-                token, edge = "", False
-                i = end + 2
-            elif all(_WORD.fullmatch(x) for x in choices):
-                if edge and not token and _ends_token(pattern, end + 1):
-                    needs.append(tuple(choices))
-                token, edge = "", False
-                i = end + 1
-            else:
-                close(_ends_token(pattern, i))
-                edge = False
-                i = end + 1
+def _in_class(items: list, c: int, fold: bool) -> bool:
+    """Whether a character is in a class; what isn't understood has every character."""
+    forms = {c, ord(chr(c).upper())} if fold else {c}
+    inside = negated = False
+    for op, value in items:
+        if op is sre.NEGATE:
+            negated = True
+        elif op is sre.LITERAL:
+            inside |= value in forms
+        elif op is sre.RANGE:
+            inside |= any(value[0] <= x <= value[1] for x in forms)
+        elif value in (sre.CATEGORY_SPACE, sre.CATEGORY_NOT_WORD):
+            pass
+        elif value is sre.CATEGORY_DIGIT:
+            inside |= chr(c).isdigit()
+        elif value is sre.CATEGORY_WORD:
+            inside = True
         else:
-            literal = c
-            if c == "\\":
-                literal, i = nxt, i + 1
-            breaks = literal in "/=&?#.-:_" and not (pattern[i + 1 : i + 2] and pattern[i + 1] in "?*")
-            close(breaks or literal == "$")
-            edge = breaks or literal == "^"
-            i += 1
-    if token:
-        token = ""  # it may go on in the URL
-    return PatternRule(pattern, tuple(needs))
-
-
-def _ends_token(pattern: str, i: int) -> bool:
-    c = pattern[i : i + 1]
-    if c == "[":
-        end = pattern.index("]", i + 1)
-        return not re.search(r"[a-z0-9]", pattern[i + 1 : end]) and pattern[end + 1 : end + 2] not in ("?", "*")
-    if c == "(":
-        end = pattern.index(")", i)
-        return all(_ends_token(x, 0) or x == "$" for x in pattern[i + 1 : end].split("|"))
-    return c != "" and c in "/=&?#.-:_$"
+            return True
+    return inside != negated
+
+
+def _spelled(tree, fold: bool) -> list[tuple]:
+    """The alternatives of a parse tree as sequences of characters and the three items."""
+    parts: list[list[tuple]] = []
+    for op, value in tree:
+        if op is sre.LITERAL:
+            char = chr(value).lower() if fold else chr(value)
+            parts.append([(char,) if ord(char[0]) in _TOKEN_CHARS and len(char) == 1 else (BREAK,)])
+        elif op is sre.IN:
+            parts.append([(ANY,) if any(_in_class(value, c, fold) for c in _TOKEN_CHARS) else (BREAK,)])
+        elif op is sre.AT:
+            parts.append([()] if value is sre.AT_NON_BOUNDARY else [(EDGE,)])
+        elif op in (sre.ASSERT, sre.ASSERT_NOT):
+            parts.append([()])
+        elif op is sre.SUBPATTERN:
+            _, add, remove, inner = value
+            parts.append(_spelled(inner, (fold or bool(add & re.IGNORECASE)) and not remove & re.IGNORECASE))
+        elif op is sre.ATOMIC_GROUP:
+            parts.append(_spelled(value, fold))
+        elif op is sre.BRANCH:
+            parts.append([x for branch in value[1] for x in _spelled(branch, fold)])
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT):
+            least, most, inner = value
+            one = _spelled(inner, fold)
+            breaks = all(x and set(x) == {BREAK} for x in one)
+            if breaks:
+                parts.append([(BREAK,)] if least else [(), (BREAK,)])
+            elif least == most == 1:
+                parts.append(one)
+            elif (least, most) == (0, 1):
+                parts.append([(), *one])
+            else:  # the first and the last of several, and anything between them
+                parts.append([x + (ANY,) + y for x in one for y in one] if least > 1 else [(ANY,)])
+        else:
+            parts.append([(ANY,)])
+        if len(parts[-1]) > ALTERNATIVES:
+            parts[-1] = [(ANY,)]
+    out: list[tuple] = [()]
+    for part in parts:
+        out = [a + b for a, b in product(out, part if len(out) * len(part) <= ALTERNATIVES else [(ANY,)])]
+    return out
+
+
+def _whole_tokens(sequence: tuple) -> tuple[str, ...]:
+    """Runs of literal characters between breaks and edges."""
+    found, run, opened = [], "", False
+    for item in (*sequence, ANY):
+        if len(item) == 1:
+            run += item
+            continue
+        if run and opened and item != ANY:
+            found.append(run)
+        run, opened = "", item != ANY
+    return tuple(dict.fromkeys(found))
+
+
+def required_tokens(pattern: str) -> PatternRule:
+    """The tokens that a URL needs for each alternative of ``pattern``; none at all where
+    some alternative needs none."""
+    tree = sre_parser.parse(pattern)
+    needs = [_whole_tokens(x) for x in _spelled(tree, bool(tree.state.flags & re.IGNORECASE))]
+    return PatternRule(pattern, tuple(dict.fromkeys(needs)) if all(needs) else ())
 
 
 def host_of(url: str = "url") -> Column:
@@ -154,41 +173,45 @@ def url_tokens(url: str = "url") -> Column:
 
 
 def rule_index(urls: DataFrame, patterns=PATTERNS, url: str = "url") -> tuple[dict[str, list[str]], list[str]]:
-    """Token to patterns, each filed under the alternatives of its rarest need; and
+    """Token to patterns, each filed under the rarest token of each of its alternatives; and
     the patterns without one. Token frequencies are counted over all URLs, for the
     rules' own tokens only, so the result is as small as the rule list."""
     rules = [required_tokens(p) for p in patterns]
     wanted = sorted({t for r in rules for need in r.needs for t in need})
     counts: dict[str, int] = {}
     if wanted:
-        hits = F.array_intersect(url_tokens(url), F.array(*map(F.lit, wanted)))
-        counts = {r[0]: r[1] for r in urls.select(F.explode(hits).alias("t")).groupBy("t").count().collect()}
+        table = urls.sparkSession.createDataFrame([(t,) for t in wanted], "t string")
+        table = F.broadcast(table) if sum(map(len, wanted)) < BROADCAST_BYTES else table
+        counts = {r[0]: r[1] for r in urls.select(F.explode(url_tokens(url)).alias("t")).groupBy("t").count().join(table, "t").collect()}
     index: dict[str, list[str]] = {}
     rest = []
     for r in rules:
         if not r.needs:
             rest.append(r.pattern)
-            continue
-        need = min(r.needs, key=lambda n: (sum(counts.get(t, 0) for t in n), n))
-        for t in need:
+        for t in sorted({min(need, key=lambda t: (counts.get(t, 0), t)) for need in r.needs}):
             index.setdefault(t, []).append(r.pattern)
     return index, rest
 
 
-def matched_pattern(index: dict[str, list[str]], rest: list[str], url: str = "url") -> Column:
-    """The first pattern, in text order, among the candidates that matches, or null. The
-    index, as large as the rule list, is a literal map from token to candidates."""
-    none = F.array().cast("array<string>")
-    candidates = none
-    if index:
-        pairs = [x for t, ps in sorted(index.items()) for x in (F.lit(t), F.array(*map(F.lit, ps)))]
-        table = F.create_map(*pairs)
-        known = F.array_intersect(url_tokens(url), F.array(*[F.lit(t) for t in sorted(index)]))
-        candidates = F.flatten(F.transform(known, lambda t: F.element_at(table, t)))
-    if rest:
-        candidates = F.concat(candidates, F.array(*map(F.lit, rest)))
-    text = F.lower(F.coalesce(F.col(url), F.lit("")))
-    return F.array_min(F.filter(F.array_distinct(candidates), lambda p: F.rlike(text, p)))
+def matched_pattern(index: dict[str, list[str]], rest: list[str], url: Column) -> Column:
+    """The first pattern, in text order, that matches the lower-cased URL, or null."""
+    distinct = {p for ps in [*index.values(), rest] for p in ps}
+
+    @F.arrow_udf("string")
+    def match(urls: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        run = {p: re.compile(p) for p in distinct}
+        for batch in urls:
+            out = []
+            for u in batch.to_pylist():
+                found = None
+                if u is not None:
+                    text = u.lower()
+                    candidates = {p for t in set(_TOKEN.findall(text)) if t in index for p in index[t]}.union(rest)
+                    found = min((p for p in candidates if run[p].search(text)), default=None)
+                out.append(found)
+            yield pa.array(out, pa.string())
+
+    return match(url)
 
 
 def judge_urls(pages: DataFrame, host_rules=HOST_RULES, patterns=PATTERNS, url: str = "url") -> DataFrame:
@@ -196,6 +219,6 @@ def judge_urls(pages: DataFrame, host_rules=HOST_RULES, patterns=PATTERNS, url:
     where they are: no shuffle beside the small count of rule tokens."""
     index, rest = rule_index(pages, patterns, url)
     d = pages.withColumns({"host": host_of(url), "path": path_of(url)}).withColumn("_fit", host_rule(host_rules))
-    d = d.withColumn("pattern", F.when(F.col("_fit").isNull(), matched_pattern(index, rest, url)))
+    d = d.withColumn("pattern", matched_pattern(index, rest, F.when(F.col("_fit").isNull(), F.coalesce(F.col(url), F.lit("")))))
     method = F.when(F.col("pattern").isNotNull(), "block").otherwise("allow")
     return d.withColumns({"rule": F.col("_fit.rule"), "verdict": F.coalesce(F.col("_fit.verdict"), method)}).drop("_fit")

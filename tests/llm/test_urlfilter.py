@@ -1,5 +1,9 @@
+import random
 import re
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from fabula.llm import urlfilter as U
 
 URLS = [
@@ -29,7 +33,7 @@ def brute(url):
 
 
 def test_verdicts_equal_running_every_rule(spark):
-    df = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(URLS)] + [(None, URLS[0], "")], "page_id bigint, url string, tokens string")
+    df = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(URLS)] + [(None, URLS[0], "")], "page_id bigint, url string, pattern string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in U.judge_urls(df).collect()}
     assert got.pop(None) == brute(URLS[0])
     for i, u in enumerate(URLS):
@@ -43,11 +47,41 @@ def test_rules_are_filed_under_their_rarest_token(spark):
 
 
 def test_required_tokens_are_whole_tokens():
-    need = lambda p: U.required_tokens(p).needs
-    assert need(r"[/.]ads?[/.]") == (("ad", "ads"),)
-    assert need(r"[?&]utm_[a-z]+=") == (("utm",),)
-    assert need(r"abc") == () and need(r"/abc") == () and need(r"/abc/") == (("abc",),)
-    assert need(r"/(cart|checkout)([/?#]|$)") == (("cart", "checkout"),)
+    need = lambda p: set(U.required_tokens(p).needs)
+    assert need(r"[/.]ads?[/.]") == {("ad",), ("ads",)}
+    assert need(r"[?&]utm_[a-z]+=") == {("utm",)}
+    assert need(r"abc") == need(r"/abc") == need(r"/a.c/") == need(r"/(a|.*)/") == set() and need(r"/abc/") == {("abc",)}
+    assert need(r"/(cart|checkout)([/?#]|$)") == {("cart",), ("checkout",)}
+    assert need(r"/foo/|/bar/") == {("foo",), ("bar",)}
+    assert need(r"/ads.js/") == set() and need(r"/foo[^/]+/bar/") == {("bar",)}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.data())
+def test_a_match_has_the_tokens(data):
+    piece = st.sampled_from(["a", "b", "ab", "1", "/", r"\.", "_", "[/?]", "[ab]", "[^/]", ".", r"\d", r"\b", "^", "$", r"\W", "-"])
+    many = st.sampled_from(["", "", "", "?", "*", "+", "{2}", "{0,2}"])
+    unit = st.tuples(piece, many).map(lambda x: x[0] + (x[1] if x[0] not in ("^", "$", r"\b") else ""))
+    flat = st.lists(unit, min_size=1, max_size=5).map("".join)
+    group = st.tuples(st.lists(flat, min_size=1, max_size=3), many).map(lambda x: "(" + "|".join(x[0]) + ")" + x[1])
+    pattern = "".join(data.draw(st.lists(st.one_of(flat, group), min_size=1, max_size=4)))
+    text = data.draw(st.text("ab1/._-?", max_size=14))
+    needs = U.required_tokens(pattern).needs
+    if needs and re.search(pattern, text):
+        tokens = set(re.findall("[a-z0-9]+", text))
+        assert any(set(x) <= tokens for x in needs)
+
+
+def test_ten_thousand_rules_equal_running_each(spark):
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcde") for _ in range(r.randrange(2, 6)))
+    shapes = [lambda: f"/{word()}/", lambda: f"/({word()}|{word()}s?)[/.]", lambda: f"[?&]{word()}=[0-9]+", lambda: f"/{word()}/|[.]{word()}$", lambda: f"/{word()}[^/]+/{word()}/"]
+    rules = [r.choice(shapes)() for _ in range(10_000)]
+    urls = [f"http://{word()}.com/{word()}/{word()}.{word()}/?{word()}={r.randrange(9)}" for _ in range(300)]
+    got = {x.url: x.pattern for x in U.judge_urls(spark.createDataFrame([(u,) for u in urls], "url string"), (), rules).collect()}
+    run = sorted({(p, re.compile(p)) for p in set(rules)}, key=lambda x: x[0])
+    for u in urls:
+        assert got[u] == next((p for p, c in run if c.search(u)), None), u
 
 
 def test_empty_table(spark):
