@@ -17,7 +17,7 @@ from fabula.llm.decontam import contamination
 from fabula.llm.langid import fit_hierarchy, predict_language
 from fabula.llm.ngram_join import PartEnum, jaccard_components
 from fabula.llm.pieces import Vocabulary, encode
-from fabula.llm.secrets import labelled_findings, redact, train_forest
+from fabula.llm.secrets import corpus_forest, redact
 from fabula.llm.words import release
 
 #: Below this a text has hardly any sign of the language predicted for it.
@@ -29,7 +29,7 @@ NEAR = PartEnum(words=5, num=80, den=100)
 #: Documents in an Arrow batch.
 BATCH_ROWS = 1000
 #: Columns that tell rows apart within a stage.
-KEY, SINGLE = "__row_key", "__single"
+KEY, SINGLE, PREDICTED, SCORE = "__row_key", "__single", "__language", "__language_score"
 
 
 def _prepare(spark: SparkSession) -> None:
@@ -42,8 +42,9 @@ def _prepare(spark: SparkSession) -> None:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter, or hardly like any known language, go."""
     _prepare(spark)
-    known = predict_language(docs, fit_hierarchy(docs.select("doc_id", "text", "lang")))
-    return known.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
+    model = fit_hierarchy(docs.select("doc_id", "text", "lang"))
+    known = predict_language(docs, model, lang_col=PREDICTED, score_col=SCORE)
+    return known.where((F.col(PREDICTED) != "und") & (F.col(SCORE) >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -80,7 +81,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the texts; every document stays."""
     _prepare(spark)
-    clean = redact(docs, train_forest(labelled_findings(spark)))
+    clean = redact(docs, corpus_forest(docs))
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
