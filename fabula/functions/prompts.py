@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from fabula.functions.text import trim_ws
 
-STYLE_PREAMBLE = r"(?iu)^\s*(в\s+стиле|style\s+of|in\s+the\s+style\s+of)\s+"
+#: How a request may begin before it names a style, in English and Russian.
+STYLE_OPENINGS = ("in the style of", "style of", "в стиле")
+STYLE_PREAMBLE = r"(?iu)^\s*(?:" + "|".join(x.replace(" ", r"\s+") for x in STYLE_OPENINGS) + r")\s+"
 
 
 def render(template: str, **values: Column) -> Column:
@@ -26,6 +28,36 @@ def lines(*parts: Column) -> Column:
     return F.concat_ws("\n", *(F.when(p != "", p) for p in parts))
 
 
+def described(name: Column, **values: Column) -> Column:
+    """One line about an entity: its name and those values that are known."""
+    known = (F.when(v != "", F.concat(F.lit(f"{k}="), v)) for k, v in values.items())
+    return F.concat_ws("; ", F.concat(F.lit("- "), name), *known)
+
+
+def section(title: str, entries: Column) -> Column:
+    """A title over the lines of an array; null without any."""
+    return F.when(F.size(entries) > 0, F.concat_ws("\n", F.lit(title), F.array_join(entries, "\n")))
+
+
+def titled(title: str, value: Column) -> Column:
+    """``title: value``; null where there is no value."""
+    return F.when(value.cast("string") != "", F.concat(F.lit(f"{title}: "), value.cast("string")))
+
+
+def chain(names: Column) -> Column:
+    """Names from the outermost on; null where there is only one."""
+    return F.when(F.size(names) > 1, F.array_join(names, " > "))
+
+
+def find_prompts(wanted: DataFrame, registry: DataFrame) -> DataFrame:
+    """Wanted (request, id, version) with the first entry of the registry (position, id,
+    version, template) of that id and, if one is asked for, that version."""
+    r = registry.select("id", F.col("version").alias("_version"), "position", "template")
+    fits = wanted.join(r, "id").where(F.col("version").isNull() | (F.col("version") == F.col("_version")))
+    found = fits.groupBy("request").agg(F.min_by(F.struct("_version", "template"), "position").alias("x"))
+    return found.select("request", F.col("x._version").alias("version"), "x.template")
+
+
 def unwrap_json(answer: Column) -> Column:
     """What a fenced block of an answer holds, or the whole answer, without white space around."""
     fenced = F.regexp_extract(answer, r"(?s)```(?:json)?\s*(.*?)```", 1)
@@ -33,9 +65,12 @@ def unwrap_json(answer: Column) -> Column:
 
 
 def answer_text(response: Column) -> Column:
-    """The text of a model's JSON response, wherever its form has it."""
-    paths = ("$.output_text", "$.choices[0].message.content", "$.output[0].content[0].text")
-    return F.coalesce(*(F.get_json_object(response, p) for p in paths))
+    """The text of a model's JSON response, wherever its form has it: alone, in the first
+    choice, or in the parts of all outputs one after the other."""
+    parts = F.from_json(response, "struct<output:array<struct<content:array<struct<text:string>>>>>")["output"]
+    texts = F.filter(F.flatten(F.transform(F.filter(parts, lambda o: o["content"].isNotNull()), lambda o: F.transform(o["content"], lambda c: c["text"]))), lambda t: t.isNotNull())
+    paths = ("$.output_text", "$.choices[0].message.content")
+    return F.coalesce(*(F.get_json_object(response, p) for p in paths), F.when(F.size(texts) > 0, F.array_join(texts, "")))
 
 
 def request_fingerprint(prompt: Column) -> Column:

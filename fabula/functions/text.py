@@ -2,12 +2,14 @@
 
 Offsets and lengths count code points. White space is what Unicode calls so, as
 far as it occurs in books: an explicit class, since Java's ``\\s`` and ``trim`` know
-ASCII only. NFC and NFKC need a function of Python's; rows in plain ASCII skip it.
+ASCII only. NFC and NFKC need a function of Python's, which sees no plain ASCII.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ CHAPTER_PATTERNS = (
     r"^(глава|часть)[\s\u00a0]+([ivxlcdm]+(?![A-Za-z0-9_])|\d+(?![A-Za-z0-9_])|[а-яё]+(?=[A-Za-z0-9_]))[\s\u00a0:.-]*(.*)$",
     r"^\d{1,3}[\s\u00a0.:-]+[^\n]{1,120}$",
 )
+#: Fixed value: one form of address before a name.
 HONORIFIC = r"(?i)^(mr|mrs|ms|miss|dr|sir|lady|lord)\.?\s+"
 #: Place nouns that a loose location key leaves out.
 PLACE_NOUNS = "city|park|square|street|district|building|room|apartment"
@@ -32,20 +35,22 @@ MARKERS = (
     ("before", ("before", "до ")),
     ("after", ("after", "после")),
 )
+#: How far each marker moves an event.
 MARKER_WEIGHTS = {"childhood": -1_000_000, "before": -100, "same_time": 0, "next_day": 10, "after": 50, "year_later": 365}
 
 
 def _unicode_form(form: str):
-    @F.pandas_udf("string")
-    def convert(s: pd.Series) -> pd.Series:
-        return s.str.normalize(form)
+    @F.arrow_udf("string")
+    def convert(s: pa.Array) -> pa.Array:
+        return pa.array([x if x is None or unicodedata.is_normalized(form, x) else unicodedata.normalize(form, x) for x in s.to_pylist()], pa.string())
 
     return convert
 
 
 def unicode_normalize(text: Column, form: str = "NFC") -> Column:
-    """``text`` in a Unicode normal form; plain ASCII is not sent to Python."""
-    return F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(_unicode_form(form)(text))
+    """``text`` in a Unicode normal form. Python sees a null in place of plain ASCII."""
+    other = F.when(~text.rlike(r"^\p{ASCII}*$"), text)
+    return F.coalesce(_unicode_form(form)(other), text)
 
 
 def trim_ws(text: Column) -> Column:
@@ -86,6 +91,49 @@ def is_chapter_title(line: Column) -> Column:
     return fits & (line.rlike("(?i)" + first) | line.rlike("(?iu)" + second) | line.rlike(third))
 
 
+def may_be_chapter_title(line: Column) -> Column:
+    """True for every title, white space around it included, and cheaper to tell."""
+    return line.rlike(f"(?iu)^{WS}*+(?:chapter|part|book|глава|часть|[0-9])")
+
+
+def parse_absolute_date(value: Column) -> Column:
+    """A date with or without a time and an offset; null for what isn't one."""
+    return F.try_to_timestamp(F.when(trim_ws(value) != "", trim_ws(value)))
+
+
+def char_code_sum(text: Column) -> Column:
+    """The sum of the code points, which begins a seed."""
+    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0).cast("long"), lambda s, c: s + F.ascii(c))
+
+
+def progress_percent(done: Column, total: Column) -> Column:
+    """Whole percent after ``done`` (from 0) of ``total`` steps, halves up."""
+    return F.floor((done + 1) / total * 100 + 0.5).cast("long")
+
+
+def scene_title(text: Column) -> Column:
+    """Single spaces, 80 characters at most, the last three of a longer one being dots."""
+    t = trim_ws(collapse_ws(text))
+    return F.when(F.length(t) > 80, F.concat(F.substring(t, 1, 77), F.lit("..."))).otherwise(t)
+
+
+def storage_key(project: Column, scene: Column, seed: Column, media_type: Column) -> Column:
+    extension = F.when(media_type == "image/jpeg", "jpg").otherwise("png")
+    return F.concat_ws("/", F.lit("scenes"), project.cast("string"), scene.cast("string"), F.concat(seed.cast("string"), F.lit("."), extension))
+
+
+def json_text(value: Column, is_string: bool = False) -> Column:
+    """A string as it is, any other value as JSON without blanks, its fields in their order."""
+    return value if is_string else F.to_json(value)
+
+
+def graph_value(value: Column, kind: str) -> Column:
+    """What a graph's property may hold: times as ISO text in UTC, structures as JSON."""
+    if kind in ("timestamp", "date"):
+        return F.date_format(F.to_utc_timestamp(value.cast("timestamp"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return F.to_json(value) if kind.startswith(("struct", "map", "array")) else value.cast("string")
+
+
 def token_estimate(text: Column, chars_per_token: int = 4) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.length(text) / chars_per_token)).cast("long")
 
@@ -165,8 +213,12 @@ def contains_phrase(text: Column, phrase: Column) -> Column:
     return F.concat(F.lit(" "), text, F.lit(" ")).contains(F.concat(F.lit(" "), phrase, F.lit(" ")))
 
 
+#: Fixed value: words that begin with a capital and have two letters at least, side by side.
+CAPITALIZED = r"(?:^|[^\p{L}\p{N}_])(\p{Lu}[\p{L}\p{N}-]+(?:\s+\p{Lu}[\p{L}\p{N}-]+)*)"
+
+
 def capitalized_mentions(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?:^|[^\p{L}\p{N}_])(\p{Lu}[\p{L}\p{N}-]+(?:\s+\p{Lu}[\p{L}\p{N}-]+)*)"), 1))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(CAPITALIZED), 1))
 
 
 def embedding_tokens(text: Column, nfkc: bool = False) -> Column:

@@ -8,6 +8,8 @@ at once; ties that the order of facts leaves open are settled by name or id.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -15,14 +17,53 @@ from pyspark.sql.types import LongType
 from fabula.functions import text as T
 from fabula.operators.components import components
 from fabula.operators.scan import sorted_scan
-
-CHARACTER_TYPES = ("CHARACTER_MENTION", "CHARACTER_ALIAS", "CHARACTER_APPEARANCE", "CHARACTER_PERSONALITY", "CHARACTER_SPEECH_MANNER", "CHARACTER_AGE", "CHARACTER_ROLE", "CHARACTER_RELATIONSHIP", "CHARACTER_PLOT_CHANGE")
+from fabula.plans.storage import materialize
+
+#: The kinds of facts of each family.
+CHARACTER_TYPES = (
+    "CHARACTER_MENTION",
+    "CHARACTER_ALIAS",
+    "CHARACTER_APPEARANCE",
+    "CHARACTER_AGE",
+    "CHARACTER_PERSONALITY",
+    "CHARACTER_SPEECH_MANNER",
+    "CHARACTER_RELATIONSHIP",
+    "CHARACTER_PLOT_CHANGE",
+    "CHARACTER_CANDIDATE",
+)
+LOCATION_TYPES = (
+    "LOCATION_MENTION",
+    "LOCATION_ALIAS",
+    "LOCATION_HIERARCHY",
+    "LOCATION_ATMOSPHERE",
+    "LOCATION_ARCHITECTURE",
+    "LOCATION_ERA",
+    "LOCATION_SOCIAL_CONTEXT",
+    "LOCATION_LIGHTING",
+    "LOCATION_COLOR",
+    "LOCATION_RECURRING_OBJECT",
+    "LOCATION_CHANGE",
+    "LOCATION_CANDIDATE",
+)
+TIMELINE_TYPES = ("TIMELINE_EVENT", "TIMELINE_MARKER", "TIMELINE_CHARACTER_PERIOD", "TIMELINE_CANDIDATE")
+FAMILIES = {"character": CHARACTER_TYPES, "location": LOCATION_TYPES, "timeline": TIMELINE_TYPES}
+#: Words that tell clothing, what stands for missing texts, and which values of
+#: locations may conflict.
 CLOTHING = ("clothing", "clothes", "dress", "wears", "одеж")
 NO_APPEARANCE = "No reliable appearance facts extracted yet."
 NO_DESCRIPTION = "No reliable location description extracted yet."
+LOCATION_VALUES = ("architecture", "era", "lighting", "atmosphere")
 _SEP = "\x1f"
 
 
+def family(kind: Column) -> Column:
+    """The family whose merge reads facts of a kind, or null."""
+    out = F.lit(None).cast("string")
+    for name, kinds in FAMILIES.items():
+        out = F.when(kind.isin(*kinds), name).otherwise(out)
+    return out
+
+
 def entity_groups(facts: DataFrame, normalize=T.normalize_name) -> DataFrame:
     """Facts with ``root``: the component of their entity's normalized name, names that
     one fact mentions together being connected."""
@@ -177,6 +218,35 @@ def attribute_conflicts(groups: DataFrame, types: tuple[str, ...] = ("CHARACTER_
     return found.where("n_values > 1")
 
 
+def location_conflicts(groups: DataFrame) -> DataFrame:
+    """(scope, root, attribute, n_values, facts): values of which the facts of a location
+    state several different ones."""
+    value = lambda c: F.struct(F.lit(c).alias("attribute"), F.col(c).alias("value"))
+    said = groups.select("scope", "root", "id", "chapter_index", "confidence", F.inline(F.array(*(value(c) for c in LOCATION_VALUES if c in groups.columns)))).where("value <> ''")
+    items = F.array_sort(F.collect_list(F.struct("chapter_index", F.col("id").alias("fact_id"), "value", "confidence")))
+    found = said.groupBy("scope", "root", "attribute").agg(F.count_distinct(T.normalize_text(F.col("value"))).alias("n_values"), items.alias("facts"))
+    return found.where("n_values > 1")
+
+
+def conflicts(*found: tuple[str, DataFrame, str]) -> DataFrame:
+    """(scope, kind, subject, detail) of all kinds of conflicts: each given as its kind, the
+    table, and an expression for what is in conflict; the subject is ``root``, or the first
+    of a pair."""
+    rows = []
+    for kind, table, detail in found:
+        subject = F.col("root") if "root" in table.columns else F.col("left_root")
+        rows.append(table.select("scope", F.lit(kind).alias("kind"), subject.alias("subject"), F.expr(detail).cast("string").alias("detail")))
+    return reduce(DataFrame.unionByName, rows)
+
+
+def duplicate_classes(names: DataFrame) -> DataFrame:
+    """(scope, key, root, n_roots): groups that share a name or last word, one row for each
+    member instead of a row for each pair."""
+    keys = _match_keys(names, False)
+    sizes = keys.groupBy("scope", "key", (F.xxhash64("key") % 2).alias("half")).agg(F.count("*").alias("n_roots")).where("n_roots > 1").drop("half")
+    return keys.join(sizes, ["scope", "key"])
+
+
 def location_parents(groups: DataFrame) -> DataFrame:
     """(scope, root, parent_name, n_parents): the most frequent parent, the first seen on a
     tie, and how many different ones there are; several are a conflict."""
@@ -187,10 +257,7 @@ def location_parents(groups: DataFrame) -> DataFrame:
     return seen.withColumn("_rank", F.row_number().over(best)).withColumn("n_parents", kinds).where("_rank = 1").select("scope", "root", "parent_name", "n_parents")
 
 
-def possible_duplicates(names: DataFrame, loose: bool = False) -> DataFrame:
-    """Pairs (scope, left_root, right_root) of different groups: with an equal name or last
-    word of more than two letters; ``loose``: with an equal key without article and place
-    nouns. ``names`` has (scope, root, name). An equi-join of match keys."""
+def _match_keys(names: DataFrame, loose: bool) -> DataFrame:
     name = F.col("name")
     if loose:
         key = F.array(F.when(F.length(T.loose_location_key(name)) > 2, T.loose_location_key(name)))
@@ -198,23 +265,70 @@ def possible_duplicates(names: DataFrame, loose: bool = False) -> DataFrame:
         norm = T.normalize_name(name)
         last = T.last_word(norm)
         key = F.array(F.concat(F.lit("="), norm), F.when(F.length(last) > 2, F.concat(F.lit("~"), last)))
-    keys = names.select("scope", "root", F.explode(key).alias("key")).where("key is not null").distinct()
+    return names.select("scope", "root", F.explode(key).alias("key")).where("key is not null").distinct()
+
+
+def possible_duplicates(names: DataFrame, loose: bool = False) -> DataFrame:
+    """Pairs (scope, left_root, right_root) of different groups: with an equal name or last
+    word of more than two letters; ``loose``: with an equal key without article and place
+    nouns. ``names`` has (scope, root, name). An equi-join of match keys; where very many
+    groups share a key, duplicate_classes() says the same without pairs."""
+    keys = _match_keys(names, loose)
     right = keys.select("scope", "key", F.col("root").alias("right_root"))
     pairs = keys.withColumnRenamed("root", "left_root").join(right, ["scope", "key"]).where("left_root < right_root")
     return pairs.select("scope", "left_root", "right_root").distinct()
 
 
-def patch(rows: DataFrame, patches: DataFrame, key: str) -> DataFrame:
-    """Rows with the values that a patch row of the same key has; nulls leave them."""
-    changed = [c for c in patches.columns if c != key]
-    p = patches.select(key, *(F.col(c).alias(f"_new_{c}") for c in changed))
-    return rows.join(p, key, "left").select(*(F.coalesce(f"_new_{c}", c).alias(c) if c in changed else F.col(c) for c in rows.columns))
+def patch(rows: DataFrame, patches: DataFrame, key: str, clear: str | None = None) -> DataFrame:
+    """Rows with the values that a patch row of the same key has; nulls leave them. ``clear``
+    is a column of ``patches`` with the names of those that become null."""
+    changed = [c for c in patches.columns if c not in (key, clear)]
+    p = patches.select(key, *(F.col(c).alias(f"_new_{c}") for c in changed), *([F.col(clear).alias("_clear")] if clear else []))
+
+    def value(c: str) -> Column:
+        out = F.coalesce(f"_new_{c}", c)
+        return F.when(F.coalesce(F.array_contains("_clear", c), F.lit(False)), F.lit(None)).otherwise(out) if clear else out
+
+    return rows.join(p, key, "left").select(*(value(c).alias(c) if c in changed else F.col(c) for c in rows.columns))
+
+
+def last_versions(versions: DataFrame, *keys: str, order: str = "version") -> DataFrame:
+    """The last version of each key."""
+    rest = [c for c in versions.columns if c not in keys]
+    row = F.max_by(F.struct(*rest), F.col(order)).alias("_last")
+    return versions.groupBy(*keys).agg(row).select(*keys, "_last.*").select(*versions.columns)
+
+
+def patch_last_version(versions: DataFrame, patches: DataFrame, key: str, clear: str | None = None) -> DataFrame:
+    """Versions of which only each key's last one takes the values of its patch."""
+    last = versions.groupBy(key).agg(F.max("version").alias("_last"))
+    marked = versions.join(last, key)
+    old = marked.where("version <> _last").select(*versions.columns)
+    return old.unionByName(patch(marked.where("version = _last").select(*versions.columns), patches, key, clear))
+
+
+def typed_values(json: Column, strings: tuple[str, ...], lists: tuple[str, ...] = ()) -> Column:
+    """A struct of the named values of JSON objects: strings that are strings, and the strings
+    of lists; what has another type is as if it weren't there. No object: all null or empty."""
+    v = F.try_parse_json(json)
+    is_string = lambda x: F.schema_of_variant(x) == "STRING"
+    one = lambda k: F.try_variant_get(v, f"$.{k}", "variant")
+    texts = [F.when(is_string(one(k)), F.try_variant_get(v, f"$.{k}", "string")).alias(k) for k in strings]
+    many = [F.coalesce(F.transform(F.filter(F.try_variant_get(v, f"$.{k}", "array<variant>"), is_string), lambda x: F.try_variant_get(x, "$", "string")), F.array().cast("array<string>")).alias(k) for k in lists]
+    return F.struct(*texts, *many)
+
+
+def safe_json(json: Column, keep_nulls: bool = False) -> Column:
+    """JSON objects without their null members, unless these are kept; null for anything else."""
+    members = F.from_json(json, "map<string,variant>")
+    kept = members if keep_nulls else F.map_filter(members, lambda _, x: ~F.coalesce(F.is_variant_null(x), F.lit(True)))
+    return F.when(F.schema_of_variant(F.try_parse_json(json)).startswith("OBJECT"), F.to_json(kept))
 
 
 def merge_characters(facts: DataFrame, digits: int = 4) -> dict[str, DataFrame]:
     """All tables of a character merge; unlike an approach that replaces a scope at large,
     conflicts of locations are never touched."""
-    groups = entity_groups(facts.where(F.col("type").isin(*CHARACTER_TYPES)))
+    groups = materialize(entity_groups(facts.where(F.col("type").isin(*CHARACTER_TYPES))), "groups")
     names = canonical_names(groups)
     listed = names.select("scope", "root", F.explode(F.concat(F.array("canonical_name"), "aliases")).alias("name"))
     return {
@@ -227,7 +341,7 @@ def merge_characters(facts: DataFrame, digits: int = 4) -> dict[str, DataFrame]:
 
 def merge_locations(facts: DataFrame) -> dict[str, DataFrame]:
     """All tables of a location merge, the parents resolved to groups of the same scope."""
-    groups = entity_groups(facts.where(F.col("type").startswith("LOCATION_")), T.normalize_text)
+    groups = materialize(entity_groups(facts.where(F.col("type").isin(*LOCATION_TYPES)), T.normalize_text), "groups")
     names = canonical_names(groups, people=False, normalize=T.normalize_text)
     listed = names.select("scope", "root", F.explode(F.concat(F.array("canonical_name"), "aliases")).alias("name"))
     parents = location_parents(groups)
@@ -236,6 +350,7 @@ def merge_locations(facts: DataFrame) -> dict[str, DataFrame]:
     return {
         "locations": names.join(placed.select("scope", "root", "parent_root"), ["scope", "root"], "left"),
         "versions": location_versions(version_segments(groups, "location")),
+        "attribute_conflicts": location_conflicts(groups),
         "parent_conflicts": parents.where("n_parents > 1"),
         "possible_duplicates": possible_duplicates(listed, loose=True),
     }

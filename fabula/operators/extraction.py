@@ -1,8 +1,10 @@
 """Facts from chunks through a language-model provider.
 
-A provider is any object with ``complete(text) -> str`` that answers with JSON: a list of
-facts, maybe in a fenced block. Answers are checked; what doesn't fit is dropped, and
-a call that fails is tried again after a growing pause.
+A provider is any object with ``complete(text, family) -> str`` that answers with JSON:
+``{"facts": [...]}``, maybe in a fenced block. An answer must keep to the schema of its
+family in every part, and hold nothing else. A call that fails, takes too long or answers
+with something else is tried again after a growing pause; if it never succeeds, the
+chunk has a row with the error instead of facts.
 """
 
 from __future__ import annotations
@@ -11,24 +13,41 @@ import json
 import re
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from datetime import datetime
 from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-FACTS = "chunk_id string, doc_id bigint, type string, entity_name string, summary string, confidence double"
+from fabula.operators.entities import FAMILIES
+
+FACTS = "chunk_id string, doc_id bigint, family string, type string, entity_name string, summary string, confidence double, quote string, timeline_hint string, value string, error string"
+#: The members of each family's values, those that are lists of strings, and the
+#: words that say where an event stands.
+STRINGS = {
+    "character": ("summary", "targetEntityName", "relationshipType", "change"),
+    "location": ("summary", "parentName", "locationKind", "atmosphere", "architecture", "era", "socialContext", "lighting"),
+    "timeline": ("title", "description", "absoluteDate", "relativeMarker", "relativeOrderHint", "anchorEventTitle", "periodName"),
+}
+LISTS = {"character": ("candidateNames",), "location": ("candidateNames", "colors", "recurringObjects"), "timeline": ("characterNames", "locationNames", "candidateNames")}
+REQUIRED = {"character": "summary", "location": "summary", "timeline": "title"}
+ORDER_HINTS = ("before", "after", "same_time", "childhood", "next_day", "year_later", "unknown")
+TIMEOUT_S = 60.0
 
 
 class Provider(Protocol):
-    def complete(self, text: str) -> str: ...
+    def complete(self, text: str, family: str) -> str: ...
 
 
 class RuleProvider:
-    """A deterministic stand-in: each capitalized word pair in a text is a mention."""
+    """A deterministic stand-in: each capitalized word pair in a text is a mention of a
+    character, and each capitalized word after "in" or "at" one of a location."""
 
-    def complete(self, text: str) -> str:
-        found = dict.fromkeys(re.findall(r"\b[A-Z][a-z]+ [A-Z][a-z]+\b", text))
-        return json.dumps([{"type": "CHARACTER_MENTION", "entityName": n, "value": {"summary": n.lower()}, "confidence": 0.5} for n in found])
+    def complete(self, text: str, family: str) -> str:
+        pattern = {"character": r"\b[A-Z][a-z]+ [A-Z][a-z]+\b", "location": r"\b(?:in|at) ([A-Z][a-z]+)\b"}.get(family)
+        found = dict.fromkeys(re.findall(pattern, text)) if pattern else ()
+        return json.dumps({"facts": [{"type": f"{family.upper()}_MENTION", "entityName": n, "value": {"summary": n.lower()}, "confidence": 0.5} for n in found]})
 
 
 def retry_delay(attempt: int, initial_ms: int = 250, factor: float = 2.0, most_ms: int = 2000) -> int:
@@ -36,7 +55,7 @@ def retry_delay(attempt: int, initial_ms: int = 250, factor: float = 2.0, most_m
     return min(most_ms, int(initial_ms * factor ** (attempt - 1)))
 
 
-def with_retry(call: Callable[[], str], attempts: int = 3, sleep: Callable[[float], None] = time.sleep) -> str:
+def with_retry(call: Callable[[], object], attempts: int = 3, sleep: Callable[[float], None] = time.sleep):
     for attempt in range(1, attempts + 1):
         try:
             return call()
@@ -47,6 +66,16 @@ def with_retry(call: Callable[[], str], attempts: int = 3, sleep: Callable[[floa
     raise AssertionError
 
 
+def with_timeout(call: Callable[[], object], seconds: float = TIMEOUT_S):
+    """The call's result, or TimeoutError once it takes too long; a call that hangs is left
+    to itself."""
+    pool = ThreadPoolExecutor(1)
+    try:
+        return pool.submit(call).result(timeout=seconds)
+    finally:
+        pool.shutdown(wait=False)
+
+
 def unwrap_json(answer: str):
     """The JSON in an answer, with or without a fence around it; None if there is none."""
     m = re.search(r"```(?:json)?\s*(.*?)```", answer, re.S)
@@ -56,30 +85,61 @@ def unwrap_json(answer: str):
         return None
 
 
-def valid_facts(answer: str) -> Iterator[tuple[str, str, str, float]]:
-    items = unwrap_json(answer)
-    for x in items if isinstance(items, list) else []:
-        if not isinstance(x, dict):
-            continue
-        value = x.get("value")
-        summary = value.get("summary") if isinstance(value, dict) else None
-        fields = x.get("type"), x.get("entityName"), summary
-        score = x.get("confidence")
-        if all(isinstance(f, str) and f.strip() for f in fields) and isinstance(score, int | float) and 0 <= score <= 1:
-            yield *(f.strip() for f in fields), float(score)
+def _text(x: object) -> str:
+    if not isinstance(x, str) or not x.strip():
+        raise ValueError("not a text")
+    return x.strip()
+
+
+def _members(x: object, required: set[str], optional: set[str]) -> dict:
+    if not isinstance(x, dict) or not required <= set(x) <= required | optional:
+        raise ValueError(f"members {sorted(x) if isinstance(x, dict) else type(x).__name__}")
+    return x
+
+
+def _fact(x: object, family: str) -> tuple:
+    x = _members(x, {"type", "entityName", "value", "confidence"}, {"quote", "timelineHint"})
+    if x["type"] not in FAMILIES[family]:
+        raise ValueError(f"type {x['type']}")
+    value = _members(x["value"], {REQUIRED[family]}, {*STRINGS[family], *LISTS[family]})
+    value = {k: [_text(y) for y in (v if isinstance(v, list) else [None])] if k in LISTS[family] else _text(v) for k, v in value.items()}
+    if value.get("relativeOrderHint", "unknown") not in ORDER_HINTS:
+        raise ValueError("relativeOrderHint")
+    if "absoluteDate" in value and ("T" not in value["absoluteDate"] or datetime.fromisoformat(value["absoluteDate"]).tzinfo is None):
+        raise ValueError("absoluteDate")
+    score = x["confidence"]
+    if isinstance(score, bool) or not isinstance(score, int | float) or not 0 <= score <= 1:
+        raise ValueError("confidence")
+    quote, hint = (_text(x[k]) if k in x else None for k in ("quote", "timelineHint"))
+    return x["type"], _text(x["entityName"]), value[REQUIRED[family]], float(score), quote, hint, json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
+def valid_facts(answer: str, family: str) -> list[tuple]:
+    """(type, entity name, summary or title, confidence, quote, timeline hint, value) of every
+    fact; ValueError where anything in the answer isn't as its schema says."""
+    given = _members(unwrap_json(answer), set(), {"facts"})
+    facts = given.get("facts", [])
+    if not isinstance(facts, list):
+        raise ValueError("facts")
+    return [_fact(x, family) for x in facts]
 
 
-def extract_facts(chunks: DataFrame, provider: Provider, attempts: int = 3) -> DataFrame:
+def extract_facts(chunks: DataFrame, provider: Provider, families: tuple[str, ...] = ("character",), attempts: int = 3, timeout_s: float = TIMEOUT_S) -> DataFrame:
     """Facts of all chunks (chunk_id, doc_id, text); chunks stay in their partitions."""
+    names = [x.split()[0] for x in FACTS.split(", ")]
+    kinds = [pa.float64() if n == "confidence" else pa.int64() if n == "doc_id" else pa.string() for n in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out: list[tuple] = []
             for chunk, doc, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                answer = with_retry(lambda t=text: provider.complete(t), attempts)
-                out += [(chunk, doc, *f) for f in valid_facts(answer)]
+                for family in families:
+                    try:
+                        call = lambda t=text or "", f=family: valid_facts(with_timeout(lambda: provider.complete(t, f), timeout_s), f)
+                        out += [(chunk, doc, family, *f, None) for f in with_retry(call, attempts)]
+                    except Exception as e:  # one chunk must not stop the others
+                        out.append((chunk, doc, family, *[None] * 7, f"{type(e).__name__}: {e}"[:300]))
             if out:
-                kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in FACTS.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     return chunks.select("chunk_id", "doc_id", "text").mapInArrow(run, FACTS)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fabula.plans.storage import materialize
+
 #: Relationship kinds and the edges they become.
 RELATIONS = {
     "KNOWS": "KNOWS",
@@ -59,15 +61,58 @@ def neighbourhood(edge_table: DataFrame, seeds: DataFrame, hops: int = 2, throug
     return reached
 
 
-def ancestry(parents: DataFrame, most: int = 32) -> DataFrame:
+def ancestry(parents: DataFrame) -> DataFrame:
     """(id, path): names from the root to each row of (id, name, parent_id), by doubling the
-    reach of parent links; a row whose links form a circle stops at the first repeat."""
+    reach of parent links until none is open, however deep; a row whose links form a circle
+    stops at the first repeat."""
     rows = parents.select("id", F.col("parent_id").alias("up"), F.array("name").alias("path"), F.array("id").alias("seen"))
-    reach = 1
-    while reach < most:
+    while True:
         other = rows.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("path").alias("path2"), F.col("seen").alias("seen2"))
         joined = rows.join(other, "up", "left")
         new = F.col("seen2").isNotNull() & ~F.coalesce(F.arrays_overlap("seen", "seen2"), F.lit(False))
         rows = joined.select("id", F.when(new, F.col("up2")).alias("up"), F.when(new, F.concat("path2", "path")).otherwise(F.col("path")).alias("path"), F.when(new, F.concat("seen2", "seen")).otherwise(F.col("seen")).alias("seen"))
-        reach *= 2
-    return rows.select("id", "path")
+        rows = materialize(rows, "ancestry")
+        if not rows.where("up is not null").head(1):
+            return rows.select("id", "path")
+
+
+def without_scope(node_table: DataFrame, edge_table: DataFrame, project: str) -> tuple[DataFrame, DataFrame]:
+    """The graph without a project's nodes and the edges at them."""
+    of = lambda c: F.substring_index(F.col(c), ":", 1) == project
+    return node_table.where(~of("key")), edge_table.where(~of("source") & ~of("target"))
+
+
+def ordered_nodes(node_table: DataFrame) -> DataFrame:
+    return node_table.orderBy("label", "key")
+
+
+def ordered_edges(edge_table: DataFrame) -> DataFrame:
+    return edge_table.orderBy("type", "source", "target")
+
+
+def context_lines(near: DataFrame, node_table: DataFrame, edge_table: DataFrame, most_nodes: int = 20, most_edges: int = 30) -> DataFrame:
+    """(seed, line, text): the first nodes and edges of each neighbourhood (seed, key), in the
+    order of graph results. ``node_table`` may have a ``properties`` column."""
+    nodes_of = near.join(node_table, "key")
+    rank = lambda *by: F.row_number().over(Window.partitionBy("seed").orderBy(*by))
+    properties = F.col("properties") if "properties" in node_table.columns else F.to_json(F.struct("name"))
+    top = nodes_of.withColumn("line", rank("label", "key")).where(F.col("line") <= most_nodes)
+    top = top.select("seed", "line", F.concat(F.lit("node "), "label", F.lit(": "), properties).alias("text"))
+    inside = edge_table.join(near.withColumnRenamed("key", "source"), "source").join(near.select("seed", F.col("key").alias("target")), ["seed", "target"])
+    links = inside.select("seed", "type", "source", "target").distinct().withColumn("line", rank("type", "source", "target")).where(F.col("line") <= most_edges)
+    text = F.concat(F.lit("relationship "), "type", F.lit(": "), "source", F.lit(" -> "), "target")
+    return top.union(links.select("seed", (F.col("line") + most_nodes).alias("line"), text.alias("text")))
+
+
+def scene_entities(scenes: DataFrame, appears_in: DataFrame, happens_at: DataFrame, located_in: DataFrame) -> DataFrame:
+    """(scene, character_ids, location_ids, object_ids): distinct ids along optional links.
+
+    ``scenes`` (scene), ``appears_in`` (character, scene), ``happens_at`` (scene, location),
+    ``located_in`` (object, location). Each list is made by itself, so the chain's rows don't
+    multiply; a list is as long as one scene has entities."""
+    at = scenes.join(happens_at, "scene").select("scene", "location").distinct()
+    ids = lambda rows, c: rows.groupBy("scene").agg(F.array_sort(F.collect_set(c)).alias(f"{c}_ids"))
+    out = scenes.select("scene").distinct()
+    for rows, c in ((scenes.join(appears_in, "scene"), "character"), (at, "location"), (at.join(located_in, "location"), "object")):
+        out = out.join(ids(rows, c), "scene", "left").withColumn(f"{c}_ids", F.coalesce(f"{c}_ids", F.array()))
+    return out

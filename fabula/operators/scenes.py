@@ -13,19 +13,22 @@ MARGIN = 0.08
 def entity_matches(texts: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Best match of each entity in each text. ``labels``: (entity_id, label, is_name).
 
-    Labels are found by their words: a text's distinct words and stems meet the first
-    word of each label in an equi-join, and only what meets there is compared as a
-    phrase. Whole phrases score 1, or 1.05 as an alias; one word of the same stem 0.92
-    or 0.97."""
-    t = texts.select(id_col, T.scene_text(F.col(text_col)).alias("t"))
-    words = t.select(id_col, "t", F.explode(F.array_distinct(F.split("t", " "))).alias("w")).where("w <> ''")
-    keys = words.select(id_col, "t", F.explode(F.array(F.concat(F.lit("w:"), "w"), F.concat(F.lit("s:"), T.stem_token(F.col("w"))))).alias("key"))
-    lab = labels.withColumn("l", T.scene_text(F.col("label"))).where("l <> ''").withColumn("first", F.split("l", " ")[0])
-    single = F.size(F.split("l", " ")) == 1
-    lab = lab.select("*", F.explode(F.array(F.concat(F.lit("w:"), "first"), F.when(single, F.concat(F.lit("s:"), T.stem_token(F.col("l")))))).alias("key")).where("key is not null")
-    phrase = T.contains_phrase(F.col("t"), F.col("l"))
-    score = F.when(phrase, F.when(F.col("is_name"), 1.0).otherwise(1.05)).when(F.col("key").startswith("s:"), F.when(F.col("is_name"), 0.92).otherwise(0.97))
-    hits = keys.join(lab, "key").withColumn("score", score).where("score is not null")
+    A label of n words is in a text where it equals one of its runs of n words; so runs
+    of the lengths that labels have, and stems, meet labels in an equi-join. The text itself
+    never travels. Whole phrases score 1, or 1.05 as an alias; one word of the same stem
+    0.92 or 0.97."""
+    lab = labels.withColumn("l", T.scene_text(F.col("label"))).where("l <> ''").withColumn("n", F.size(F.split("l", " ")))
+    lengths = sorted(r.n for r in lab.select("n").distinct().collect())
+    w = texts.select(id_col, F.split(T.scene_text(F.col(text_col)), " ").alias("w"))
+    run = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.concat(F.lit("w:"), F.array_join(F.slice("w", i, n), " ")))
+    none = F.array().cast("array<string>")
+    runs = [F.transform("w", lambda x: F.concat(F.lit("w:"), x)) if n == 1 else F.when(F.size("w") >= n, run(n)).otherwise(none) for n in lengths]
+    stems = [F.transform("w", lambda x: F.concat(F.lit("s:"), T.stem_token(x)))] if 1 in lengths else []
+    keys = w.select(id_col, F.explode(F.array_distinct(F.concat(none, *runs, *stems))).alias("key"))
+    stem = F.when(F.col("n") == 1, F.concat(F.lit("s:"), T.stem_token(F.col("l"))))
+    lab = lab.select("entity_id", "label", "is_name", F.explode(F.array(F.concat(F.lit("w:"), "l"), stem)).alias("key")).where("key is not null")
+    score = F.when(F.col("key").startswith("w:"), F.when(F.col("is_name"), 1.0).otherwise(1.05)).otherwise(F.when(F.col("is_name"), 0.92).otherwise(0.97))
+    hits = keys.join(lab, "key").withColumn("score", score)
     best = F.max_by("label", F.struct("score", F.col("is_name"), "label"))
     return hits.groupBy(id_col, "entity_id").agg(F.max("score").alias("score"), best.alias("matched"))
 

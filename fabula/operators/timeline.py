@@ -25,26 +25,71 @@ def running_pairwise_mean(value: str, *keys: str, order: str = "seq") -> list[Co
     return [F.pow(F.lit(0.5), power).alias("weight")]
 
 
+#: What is known of an event's place in time, later facts first.
+MARKER_KEYS = ("relative_marker", "hint", "anchor_title", "period_name", "timeline_hint", "quote")
+
+
+def united(value: str, order: str = "seq") -> Column:
+    """The distinct, trimmed, non-empty strings of all arrays, first ones first."""
+    items = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(value).alias("v")))), lambda x: x["v"]))
+    return F.array_distinct(F.filter(F.transform(items, T.trim_ws), lambda x: x != ""))
+
+
 def merge_events(events: DataFrame, digits: int = 4) -> DataFrame:
-    """Events of one chapter with the same title as one: first title and description,
-    united lists, and the running pairwise mean of the confidences."""
+    """Events of one chapter with the same title as one: first title and description, united
+    lists of names, chunks and facts, for each marker the last known, and the running
+    pairwise mean of the confidences."""
     keys = ["scope", "chapter_index", "_title"]
     e = events.withColumn("_title", T.normalize_text(F.col("title")))
     e = e.select("*", *running_pairwise_mean("confidence", *keys))
-    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("seq", F.col(c).alias("v")))), lambda x: x["v"])
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
+    lists = [c for c in ("character_names", "location_names", "source_chunk_ids") if c in e.columns]
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", F.col("id").alias("v")))), lambda x: x["v"])
     return e.groupBy(*keys).agg(
         F.min_by("title", "seq").alias("title"),
         F.min_by("description", F.when(F.col("description").isNotNull(), F.col("seq"))).alias("description"),
         F.min("seq").alias("seq"),
         F.min("relative_order").alias("relative_order"),
-        F.max_by("hint", F.when(F.col("hint").isNotNull(), F.col("seq"))).alias("hint"),
-        F.max_by("anchor_title", F.when(F.col("anchor_title").isNotNull(), F.col("seq"))).alias("anchor_title"),
+        *(last(c) for c in MARKER_KEYS if c in e.columns),
         F.min_by("absolute_date", "seq").alias("absolute_date"),
-        ordered("id").alias("source_fact_ids"),
+        *(united(c).alias(c) for c in lists),
+        F.array_distinct(ordered).alias("source_fact_ids"),
         F.round(F.sum(F.col("weight") * F.col("confidence")), digits).alias("confidence"),
     ).drop("_title")
 
 
+def name_index(entities: DataFrame) -> DataFrame:
+    """(scope, name, entity_id) of normalized names. ``entities`` has (scope, entity_id, rank,
+    name, canonical): of several entities with a name the last by rank has it, as later
+    entries replace earlier ones."""
+    named = entities.withColumn("name", T.normalize_text(F.col("name"))).where("name <> ''")
+    return named.groupBy("scope", "name").agg(F.max_by("entity_id", F.struct("rank", "entity_id")).alias("entity_id"))
+
+
+def resolve_names(events: DataFrame, index: DataFrame, names: str, event_id: str = "id") -> DataFrame:
+    """(scope, event_id, entity_id, position): the distinct entities of the events' names,
+    each at its first place; names of no entity are left out."""
+    listed = events.select("scope", event_id, F.posexplode(names).alias("position", "name")).withColumn("name", T.normalize_text(F.col("name")))
+    found = listed.join(index, ["scope", "name"])
+    return found.groupBy("scope", event_id, "entity_id").agg(F.min("position").alias("position"))
+
+
+def event_versions(links: DataFrame, versions: DataFrame, characters: DataFrame) -> DataFrame:
+    """Bridge rows (event_id, version_id) with the version's number and its character's name."""
+    v = versions.select("version_id", "version", "character_id")
+    return links.dropDuplicates(["event_id", "version_id"]).join(v, "version_id").join(characters.select("character_id", "name"), "character_id")
+
+
+def timeline_view(events: DataFrame) -> DataFrame:
+    """Persisted events with ``order_index``, their number as merged, in the order of queries:
+    by relative order, chapter and number. Missing lists are empty."""
+    w = Window.partitionBy("scope").orderBy("seq")
+    rows = events.withColumn("order_index", F.row_number().over(w) - 1)
+    rows = rows.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("character_names", "location_names") if c in rows.columns})
+    at = Window.partitionBy("scope").orderBy("relative_order", "chapter_index", "order_index")
+    return rows.withColumn("position", F.row_number().over(at) - 1)
+
+
 def _order_step(state: dict, row: tuple) -> int:
     title, own, hint, anchor = row
     key = lambda x: " ".join((x or "").lower().split())

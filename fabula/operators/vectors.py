@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,18 +16,31 @@ from fabula.functions import text as T
 DIMENSIONS = 256
 
 
-def hash_features(rows: DataFrame, id_col: str, text_col: str, dimensions: int = DIMENSIONS) -> DataFrame:
-    """Sparse embeddings (id, dim, weight) of length 1: each token adds the logarithm of its
-    length plus one, with a sign, to the dimension that its SHA-256 names.
+def hash_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
+    """Embeddings of length 1, or all zeros: each token adds the logarithm of its length plus
+    one, with a sign, to the dimension that its SHA-256 names. A row is embedded where it
+    is; within a batch each distinct token is hashed once."""
+
+    @F.arrow_udf("array<double>")
+    def embed(tokens: pa.Array) -> pa.Array:
+        known = tokens.flatten().dictionary_encode()
+        digests = [hashlib.sha256(t.encode()).digest() for t in known.dictionary.to_pylist()]
+        cell = np.array([int.from_bytes(d[:4], "big") % dimensions for d in digests], np.int64)
+        weight = np.array([(1 if d[4] % 2 == 0 else -1) * math.log1p(len(t)) for d, t in zip(digests, known.dictionary.to_pylist(), strict=True)], np.float64)
+        token = known.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(tokens)), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy())
+        sums = np.bincount(row * dimensions + cell[token], weight[token], len(tokens) * dimensions).astype(np.float64).reshape(-1, dimensions)
+        norm = np.sqrt((sums * sums).sum(1))
+        sums /= np.where(norm > 0, norm, 1)[:, None]
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(tokens) + 1) * dimensions, pa.int32()), pa.array(sums.ravel()))
 
-    A text's tokens are counted first, so each distinct one is hashed once per text."""
-    t = rows.select(id_col, F.explode(T.embedding_tokens(F.col(text_col))).alias("token")).groupBy(id_col, "token").agg(F.count("*").alias("n"))
-    h = F.sha2("token", 256)
-    dim = F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dimensions
-    sign = F.when(F.conv(F.substring(h, 9, 2), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
-    sums = t.select(id_col, dim.alias("dim"), (sign * F.col("n") * F.log1p(F.length("token"))).alias("w")).groupBy(id_col, "dim").agg(F.sum("w").alias("w"))
-    norms = sums.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return sums.join(norms, id_col).where("norm > 0").select(id_col, "dim", (F.col("w") / F.col("norm")).alias("weight"))
+    return embed(T.embedding_tokens(text))
+
+
+def hash_features(rows: DataFrame, id_col: str, text_col: str, dimensions: int = DIMENSIONS) -> DataFrame:
+    """Embeddings as rows (id, dim, weight), those that aren't 0."""
+    dense = rows.select(id_col, hash_embedding(F.col(text_col), dimensions).alias("v"))
+    return dense.select(id_col, F.posexplode("v").alias("dim", "weight")).where("weight <> 0").select(id_col, F.col("dim").cast("long").alias("dim"), "weight")
 
 
 def clamp_limit(limit: float | None) -> int:
@@ -33,12 +50,14 @@ def clamp_limit(limit: float | None) -> int:
     return int(min(50, max(1, math.floor(limit))))
 
 
-def search_text(features: DataFrame, query: str, id_col: str, limit: float | None = 10, dimensions: int = DIMENSIONS) -> DataFrame:
-    """The rows most similar to ``query``: its few features are joined by dimension."""
-    spark = features.sparkSession
-    q = hash_features(spark.createDataFrame([(0, query)], "q bigint, text string"), "q", "text", dimensions)
-    scored = features.join(F.broadcast(q.select("dim", F.col("weight").alias("qw"))), "dim").groupBy(id_col).agg(F.sum(F.col("weight") * F.col("qw")).alias("score"))
-    return scored.orderBy(F.desc(F.round("score", 9)), id_col).limit(clamp_limit(limit))
+def search_text(rows: DataFrame, query: str, id_col: str, text_col: str = "text", limit: float | None = 10, dimensions: int = DIMENSIONS) -> DataFrame:
+    """The rows of the texts most similar to ``query``. Scores are made where the rows are,
+    and only the best of each task move."""
+    one = rows.sparkSession.createDataFrame([(query,)], "text string")
+    q = one.select(hash_embedding(F.col("text"), dimensions).alias("v")).first().v
+    v = F.array(*map(F.lit, q))
+    score = F.aggregate(F.zip_with(hash_embedding(F.col(text_col), dimensions), v, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    return rows.select(id_col, score.alias("score")).where("score <> 0").orderBy(F.desc(F.round("score", 9)), id_col).limit(clamp_limit(limit))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -63,3 +82,14 @@ def search_vectors(points: DataFrame, query: list[float], limit: float | None =
 def upsert(points: DataFrame, new: DataFrame, id_col: str) -> DataFrame:
     """Points with those of ``new`` in place of any of the same id."""
     return points.join(new.select(id_col), id_col, "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def deleted(points: DataFrame, **values: list) -> DataFrame:
+    """Points without those whose columns all have one of the given values; a column with an
+    empty list is no condition, and without any condition nothing is deleted."""
+    hit = None
+    for c, allowed in values.items():
+        if allowed:
+            one = F.coalesce(F.col(c).isin(*allowed), F.lit(False))
+            hit = one if hit is None else hit & one
+    return points if hit is None else points.where(~hit)

@@ -6,12 +6,14 @@ an extractor function (bytes to text), as no library for it is assumed.
 
 from __future__ import annotations
 
+import hashlib
 import io
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ FORMATS = (
     ("FB2", ".fb2", ("application/x-fictionbook+xml", "application/fictionbook+xml", "text/xml", "application/xml")),
 )
 MOST_BYTES = 50 * 1024 * 1024
-PARSED = "path string, format string, text string, title string, author string, language string, error string"
+PARSED = "path string, format string, content_hash string, text string, title string, author string, language string, error string"
 
 
 def book_format(path: Column, media_type: Column | None = None) -> Column:
@@ -108,7 +110,7 @@ def parse_books(files: DataFrame, pdf: Callable[[bytes], str] | None = None) ->
         for batch in batches:
             for i in range(len(batch)):
                 path, data, kind = (batch.column(c)[i].as_py() for c in range(3))
-                row: dict = {"path": path, "format": kind}
+                row: dict = {"path": path, "format": kind, "content_hash": hashlib.sha256(data).hexdigest()}
                 try:
                     if kind == "TXT":
                         row["text"] = data.decode("utf-8", "replace")
@@ -128,10 +130,31 @@ def parse_books(files: DataFrame, pdf: Callable[[bytes], str] | None = None) ->
     return files.select("path", "content", "format").mapInArrow(run, PARSED)
 
 
-def read_books(spark: SparkSession, glob: str, pdf: Callable[[bytes], str] | None = None) -> DataFrame:
-    """Books below ``glob`` with normalized texts and the SHA-256 of their files."""
+def read_books(spark: SparkSession, glob: str, pdf: Callable[[bytes], str] | None = None, metadata: DataFrame | None = None) -> DataFrame:
+    """Books below ``glob`` with normalized texts and the SHA-256 of their files, each file
+    read once. ``metadata`` (path, title, author, language) overrides what files say."""
     files = spark.read.format("binaryFile").load(glob).select("path", "content", book_format(F.col("path")).alias("format"))
-    parsed = parse_books(files, pdf).join(files.select("path", F.sha2("content", 256).alias("content_hash")), "path")
+    parsed = parse_books(files, pdf)
+    if metadata is not None:
+        given = metadata.select("path", *(F.col(c).alias(f"_{c}") for c in ("title", "author", "language")))
+        parsed = parsed.join(given, "path", "left").select(*(F.coalesce(f"_{c}", c).alias(c) if c in ("title", "author", "language") else c for c in parsed.columns))
     text = F.when(F.col("format") == "EPUB", T.strip_xml_tags(F.col("text"))).otherwise(F.col("text"))
     return parsed.withColumn("text", T.normalize_book_text(text))
 
+
+def save_originals(files: DataFrame, root: str) -> DataFrame:
+    """Writes each file (path, content) below ``root`` under the name of its content, and
+    returns (path, stored). The same content is the same file, so a task may run again. Files
+    go through ``pyarrow.fs``, so ``root`` needs a scheme that it knows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(root)
+        store.create_dir(base, recursive=True)
+        for batch in batches:
+            for path, data, name in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                with store.open_output_stream(f"{base}/{name}") as out:
+                    out.write(data)
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([f"{root}/{name}"])], names=["path", "stored"])
+
+    name = F.substring_index(storage_path(F.sha2("content", 256), F.col("path"), ""), "/", -1)
+    return files.select("path", "content", name).mapInArrow(run, "path string, stored string")

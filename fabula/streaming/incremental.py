@@ -19,34 +19,39 @@ def watch_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(CHUNKS).parquet(folder)
 
 
-def replace_chunks(chunks: DataFrame, provider: Provider, table: str) -> None:
-    """The facts of ``chunks`` in place of those that ``table`` has of the same chunks; a
-    chunk without facts leaves none."""
+def replace_chunks(chunks: DataFrame, provider: Provider, table: str, families: tuple[str, ...] = ("character",)) -> None:
+    """The facts of ``chunks`` in place of those that ``table`` has of the same chunks and
+    families; a chunk without facts leaves none. Where extraction failed, the old facts stay."""
     spark = chunks.sparkSession
     bucket = F.pmod(F.xxhash64("chunk_id"), F.lit(BUCKETS)).cast("int").alias("bucket")
     path = spark._jvm.org.apache.hadoop.fs.Path(table)
     files = path.getFileSystem(spark._jsc.hadoopConfiguration())
     touched = [r.bucket for r in chunks.select(bucket).distinct().collect()]
-    rows = extract_facts(chunks, provider).select("*", bucket)
+    made = extract_facts(chunks, provider, families).persist()
+    rows = made.where("error is null").select("*", bucket)
     if files.exists(path):
         old = spark.read.schema(f"{FACTS}, bucket int").parquet(table).where(F.col("bucket").isin(touched))
-        again = chunks.select(F.col("chunk_id").alias("again"))
-        rows = rows.union(old.join(again, old["chunk_id"].eqNullSafe(again["again"]), "left_anti"))
+        failed = made.where("error is not null").select("chunk_id", "family")
+        again = chunks.select("chunk_id", F.explode(F.array(*map(F.lit, families))).alias("family"))
+        again = again.join(failed, again["chunk_id"].eqNullSafe(failed["chunk_id"]) & (again["family"] == failed["family"]), "left_anti")
+        again = again.select(F.col("chunk_id").alias("again"), F.col("family").alias("of"))
+        rows = rows.union(old.join(again, old["chunk_id"].eqNullSafe(again["again"]) & (old["family"] == again["of"]), "left_anti"))
     rows = rows.persist()
     left = {r.bucket for r in rows.select("bucket").distinct().collect()}
     replace_scope(rows, table, "bucket")
     for b in set(touched) - left:  # an overwrite touches no partition without rows
         files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{table}/bucket={b}"), True)
     rows.unpersist()
+    made.unpersist()
 
 
-def extract_continuously(chunks: DataFrame, provider: Provider, table: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+def extract_continuously(chunks: DataFrame, provider: Provider, table: str, checkpoint: str, once: bool = False, families: tuple[str, ...] = ("character",)) -> StreamingQuery:
     """Extracts facts of each arriving chunk into ``table``, partitioned by a hash of the chunk.
     A chunk that comes again replaces its own facts, and so does a repeated batch."""
 
     def write(batch: DataFrame, _: int) -> None:
         distinct = batch.dropDuplicates(["chunk_id"]).persist()
-        replace_chunks(distinct, provider, table)
+        replace_chunks(distinct, provider, table, families)
         distinct.unpersist()
 
     stream = chunks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -1,4 +1,8 @@
+import json
 import random
+import time
+
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -6,7 +10,7 @@ from fabula.operators import graph as G
 from fabula.operators import scenes as S
 from fabula.operators import vectors as V
 from fabula.operators.components import components
-from fabula.operators.extraction import RuleProvider, extract_facts, retry_delay, unwrap_json, valid_facts, with_retry
+from fabula.operators.extraction import RuleProvider, extract_facts, retry_delay, unwrap_json, valid_facts, with_retry, with_timeout
 from fabula.sources.tables import read_scope, replace_scope, upsert
 
 TEXT = "Джон разговаривает с Майклом возле фонтана."
@@ -32,7 +36,7 @@ def test_vectors(spark):
     f = V.hash_features(docs, "id", "text")
     length = f.where("id = 1").agg(F.sum(F.col("weight") * F.col("weight"))).first()[0]
     assert abs(length - 1) < 1e-9 and f.where("id = 3").count() == 0
-    found = V.search_text(f, "old square Mara", "id").collect()
+    found = V.search_text(docs.union(spark.createDataFrame([(4, None)], docs.schema)), "old square Mara", "id").collect()
     assert found[0].id == 1 and found[0].score > 0
     points = spark.createDataFrame([(1, [1.0, 0.0], "a"), (2, [0.0, 0.0], "a"), (3, [1.0, 1.0, 5.0], "b")], "vec_id int, embedding array<double>, label string")
     top = V.search_vectors(points, [1.0, 0.0], 50).collect()
@@ -50,6 +54,8 @@ def test_graph(spark):
     assert sorted(r.key for r in near) == ["a", "b", "c"]
     parents = spark.createDataFrame([(1, "City", None), (2, "Park", 1), (3, "Fountain", 2), (4, "x", 5), (5, "y", 4)], "id int, name string, parent_id int")
     paths = {r.id: r.path for r in G.ancestry(parents).collect()}
+    deep = spark.createDataFrame([(i, f"n{i}", i - 1 if i else None) for i in range(100)], "id int, name string, parent_id int")
+    assert {r.id: r.path for r in G.ancestry(deep).collect()}[99] == [f"n{i}" for i in range(100)]
     assert paths[3] == ["City", "Park", "Fountain"] and paths[1] == ["City"] and len(paths[4]) <= 2
 
 
@@ -62,7 +68,27 @@ def test_extraction(spark):
     chunks = spark.createDataFrame([("c1", 4, "Anna Karenina met Alexei Vronsky."), ("c2", 4, "nothing")], "chunk_id string, doc_id bigint, text string")
     assert sorted(r.entity_name for r in extract_facts(chunks, RuleProvider()).collect()) == ["Alexei Vronsky", "Anna Karenina"]
     assert unwrap_json('x ```json\n[1]\n``` y') == [1] and unwrap_json("no") is None
-    assert list(valid_facts('[{"type": "T", "entityName": " N ", "value": {"summary": "s"}, "confidence": 2}, 5]')) == []
+    good = {"type": "CHARACTER_AGE", "entityName": " N ", "value": {"summary": "s"}, "confidence": 1, "quote": "q"}
+    assert valid_facts(json.dumps({"facts": [good]}), "character") == [("CHARACTER_AGE", "N", "s", 1.0, "q", None, '{"summary":"s"}')] and valid_facts("{}", "timeline") == []
+    event = {"type": "TIMELINE_EVENT", "entityName": "e", "value": {"title": "t", "absoluteDate": "2020-01-01T00:00:00Z", "characterNames": [" a "]}, "confidence": 0.5}
+    assert valid_facts(json.dumps({"facts": [event]}), "timeline")[0][6] == '{"title":"t","absoluteDate":"2020-01-01T00:00:00Z","characterNames":["a"]}'
+    bad = [good | {"confidence": 2}, good | {"x": 1}, good | {"type": "TIMELINE_EVENT"}, good | {"value": {}}, good | {"value": {"summary": "s", "y": 1}}, good | {"value": {"summary": "s", "candidateNames": [""]}}, 5]
+    for x in bad:
+        with pytest.raises(ValueError):
+            valid_facts(json.dumps({"facts": [good, x]}), "character")
+    with pytest.raises(ValueError):
+        valid_facts(json.dumps({"facts": [event | {"value": {"title": "t", "absoluteDate": "2020-01-01"}}]}), "timeline")
+    with pytest.raises(TimeoutError):
+        with_timeout(lambda: time.sleep(1), 0.05)
+
+    class Broken:
+        def complete(self, text, family):
+            return "no json"
+
+    rows = extract_facts(chunks, Broken(), attempts=1).collect()
+    assert len(rows) == 2 and all(r.error.startswith("ValueError") and r.type is None for r in rows)
+    both = extract_facts(spark.createDataFrame([("c1", 4, "Anna Karenina in Moscow")], "chunk_id string, doc_id bigint, text string"), RuleProvider(), ("character", "location")).collect()
+    assert {(r.family, r.entity_name) for r in both} == {("character", "Anna Karenina"), ("location", "Moscow")}
     assert [retry_delay(n) for n in (1, 2, 3, 4, 9)] == [250, 500, 1000, 2000, 2000]
     calls = []
 
