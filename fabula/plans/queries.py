@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from fabula.functions import prompts
 from fabula.functions import text as T
 from fabula.operators import books, components, entities, graph, scenes, timeline, vectors
+from fabula.plans.storage import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,24 +74,34 @@ _TITLE_SQL = r"""length(title) BETWEEN 3 AND 140 AND (
     regexp_matches(title, '(?i)^(chapter|part|book)\s+([ivxlcdm]+|\d+|one|two|three|four|five|six|seven|eight|nine|ten)\b[\s:.-]*(.*)$')
     OR regexp_matches(title, '(?i)^(глава|часть)\s+([ivxlcdm]+|\d+|[а-яё]+)\b[\s:.-]*(.*)$')
     OR regexp_matches(title, '^\d{1,3}[\s.:-]+[^\n]{1,120}$'))"""
-_LINES_SQL = """lines AS (SELECT doc_id, n, i AS line_no, w[i] AS line FROM (SELECT doc_id, length(text) AS n, string_split(text, chr(10)) AS w, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
+_BOOK_SQL = """books AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN 'intro' || chr(10) || 'Chapter I' || chr(10) || text || chr(10) || '  глава 2 ' || chr(10) || text
+    WHEN 2 THEN '1. Start' || chr(10) || text || chr(10) || 'BOOK ten - x' || chr(10) || text || chr(10) || 'chapters' || chr(10) ELSE 'Part one' || chr(10) || text END AS text FROM documents)"""
+_LINES_SQL = f"""{_BOOK_SQL}, lines AS (SELECT doc_id, n, i AS line_no, w[i] AS line FROM (SELECT doc_id, length(text) AS n, string_split(text, chr(10)) AS w, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM books)),
     placed AS (SELECT doc_id, n, trim(line) AS title, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM lines)"""
+_RANGES_SQL = f"""t AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS c FROM placed WHERE {_TITLE_SQL}),
+    ranges AS (SELECT doc_id, row_number() OVER w - 1 AS chapter_index, title, CAST(pos AS BIGINT) AS start_offset, CAST(lead(pos, 1, n) OVER w AS BIGINT) AS end_offset
+    FROM t WHERE c > 1 WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+    UNION ALL SELECT doc_id, 0, NULL, 0, length(text) FROM books WHERE length(text) > 0 AND doc_id NOT IN (SELECT doc_id FROM t WHERE c > 1))"""
+
+
+def titled_books(spark, sf_dir):
+    """Documents as books: a quarter as they are, the others with title lines."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "text")
+    lines = lambda *parts: F.concat(*[x for p in parts for x in (F.lit("\n"), p)][1:])
+    t, k = F.col("text"), F.col("doc_id") % 4
+    made = F.when(k == 1, lines(F.lit("intro"), F.lit("Chapter I"), t, F.lit("  глава 2 "), t))
+    made = made.when(k == 2, F.concat(lines(F.lit("1. Start"), t, F.lit("BOOK ten - x"), t, F.lit("chapters")), F.lit("\n")))
+    return d.withColumn("text", made.when(k == 3, lines(F.lit("Part one"), t)).otherwise(t))
 
 
 @query(f"WITH {_LINES_SQL} SELECT doc_id, count(*) AS n_titles FROM placed WHERE {_TITLE_SQL} GROUP BY doc_id")
 def chapter_titles(spark, sf_dir):
-    lines = books.book_lines(read(spark, sf_dir, "documents"))
-    return lines.where(T.is_chapter_title(T.trim_ws(F.col("line")))).groupBy("doc_id").agg(F.count("*").alias("n_titles"))
+    return books.marked_books(titled_books(spark, sf_dir)).where(F.size("titles") > 0).select("doc_id", F.size("titles").cast("long").alias("n_titles"))
 
 
-@query(
-    f"""WITH {_LINES_SQL}, t AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS c FROM placed WHERE {_TITLE_SQL})
-    SELECT doc_id, row_number() OVER w - 1 AS chapter_index, title, CAST(pos AS BIGINT) AS start_offset, CAST(lead(pos, 1, n) OVER w AS BIGINT) AS end_offset
-    FROM t WHERE c > 1 WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
-    UNION ALL SELECT doc_id, 0, NULL, 0, length(text) FROM documents WHERE length(text) > 0 AND doc_id NOT IN (SELECT doc_id FROM t WHERE c > 1)"""
-)
+@query(f"WITH {_LINES_SQL}, {_RANGES_SQL} SELECT * FROM ranges")
 def chapter_ranges(spark, sf_dir):
-    return books.chapters(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return books.chapters(titled_books(spark, sf_dir))
 
 
 @query("SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
@@ -98,10 +109,28 @@ def content_dedup(spark, sf_dir):
     return books.deduplicated(read(spark, sf_dir, "documents"))
 
 
-@query()
+_CHUNKS_SQL = rf"""chapter_texts AS (SELECT doc_id, chapter_index, start_offset, substr(text, start_offset + 1, end_offset - start_offset) AS t FROM ranges JOIN books USING (doc_id)),
+    cuts AS (SELECT doc_id, chapter_index, 0::BIGINT AS s, 0::BIGINT AS e, 0::BIGINT AS nxt, FALSE AS done FROM chapter_texts
+    UNION ALL SELECT doc_id, chapter_index, nxt, e2, greatest(nxt + 1, e2 - 800), e2 >= n FROM (
+        SELECT *, CASE WHEN hard >= n THEN n WHEN para > nxt + 3600 THEN para WHEN word > nxt + 5400 THEN word ELSE hard END AS e2 FROM (
+            SELECT c.doc_id, c.chapter_index, c.nxt, length(t) AS n, least(c.nxt + 7200, length(t)) AS hard,
+                   CASE WHEN contains(substr(t, 1, least(c.nxt + 7200, length(t)) + 2), chr(10) || chr(10)) THEN length(substr(t, 1, least(c.nxt + 7200, length(t)) + 2)) - instr(reverse(substr(t, 1, least(c.nxt + 7200, length(t)) + 2)), chr(10) || chr(10)) - 1 ELSE -1 END AS para,
+                   c.nxt + length(regexp_extract(substr(t, c.nxt + 1, least(c.nxt + 7200, length(t)) - c.nxt), '(?s)^(.*)\s', 1)) AS word
+            FROM cuts c JOIN chapter_texts USING (doc_id, chapter_index) WHERE NOT c.done AND c.nxt < length(t)))),
+    pieces AS (SELECT doc_id, chapter_index, start_offset + s + length(p) - length(ltrim(p, {{ws}})) AS start_offset, start_offset + s + length(rtrim(p, {{ws}})) AS end_offset, trim(p, {{ws}}) AS text
+        FROM (SELECT doc_id, chapter_index, start_offset, s, substr(t, s + 1, e - s) AS p FROM cuts JOIN chapter_texts USING (doc_id, chapter_index) WHERE e > 0) WHERE trim(p, {{ws}}) <> ''),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chapter_index, start_offset, end_offset) - 1 AS order_index FROM pieces),
+    hashed AS (SELECT *, sha256(doc_id || ':' || order_index || ':' || start_offset || ':' || end_offset || ':' || text) AS h FROM numbered)""".replace("{{ws}}", "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)").replace("{ws}", "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)")
+_UUID_SQL = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-4' || substr(h, 14, 3) || '-' || substr('89ab', CAST(('0x' || substr(h, 17, 1))::INT % 4 + 1 AS BIGINT), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12)"
+
+
+@query(
+    f"""WITH RECURSIVE {_LINES_SQL}, {_RANGES_SQL}, {_CHUNKS_SQL}
+    SELECT doc_id, chapter_index, order_index, start_offset, end_offset, {_UUID_SQL} AS chunk_id, greatest(1, CAST(ceil(length(text) / 4.0) AS BIGINT)) AS token_estimate FROM hashed"""
+)
 def chunk_book(spark, sf_dir):
-    made = books.chunks(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return made.select("doc_id", "order_index", "start_offset", "end_offset", "chunk_id", "token_estimate")
+    made = books.chunks(titled_books(spark, sf_dir), target=1800, overlap=200)
+    return made.select("doc_id", "chapter_index", "order_index", "start_offset", "end_offset", "chunk_id", "token_estimate")
 
 
 @query("SELECT doc_id, greatest(1, CAST(ceil(length(text) / 4.0) AS BIGINT)) AS tokens FROM documents")
@@ -257,6 +286,8 @@ def planned(spark, sf_dir):
     hint = T.classify_marker(F.when(F.col("k") % 6 == 0, "the Next Day").when(F.col("k") % 6 == 1, "in his childhood").when(F.col("k") % 6 == 2, "a year later"))
     f = f.withColumns({"title": F.concat("type", F.lit(" "), (F.col("k") % 5).cast("string")), "description": F.when(F.col("k") % 2 == 0, F.col("summary")), "hint": hint, "absolute_date": F.when(F.col("k") % 9 == 0, F.to_date("created_at"))})
     f = f.withColumn("anchor_title", F.when(F.col("k") % 4 == 0, F.concat(F.col("type"), F.lit(" 1"))))
+    f = f.withColumn("character_names", F.array("entity_name", F.concat(F.lit(" n"), F.col("k") % 3))).withColumn("source_chunk_ids", F.array(F.concat(F.lit("c"), F.col("id") % 2)))
+    f = f.withColumn("period_name", F.when(F.col("k") % 5 == 3, F.concat(F.lit("p"), F.col("k") % 7)))
     return timeline.planned_events(f)
 
 
@@ -267,14 +298,20 @@ PLANNED = f"""{FACTS}, planned AS (SELECT *, chapter_index * 1000 + seq AS own F
 _MERGED = """w AS (SELECT *, count(*) OVER g AS n, row_number() OVER (g ORDER BY seq) AS i FROM planned WINDOW g AS (PARTITION BY who, chapter_index, title)),
     merged AS (SELECT who AS scope, chapter_index, title, arg_min(description, seq) FILTER (description IS NOT NULL) AS description, min(seq) AS seq, min(own) AS own,
                arg_max(hint, seq) FILTER (hint IS NOT NULL) AS hint, arg_max(anchor_title, seq) FILTER (anchor_title IS NOT NULL) AS anchor_title, (array_agg(absolute_date ORDER BY seq))[1] AS absolute_date,
-               string_agg(CAST(id AS VARCHAR), ',' ORDER BY seq) AS source_facts, round(sum(confidence * pow(0.5, CASE WHEN i = 1 THEN n - 1 ELSE n - i + 1 END)), 12) AS confidence
+               string_agg(CAST(id AS VARCHAR), ',' ORDER BY seq) AS source_facts, arg_max('p' || (k % 7), seq) FILTER (k % 5 = 3) AS period_name, list(who || ',n' || (k % 3) ORDER BY seq) AS ns, list('c' || (id % 2) ORDER BY seq) AS cs, round(sum(confidence * pow(0.5, CASE WHEN i = 1 THEN n - 1 ELSE n - i + 1 END)), 12) AS confidence
                FROM w GROUP BY who, chapter_index, title)"""
 
 
-@query(f"WITH {PLANNED}, {_MERGED} SELECT scope, chapter_index, title, description, source_facts, confidence FROM merged")
+_FIRSTS = "array_to_string(list_transform(list_sort(list_transform(list_distinct({c}), lambda x: struct_pack(p := list_position({c}, x), v := x))), lambda x: x.v), ',')"
+
+
+@query(
+    f"""WITH {PLANNED}, {_MERGED}, split AS (SELECT *, string_split(array_to_string(ns, ','), ',') AS nn FROM merged)
+    SELECT scope, chapter_index, title, description, source_facts, confidence, hint, period_name, {_FIRSTS.format(c="nn")} AS names, {_FIRSTS.format(c="cs")} AS chunks FROM split"""
+)
 def event_merge(spark, sf_dir):
     m = timeline.merge_events(planned(spark, sf_dir), digits=12)
-    return m.select("scope", "chapter_index", "title", "description", F.array_join(F.transform("source_fact_ids", lambda x: x.cast("string")), ",").alias("source_facts"), "confidence")
+    return m.select("scope", "chapter_index", "title", "description", F.array_join(F.transform("source_fact_ids", lambda x: x.cast("string")), ",").alias("source_facts"), "confidence", "hint", "period_name", F.array_join("character_names", ",").alias("names"), F.array_join("source_chunk_ids", ",").alias("chunks"))
 
 
 @query(
@@ -296,15 +333,24 @@ def event_adjacency(spark, sf_dir):
 
 
 @query(
-    f"""WITH RECURSIVE {FACTS}, {_ROOTS}, {_SEGMENTS}, v AS (SELECT root, version, list(id) AS ids, min(chapter_index) AS start_chapter FROM grouped JOIN steps USING (root, id) GROUP BY ALL),
-    s AS (SELECT g.id AS event_id, g.root, version, CASE WHEN list_contains(ids, g.id) THEN 100 ELSE 0 END AS score FROM grouped g JOIN v USING (root) WHERE g.id % 50 = 0)
+    f"""WITH RECURSIVE {FACTS}, {_ROOTS}, {_SEGMENTS}, f AS (SELECT g.*, version FROM grouped g JOIN steps USING (root, id)),
+    v AS (SELECT root, version, list(id) AS ids, list(lower(timeline_hint)) FILTER (timeline_hint IS NOT NULL) AS hints,
+          CASE WHEN version % 2 = 0 THEN 'child of ' ELSE '' END || coalesce(arg_max(summary, struct_pack(c := chapter_index, i := id)) FILTER (type = 'CHARACTER_AGE'), '') AS age FROM f GROUP BY root, version),
+    q AS (SELECT id, root, CASE WHEN id % 100 = 0 THEN id ELSE -1 END AS fact, CASE id % 3 WHEN 0 THEN 'H' || (id % 10) WHEN 1 THEN 'v' || (id % 4) ELSE '' END AS period, CASE WHEN id % 4 = 2 THEN 'childhood' END AS hint FROM grouped WHERE id % 50 = 0),
+    s AS (SELECT q.id AS event_id, root, version, CASE WHEN list_contains(ids, fact) THEN 100 ELSE 0 END + CASE WHEN period <> '' AND len(list_filter(hints, lambda h: contains(h, lower(period)))) > 0 THEN 30 ELSE 0 END
+          + CASE WHEN period <> '' AND contains(age, lower(period)) THEN 20 ELSE 0 END + CASE WHEN hint = 'childhood' AND contains(age, 'child') THEN 20 ELSE 0 END AS score FROM q JOIN v USING (root))
     SELECT event_id, root, version, CAST(score AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY score DESC, version) AS r FROM s) WHERE r = 1"""
 )
 def version_match_top1(spark, sf_dir):
     """Queries are the facts whose id is divisible by 50, against all versions."""
-    groups = entities.entity_groups(facts(spark, sf_dir))
-    versions = entities.character_versions(entities.version_segments(groups)).select("root", "version", "age", "hints", "source_fact_ids")
-    events = groups.where(F.col("id") % 50 == 0).select(F.col("id").alias("event_id"), "root", F.array("id").alias("event_fact_ids"), F.lit("").alias("period_name"), F.lit(None).cast("string").alias("hint"))
+    groups = materialize(entities.entity_groups(facts(spark, sf_dir)), "groups")
+    versions = entities.character_versions(entities.version_segments(groups))
+    age = F.concat(F.when(F.col("version") % 2 == 0, "child of ").otherwise(""), F.coalesce("age", F.lit("")))
+    versions = versions.select("root", "version", age.alias("age"), "hints", "source_fact_ids")
+    i = F.col("id")
+    period = F.when(i % 3 == 0, F.concat(F.lit("H"), i % 10)).when(i % 3 == 1, F.concat(F.lit("v"), i % 4)).otherwise("")
+    own = F.array(F.when(i % 100 == 0, i).otherwise(-1))
+    events = groups.where(i % 50 == 0).select(i.alias("event_id"), "root", own.alias("event_fact_ids"), period.alias("period_name"), F.when(i % 4 == 2, "childhood").alias("hint"))
     return timeline.best_versions(events, versions)
 
 
@@ -345,13 +391,14 @@ def graph_edges(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_GRAPH}, b AS (SELECT source AS key, target AS next FROM edges UNION SELECT target, source FROM edges), seeds AS (SELECT key FROM nodes WHERE label = 'Supplier'),
+    f"""WITH {_GRAPH}, b AS (SELECT source AS key, target AS next FROM edges UNION SELECT target, source FROM edges), seeds AS (SELECT 'p:Supplier:' || s_suppkey AS key FROM supplier WHERE s_suppkey % 50 = 0),
     one AS (SELECT seeds.key AS seed, next AS key FROM seeds JOIN b USING (key)), two AS (SELECT seed, next AS key FROM one JOIN b USING (key))
     SELECT key AS seed, key FROM seeds UNION SELECT * FROM one UNION SELECT * FROM two"""
 )
 def neighbourhood_2hop(spark, sf_dir):
-    nodes, edges = _graph(spark, sf_dir)
-    return graph.neighbourhood(edges, nodes.where("label = 'Supplier'").select("key"))
+    """Queries are the suppliers whose key is divisible by 50."""
+    seeds = read(spark, sf_dir, "supplier").where("s_suppkey % 50 = 0").select(graph.graph_key(F.lit("p"), "Supplier", "s_suppkey").alias("key"))
+    return graph.neighbourhood(_graph(spark, sf_dir)[1], seeds)
 
 
 @query("SELECT n_nationkey AS id, r_name || ' > ' || n_name AS path FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 1000 + r_regionkey, r_name FROM region")
@@ -373,10 +420,10 @@ def _features_sql(table: str, key: str) -> str:
     s AS (SELECT {key}, dim, sum(w) AS w FROM d GROUP BY ALL), f AS (SELECT {key}, dim, w / sqrt(sum(w * w) OVER (PARTITION BY {key})) AS weight FROM s)"""
 
 
-@query(f"WITH {_features_sql('benchmark', 'item_id')} SELECT item_id, dim, round(weight, 6) AS weight FROM f")
+@query(f"WITH {_features_sql('benchmark', 'item_id')} SELECT item_id, dim, round(weight, 6) AS weight FROM f WHERE abs(weight) > 1e-9")
 def hash_embedding(spark, sf_dir):
     f = vectors.hash_features(read(spark, sf_dir, "benchmark"), "item_id", "text")
-    return f.select("item_id", "dim", F.round("weight", 6).alias("weight"))
+    return f.where(F.abs("weight") > 1e-9).select("item_id", "dim", F.round("weight", 6).alias("weight"))
 
 
 @query(
@@ -384,8 +431,7 @@ def hash_embedding(spark, sf_dir):
     SELECT a.doc_id, round(sum(a.weight * b.weight), 6) AS score FROM f a JOIN f b ON a.dim = b.dim AND b.doc_id = -1 WHERE a.doc_id >= 0 GROUP BY a.doc_id ORDER BY round(sum(a.weight * b.weight), 9) DESC, a.doc_id LIMIT 10"""
 )
 def semantic_search(spark, sf_dir):
-    features = vectors.hash_features(read(spark, sf_dir, "documents"), "doc_id", "text")
-    return vectors.search_text(features, SEARCH, "doc_id").withColumn("score", F.round("score", 6))
+    return vectors.search_text(read(spark, sf_dir, "documents"), SEARCH, "doc_id").withColumn("score", F.round("score", 6))
 
 
 _QUERY_VECTOR = [((i * 37) % 64 - 31.5) / 64 for i in range(64)]
@@ -397,11 +443,11 @@ def vector_topk_filtered(spark, sf_dir):
 
 
 @query(
-    """SELECT 'document' AS kind, doc_id AS id, length(text) AS n FROM documents UNION ALL SELECT 'item', item_id, length(text) FROM benchmark UNION ALL SELECT 'page', page_id, length(html) FROM pages"""
+    """SELECT 'document' AS kind, doc_id AS id, length(text) AS n FROM documents UNION ALL SELECT 'item', item_id, length(text) FROM benchmark UNION ALL SELECT 'page', page_id, length(html) FROM pages UNION ALL SELECT 'event', event_id, length(event_type) FROM events UNION ALL SELECT 'place', n_nationkey, length(n_name) FROM nation"""
 )
 def points_union(spark, sf_dir):
     row = lambda name, kind, key, text: read(spark, sf_dir, name).select(F.lit(kind).alias("kind"), F.col(key).alias("id"), F.length(text).cast("long").alias("n"))
-    return row("documents", "document", "doc_id", "text").unionByName(row("benchmark", "item", "item_id", "text")).unionByName(row("pages", "page", "page_id", "html"))
+    return row("documents", "document", "doc_id", "text").unionByName(row("benchmark", "item", "item_id", "text")).unionByName(row("pages", "page", "page_id", "html")).unionByName(row("events", "event", "event_id", "event_type")).unionByName(row("nation", "place", "n_nationkey", "n_name"))
 
 
 # ------------------------------------------------------------------ scenes
@@ -487,12 +533,17 @@ def patch_coalesce(spark, sf_dir):
     return entities.patch(part, changes, "p_partkey")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_LINES_SQL}, {_RANGES_SQL}, {_CHUNKS_SQL}, c AS (SELECT doc_id, {_UUID_SQL} AS chunk_id, text FROM hashed),
+    f AS (SELECT DISTINCT doc_id, chunk_id, 'character' AS family, unnest(regexp_extract_all(text, '\\b[A-Z][a-z]+ [A-Z][a-z]+\\b')) AS entity_name FROM c
+          UNION ALL SELECT DISTINCT doc_id, chunk_id, 'location', unnest(regexp_extract_all(text, '\\b(?:in|at) ([A-Z][a-z]+)\\b', 1)) FROM c)
+    SELECT chunk_id, doc_id, family, upper(family) || '_MENTION' AS type, entity_name, lower(entity_name) AS summary, 0.5::DOUBLE AS confidence FROM f"""
+)
 def llm_extract_mock(spark, sf_dir):
     from fabula.operators.extraction import RuleProvider, extract_facts
 
-    made = books.chunks(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return extract_facts(made, RuleProvider())
+    made = books.chunks(titled_books(spark, sf_dir), target=1800, overlap=200)
+    return extract_facts(made, RuleProvider(), ("character", "location", "timeline")).select("chunk_id", "doc_id", "family", "type", "entity_name", "summary", "confidence")
 
 
 @query("WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, o_custkey % 97 AS b FROM orders), x AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS other FROM x UNION SELECT r.node, x.b FROM r JOIN x ON r.other = x.a) SELECT node, min(other) AS root FROM r GROUP BY node")
