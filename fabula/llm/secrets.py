@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fabula.llm import words as W
+from fabula.llm.cluster import materialize
 
 FINDINGS = "array<struct<begin:int,end:int,score:double,sha256:string>>"
 LABELLED = "value string, before string, after string, secret int"
@@ -73,8 +74,9 @@ def candidates(text: str) -> Iterator[tuple[int, int]]:
 
 
 def corpus_dictionary(docs: DataFrame, most: int = DICTIONARY_WORDS, text_col: str = "text") -> tuple[str, ...]:
-    """The ``most`` words that the most documents have, at least two, by counts over all
-    documents; words of a-z only, in lower case, most frequent first, then by name."""
+    """The words that the most documents have, at least two, by counts over all documents;
+    words of a-z only, in lower case, most frequent first, then by name. Words are taken by
+    classes of frequency (16 to a doubling), as many whole ones as have ``most`` words at most."""
     word = re.compile("[a-z]{%d,%d}" % WORD_LETTERS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +87,16 @@ def corpus_dictionary(docs: DataFrame, most: int = DICTIONARY_WORDS, text_col: s
             W.release()
 
     counts = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return tuple(r.word for r in counts.where("n > 1").orderBy(F.desc("n"), "word").limit(most).collect())
+    counts = materialize(counts.where("n > 1").withColumn("class", F.floor(F.log2("n") * 16).cast("int")), "words")
+    least, total = None, 0
+    for r in sorted(counts.groupBy("class").count().collect(), reverse=True):
+        total += r["count"]
+        if total > most:
+            break
+        least = r["class"]
+    if least is None:
+        return ()
+    return tuple(r.word for r in sorted(counts.where(F.col("class") >= least).collect(), key=lambda r: (-r.n, r.word)))
 
 
 def _coverage(value: str, dictionary: frozenset[str]) -> float:
