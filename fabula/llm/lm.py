@@ -1,21 +1,22 @@
 """Language-model scores from a weighted backoff automaton.
 
-States are the empty context and each word seen in training as a context. A state's
-arcs are all the n-grams seen in training with their smoothed probabilities; where no arc
-fits, a failure arc leads to the shorter context at the cost of its backoff
-weight, from the empty context at last to the unknown word. A text is read once
-from left to right; the word just read is the next state, and log-probabilities
-add up. Words that training has not seen are one event, as in the base score, and
-its probability is what discounting leaves of the empty context; so the model's
-probabilities of all next events add up to 1.
+States are the empty context, each word and each pair of words seen in training as a
+context. A state's arcs are all the n-grams seen in training with their smoothed
+probabilities, up to three words; where no arc fits, a failure arc leads to the context
+that is shorter by a word at the cost of its backoff weight, from the empty context at
+last to the unknown word. A text is read once from left to right; the last two words are
+the next state, and log-probabilities add up. Words that training has not seen are one
+event, as in the base score, and its probability is what discounting leaves of the empty
+context; so the model's probabilities of all next events add up to 1. ``least_count``
+can leave out the longer n-grams that are rare; it is 1, which leaves out none.
 
 Counts cover all training texts and grow with them, so no task holds them all:
-blocks of documents ask for the counts of the words and word pairs they contain
+blocks of documents ask for the counts of the words, pairs and triples they contain
 (exchange.py) and each traverses the part of the automaton that its own texts can
-reach. The bucket that counts a pair also names one of the blocks that asked for it its
-owner. Owners add up the arcs of each first word, and in a second exchange blocks ask
-for these sums, the backoff weights, of their own words. So no list of words is sent to
-all tasks, and no task gets all pairs of a frequent word.
+reach. The bucket that counts an n-gram also names one of the blocks that asked for it its
+owner. Owners add up the arcs of each context, and in a second exchange blocks ask
+for these sums, the backoff weights, of their own contexts. So no list of contexts is sent
+to all tasks, and no task gets all n-grams of a frequent context.
 
 Defined cases: a null or empty text has the end token only. Without training texts
 every token is the unknown event, with probability 1. Repeated rows count as often
@@ -39,7 +40,9 @@ from fabula.llm import words as W
 from fabula.llm.cluster import block_count, block_of, materialize
 from fabula.llm.langid import held_out
 
-DISCOUNT = 0.75
+#: What each arc's count is discounted by; sums of counts are kept in these parts of one.
+_CUT, _PARTS = 3, 4
+DISCOUNT = _CUT / _PARTS
 END = np.uint64(0x5EED0FE4D)
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
@@ -56,11 +59,11 @@ def _documents(docs: DataFrame, id_col: str, text_col: str, of: int, rest: int)
 
 @dataclass
 class Automaton:
-    """What every task needs: the totals, and the least count that makes a word a context."""
+    """What every task needs: the totals, and the least count that makes a pair or triple an arc."""
 
     total: int
     types: int
-    least: float = 0.0
+    least: int = 1
 
     @property
     def floor(self) -> float:
@@ -68,9 +71,23 @@ class Automaton:
         return float(np.log10(DISCOUNT * self.types / self.total)) if self.total else 0.0
 
 
+class _Grams:
+    """The distinct n-grams of a block: their keys, the tokens they end at, and for each its
+    first token; ``at`` are the tokens that have one."""
+
+    def __init__(self, keys: np.ndarray, at: np.ndarray | None = None):
+        self.keys, first, self.of = np.unique(keys, return_index=True, return_inverse=True)
+        self.at = at
+        self.first = first if at is None else at[first]
+
+    def counts(self, train: np.ndarray) -> np.ndarray:
+        return np.bincount(self.of, train if self.at is None else train[self.at], len(self.keys)).astype(np.int64)
+
+
 @dataclass
 class _Block:
-    """Tokens of a block, its distinct words and arcs."""
+    """Tokens of a block, its distinct words, pairs and triples. A text begins in the state of
+    the end token, which is also the block's last; its first word ends no triple."""
 
     table: pa.Table
     buckets: int
@@ -80,62 +97,74 @@ class _Block:
         got = [tokens(*W.buffers(p.column("text"))) for p in parts]
         token = np.concatenate([t for t, _ in got])
         self.size = np.concatenate([np.diff(f) for _, f in got])
-        self.words, self.word = np.unique(token, return_inverse=True)
-        # every text begins in the state of the end token, which is also the block's last
-        pairs = W.mix(np.roll(token, 1) * np.uint64(W._BASE) + token)
-        self.arcs, self.arc_at, self.arc = np.unique(pairs, return_index=True, return_inverse=True)
+        self.words = _Grams(token)
+        pair = W.mix(np.roll(token, 1) * np.uint64(W._BASE) + token)
+        self.pairs = _Grams(pair)
+        deep = np.ones(len(token), bool)
+        deep[np.cumsum(self.size) - self.size] = False
+        at = np.flatnonzero(deep)
+        self.triples = _Grams(W.mix(pair[at - 1] * np.uint64(W._BASE) + token[at]), at)
+        # the context of each pair, a word, and of each triple, a pair
+        self.contexts = (self.words.of[self.pairs.first - 1], self.pairs.of[self.triples.first - 1])
+
+    def _asked(self, kind: int, keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+        rows = X.asked(self.table.column("block")[0].as_py(), keys, values, self.buckets)
+        return rows.set_column(0, X._ASK.field(0), pc.add(rows.column(0), pa.scalar(kind * self.buckets, pa.int32())))
+
+    def _answered(self, answers: pa.Table, kind: int) -> np.ndarray:
+        number = answers.column("bucket").to_numpy()
+        return X.answered(answers.filter(pa.array(number // self.buckets == kind)), np.int64)
 
     def ask(self) -> pa.Table:
         train = np.repeat(~self.table.column("held_out").to_numpy().astype(bool), self.size)
-        block = self.table.column("block")[0].as_py()
-        words = np.bincount(self.word, train, len(self.words)).astype(np.int64)
-        arcs = np.bincount(self.arc, train, len(self.arcs)).astype(np.int64)
-        of_arcs = X.asked(block, self.arcs, arcs, self.buckets)
-        of_arcs = of_arcs.set_column(0, X._ASK.field(0), pc.add(of_arcs.column(0), pa.scalar(self.buckets, pa.int32())))
-        return pa.Table.from_batches([X.asked(block, self.words, words, self.buckets), of_arcs])
-
-    def counts(self, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Training counts of the block's words and of its arcs, and which arcs it owns."""
-        number = answers.column("bucket").to_numpy()
-        words = X.answered(answers.filter(pa.array(number < self.buckets)), np.int64)
-        arcs = X.answered(answers.filter(pa.array((number >= self.buckets) & (number < 2 * self.buckets))), np.int64)
-        return words, arcs >> 1, (arcs & 1).astype(bool)
+        return pa.Table.from_batches([self._asked(kind, g.keys, g.counts(train)) for kind, g in enumerate((self.words, self.pairs, self.triples))])
+
+    def counts(self, answers: pa.Table, least: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Training counts of the block's words, pairs and triples, those of contexts as they
+        are and those of arcs; and which arcs it owns."""
+        words, *longer = (self._answered(answers, kind) for kind in range(3))
+        arcs = [np.where(x >> 1 >= least, x >> 1, 0) for x in longer]
+        return [words, longer[0] >> 1, *arcs], [(x & 1).astype(bool) for x in longer]
 
     def ask_taken(self, answers: pa.Table, model: Automaton) -> pa.Table:
-        """What the block's own arcs have of the counts of its contexts."""
-        words, arcs, own = self.counts(answers)
-        context = (words > 0) & (words >= model.least)
-        before, after = self.word[self.arc_at - 1], self.word[self.arc_at]
-        own &= (arcs > 0) & context[before] & context[after]
-        taken = np.bincount(before[own], arcs[own] - DISCOUNT, len(words))
-        block = self.table.column("block")[0].as_py()
-        return pa.Table.from_batches([X.asked(block, self.words[context], taken[context], self.buckets)])
+        """What the block's own arcs take of each context: their counts less what each is
+        discounted by, in quarters."""
+        (words, pairs, *arcs), own = self.counts(answers, model.least)
+        out = []
+        for kind, (count, grams, arc, mine, context) in enumerate(zip((words, pairs), (self.words, self.pairs), arcs, own, self.contexts, strict=True)):
+            use = mine & (arc > 0)
+            taken = np.bincount(context[use], arc[use] * _PARTS - _CUT, len(count)).astype(np.int64)
+            out.append(self._asked(3 + kind, grams.keys[count > 0], taken[count > 0]))
+        return pa.Table.from_batches(out)
 
     def scores(self, answers: pa.Table, model: Automaton) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """n_known, base score and model score of each text."""
-        words, arcs, _ = self.counts(answers)
-        context = (words > 0) & (words >= model.least)
-        left = np.zeros(len(words))  # what the arcs of a state leave is its backoff weight
-        left[context] = words[context] - X.answered(answers.filter(pa.array(answers.column("bucket").to_numpy() >= 2 * self.buckets)), np.float64)
-        c, arc = words[self.word], arcs[self.arc]
+        (words, pairs, *arcs), _ = self.counts(answers, model.least)
+        c = words[self.words.of]
         known = c > 0
         base = np.log10((c + 0.5) / (model.total + 0.5 * (model.types + 1)))
         here = np.full(len(c), model.floor)
         here[known] = np.log10((c[known] - DISCOUNT) / max(model.total, 1))
-        before = np.roll(c, 1)
-        inside = np.roll(context[self.word], 1)
-        here[inside] += np.log10(np.maximum(np.roll(left[self.word], 1)[inside] / before[inside], 1e-12))
-        seen = inside & context[self.word] & (arc > 0)
-        here[seen] = np.log10((arc[seen] - DISCOUNT) / before[seen] + 10.0 ** here[seen])
+        for kind, (count, grams, arc, longer) in enumerate(zip((words, pairs), (self.words, self.pairs), arcs, (self.pairs, self.triples), strict=True)):
+            left = np.zeros(len(count))  # what the arcs of a state leave is its backoff weight
+            left[count > 0] = count[count > 0] - self._answered(answers, 3 + kind) / _PARTS
+            at = np.arange(len(c)) if longer.at is None else longer.at
+            state, n = grams.of[at - 1], arc[longer.of]
+            inside = count[state] > 0
+            at, state, n = at[inside], state[inside], n[inside]
+            here[at] += np.log10(np.maximum(left[state] / count[state], 1e-12))
+            seen = n > 0
+            at = at[seen]
+            here[at] = np.log10((n[seen] - DISCOUNT) / count[state[seen]] + 10.0 ** here[at])
         ends = np.cumsum(self.size)
         sums = lambda x: np.add.reduceat(x, ends - self.size)
         return sums(known.astype(np.int64)), sums(base), sums(here)
 
 
 def _counts(d: DataFrame, buckets: int) -> DataFrame:
-    """Training counts of every block's words, and from bucket ``buckets`` on of its pairs,
-    doubled, with 1 more for the owner; rows of block -1 have the tokens and types of each
-    bucket of words."""
+    """Training counts of every block's words, and from bucket ``buckets`` on of its pairs and
+    triples, doubled, with 1 more for the owner; rows of block -1 have the tokens and types
+    of each bucket of words."""
 
     def ask(table: pa.Table) -> pa.Table:
         W.release()
@@ -163,7 +192,7 @@ def _counts(d: DataFrame, buckets: int) -> DataFrame:
     return d.groupBy("block").applyInArrow(ask, X.ASK).groupBy("bucket").applyInArrow(combine, X.ANSWER)
 
 
-def _automaton(counts: DataFrame, share: float) -> Automaton:
+def _automaton(counts: DataFrame, least: int) -> Automaton:
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.array([np.frombuffer(t, np.int64) for t in batch.column("totals").to_pylist()]).reshape(-1, 2)
@@ -171,16 +200,16 @@ def _automaton(counts: DataFrame, share: float) -> Automaton:
 
     rows = counts.where("block = -1").select("totals").mapInArrow(unpack, "total bigint, types bigint")
     total, types = (int(x or 0) for x in rows.agg(F.sum("total"), F.sum("types")).first())
-    return Automaton(total, types, share * total)
+    return Automaton(total, types, least)
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", of: int = 5, rest: int = 1, share: float = 0.0) -> DataFrame:
-    """Learns from the rows that are not held out and scores all of them. Every word is a
-    context; a ``share`` above 0 leaves those with as much of all training tokens."""
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", of: int = 5, rest: int = 1, least_count: int = 1) -> DataFrame:
+    """Learns from the rows that are not held out and scores all of them. Pairs and triples
+    seen less often than ``least_count`` are no arcs."""
     buckets = block_count(docs, text_col)
     d = _documents(docs, id_col, text_col, of, rest).withColumn("block", block_of(buckets, "doc_id", "text"))
     counts = materialize(_counts(d, buckets), "counts")
-    model = _automaton(counts, share)
+    model = _automaton(counts, least_count)
     counts = counts.where("block >= 0")
 
     def ask(key: tuple, given: pa.Table, table: pa.Table) -> pa.Table:
@@ -188,8 +217,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return _Block(table, buckets).ask_taken(given, model)
 
     asks = counts.groupBy("block").cogroup(d.groupBy("block")).applyInArrow(ask, X.ASK)
-    taken = X.answer(asks, lambda back, values, n: np.bincount(back, values, n), np.float64)
-    answers = counts.union(taken.select("block", F.col("bucket") + 2 * buckets, "totals"))
+    taken = X.answer(asks, lambda back, values, n: np.bincount(back, values, n).astype(np.int64), np.int64)
+    answers = counts.union(taken.select("block", "bucket", "totals"))
 
     def traverse(key: tuple, given: pa.Table, table: pa.Table) -> pa.Table:
         schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])

@@ -13,35 +13,45 @@ def words(text):
     return [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))]
 
 
-def brute(rows, share):
+def brute(rows, least=1):
     """The same model, word by word with dictionaries."""
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
     train = [[*words(t), "END"] for i, t in rows if not held(i)]
     c = Counter(w for t in train for w in t)
     total, types = sum(c.values()), len(c)
-    contexts = {w for w in c if c[w] >= share * total}
-    pair = Counter((a, b) for t in train for a, b in zip(["END", *t], t, strict=False) if a in contexts and b in contexts)
+    grams, context = {1: Counter(), 2: Counter()}, {1: Counter(), 2: Counter()}
+    for t in train:
+        t = ["END", *t]
+        for n in (1, 2):
+            for i in range(n, len(t)):
+                grams[n][tuple(t[i - n : i + 1])] += 1
+                context[n][tuple(t[i - n : i])] += 1
+    arcs = {n: {} for n in grams}
+    for n in grams:
+        for g, k in grams[n].items():
+            if k >= least:
+                arcs[n].setdefault(g[:-1], {})[g[-1]] = k
     d = M.DISCOUNT
-
     floor = math.log10(d * types / total) if total else 0.0
     out = {}
     for i, text in rows:
-        t = [*words(text), "END"]
+        t = ["END", *words(text), "END"]
         score = base = known = 0
-        state = "END"
-        for w in t:
+        for k in range(1, len(t)):
+            w = t[k]
             base += math.log10((c[w] + 0.5) / (total + 0.5 * (types + 1)))
             known += c[w] > 0
             p = math.log10((c[w] - d) / total) if c[w] else floor
-            if state in contexts:
-                arcs = {b: n for (a, b), n in pair.items() if a == state}
-                weight = 1 - sum(n - d for n in arcs.values()) / c[state]
-                p += math.log10(weight)
-                if w in arcs:
-                    p = math.log10((arcs[w] - d) / c[state] + 10**p)
+            for n in (1, 2):
+                state = tuple(t[max(0, k - n) : k])
+                if len(state) == n and context[n][state]:
+                    here = arcs[n].get(state, {})
+                    weight = 1 - sum(x - d for x in here.values()) / context[n][state]
+                    p += math.log10(max(weight, 1e-12))
+                    if w in here:
+                        p = math.log10((here[w] - d) / context[n][state] + 10**p)
             score += p
-            state = w
-        out[i] = held(i), len(t), known, total, base, score
+        out[i] = held(i), len(t) - 1, known, total, base, score
     return out
 
 
@@ -52,12 +62,12 @@ def corpus(n=60):
     return [*rows, (100, None), (101, ""), (102, " \n"), (103, "never seen wörds zzz"), (104, "the " * 20_000), (None, "the of")]
 
 
-@pytest.mark.parametrize("share", [1e-4, 0.02, 2.0])
-def test_scores_equal_brute_force(spark, share):
+@pytest.mark.parametrize("least", [1, 3, 10**9])
+def test_scores_equal_brute_force(spark, least):
     rows = corpus()
     df = spark.createDataFrame([(i, t, "clash", True) for i, t in rows], "doc_id bigint, text string, score string, block boolean").repartition(3)
-    got = {r.doc_id: r for r in M.score_texts(df, share=share).collect()}
-    for i, want in brute(rows, share).items():
+    got = {r.doc_id: r for r in M.score_texts(df, least_count=least).collect()}
+    for i, want in brute(rows, least).items():
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == want[:4]
         assert r.base_score == pytest.approx(want[4], rel=1e-9) and r.score == pytest.approx(want[5], rel=1e-9)
@@ -67,7 +77,7 @@ def test_every_word_seen_is_a_context(spark):
     rows = [*corpus(), (105, "once-a once-b once-a"), (106, "once-b once-c")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     got = {r.doc_id: r.score for r in M.score_texts(df).collect()}
-    assert got == {i: pytest.approx(want[5], rel=1e-9) for i, want in brute(rows, 0).items()}
+    assert got == {i: pytest.approx(want[5], rel=1e-9) for i, want in brute(rows).items()}
 
 
 def test_probabilities_of_all_next_events_sum_to_one():
@@ -77,11 +87,17 @@ def test_probabilities_of_all_next_events_sum_to_one():
     pair = Counter((a, b) for t in texts for a, b in zip(["END", *t], t, strict=False))
     root = {w: (n - d) / total for w, n in c.items()} | {None: d * len(c) / total}
     assert abs(sum(root.values()) - 1) < 1e-12
-    for state in c:
-        arcs = {b: n for (a, b), n in pair.items() if a == state}
-        weight = 1 - sum(n - d for n in arcs.values()) / c[state]
-        p = {w: weight * q + (arcs[w] - d) / c[state] * (w in arcs) if w in arcs else weight * q for w, q in root.items()}
-        assert abs(sum(p.values()) - 1) < 1e-12
+    triple = Counter(x for t in texts for x in zip(["END", *t], t, t[1:], strict=False))
+
+    def step(arcs, n, below):
+        weight = 1 - sum(k - d for k in arcs.values()) / n
+        return {w: weight * q + ((arcs[w] - d) / n if w in arcs else 0) for w, q in below.items()}
+
+    one = {state: step({b: n for (a, b), n in pair.items() if a == state}, c[state], root) for state in c}
+    assert all(abs(sum(p.values()) - 1) < 1e-12 for p in one.values())
+    for state in {x[:2] for x in triple}:
+        arcs = {x[2]: n for x, n in triple.items() if x[:2] == state}
+        assert abs(sum(step(arcs, sum(arcs.values()), one[state[1]]).values()) - 1) < 1e-12
 
 
 def test_empty_repeated_and_no_training(spark):
