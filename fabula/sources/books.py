@@ -156,5 +156,5 @@ def save_originals(files: DataFrame, root: str) -> DataFrame:
                     out.write(data)
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([f"{root}/{name}"])], names=["path", "stored"])
 
-    name = F.substring_index(storage_path(F.sha2("content", 256), F.col("path"), ""), "/", -1)
+    name = F.substring_index(storage_path(F.sha2("content", 256), F.col("path"), ""), "/", -1).alias("name")
     return files.select("path", "content", name).mapInArrow(run, "path string, stored string")
