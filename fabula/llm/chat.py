@@ -1,18 +1,20 @@
-"""Chat formatting with shared prefixes: conversations as a prefix tree.
+"""Chat formatting with shared prefixes: conversations as a prefix forest.
 
 Each turn becomes ``<|im_start|>role\\ntext<|im_end|>\\n``. Inside roles and texts
 a backslash is doubled and ``<|`` becomes ``<\\|``, so no text can close or open a
 turn, and the change can be undone.
 
 A turn's node is the hash of its parent's node, role and text: conversations that
-begin alike have the same first nodes. Turns are sorted by their conversation's
-path of nodes, which is depth-first order, and dealt by ranges of it, so neither a
-common first turn nor many equal conversations make a large group. Each range is
-cut into packs of bounded length. Within a pack a node is emitted once, with its
-place in the pack, the position of its first token in its conversation, and the
-intervals of the pack that hold its ancestors and may be attended to. A row of
-kind ``end`` closes each conversation. A pack repeats what its first conversation
-shares with the pack before.
+begin alike have the same first nodes. Conversations are ranked by their path of nodes,
+which is depth-first order; a node belongs to the first conversation that has it, and
+is emitted there, once in the whole corpus. The nodes' tokens follow each other in this
+order; each has the place where it begins, the position of its first token in its
+conversation, and the intervals of places that hold its ancestors and may be attended
+to. Nodes that conversations share move once; conversations only name them.
+
+Every conversation streams through one task in the order of its turns, so neither a
+common first turn nor many equal conversations make a large group, and places are sums
+over ranges of the order, of which only one number for each partition is gathered.
 
 Defined cases: null roles and texts are empty, turns with the same number are
 ordered by role and text and all kept, a null conversation id is a conversation of
@@ -24,21 +26,24 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+
+from fabula.llm import words as W
+from fabula.llm.cluster import materialize
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
-#: Tokens after which a pack takes no further conversation, and conversations it has at most.
-PACK_TOKENS, PACK_CONVERSATIONS = 16_384, 512
-#: Turns of a conversation that take part in the depth-first order.
-PATH_TURNS = 128
-NODES = "path string, conv_id bigint, turn_no int, node binary, text string, loss_begin int, loss_end int"
-PACKED = "pack string, seq bigint, kind string, depth int, begin bigint, n_tokens bigint, position bigint, attends array<struct<begin:bigint,end:bigint>>, text string, loss_begin int, loss_end int, conv_id bigint"
+TURNS = "conv string, conv_id bigint, turn_no int, node binary, parent binary, text string, loss_begin int, loss_end int, path string"
+SPANS = "conv string, conv_id bigint, node binary, depth int, position bigint, attends array<struct<begin:bigint,end:bigint>>"
 _INTERVALS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-_PACK_TYPES = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), _INTERVALS, pa.string(), pa.int32(), pa.int32(), pa.int64()]
-_ROWS = 2000
+_ROWS, _CHARS = 2000, 4 << 20
+#: Digits of a path for each turn, and how many of them deal conversations to tasks.
+_STEP, _DEALT = 16, 2048
 
 
 def escape(text: str) -> str:
@@ -66,154 +71,177 @@ def _batch(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in re.sub("<.*?>", "", schema).split(", ")]
+
+
+def characters(texts: list[str]) -> list[int]:
+    return [len(t) for t in texts]
+
+
+def pieces(vocabulary) -> Callable[[list[str]], list[int]]:
+    """Counts the tokens of a SentencePiece vocabulary."""
+    from fabula.llm.pieces import encode_texts
+
+    return lambda texts: [len(ids) for ids in encode_texts(vocabulary, texts)]
+
+
 def turn_nodes(conversations: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """Formatted turns with their nodes. A conversation streams through one task, turn by
-    turn; at most PATH_TURNS of its turns are held at once."""
-    names = [x.split()[0] for x in NODES.split(", ")]
-    types = [pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.string(), pa.int32(), pa.int32()]
+    """Formatted turns with their nodes, and after each conversation a row with its path
+    (conv_id, number of turns, last node). Turns stream; of a conversation only its path is held."""
+    types = [pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.int32(), pa.int32(), pa.string()]
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        held: list[tuple] = []
-        current, node, number, path, size = object(), b"", 0, "", 0
-
-        def release() -> None:
-            nonlocal path
-            if held and not path:
-                path = "".join(h[1].hex()[:8] for h in held)
-            out.extend((path, *h[0], h[1], *h[2]) for h in held)
-            held.clear()
-
+        current, conv_id, node, number, path, size = None, None, b"", 0, bytearray(), 0
         for batch in batches:
-            for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
+            for conv, key, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv", "conv_id", "role", "text")), strict=True):
                 if conv != current:
-                    release()
-                    current, node, number, path = conv, b"", 0, ""
+                    if number:
+                        out.append((current, conv_id, number, node, None, None, None, None, path.hex()))
+                    current, conv_id, node, number, path = conv, key, b"", 0, bytearray()
                 piece, begin, end = render(role, text)
                 mark = hashlib.blake2b(node, digest_size=16)
                 mark.update(piece.encode())
-                node = mark.digest()
+                parent, node = node, mark.digest()
                 loss = (begin, end) if role in loss_roles else (None, None)
-                held.append(((conv, number), node, (piece, *loss)))
-                number += 1
-                size += len(piece)
-                if number >= PATH_TURNS:
-                    release()
-                if len(out) >= _ROWS or size >= 4 << 20:
-                    if out:
-                        yield _batch(out, types, names)
+                out.append((conv, key, number, node, parent, piece, *loss, None))
+                path += node[: _STEP // 2]
+                number, size = number + 1, size + len(piece)
+                if len(out) >= _ROWS or size >= _CHARS:
+                    yield _batch(out, types, _names(TURNS))
                     out, size = [], 0
-        release()
-        if out:
-            yield _batch(out, types, names)
+        if number:
+            out.append((current, conv_id, number, node, None, None, None, None, path.hex()))
+            yield _batch(out, types, _names(TURNS))
 
     blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", blank("role"), blank("text"))
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("turn").mapInArrow(chain, NODES)
-
-
-def _merged(intervals: list[tuple[int, int]]) -> list[dict]:
-    out: list[dict] = []
-    for b, e in intervals:
-        if out and out[-1]["end"] == b:
-            out[-1]["end"] = e
-        else:
-            out.append({"begin": b, "end": e})
-    return out
+    key = F.col("conv_id").cast("long")
+    rows = conversations.select(F.coalesce(key.cast("string"), F.lit("null")).alias("conv"), key.alias("conv_id"), "turn", blank("role"), blank("text"))
+    return rows.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text").drop("turn").mapInArrow(chain, TURNS)
 
 
-def pack_prefix_trees(nodes: DataFrame, count: Callable[[str], int] = len, pack_tokens: int = PACK_TOKENS, pack_conversations: int = PACK_CONVERSATIONS) -> DataFrame:
-    """Packs of conversations in depth-first order. ``count`` gives the tokens of a formatted
-    turn (by default its characters); turns are encoded one by one, so counts add up."""
-    names = [x.split()[0] for x in re.sub("<.*?>", "", PACKED).split(", ")]
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        stack: list[tuple[bytes, int, int]] = []  # node, begin, end of each ancestor in this pack
-        name, seq, total, members, size = "", 0, 0, 0, 0
-        current: tuple | None = None
-        depth = 0
-
-        def close() -> None:
-            nonlocal seq, members
-            if current is not None:
-                out.append((name, seq, "end", depth, total, 0, position(depth), _merged([s[1:] for s in stack[:depth]]), None, None, None, current[1]))
-                seq += 1
-                members += 1
-                del stack[depth:]
-
-        def position(d: int) -> int:
-            return sum(e - b for _, b, e in stack[:d])
-
-        def emit(node: bytes, text: str, loss_begin: int | None, loss_end: int | None) -> None:
-            nonlocal seq, total, size
-            n = count(text)
-            out.append((name, seq, "turn", len(stack), total, n, position(len(stack)), _merged([s[1:] for s in stack]), text, loss_begin, loss_end, None))
-            stack.append((node, total, total + n))
-            seq, total, size = seq + 1, total + n, size + len(text)
+def running_sum(rows: DataFrame, deal: list, order: list[str], value: str, out: str) -> DataFrame:
+    """The rows with ``out``: the sum of ``value`` over all rows before. Tasks get ranges of
+    ``deal`` and sort by ``order``; of each range one number is gathered."""
+    schema = StructType([*rows.schema.fields, StructField("_part", IntegerType()), StructField("_before", LongType())])
+    at = rows.columns.index(value)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, total = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for path, conv, number, node, text, loss_begin, loss_end in zip(*(batch.column(c).to_pylist() for c in names_in), strict=True):
-                if (path, conv) != current:
-                    close()
-                    current, depth = (path, conv), 0
-                    if not name or total >= pack_tokens or members >= pack_conversations:
-                        name = hashlib.sha256(f"{path}/{conv}".encode()).hexdigest()[:32]
-                        seq = total = members = 0
-                        stack.clear()
-                if depth < len(stack) and stack[depth][0] == node:
-                    depth += 1
-                else:
-                    del stack[depth:]
-                    emit(node, text, loss_begin, loss_end)
-                    depth += 1
-                if len(out) >= _ROWS or size >= 4 << 20:
-                    yield _batch(out, _PACK_TYPES, names)
-                    out, size = [], 0
-        close()
-        if out:
-            yield _batch(out, _PACK_TYPES, names)
-
-    names_in = [x.split()[0] for x in NODES.split(", ")]
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # a null id sorts first and never meets another's path and id
-    dealt = nodes.repartitionByRange(parts, "path", "conv_id").sortWithinPartitions("path", "conv_id", "turn_no")
-    return dealt.mapInArrow(pack, PACKED)
-
-
-def format_conversations(conversations: DataFrame, loss_roles: tuple[str, ...] = ("assistant",), **options) -> DataFrame:
-    return pack_prefix_trees(turn_nodes(conversations, loss_roles), **options)
-
-
-def read_conversations(packed: DataFrame) -> DataFrame:
-    """Every conversation's digests, read from the packs alone.
-
-    A pack streams in its order; digests are kept for each depth of the current
-    path and copied where conversations part, so shared turns are hashed once.
-    """
+            before = []
+            for n in batch.column(at).to_pylist():
+                before.append(total)
+                total += n
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * len(batch), pa.int32()), pa.array(before, pa.int64())], names=schema.names)
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    local = materialize(rows.repartitionByRange(parts, *deal).sortWithinPartitions(*order).mapInArrow(run, schema), "ranges")
+    sums = {r["_part"]: r["n"] for r in local.groupBy("_part").agg(F.sum(value).alias("n")).collect()}
+    starts = [(p, sum(n for q, n in sums.items() if q < p)) for p in sums]
+    offsets = rows.sparkSession.createDataFrame(starts, "_part int, _offset bigint")
+    return local.join(F.broadcast(offsets), "_part").withColumn(out, F.col("_before") + F.col("_offset")).drop("_part", "_before", "_offset")
+
+
+@dataclass
+class PrefixForest:
+    """nodes: each shared turn once (node, parent, depth, begin, n_tokens, position, attends, text,
+    loss_begin, loss_end). members: (conv, conv_id, turn_no, node). conversations: (conv_id,
+    n_turns, n_tokens, attends)."""
+
+    nodes: DataFrame
+    members: DataFrame
+    conversations: DataFrame
+
+
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Positions and intervals of the nodes that a conversation owns, and of its end."""
+    types = [pa.string(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), _INTERVALS]
+    out: list[tuple] = []
+    current, conv_id, number, position = None, None, 0, 0
+    intervals: list[list[int]] = []
+    listed = lambda: [{"begin": b, "end": e} for b, e in intervals]
+    for batch in batches:
+        for conv, key, node, own, begin, n in zip(*(batch.column(c).to_pylist() for c in ("conv", "conv_id", "node", "own", "begin", "n_tokens")), strict=True):
+            if conv != current:
+                if number:
+                    out.append((current, conv_id, None, number, position, listed()))
+                current, conv_id, number, position, intervals = conv, key, 0, 0, []
+            if own:
+                out.append((None, None, node, number, position, listed()))
+            if intervals and intervals[-1][1] == begin:
+                intervals[-1][1] += n
+            else:
+                intervals.append([begin, begin + n])
+            number, position = number + 1, position + n
+            if len(out) >= _ROWS:
+                yield _batch(out, types, _names(SPANS))
+                out = []
+    if number:
+        out.append((current, conv_id, None, number, position, listed()))
+    if out:
+        yield _batch(out, types, _names(SPANS))
+
+
+def format_conversations(conversations: DataFrame, loss_roles: tuple[str, ...] = ("assistant",), count: Callable[[list[str]], list[int]] = characters) -> PrefixForest:
+    """The prefix forest of all conversations. ``count`` gives the tokens of formatted turns;
+    turns are encoded one by one, so counts add up."""
+    made = materialize(turn_nodes(conversations, loss_roles), "turns")
+    turns, ends = made.where("path is null"), made.where("path is not null")
+    one = ends.select("conv", "path", F.lit(1).alias("one"))
+    ranks = running_sum(one, [F.substring("path", 1, _DEALT), "conv"], ["path", "conv"], "one", "rank").select("conv", "rank")
+    ranked = turns.select("conv", "conv_id", "turn_no", "node").join(ranks, "conv")
+    owner = ranked.groupBy("node", (F.xxhash64("node") % 2).alias("half")).agg(F.min("rank").alias("owner")).drop("half")
+    members = materialize(ranked.join(owner, "node"), "members")
+
+    kept = StructType([StructField(f.name, f.dataType) for f in turns.select("node", "parent", "text", "loss_begin", "loss_end", "turn_no").schema] + [StructField("owner", LongType()), StructField("n_tokens", LongType())])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in W.slices(batch, "text", 1 << 20):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(count(part.column("text").to_pylist()), pa.int64())], names=kept.names)
+            W.release()
+
+    own = members.where("rank = owner").select("conv", "turn_no", "owner")
+    texts = turns.join(own, ["conv", "turn_no"]).select(*kept.names[:-1])
+    nodes = running_sum(texts.mapInArrow(counted, kept), ["owner", "turn_no"], ["owner", "turn_no"], "n_tokens", "begin")
+    nodes = materialize(nodes, "nodes")
+    placed = members.select("conv", "conv_id", "turn_no", "node", (F.col("rank") == F.col("owner")).alias("own")).join(nodes.select("node", "begin", "n_tokens"), "node")
+    spans = placed.repartition("conv").sortWithinPartitions("conv", "turn_no").drop("turn_no").mapInArrow(_spans, SPANS)
+    spans = materialize(spans, "spans")
+    whole = nodes.drop("turn_no", "owner").join(spans.where("node is not null").select("node", "depth", "position", "attends"), "node")
+    of = spans.where("node is null").select("conv_id", F.col("depth").alias("n_turns"), F.col("position").alias("n_tokens"), "attends")
+    return PrefixForest(whole, members.select("conv", "conv_id", "turn_no", "node"), of)
+
+
+def read_conversations(forest: PrefixForest) -> DataFrame:
+    """Every conversation's digests, read from the forest alone, turn by turn."""
     schema = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stack = [(hashlib.sha256(), hashlib.sha256(), 0, 0)]
-        names = ["kind", "depth", "text", "loss_begin", "loss_end", "conv_id"]
+        out: list[tuple] = []
+        current, conv_id, n, loss_chars, chars, turns, loss = None, None, 0, 0, 0, hashlib.sha256(), hashlib.sha256()
         for batch in batches:
-            out = []
-            for kind, depth, text, begin, end, conv in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                turns, loss, loss_chars, chars = stack[depth]
-                if kind == "end":
-                    out.append((conv, depth, turns.hexdigest(), loss_chars, loss.hexdigest(), chars))
-                    continue
-                del stack[depth + 1 :]
-                turns, loss = turns.copy(), loss.copy()
+            for conv, key, text, begin, end in zip(*(batch.column(c).to_pylist() for c in ("conv", "conv_id", "text", "loss_begin", "loss_end")), strict=True):
+                if conv != current:
+                    if n:
+                        out.append((conv_id, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars))
+                    current, conv_id, n, loss_chars, chars, turns, loss = conv, key, 0, 0, 0, hashlib.sha256(), hashlib.sha256()
                 role, said = parse(text)
                 turns.update(f"{role}\n{said}\n".encode())
                 if begin is not None:
                     masked = unescape(text[begin:end])
                     loss.update(masked.encode())
                     loss_chars += len(masked)
-                stack.append((turns, loss, loss_chars, chars + len(text)))
-            if out:
-                yield _batch(out, [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()], [x.split()[0] for x in schema.split(", ")])
-
-    needed = packed.select("pack", "seq", "kind", "depth", "text", "loss_begin", "loss_end", "conv_id")
-    return needed.repartition("pack").sortWithinPartitions("pack", "seq").drop("pack", "seq").mapInArrow(read, schema)
+                n, chars = n + 1, chars + len(text)
+                if len(out) >= _ROWS:
+                    yield _batch(out, types, _names(schema))
+                    out = []
+        if n:
+            out.append((conv_id, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars))
+            yield _batch(out, types, _names(schema))
+
+    said = forest.members.join(forest.nodes.select("node", "text", "loss_begin", "loss_end"), "node")
+    return said.drop("node").repartition("conv").sortWithinPartitions("conv", "turn_no").drop("turn_no").mapInArrow(read, schema)

@@ -66,12 +66,13 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from fabula.llm.chat import CLOSE, OPEN, format_conversations, read_conversations
+    from fabula.llm.chat import CLOSE, OPEN, format_conversations, pieces, read_conversations
+    from fabula.llm.pieces import Vocabulary
 
     said = f"{CLOSE}{OPEN}assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
     rows = _read(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
-    return read_conversations(format_conversations(rows.union(extra)))
+    return read_conversations(format_conversations(rows.union(extra), count=pieces(Vocabulary.load())))
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

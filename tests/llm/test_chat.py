@@ -50,28 +50,53 @@ def test_turns_are_reversible_and_closed(role, text):
 
 def test_conversations_read_back_equal_brute_force(spark):
     df = spark.createDataFrame([(*x, "clash", "clash") for x in rows()], SCHEMA).repartition(5)
-    for options in ({}, {"pack_tokens": 50}, {"pack_conversations": 3}):
-        got = C.read_conversations(C.format_conversations(df, **options)).collect()
-        assert {r.conv_id: tuple(r)[1:] for r in got} == brute(rows()) and len(got) == len(brute(rows()))
-
-
-def test_shared_turns_are_emitted_once_with_positions_and_ancestors(spark):
-    data = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (2, 0, "user", "q"), (2, 1, "assistant", "b"), (2, 2, "user", "c"), (3, 0, "user", "q"), (3, 1, "assistant", "b")]
-    df = spark.createDataFrame([(*x, "", "") for x in data], SCHEMA)
-    packed = C.pack_prefix_trees(C.turn_nodes(df).coalesce(1)).coalesce(1).collect()
-    turns = [r for r in packed if r.kind == "turn"]
-    per_pack = {}
-    for r in turns:
-        per_pack.setdefault(r.pack, []).append(r)
-    for pack in per_pack.values():
-        assert len({(r.depth, r.text, str(r.attends)) for r in pack}) == len(pack)
-        for r in pack:
-            assert r.position == sum(x.end - x.begin for x in r.attends)
-            assert all(x.end <= r.begin for x in r.attends)
-    text = {p: "".join(r.text for r in sorted(rs, key=lambda r: r.begin)) for p, rs in per_pack.items()}
-    ends = {r.conv_id: "".join(text[r.pack][x.begin : x.end] for x in r.attends) for r in packed if r.kind == "end"}
-    for c in (1, 2, 3):
-        assert ends[c] == "".join(C.render(role, t)[0] for k, _, role, t in sorted(data) if k == c)
+    got = C.read_conversations(C.format_conversations(df)).collect()
+    assert {r.conv_id: tuple(r)[1:] for r in got} == brute(rows()) and len(got) == len(brute(rows()))
+
+
+def test_nodes_are_emitted_once_with_places_and_ancestors(spark):
+    data = rows()
+    df = spark.createDataFrame([(*x, "", "") for x in data], SCHEMA).repartition(3)
+    forest = C.format_conversations(df)
+    nodes = sorted(forest.nodes.collect(), key=lambda r: r.begin)
+    whole = "".join(r.text for r in nodes)
+    at = 0
+    for r in nodes:  # places follow each other, and nothing is emitted twice
+        assert r.begin == at and r.n_tokens == len(r.text)
+        at += r.n_tokens
+    assert len({r.node for r in nodes}) == len(nodes)
+    prefixes, texts = set(), {}
+    conv = {}
+    for c, t, role, text in data:
+        conv.setdefault(c, []).append((-1 if t is None else t, role or "", text or ""))
+    for c, turns in conv.items():
+        said = [C.render(role, t)[0] for _, role, t in sorted(turns)]
+        texts[c] = "".join(said)
+        prefixes |= {tuple(said[: n + 1]) for n in range(len(said))}
+    assert len(nodes) == len(prefixes)
+    by_node = {bytes(r.node): r for r in nodes}
+    for r in nodes:
+        up = bytes(r.parent)
+        ancestors = "".join(whole[x.begin : x.end] for x in r.attends)
+        assert r.position == len(ancestors) and all(x.end <= r.begin for x in r.attends)
+        assert (r.depth == 0) == (up == b"") and (not up or ancestors == "".join(whole[x.begin : x.end] for x in by_node[up].attends) + by_node[up].text)
+    got = {r.conv_id: ("".join(whole[x.begin : x.end] for x in r.attends), r.n_tokens, r.n_turns) for r in forest.conversations.collect()}
+    assert got == {c: (t, len(t), len(conv[c])) for c, t in texts.items()}
+
+
+def test_depth_first_order_and_real_tokens(spark):
+    from fabula.llm.pieces import Vocabulary, encode_texts
+
+    v = Vocabulary.load()
+    data = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (2, 0, "user", "q"), (2, 1, "assistant", "b"), (2, 2, "user", "c"), (3, 0, "user", "q"), (3, 1, "assistant", "b"), (4, 0, "user", "other")]
+    nodes = sorted(C.format_conversations(spark.createDataFrame([(*x, "", "") for x in data], SCHEMA), count=C.pieces(v)).nodes.collect(), key=lambda r: r.begin)
+    assert len(nodes) == 5 and all(r.n_tokens == len(encode_texts(v, [r.text])[0]) for r in nodes)
+    open_path = []
+    for r in nodes:  # each node's parent is on the path from the root to the node before
+        while open_path and open_path[-1] != r.parent:
+            open_path.pop()
+        assert bool(open_path) == bool(r.parent)
+        open_path.append(r.node)
 
 
 def test_empty_table(spark):
