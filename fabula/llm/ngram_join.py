@@ -23,7 +23,9 @@ Blocks of documents ask which signatures occur with two different sets anywhere
 Equal sets are one class from there on. Each signature's classes are compared with
 one leader among them, and links are closed to components, a few times over; then
 every two classes that share a signature but no component are compared, so the
-components are exact without the pairs within a group. Pairs of which the parity
+components are exact without the pairs within a group. Signatures that many classes still
+share by then, like those of a passage in unlike documents, are combined with signatures of
+further divisions until their groups are small. Pairs of which the parity
 sketches differ in more bits than similar sets differ in elements are left out
 before the sets themselves are fetched; that loses none.
 
@@ -43,6 +45,7 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,6 +64,10 @@ SAMPLE_DOCS, COMMON_SHARE, MOST_COMMON = 20_000, 2e-4, 200_000
 KEY_BYTES = 6
 #: Rounds of comparing with one leader of each signature, before all that is left is compared.
 LEADER_TURNS = 2
+#: Classes that are compared with each other because they share one signature; larger groups
+#: are divided further. A division makes about GROWTH rows of one, so what a division has left
+#: is divided again only where it is so many times larger.
+TOGETHER, GROWTH, LEVELS = 512, 64, 4
 
 
 @dataclass(frozen=True)
@@ -360,9 +367,44 @@ def _to_leaders(placed: DataFrame, sketches: DataFrame, p: PartEnum, turn: int)
     return pairs.join(one, "a").join(two, "b").where(may_link(p, "n", "s", "nb", "t")).select("a", "b")
 
 
-def _across(placed: DataFrame, sketches: DataFrame, p: PartEnum) -> DataFrame:
+def _finer_signatures(sets: DataFrame, p: PartEnum, level: int) -> DataFrame:
+    """(node, sig2): all signatures of the sets with the domain divided anew for ``level``."""
+    salt = np.uint64(0x632BE59BD9B4E019 * (level + 1) % 2**64)
+
+    def run(batches):
+        for batch in batches:
+            for part in (batch.slice(i, 256) for i in range(0, len(batch), 256)):
+                lists = part.column("shingles")
+                value = W.mix(lists.flatten().to_numpy().view(np.uint64) ^ salt)
+                first = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+                key, owner = signatures(p, value, first)
+                yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(owner)), pa.array(key.view(np.int64))], names=["node", "sig2"])
+            W.release()
+
+    return sets.select("node", "shingles").mapInArrow(run, "node bigint, sig2 bigint")
+
+
+def _refined(placed: DataFrame, near: DataFrame, p: PartEnum) -> DataFrame:
+    """Rows (sig, node, component) in which signatures of more than TOGETHER classes, such as
+    those of a passage that unlike documents share, are replaced by their combinations with
+    those of further divisions. Similar sets share a signature of every division, so no pair
+    is lost, and unlike ones would have to agree in each."""
+    for level in range(LEVELS):
+        placed = placed.select("sig", "node", "component")
+        large = materialize(placed.groupBy("sig", (F.col("sig") % 2).alias("odd")).agg(F.count("*").alias("n")).where(F.col("n") > TOGETHER * GROWTH**level).select("sig"), "large-signatures")
+        if not large.head(1):
+            break
+        hot = materialize(placed.join(large, "sig", "left_semi"), "large-groups")
+        finer = _finer_signatures(near.join(hot.select("node").distinct(), "node", "left_semi"), p, level)
+        finer = hot.join(finer, "node").select(F.xxhash64("sig", "sig2").alias("sig"), "node", "component")
+        several = finer.groupBy("sig", (F.col("sig") % 2).alias("odd")).agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("sig")
+        placed = materialize(placed.join(large, "sig", "left_anti").union(finer.join(several, "sig", "left_semi")), "open-signatures")
+    return placed
+
+
+def _across(placed: DataFrame, sketches: DataFrame, near: DataFrame, p: PartEnum) -> DataFrame:
     """Every possible link between two components that share a signature."""
-    placed = placed.select("sig", "node", "component").join(sketches, "node")
+    placed = _refined(placed, near, p).select("sig", "node", "component").join(sketches, "node")
     other = placed.select("sig", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), *(F.col(f"s{i}").alias(f"t{i}") for i in range(SKETCH)))
     fits = (F.col("node") < F.col("b")) & (F.col("component") != F.col("cb")) & may_link(p, "n", "s", "nb", "t")
     return placed.join(other, "sig").where(fits).select(F.col("node").alias("a"), "b").distinct()
@@ -396,7 +438,7 @@ def jaccard_components(docs: DataFrame, p: PartEnum = PartEnum(), id_col: str =
         parts = _joined(parts, links)
     else:
         placed = _open_signatures(placed.drop("component"), parts)
-    links = materialize(verify(_across(placed, sketches, p), near, p), "links")
+    links = materialize(verify(_across(placed, sketches, near, p), near, p), "links")
     if links.head(1):
         parts = _joined(parts, links)
     roots = classes.select("hi", "lo", "node")

@@ -58,6 +58,21 @@ def test_components_equal_brute_force(spark, seed, p):
     assert got == brute(rows, p)
 
 
+def test_large_groups_are_divided_without_losing_links(spark, monkeypatch):
+    monkeypatch.setattr(J, "TOGETHER", 1)
+    monkeypatch.setattr(J, "GROWTH", 6)
+    monkeypatch.setattr(J, "LEADER_TURNS", 1)
+    r = random.Random(6)
+    passage = [f"p{i}" for i in range(40)]
+    rows = corpus(4, 0.9)
+    for i in range(40):  # unlike documents with one passage, some of them near copies
+        own = [f"d{i}x{j}" for j in range(r.choice([4, 10, 30]))]
+        rows += [(1000 + 2 * i, " ".join(passage + own)), (1001 + 2 * i, " ".join(passage + own[:-1] + ["end"]))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in J.jaccard_components(df).collect()}
+    assert got == brute(rows, J.PartEnum())
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(0, 2**32), st.integers(2, 300), st.sampled_from([J.PartEnum(), J.PartEnum(num=80), J.PartEnum(num=80, n2=3), J.PartEnum(num=60, k2=2, n2=4)]))
 def test_similar_sets_share_a_signature(seed, size, p):
