@@ -18,9 +18,9 @@ from datetime import datetime
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
-from fabula.operators.entities import FAMILIES
+from fabula.operators.entities import FAMILIES, typed_values
 
 FACTS = "chunk_id string, doc_id bigint, family string, type string, entity_name string, summary string, confidence double, quote string, timeline_hint string, value string, error string"
 #: The members of each family's values, those that are lists of strings, and the
@@ -85,6 +85,11 @@ def unwrap_json(answer: str):
         return None
 
 
+def fact_values(value: Column, family: str) -> Column:
+    """The members of facts' values (JSON) that a family's merge reads, by their types."""
+    return typed_values(value, STRINGS[family], LISTS[family])
+
+
 def _text(x: object) -> str:
     if not isinstance(x, str) or not x.strip():
         raise ValueError("not a text")

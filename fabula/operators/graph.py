@@ -34,17 +34,22 @@ def graph_key(project: Column | str, label: str, key: Column | str) -> Column:
 
 
 def nodes(*tables: DataFrame) -> DataFrame:
-    """Nodes of all tables (key, label, name); of several with one key the largest name stays."""
-    both = reduce(DataFrame.unionByName, tables)
-    return both.groupBy("key", "label").agg(F.max("name").alias("name"))
+    """Nodes of all tables (key, label, name and any properties); of several with one key the
+    row of the largest name stays."""
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    rest = ["name", *(c for c in both.columns if c not in ("key", "label", "name"))]
+    return both.groupBy("key", "label").agg(F.max(F.struct(*rest)).alias("x")).select("key", "label", "x.*")
 
 
 def edges(node_table: DataFrame, *tables: DataFrame) -> DataFrame:
-    """Distinct edges (source, type, target) of which both ends are nodes."""
-    both = reduce(DataFrame.unionByName, tables).select("source", "type", "target").distinct()
-    ends = node_table.select("key")
-    both = both.join(ends.withColumnRenamed("key", "source"), "source", "left_semi")
-    return both.join(ends.withColumnRenamed("key", "target"), "target", "left_semi").select("source", "type", "target")
+    """One edge for each (source, type, target) of which both ends are nodes, with the
+    largest of its properties, if there are any."""
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    ends, rest = ["source", "type", "target"], [c for c in both.columns if c not in ("source", "type", "target")]
+    both = both.groupBy(*ends).agg(F.max(F.struct(*rest)).alias("x")).select(*ends, "x.*") if rest else both.select(*ends).distinct()
+    known = node_table.select("key")
+    both = both.join(known.withColumnRenamed("key", "source"), "source", "left_semi")
+    return both.join(known.withColumnRenamed("key", "target"), "target", "left_semi").select(*ends, *rest)
 
 
 def neighbourhood(edge_table: DataFrame, seeds: DataFrame, hops: int = 2, through: Column | None = None) -> DataFrame:

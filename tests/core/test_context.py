@@ -10,7 +10,7 @@ from fabula.operators import graph as G
 from fabula.operators import scenes as S
 from fabula.operators import vectors as V
 from fabula.operators.components import components
-from fabula.operators.extraction import RuleProvider, extract_facts, retry_delay, unwrap_json, valid_facts, with_retry, with_timeout
+from fabula.operators.extraction import RuleProvider, extract_facts, fact_values, retry_delay, unwrap_json, valid_facts, with_retry, with_timeout
 from fabula.sources.tables import read_scope, replace_scope, upsert
 
 TEXT = "Джон разговаривает с Майклом возле фонтана."
@@ -50,6 +50,10 @@ def test_graph(spark):
     raw = spark.createDataFrame([("a", "R", "b"), ("a", "R", "b"), ("b", "R", "c"), ("c", "R", "d"), ("a", "R", "missing")], "source string, type string, target string")
     edges = G.edges(nodes, raw)
     assert edges.count() == 3
+    more = G.nodes(nodes, spark.createDataFrame([("a", "X", "z", 5)], "key string, label string, name string, age int"))
+    assert more.where("key = 'a'").first().asDict() == {"key": "a", "label": "X", "name": "z", "age": 5} and more.count() == 5
+    weighted = spark.createDataFrame([("a", "R", "b", 2), ("a", "R", "b", 7)], "source string, type string, target string, weight int")
+    assert [tuple(r) for r in G.edges(nodes, weighted).collect()] == [("a", "R", "b", 7)]
     near = G.neighbourhood(edges, spark.createDataFrame([("a",)], "key string")).collect()
     assert sorted(r.key for r in near) == ["a", "b", "c"]
     parents = spark.createDataFrame([(1, "City", None), (2, "Park", 1), (3, "Fountain", 2), (4, "x", 5), (5, "y", 4)], "id int, name string, parent_id int")
@@ -78,6 +82,8 @@ def test_extraction(spark):
             valid_facts(json.dumps({"facts": [good, x]}), "character")
     with pytest.raises(ValueError):
         valid_facts(json.dumps({"facts": [event | {"value": {"title": "t", "absoluteDate": "2020-01-01"}}]}), "timeline")
+    values = spark.createDataFrame([('{"title":"t","characterNames":["a",1]}',)], "v string").select(fact_values(F.col("v"), "timeline").alias("x")).first().x
+    assert values.title == "t" and values.characterNames == ["a"] and values.description is None and values.locationNames == []
     with pytest.raises(TimeoutError):
         with_timeout(lambda: time.sleep(1), 0.05)
 
