@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -95,17 +96,32 @@ class _Block:
     def __post_init__(self):
         parts = [p for b in self.table.combine_chunks().to_batches() for p in W.slices(b, "text", 1 << 20)]
         got = [tokens(*W.buffers(p.column("text"))) for p in parts]
-        token = np.concatenate([t for t, _ in got])
+        self.token = np.concatenate([t for t, _ in got])
         self.size = np.concatenate([np.diff(f) for _, f in got])
-        self.words = _Grams(token)
-        pair = W.mix(np.roll(token, 1) * np.uint64(W._BASE) + token)
-        self.pairs = _Grams(pair)
-        deep = np.ones(len(token), bool)
+
+    @cached_property
+    def words(self) -> _Grams:
+        return _Grams(self.token)
+
+    @property
+    def _pair(self) -> np.ndarray:
+        return W.mix(np.roll(self.token, 1) * np.uint64(W._BASE) + self.token)
+
+    @cached_property
+    def pairs(self) -> _Grams:
+        return _Grams(self._pair)
+
+    @cached_property
+    def triples(self) -> _Grams:
+        deep = np.ones(len(self.token), bool)
         deep[np.cumsum(self.size) - self.size] = False
         at = np.flatnonzero(deep)
-        self.triples = _Grams(W.mix(pair[at - 1] * np.uint64(W._BASE) + token[at]), at)
-        # the context of each pair, a word, and of each triple, a pair
-        self.contexts = (self.words.of[self.pairs.first - 1], self.pairs.of[self.triples.first - 1])
+        return _Grams(W.mix(self._pair[at - 1] * np.uint64(W._BASE) + self.token[at]), at)
+
+    @property
+    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
+        """The context of each pair, a word, and of each triple, a pair."""
+        return self.words.of[self.pairs.first - 1], self.pairs.of[self.triples.first - 1]
 
     def _asked(self, kind: int, keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
         rows = X.asked(self.table.column("block")[0].as_py(), keys, values, self.buckets)
@@ -115,9 +131,10 @@ class _Block:
         number = answers.column("bucket").to_numpy()
         return X.answered(answers.filter(pa.array(number // self.buckets == kind)), np.int64)
 
-    def ask(self) -> pa.Table:
+    def ask(self, kinds: tuple[int, ...]) -> pa.Table:
         train = np.repeat(~self.table.column("held_out").to_numpy().astype(bool), self.size)
-        return pa.Table.from_batches([self._asked(kind, g.keys, g.counts(train)) for kind, g in enumerate((self.words, self.pairs, self.triples))])
+        grams = ((kind, getattr(self, ("words", "pairs", "triples")[kind])) for kind in kinds)
+        return pa.Table.from_batches([self._asked(kind, g.keys, g.counts(train)) for kind, g in grams])
 
     def counts(self, answers: pa.Table, least: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Training counts of the block's words, pairs and triples, those of contexts as they
@@ -161,14 +178,14 @@ class _Block:
         return sums(known.astype(np.int64)), sums(base), sums(here)
 
 
-def _counts(d: DataFrame, buckets: int) -> DataFrame:
+def _counts(d: DataFrame, buckets: int, kinds: tuple[int, ...]) -> DataFrame:
     """Training counts of every block's words, and from bucket ``buckets`` on of its pairs and
-    triples, doubled, with 1 more for the owner; rows of block -1 have the tokens and types
+    triples, as far as ``kinds`` ask for them, doubled, with 1 more for the owner; rows of block -1 have the tokens and types
     of each bucket of words."""
 
     def ask(table: pa.Table) -> pa.Table:
         W.release()
-        return _Block(table, buckets).ask()
+        return _Block(table, buckets).ask(kinds)
 
     def combine(table: pa.Table) -> pa.Table:
         W.release()
@@ -208,9 +225,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     seen less often than ``least_count`` are no arcs."""
     buckets = block_count(docs, text_col)
     d = _documents(docs, id_col, text_col, of, rest).withColumn("block", block_of(buckets, "doc_id", "text"))
-    counts = materialize(_counts(d, buckets), "counts")
+    # one after the other, so that the keys of both are never on disk at once
+    counts = materialize(_counts(d, buckets, (0, 1)), "counts")
     model = _automaton(counts, least_count)
-    counts = counts.where("block >= 0")
+    counts = counts.where("block >= 0").union(materialize(_counts(d, buckets, (2,)), "counts"))
 
     def ask(key: tuple, given: pa.Table, table: pa.Table) -> pa.Table:
         W.release()

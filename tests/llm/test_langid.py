@@ -36,6 +36,15 @@ def test_labels_of_held_out_rows_and_sources_are_not_used(spark):
     assert a == {(r.doc_id, r.lang_pred, r.score) for r in L.identify(spark.createDataFrame(shown, schema).repartition(7)).collect()}
 
 
+def test_columns_of_the_results_names_are_replaced(spark):
+    df = spark.createDataFrame([(i, t, x, "clash", "clash") for i, t, x, _ in corpus()], "doc_id bigint, text string, lang string, score string, lang_pred string")
+    model = L.fit_hierarchy(df.select("doc_id", "text", "lang"))
+    made = L.predict_language(df, model)
+    assert made.columns == ["doc_id", "text", "lang", "lang_pred", "score"] and made.where("score >= 0 and lang_pred <> 'clash'").count() == 400
+    kept = L.predict_language(df, model, lang_col="a", score_col="b").where("score = 'clash' and lang_pred = 'clash'")
+    assert kept.count() == 400
+
+
 def test_undetermined_empty_and_repeated(spark):
     rows = [(r[0], r[1], r[2]) for r in corpus()] + [(900, None, "en"), (901, "", "en"), (902, "123 !? \n", "en"), (903, "日本", None), (903, "日本", None), (None, "the thing", None), (904, "é", None), (905, "the " * 100_000, None)]
     schema = "doc_id bigint, text string, lang string"

@@ -47,6 +47,25 @@ def test_stages_work_on_what_was_kept(spark, tmp_path):
     assert not any(similar(text[a], text[b]) for i, a in enumerate(kept) for b in kept[:i])
 
 
+def test_columns_of_any_names_are_kept_and_losses_counted(spark, tmp_path):
+    r = random.Random(2)
+    prose = lambda n: " ".join("".join(r.choice(SYLLABLES["en"].split()) for _ in range(3)) for _ in range(n))
+    texts = [prose(60) for _ in range(12)]
+    names = "score lang_pred ids shard block component path node signatures findings decoded spans contaminated".split()
+    rows = [(i, t, "en", "s", 0, *[f"{n}{i}" for n in names]) for i, t in enumerate([*texts, texts[0], None])]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{n} string" for n in names)
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, texts[1])], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        made = stage(spark, docs, str(tmp_path))
+        assert made.columns == docs.columns
+        assert all(x.score == f"score{x.doc_id}" and x.ids == f"ids{x.doc_id}" for x in made.collect())
+    assert {x.doc_id for x in corpus_pipeline.tokenize(spark, docs, str(tmp_path)).collect()} == set(range(14))
+    got = {x.stage: (x.rows_in, x.rows_left, x.rows_out) for x in corpus_pipeline.losses(spark, docs, str(tmp_path)).collect()}
+    assert got == {"language_id": (14, 1, 13), "near_duplicates": (13, 1, 12), "decontamination": (12, 1, 11), "secrets": (11, 0, 11), "sentencepiece": (11, 0, 11)}
+
+
 def test_empty_documents(spark, tmp_path):
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
     spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
