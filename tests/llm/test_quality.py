@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from fabula.llm import quality as Q
@@ -53,6 +54,41 @@ def test_expectation_maximisation_finds_reliable_rules(spark):
     assert Q.VoteModel() == Q.fit_votes(df.limit(0))
 
 
+def test_verdicts_equal_row_by_row_estimation(spark):
+    """The same estimation over rows instead of counted patterns, with arrays."""
+    r = random.Random(11)
+    prose = lambda n: " ".join(r.choice(["the", "of", "and", "word", "Line", "text.", "some", "more,"]) + r.choice(["", "s", "ed"]) for _ in range(n))
+    rows = [(i, r.choice([prose(60), prose(30), prose(25).upper() + "!!!", "# $ % " * 12 + prose(9), "zz qq " * 20, prose(5)])) for i in range(300)]
+    got = Q.judge_quality(spark.createDataFrame([(i, t, "", "") for i, t in rows], SCHEMA)).collect()
+    failed = np.array([x.base_failed for x in got])
+    assert [x.base_failed for x in got] == [n < 20 or 100 * hit > 30 * n for x in got for n, *_, hit in [brute(dict(rows)[x.doc_id])]]
+    votes = np.array([x.votes for x in got])
+    seen, rules = votes[~failed], np.arange(len(Q.RULES))
+    start = Q.VoteModel()
+    prior, kinds = start.prior, np.array([start.good, start.bad])
+
+    def odds(v):
+        w = np.log(kinds[0] / kinds[1])
+        w = np.stack([np.minimum(w[:, 0], 0), np.zeros(len(rules)), np.maximum(w[:, 2], 0)], 1)
+        return np.log(prior / (1 - prior)) + w[rules, v + 1].sum(1)
+
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-odds(seen)))
+        new = np.ones((2, len(rules), 3))
+        for kind, share in enumerate((p, 1 - p)):
+            for k in (-1, 0, 1):
+                new[kind, :, k + 1] += ((seen == k) * share[:, None]).sum(0)
+        new /= new.sum(2, keepdims=True)
+        moved = abs(new - kinds).max()
+        kinds, prior = new, min(0.98, max(0.02, p.mean()))
+        if moved < 1e-7:
+            break
+    want = 1 / (1 + np.exp(-odds(votes)))
+    assert np.allclose([x.posterior for x in got], want, atol=1e-6)
+    sure = abs(want - 0.5) > 1e-4
+    assert ([x.kept for x in got] == (~failed & (want >= 0.5)))[sure].all() and 0 < sum(x.kept for x in got) < len(got)
+
+
 def test_verdicts_empty_tables_and_repeated_rows(spark):
     good = " ".join(f"the word{i} of and line{i}." for i in range(30))
     bad = "BUY!!! " * 40
