@@ -50,13 +50,14 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
     """Writes ``df`` and reads it back: its lineage ends there and survives lost executors,
-    and its shuffle files go."""
+    and its shuffle files go. A ``kept`` table outlives the innermost scratch block."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if _written:
-        _written[-1].append(path)
+    blocks = _written[:-1] if kept else _written
+    if blocks:
+        blocks[-1].append(path)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
