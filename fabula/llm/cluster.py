@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fabula.plans.storage import materialize, shared_dir
+from fabula.plans.storage import materialize, scratch, shared_dir
 
-__all__ = ["BLOCK_BYTES", "LEAST_BLOCKS", "block_count", "block_of", "materialize", "shared_dir"]
+__all__ = ["BLOCK_BYTES", "LEAST_BLOCKS", "block_count", "block_of", "materialize", "scratch", "shared_dir"]
 
 #: Text bytes that one block of documents aims at; a block is what one task holds.
 BLOCK_BYTES = 8 << 20
