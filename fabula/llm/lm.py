@@ -129,7 +129,7 @@ class _Block:
 
     def _answered(self, answers: pa.Table, kind: int) -> np.ndarray:
         number = answers.column("bucket").to_numpy()
-        return X.answered(answers.filter(pa.array(number // self.buckets == kind)), np.int64)
+        return X.answered(answers.filter(pa.array(number // self.buckets == kind))).astype(np.int64)
 
     def ask(self, kinds: tuple[int, ...]) -> pa.Table:
         train = np.repeat(~self.table.column("held_out").to_numpy().astype(bool), self.size)
@@ -191,18 +191,18 @@ def _counts(d: DataFrame, buckets: int, kinds: tuple[int, ...]) -> DataFrame:
         W.release()
         rows = table.select(["block", "bucket", "keys", "values"]).to_pylist()
         keys, first, back = np.unique(np.concatenate([X.unpack_keys(r["keys"]) for r in rows]), return_index=True, return_inverse=True)
-        counts = np.bincount(back, np.concatenate([np.frombuffer(r["values"], np.int64) for r in rows]), len(keys)).astype(np.int64)
+        counts = np.bincount(back, np.concatenate([X.unpack_numbers(r["values"]) for r in rows]), len(keys)).astype(np.int64)
         bucket = rows[0]["bucket"]
         per_entry = counts[back]
         out, at = [], 0
         if bucket < buckets:
-            out.append({"block": -1, "bucket": bucket, "totals": np.array([counts.sum(), (counts > 0).sum()], np.int64).tobytes()})
+            out.append({"block": -1, "bucket": bucket, "totals": X.pack_numbers(np.array([counts.sum(), (counts > 0).sum()]))})
         else:
             per_entry *= 2
             per_entry[first] += 1
         for r in rows:
             n = len(r["keys"]) // 8
-            out.append({"block": r["block"], "bucket": bucket, "totals": per_entry[at : at + n].tobytes()})
+            out.append({"block": r["block"], "bucket": bucket, "totals": X.pack_numbers(per_entry[at : at + n])})
             at += n
         return pa.Table.from_pylist(out, schema=pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("totals", pa.binary())]))
 
@@ -212,7 +212,7 @@ def _counts(d: DataFrame, buckets: int, kinds: tuple[int, ...]) -> DataFrame:
 def _automaton(counts: DataFrame, least: int) -> Automaton:
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([np.frombuffer(t, np.int64) for t in batch.column("totals").to_pylist()]).reshape(-1, 2)
+            x = np.array([X.unpack_numbers(t) for t in batch.column("totals").to_pylist()], np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(x[:, j].copy()) for j in range(2)], names=["total", "types"])
 
     rows = counts.where("block = -1").select("totals").mapInArrow(unpack, "total bigint, types bigint")
@@ -235,7 +235,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return _Block(table, buckets).ask_taken(given, model)
 
     asks = counts.groupBy("block").cogroup(d.groupBy("block")).applyInArrow(ask, X.ASK)
-    taken = X.answer(asks, lambda back, values, n: np.bincount(back, values, n).astype(np.int64), np.int64)
+    taken = materialize(X.answer(asks, lambda back, values, n: np.bincount(back, values, n).astype(np.int64)), "taken")
     answers = counts.union(taken.select("block", "bucket", "totals"))
 
     def traverse(key: tuple, given: pa.Table, table: pa.Table) -> pa.Table:

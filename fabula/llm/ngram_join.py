@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 
 from fabula.llm import exchange as X
 from fabula.llm import words as W
-from fabula.llm.cluster import block_count, block_of, materialize
+from fabula.llm.cluster import block_count, block_of, materialize, scratch
 from fabula.operators.components import stars
 
 FEATURES = "doc_id bigint, n_shingles bigint, hi bigint, lo bigint, signatures array<bigint>, shingles array<bigint>, sketch array<bigint>"
@@ -236,7 +236,7 @@ class _Block:
 
 
 def _shared(nth: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
-    least, most = np.full(n, 2**32 - 1, np.uint32), np.zeros(n, np.uint32)
+    least, most = np.full(n, 2**32 - 1, np.uint64), np.zeros(n, np.uint64)
     np.minimum.at(least, nth, value)
     np.maximum.at(most, nth, value)
     return ((least != most) | (least == 0)).astype(np.uint8)
@@ -265,7 +265,7 @@ def common_shingles(docs: DataFrame, p: PartEnum, id_col: str = "doc_id", text_c
     def keep(table: pa.Table) -> pa.Table:
         rows = table.select(["keys", "values"]).to_pylist()
         keys, back = np.unique(np.concatenate([X.unpack_keys(r["keys"]) for r in rows]), return_inverse=True)
-        n = np.bincount(back, np.concatenate([np.frombuffer(r["values"], np.int32) for r in rows]), len(keys))
+        n = np.bincount(back, np.concatenate([X.unpack_numbers(r["values"]) for r in rows]), len(keys))
         often = np.flatnonzero(n >= least)
         top = often[np.lexsort((keys[often], -n[often]))[: MOST_COMMON // 16]]
         return pa.table({"keys": pa.array([np.sort(keys[top]).tobytes()], pa.binary())})
@@ -297,7 +297,7 @@ def shingle_features(docs: DataFrame, p: PartEnum, id_col: str = "doc_id", text_
         if not len(table):
             return schema.empty_table()
         b = _Block(p, table, common)
-        flags = X.answered(answers, np.uint8)
+        flags = X.answered(answers)
         use = flags[b.nth] > 0 if len(b.nth) else np.zeros(0, bool)
         owner, key64 = b.owner[use], b.key[use]
         order = np.argsort(owner, kind="stable")
@@ -321,7 +321,7 @@ def shingle_features(docs: DataFrame, p: PartEnum, id_col: str = "doc_id", text_
         )
 
     asks = d.groupBy("block").applyInArrow(ask, X.ASK)
-    answers = X.answer(asks, _shared, np.uint32, KEY_BYTES)
+    answers = X.answer(asks, _shared, KEY_BYTES)
     return answers.groupBy("block").cogroup(d.groupBy("block")).applyInArrow(expand, FEATURES)
 
 
@@ -418,7 +418,13 @@ def _joined(parts: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, p: PartEnum = PartEnum(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008
-    """doc_id, n_shingles and component_id: the smallest id that links lead to."""
+    """doc_id, n_shingles and component_id: the smallest id that links lead to. What is written
+    on the way goes once this narrow table is."""
+    with scratch(docs.sparkSession):
+        return materialize(_linked(docs, p, id_col, text_col), "jaccard-components", kept=True)
+
+
+def _linked(docs: DataFrame, p: PartEnum, id_col: str, text_col: str) -> DataFrame:
     features = materialize(shingle_features(docs, p, id_col, text_col), "shingle-features")
     classes = (
         features.where("n_shingles > 0 and doc_id is not null")
