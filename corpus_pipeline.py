@@ -1,5 +1,11 @@
 """A corpus pipeline of five stages; each works on all that its predecessor kept.
 
+Every stage takes documents (doc_id, text, lang, source, n_chars and any other columns, of
+any names) and judges each row by its own text, never by an id that may be null or repeated.
+Defined cases for all: an empty table gives an empty one; repeated rows are judged alike;
+extra columns are kept but by the last stage; what a stage needs besides is in columns of
+names that begin with two underscores.
+
 Stages set the session to fewer rows in an Arrow batch, as documents are long: a batch
 is held by the JVM and by a Python worker, and all stages share the same workers.
 """
@@ -19,6 +25,7 @@ from fabula.llm.ngram_join import PartEnum, jaccard_components
 from fabula.llm.pieces import Vocabulary, encode
 from fabula.llm.secrets import corpus_forest, redact
 from fabula.llm.words import release
+from fabula.plans.storage import materialize, remove, scratch
 
 #: Below this a text has hardly any sign of the language predicted for it.
 LEAST_LANGUAGE_SCORE = 0.3
@@ -40,7 +47,8 @@ def _prepare(spark: SparkSession) -> None:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter, or hardly like any known language, go."""
+    """Texts without a letter, null ones included, or hardly like any known language, go. A
+    table without any language label has none to know, and all its rows go."""
     _prepare(spark)
     model = fit_hierarchy(docs.select("doc_id", "text", "lang"))
     known = predict_language(docs, model, lang_col=PREDICTED, score_col=SCORE)
@@ -70,7 +78,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth or more is in benchmark passages go."""
+    """Documents of which a twentieth or more is in benchmark passages go; null texts, and all
+    texts where there are no passages, stay."""
     _prepare(spark)
     rows = _keyed(docs)
     found = contamination(rows.select("text", F.col(KEY).alias("doc_id")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -79,14 +88,16 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced in the texts; every document stays."""
+    """Secrets are replaced in the texts, and n_chars follows; every document stays, null and
+    empty texts as they are."""
     _prepare(spark)
     clean = redact(docs, corpus_forest(docs))
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, with the columns that tell documents apart."""
+    """Token ids of every text, with the columns that tell documents apart; null for a null
+    text."""
     _prepare(spark)
     rows = encode(docs, Vocabulary.load())
     return rows.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids")
@@ -105,10 +116,28 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other; each result is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after the other; each result is written and read again, and what a stage
+    wrote besides goes with the table that it read."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if last:
+            remove(spark, last)
+        docs, last = spark.read.parquet(path), path
     return docs
+
+
+def losses(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(stage, reason, rows_in, rows_left, rows_out) of a run over ``docs``: how many rows left
+    in each stage, and why."""
+    reasons = {"language_id": "no letter, or like no known language", "near_duplicates": "a near duplicate stays", "decontamination": "a twentieth is in benchmark passages"}
+    rows = []
+    before = docs.count()
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"losses-{name}")
+        after = docs.count()
+        rows.append((name, reasons.get(name, "none may leave"), before, before - after, after))
+        before = after
+    return spark.createDataFrame(rows, "stage string, reason string, rows_in bigint, rows_left bigint, rows_out bigint")
