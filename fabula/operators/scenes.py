@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fabula.functions import text as T
+from fabula.plans.storage import materialize
 
 MARGIN = 0.08
 
@@ -18,6 +19,7 @@ def entity_matches(texts: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     never travels. Whole phrases score 1, or 1.05 as an alias; one word of the same stem
     0.92 or 0.97."""
     lab = labels.withColumn("l", T.scene_text(F.col("label"))).where("l <> ''").withColumn("n", F.size(F.split("l", " ")))
+    lab = materialize(lab, "labels")  # of a known size, so a small table of labels is broadcast
     lengths = sorted(r.n for r in lab.select("n").distinct().collect())
     w = texts.select(id_col, F.split(T.scene_text(F.col(text_col)), " ").alias("w"))
     run = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.concat(F.lit("w:"), F.array_join(F.slice("w", i, n), " ")))

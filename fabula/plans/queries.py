@@ -283,7 +283,7 @@ def possible_duplicates(spark, sf_dir):
 
 def planned(spark, sf_dir):
     f = facts(spark, sf_dir).withColumn("scope", F.col("entity_name"))
-    hint = T.classify_marker(F.when(F.col("k") % 6 == 0, "the Next Day").when(F.col("k") % 6 == 1, "in his childhood").when(F.col("k") % 6 == 2, "a year later"))
+    hint = T.classify_marker(F.when(F.col("k") % 6 == 0, "the Next Day").when(F.col("k") % 6 == 1, "in his childhood").when(F.col("k") % 6 == 2, "a year later").when(F.col("k") % 6 == 3, "Before dawn").when(F.col("k") % 6 == 4, "после обеда").otherwise("some day"))
     f = f.withColumns({"title": F.concat("type", F.lit(" "), (F.col("k") % 5).cast("string")), "description": F.when(F.col("k") % 2 == 0, F.col("summary")), "hint": hint, "absolute_date": F.when(F.col("k") % 9 == 0, F.to_date("created_at"))})
     f = f.withColumn("anchor_title", F.when(F.col("k") % 4 == 0, F.concat(F.col("type"), F.lit(" 1"))))
     f = f.withColumn("character_names", F.array("entity_name", F.concat(F.lit(" n"), F.col("k") % 3))).withColumn("source_chunk_ids", F.array(F.concat(F.lit("c"), F.col("id") % 2)))
@@ -292,7 +292,7 @@ def planned(spark, sf_dir):
 
 
 PLANNED = f"""{FACTS}, planned AS (SELECT *, chapter_index * 1000 + seq AS own FROM (SELECT *, entity_name AS who, type || ' ' || (k % 5) AS title, CASE WHEN k % 2 = 0 THEN summary END AS description,
-    CASE k % 6 WHEN 0 THEN 'next_day' WHEN 1 THEN 'childhood' WHEN 2 THEN 'year_later' END AS hint, CASE WHEN k % 4 = 0 THEN type || ' 1' END AS anchor_title,
+    CASE k % 6 WHEN 0 THEN 'next_day' WHEN 1 THEN 'childhood' WHEN 2 THEN 'year_later' WHEN 3 THEN 'before' WHEN 4 THEN 'after' WHEN 5 THEN 'unknown' END AS hint, CASE WHEN k % 4 = 0 THEN type || ' 1' END AS anchor_title,
     CASE WHEN k % 9 = 0 THEN CAST(created_at AS DATE) END AS absolute_date,
     row_number() OVER (PARTITION BY entity_name ORDER BY chapter_index, created_at, id) - 1 AS seq FROM facts))"""
 _MERGED = """w AS (SELECT *, count(*) OVER g AS n, row_number() OVER (g ORDER BY seq) AS i FROM planned WINDOW g AS (PARTITION BY who, chapter_index, title)),
@@ -316,7 +316,7 @@ def event_merge(spark, sf_dir):
 
 @query(
     f"""WITH RECURSIVE {PLANNED}, {_MERGED}, o AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY absolute_date ASC NULLS LAST, own, seq) - 1 AS i FROM merged),
-    a AS (SELECT o.scope, o.i, o.own, o.seq, o.title, CASE o.hint WHEN 'childhood' THEN -1000000 WHEN 'next_day' THEN 10 WHEN 'year_later' THEN 365 ELSE 0 END AS w, max(p.i) AS anchor
+    a AS (SELECT o.scope, o.i, o.own, o.seq, o.title, CASE o.hint WHEN 'childhood' THEN -1000000 WHEN 'before' THEN -100 WHEN 'after' THEN 50 WHEN 'next_day' THEN 10 WHEN 'year_later' THEN 365 ELSE 0 END AS w, max(p.i) AS anchor
           FROM o LEFT JOIN o p ON p.scope = o.scope AND p.i < o.i AND lower(p.title) = lower(o.anchor_title) GROUP BY ALL),
     walk AS (SELECT scope, i, seq, title, own + w + i AS pos, [own + w + i] AS orders FROM a WHERE i = 0
              UNION ALL SELECT a.scope, a.i, a.seq, a.title, coalesce(list_extract(orders, CAST(anchor + 1 AS BIGINT)), a.own) + a.w + a.i, list_append(orders, coalesce(list_extract(orders, CAST(anchor + 1 AS BIGINT)), a.own) + a.w + a.i)
