@@ -45,14 +45,15 @@ def payload_sha1(html: str = "html") -> Column:
 def mark_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_REVISIT) -> DataFrame:
     """Adds digest, size, and for rows whose payload is repeated the id that has it in full.
 
-    Only payloads that occur twice become referents. The join's keys may be hot (many
+    Only payloads that occur twice become referents, and these are written first: where they
+    are few enough to broadcast, no payload moves. Otherwise the join's keys may be hot (many
     copies of one payload): both sides are plain exchanges, so adaptive execution
     splits them; small payloads get keys of their own and never meet.
     """
     size = F.octet_length(F.coalesce(F.col(html_col), F.lit(""))).cast("long")
     d = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), payload_sha1(html_col).alias("digest"), size.alias("n"))
     again = d.where(F.col("n") >= least).groupBy("digest", "n").agg(F.max("page_id").alias("full_id"), F.count("*").alias("rows")).where("rows > 1")
-    again = again.select(F.col("digest").alias("key"), "full_id")
+    again = materialize(again.select(F.col("digest").alias("key"), "full_id"), "repeats")
     key = F.when(F.col("n") >= least, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))
     out = d.withColumn("key", key).join(again, "key", "left").drop("key")
     revisit = F.col("full_id").isNotNull() & ~F.coalesce(F.col("page_id") == F.col("full_id"), F.lit(False))
