@@ -45,7 +45,7 @@ class RuleProvider:
     character, and each capitalized word after "in" or "at" one of a location."""
 
     def complete(self, text: str, family: str) -> str:
-        pattern = {"character": r"\b[A-Z][a-z]+ [A-Z][a-z]+\b", "location": r"\b(?:in|at) ([A-Z][a-z]+)\b"}.get(family)
+        pattern = {"character": r"(?a)\b[A-Z][a-z]+ [A-Z][a-z]+\b", "location": r"(?a)\b(?:in|at) ([A-Z][a-z]+)\b"}.get(family)
         found = dict.fromkeys(re.findall(pattern, text)) if pattern else ()
         return json.dumps({"facts": [{"type": f"{family.upper()}_MENTION", "entityName": n, "value": {"summary": n.lower()}, "confidence": 0.5} for n in found]})
 
