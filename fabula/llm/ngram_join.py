@@ -65,9 +65,10 @@ KEY_BYTES = 6
 #: Rounds of comparing with one leader of each signature, before all that is left is compared.
 LEADER_TURNS = 2
 #: Classes that are compared with each other because they share one signature; larger groups
-#: are divided further. A division makes about GROWTH rows of one, so what a division has left
-#: is divided again only where it is so many times larger.
-TOGETHER, GROWTH, LEVELS = 512, 64, 4
+#: are divided further. A division makes about GROWTH rows of one, each of which costs as much
+#: as some hundred comparisons of sketches; below this size comparing is less work. What a
+#: division has left is divided again only where it is so many times larger.
+TOGETHER, GROWTH, LEVELS = 1 << 15, 64, 4
 
 
 @dataclass(frozen=True)
