@@ -196,17 +196,14 @@ def marker_weight(hint: Column) -> Column:
 
 def scene_text(value: Column) -> Column:
     """Lower case, only letters, digits, spaces and hyphens, single spaces."""
-    t = F.regexp_replace(F.lower(value), r"[^\p{L}\p{N}\s\u00a0-]+", " ")
-    return F.trim(collapse_ws(t))
+    return F.trim(F.regexp_replace(F.lower(value), r"[^a-z0-9\p{L}\p{N}-]+", " "))
 
 
 def stem_token(token: Column) -> Column:
-    """Without the first ending that leaves more than three letters."""
-    out = token
-    for suffix in reversed(STEM_SUFFIXES):
-        n = len(suffix)
-        out = F.when((F.length(token) > n + 3) & token.endswith(suffix), F.substring(token, F.lit(1), F.length(token) - n)).otherwise(out)
-    return out
+    """Without the first ending that leaves more than three letters; as longer endings come
+    first, that is the longest. What doesn't end in a Cyrillic letter has none."""
+    ending = "|".join(STEM_SUFFIXES)
+    return F.when(token.rlike("[а-яё]$"), F.regexp_replace(token, rf"^(.{{4,}}?)(?:{ending})$", "$1")).otherwise(token)
 
 
 def contains_phrase(text: Column, phrase: Column) -> Column:

@@ -22,10 +22,17 @@ def entity_matches(texts: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     lab = materialize(lab, "labels")  # of a known size, so a small table of labels is broadcast
     lengths = sorted(r.n for r in lab.select("n").distinct().collect())
     w = texts.select(id_col, F.split(T.scene_text(F.col(text_col)), " ").alias("w"))
-    run = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.concat(F.lit("w:"), F.array_join(F.slice("w", i, n), " ")))
+
+    def run(n: int) -> Column:
+        """All runs of n words, each made of the one a word shorter and the next word."""
+        if n == 1:
+            return F.transform("w", lambda x: F.concat(F.lit("w:"), x))
+        n_runs = F.size("w") - n + 1
+        return F.zip_with(F.slice(run(n - 1), F.lit(1), n_runs), F.slice("w", F.lit(n), n_runs), lambda a, b: F.concat(a, F.lit(" "), b))
+
     none = F.array().cast("array<string>")
-    runs = [F.transform("w", lambda x: F.concat(F.lit("w:"), x)) if n == 1 else F.when(F.size("w") >= n, run(n)).otherwise(none) for n in lengths]
-    stems = [F.transform("w", lambda x: F.concat(F.lit("s:"), T.stem_token(x)))] if 1 in lengths else []
+    runs = [F.when(F.size("w") >= n, run(n)).otherwise(none) for n in lengths]
+    stems = [F.transform(F.array_distinct("w"), lambda x: F.concat(F.lit("s:"), T.stem_token(x)))] if 1 in lengths else []
     keys = w.select(id_col, F.explode(F.array_distinct(F.concat(none, *runs, *stems))).alias("key"))
     stem = F.when(F.col("n") == 1, F.concat(F.lit("s:"), T.stem_token(F.col("l"))))
     lab = lab.select("entity_id", "label", "is_name", F.explode(F.array(F.concat(F.lit("w:"), "l"), stem)).alias("key")).where("key is not null")
