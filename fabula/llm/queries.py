@@ -81,6 +81,12 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_read(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fabula.llm.divergence import audit_sources
+
+    return audit_sources(_read(spark, sf_dir, "documents"))
+
+
 #: Words and windows of decontamination; A-Z are lower-cased alone.
 _ALNUM_WORDS = r"""regexp_extract_all(translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
@@ -145,6 +151,23 @@ def _url_oracle() -> str:
         SELECT page_id, host, path, fit.r AS rule, coalesce(fit.v, CASE WHEN {hits} THEN 'block' ELSE 'allow' END) AS verdict FROM f"""
 
 
+ORACLES["op11_source_divergence"] = r"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        kept AS (SELECT lang, term, count(*) AS n FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+        lt AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+        gt AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL),
+        p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS c, CAST(1 + (1000000000 * (coalesce(c.n, 0) + 1)::HUGEINT) // (coalesce(gt.n, 0) + lt.v) AS HUGEINT) AS p,
+                     CAST(1 + (1000000000 * (k.n + 1)::HUGEINT) // (lt.n + lt.v) AS HUGEINT) AS q
+              FROM g JOIN kept k USING (lang) JOIN lt USING (lang) LEFT JOIN gt USING (lang, source) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        pair AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        parts AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, CAST(coalesce(pair.value, 0) AS BIGINT) AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+                    LEFT JOIN pair ON pair.lang = x.lang AND pair.source = x.source AND pair.item = y.source
+                  UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM p WHERE c > 0 AND p > q),
+        ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM parts)
+        SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200"""
 ORACLES["op10_url_filters"] = _url_oracle()
 
 QUERIES = {
@@ -160,5 +183,6 @@ QUERIES = {
         op8_decontamination,
         op9_chat_formatting,
         op10_url_filters,
+        op11_source_divergence,
     )
 }
