@@ -25,7 +25,7 @@ one leader among them, and links are closed to components, a few times over; the
 every two classes that share a signature but no component are compared, so the
 components are exact without the pairs within a group. Signatures that many classes still
 share by then, like those of a passage in unlike documents, are combined with signatures of
-further divisions until their groups are small. Pairs of which the parity
+further divisions, and what stays large is compared tile by tile. Pairs of which the parity
 sketches differ in more bits than similar sets differ in elements are left out
 before the sets themselves are fetched; that loses none.
 
@@ -69,6 +69,8 @@ LEADER_TURNS = 2
 #: as some hundred comparisons of sketches; below this size comparing is less work. What a
 #: division has left is divided again only where it is so many times larger.
 TOGETHER, GROWTH, LEVELS = 1 << 15, 64, 4
+#: Classes of one signature that meet under one key when all that are left are compared.
+TILE = 2048
 
 
 @dataclass(frozen=True)
@@ -82,6 +84,28 @@ class PartEnum:
     n2: int = 2
     divisions: int = 16
 
+    #: 64-bit words of the sketch that goes with a set.
+    width = SKETCH
+
+    def signatures(self, value: np.ndarray, first: np.ndarray, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        return signatures(self, value, first, common)
+
+    def sketches(self, value: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """For each set the parity of its elements in each of SKETCH * 64 cells."""
+        bit = W.mix(value ^ np.uint64(0x7E57)) % np.uint64(SKETCH * 64)
+        owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        cells = np.bincount(owner * (SKETCH * 64) + bit.astype(np.int64), minlength=(len(first) - 1) * SKETCH * 64)
+        return np.packbits((cells & 1).astype(np.uint8), bitorder="little").view(np.uint64).reshape(-1, SKETCH)
+
+    def may_link(self, n_a: Column, s_a: list[Column], n_b: Column, s_b: list[Column]) -> Column:
+        """False only for pairs that can't be similar enough: sketches differ in at most as many
+        bits as the sets do in elements, and similar sets differ in few for their sizes."""
+        bits = reduce(add, [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(s_a, s_b, strict=True)])
+        return (self.den + self.num) * bits.cast("long") <= (self.den - self.num) * (n_a + n_b)
+
+    def find_common(self, docs: DataFrame, id_col: str, text_col: str) -> np.ndarray | None:
+        return common_shingles(docs, self, id_col, text_col)
+
     def bands(self, largest: int) -> tuple[np.ndarray, np.ndarray]:
         return _bands(self, 1 << max(4, int(largest).bit_length()))
 
@@ -194,7 +218,7 @@ class _Block:
             for part in W.slices(batch, "text", 2 << 20):
                 h, first = W.hash_words(*W.buffers(part.column("text")), W.BLANK_SEPARATED)
                 v, at = W.shingles(h, first, self.p.words)
-                k, o = signatures(self.p, v, at, self.common)
+                k, o = self.p.signatures(v, at, self.common)
                 values.append(v)
                 counts.append(np.diff(at))
                 keys.append(k)
@@ -218,12 +242,7 @@ class _Block:
         return W.mix(total[self.first[1:]] - total[self.first[:-1]] + self.size.astype(np.uint64))
 
     def sketches(self, keep: np.ndarray) -> np.ndarray:
-        """For the chosen sets the parity of their elements in each of SKETCH * 64 cells."""
-        bit = W.mix(self.value ^ np.uint64(0x7E57)) % np.uint64(SKETCH * 64)
-        owner = np.repeat(np.cumsum(keep) - 1, self.size)
-        use = np.repeat(keep, self.size)
-        cells = np.bincount(owner[use] * (SKETCH * 64) + bit[use].astype(np.int64), minlength=int(keep.sum()) * SKETCH * 64)
-        return np.packbits((cells & 1).astype(np.uint8), bitorder="little").view(np.uint64).reshape(-1, SKETCH)
+        return self.p.sketches(self.value[np.repeat(keep, self.size)], np.concatenate([[0], np.cumsum(self.size[keep])]))
 
     def marks(self) -> tuple[np.ndarray, np.ndarray]:
         """The distinct signatures, and for each 32 bits of its set, or 0 where two sets
@@ -279,7 +298,7 @@ def shingle_features(docs: DataFrame, p: PartEnum, id_col: str = "doc_id", text_
     """Size and fingerprint of each document's set; for those that share a signature with
     a different set also these signatures and the set itself."""
     blocks = block_count(docs, text_col)
-    common = common_shingles(docs, p, id_col, text_col)
+    common = p.find_common(docs, id_col, text_col)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     d = d.withColumn("block", block_of(blocks, "doc_id", "text"))
 
@@ -316,7 +335,7 @@ def shingle_features(docs: DataFrame, p: PartEnum, id_col: str = "doc_id", text_
                 pa.array(b.lo.view(np.int64)),
                 pa.ListArray.from_arrays(pa.array(sig_at), pa.array(key64, pa.int64())),
                 pa.ListArray.from_arrays(pa.array(set_at), pa.array(b.value[kept].view(np.int64), pa.int64())),
-                pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep * SKETCH)]).astype(np.int32)), pa.array(b.sketches(keep).ravel().view(np.int64))),
+                pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep * p.width)]).astype(np.int32)), pa.array(b.sketches(keep).ravel().view(np.int64))),
             ],
             schema=schema,
         )
@@ -326,15 +345,13 @@ def shingle_features(docs: DataFrame, p: PartEnum, id_col: str = "doc_id", text_
     return answers.groupBy("block").cogroup(d.groupBy("block")).applyInArrow(expand, FEATURES)
 
 
-def _sketch(prefix: str) -> list[str]:
-    return [f"{prefix}{i}" for i in range(SKETCH)]
+def _sketch(p: PartEnum, prefix: str) -> list[str]:
+    return [f"{prefix}{i}" for i in range(p.width)]
 
 
-def may_link(p: PartEnum, n_a: str, s_a: str, n_b: str, s_b: str) -> Column:
-    """False only for pairs that can't be similar enough: sketches differ in at most as many
-    bits as the sets do in elements, and similar sets differ in few for their sizes."""
-    bits = reduce(add, [F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(_sketch(s_a), _sketch(s_b), strict=True)])
-    return (p.den + p.num) * bits.cast("long") <= (p.den - p.num) * (F.col(n_a) + F.col(n_b))
+def _may_link(p: PartEnum, n_a: str, s_a: str, n_b: str, s_b: str) -> Column:
+    columns = lambda prefix: [F.col(c) for c in _sketch(p, prefix)]
+    return p.may_link(F.col(n_a), columns(s_a), F.col(n_b), columns(s_b))
 
 
 def verify(pairs: DataFrame, sets: DataFrame, p: PartEnum) -> DataFrame:
@@ -363,9 +380,9 @@ def _to_leaders(placed: DataFrame, sketches: DataFrame, p: PartEnum, turn: int)
     lead = placed.groupBy("sig", (F.col("sig") % 2).alias("odd")).agg(leader).select("sig", F.col("lead.node").alias("b"), F.col("lead.component").alias("cb"))
     pairs = placed.join(lead, "sig").where("component <> cb")
     pairs = pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-    one = sketches.select(F.col("node").alias("a"), "n", *_sketch("s"))
-    two = sketches.select(F.col("node").alias("b"), F.col("n").alias("nb"), *(F.col(f"s{i}").alias(f"t{i}") for i in range(SKETCH)))
-    return pairs.join(one, "a").join(two, "b").where(may_link(p, "n", "s", "nb", "t")).select("a", "b")
+    one = sketches.select(F.col("node").alias("a"), "n", *_sketch(p, "s"))
+    two = sketches.select(F.col("node").alias("b"), F.col("n").alias("nb"), *(F.col(f"s{i}").alias(f"t{i}") for i in range(p.width)))
+    return pairs.join(one, "a").join(two, "b").where(_may_link(p, "n", "s", "nb", "t")).select("a", "b")
 
 
 def _finer_signatures(sets: DataFrame, p: PartEnum, level: int) -> DataFrame:
@@ -378,7 +395,7 @@ def _finer_signatures(sets: DataFrame, p: PartEnum, level: int) -> DataFrame:
                 lists = part.column("shingles")
                 value = W.mix(lists.flatten().to_numpy().view(np.uint64) ^ salt)
                 first = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
-                key, owner = signatures(p, value, first)
+                key, owner = p.signatures(value, first)
                 yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(owner)), pa.array(key.view(np.int64))], names=["node", "sig2"])
             W.release()
 
@@ -403,12 +420,27 @@ def _refined(placed: DataFrame, near: DataFrame, p: PartEnum) -> DataFrame:
     return placed
 
 
+def _tiled(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of either side of a comparison within signatures. A signature of more than
+    TILE classes is cut into tiles, and every two tiles meet under a key of their own, so
+    no key compares more than about TILE ** 2 pairs, however many classes share it."""
+    size = placed.groupBy("sig", (F.col("sig") % 2).alias("odd")).agg(F.count("*").alias("size"))
+    large = size.where(F.col("size") > TILE).select("sig", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
+    rows = placed.join(large, "sig", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    tile = F.pmod(F.xxhash64("node"), "tiles").cast("int")
+    upper = F.explode(F.sequence(tile, F.col("tiles") - 1))
+    lower = F.explode(F.sequence(F.lit(0), tile))
+    return rows.withColumn("low", tile).withColumn("high", upper), rows.withColumn("high", tile).withColumn("low", lower)
+
+
 def _across(placed: DataFrame, sketches: DataFrame, near: DataFrame, p: PartEnum) -> DataFrame:
     """Every possible link between two components that share a signature."""
     placed = _refined(placed, near, p).select("sig", "node", "component").join(sketches, "node")
-    other = placed.select("sig", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), *(F.col(f"s{i}").alias(f"t{i}") for i in range(SKETCH)))
-    fits = (F.col("node") < F.col("b")) & (F.col("component") != F.col("cb")) & may_link(p, "n", "s", "nb", "t")
-    return placed.join(other, "sig").where(fits).select(F.col("node").alias("a"), "b").distinct()
+    one, two = _tiled(placed)
+    two = two.select("sig", "low", "high", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), *(F.col(f"s{i}").alias(f"t{i}") for i in range(p.width)))
+    fits = ((F.col("low") < F.col("high")) | (F.col("node") < F.col("b"))) & (F.col("component") != F.col("cb")) & _may_link(p, "n", "s", "nb", "t")
+    found = one.join(two, ["sig", "low", "high"]).where(fits)
+    return found.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
 
 
 def _joined(parts: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -434,7 +466,7 @@ def _linked(docs: DataFrame, p: PartEnum, id_col: str, text_col: str) -> DataFra
     )
     classes = materialize(classes, "shingle-classes")
     near = classes.where(F.size("signatures") > 0)
-    sketches = near.select("node", F.col("n_shingles").alias("n"), *(F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)))
+    sketches = near.select("node", F.col("n_shingles").alias("n"), *(F.col("sketch")[i].alias(f"s{i}") for i in range(p.width)))
     at = near.select("node", F.size("signatures").alias("rank"), F.explode("signatures").alias("sig"))
     parts, placed = None, at
     for turn in range(LEADER_TURNS):
