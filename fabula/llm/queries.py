@@ -87,6 +87,12 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_sources(_read(spark, sf_dir, "documents"))
 
 
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fabula.llm.minhash import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 #: Words and windows of decontamination; A-Z are lower-cased alone.
 _ALNUM_WORDS = r"""regexp_extract_all(translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
@@ -168,6 +174,17 @@ ORACLES["op11_source_divergence"] = r"""
                   UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM p WHERE c > 0 AND p > q),
         ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM parts)
         SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200"""
+ORACLES["op13_minhash_near_dedup"] = r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 1), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+        c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+        l AS (SELECT a, b.b FROM b JOIN c ca ON ca.doc_id = a JOIN c cb ON cb.doc_id = b.b WHERE 100 * b.n >= 80 * (ca.n + cb.n - b.n)),
+        e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        r AS (SELECT DISTINCT a AS node, a AS other FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.other = e.a),
+        k AS (SELECT node, min(other) AS component FROM r GROUP BY node),
+        f AS (SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, coalesce(k.component, d.doc_id) AS component_id FROM d LEFT JOIN c USING (doc_id) LEFT JOIN k ON k.node = d.doc_id)
+        SELECT doc_id, n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM f"""
 ORACLES["op10_url_filters"] = _url_oracle()
 
 QUERIES = {
@@ -184,5 +201,6 @@ QUERIES = {
         op9_chat_formatting,
         op10_url_filters,
         op11_source_divergence,
+        op13_minhash_near_dedup,
     )
 }
