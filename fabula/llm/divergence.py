@@ -30,34 +30,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fabula.llm import words as W
 from fabula.llm.cluster import materialize, scratch
 
 SCALE = 1_000_000_000
 #: Documents of a language that a kept term is in, and ranks of terms that are returned.
 LEAST_DOCS, TOP_TERMS = 3, 200
-#: Bytes of a text that become words at once, and counters that a task holds.
-PIECE, HELD = 1 << 20, 400_000
+#: Counters that a task holds.
+HELD = 400_000
 #: Sources of a language in one tile of the join of postings.
 TILE = 1024
-#: Bytes to those of terms: letters and all of non-ASCII characters stay, A-Z are lower-cased.
-_TERM = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+#: Letters and all bytes of non-ASCII characters; A-Z are lower-cased.
+_TERM = W.term_table(lambda b: 97 <= b <= 122 or b >= 128)
 _COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
 
 
-def terms(text: bytes) -> Iterator[list[bytes]]:
-    """The terms of a text in order, in lists of about PIECE bytes; no term is cut."""
-    clean, at = text.translate(_TERM), 0
-    while at < len(clean):
-        end = len(clean)
-        if end - at > PIECE:
-            end = clean.rfind(b" ", at, at + PIECE)
-            if end < 0:  # a term longer than a piece
-                end = clean.find(b" ", at + PIECE)
-                end = len(clean) if end < 0 else end
-        yield clean[at:end].split()
-        at = end + 1
-
-
 def _rows(held: dict[tuple[str, str], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
     for (lang, source), (counts, docs) in held.items():
         n = len(counts)
@@ -71,7 +58,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             counts, docs = held.setdefault((lang, source), (Counter(), Counter()))
             seen: set[bytes] = set()
-            for words in terms(text.cast(pa.large_binary()).as_py() or b""):
+            for words in W.terms(text.cast(pa.large_binary()).as_py() or b"", _TERM):
                 counts.update(words)
                 seen.update(words)
             docs.update(seen)

@@ -87,6 +87,12 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_sources(_read(spark, sf_dir, "documents"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fabula.llm.ranked import rank_documents
+
+    return rank_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fabula.llm.minhash import near_duplicates
 
@@ -174,6 +180,18 @@ ORACLES["op11_source_divergence"] = r"""
                   UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM p WHERE c > 0 AND p > q),
         ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM parts)
         SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200"""
+_LETTERS = r"""unnest(regexp_extract_all(translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))"""
+ORACLES["op12_ranked_search"] = f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_LETTERS.format(c="text")} AS term FROM documents),
+        tf AS (SELECT r, doc_id, term, count(*) AS tf FROM d GROUP BY ALL),
+        n AS (SELECT r, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY r),
+        s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM n),
+        w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, s GROUP BY term),
+        q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, {_LETTERS.format(c="text")} AS term FROM benchmark)),
+        i AS (SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms)))) AS BIGINT) AS score
+              FROM q JOIN w USING (term) JOIN tf USING (term) JOIN n USING (r), s GROUP BY ALL),
+        ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, r) AS INTEGER) AS rank, doc_id, score FROM i WHERE score > 0)
+        SELECT * FROM ranked WHERE rank <= 10"""
 ORACLES["op13_minhash_near_dedup"] = r"""
         WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
         s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 1), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
@@ -201,6 +219,7 @@ QUERIES = {
         op9_chat_formatting,
         op10_url_filters,
         op11_source_divergence,
+        op12_ranked_search,
         op13_minhash_near_dedup,
     )
 }

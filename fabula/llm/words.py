@@ -9,7 +9,7 @@ words, so the memory beside the hashes themselves is bounded for any text.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -170,3 +170,26 @@ def shingles(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray,
     new[1:] = (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])
     owner, value = owner[new], value[new]
     return value, np.searchsorted(owner, np.arange(len(count) + 1))
+
+
+#: Bytes of a text that become terms at once.
+PIECE = 1 << 20
+
+
+def term_table(is_term: Callable[[int], bool]) -> bytes:
+    """For bytes.translate: A-Z are lower-cased, and what then is in no term becomes a blank."""
+    return bytes(b if is_term(b) else 32 for b in (x + 32 if 65 <= x <= 90 else x for x in range(256)))
+
+
+def terms(text: bytes, table: bytes) -> Iterator[list[bytes]]:
+    """The terms of a text in order, in lists of about PIECE bytes; no term is cut."""
+    clean, at = text.translate(table), 0
+    while at < len(clean):
+        end = len(clean)
+        if end - at > PIECE:
+            end = clean.rfind(b" ", at, at + PIECE)
+            if end < 0:  # a term longer than a piece
+                end = clean.find(b" ", at + PIECE)
+                end = len(clean) if end < 0 else end
+        yield clean[at:end].split()
+        at = end + 1

@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 from fabula.llm import divergence as D
+from fabula.llm import words as W
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, p bigint, q bigint, term string, none string, kept bigint, total string"
 
@@ -62,11 +63,11 @@ def test_tiles_and_small_pieces_change_nothing(spark, monkeypatch):
 
 
 def test_terms_of_long_texts_are_never_cut(monkeypatch):
-    monkeypatch.setattr(D, "PIECE", 10)
+    monkeypatch.setattr(W, "PIECE", 10)
     text = "Aa bb-cc " + "d" * 35 + " e1f éÉ " + "g" * 12
     want = ["aa", "bb", "cc", "d" * 35, "e", "f", "éÉ", "g" * 12]
-    assert [w.decode() for words in D.terms(text.encode()) for w in words] == want
-    assert list(D.terms(b"")) == []
+    assert [w.decode() for words in W.terms(text.encode(), D._TERM) for w in words] == want
+    assert list(W.terms(b"", D._TERM)) == []
 
 
 def test_what_a_task_gives_early_adds_up(monkeypatch):
