@@ -16,7 +16,7 @@ from pyspark.sql.types import LongType
 
 from fabula.functions import text as T
 from fabula.operators.components import components
-from fabula.operators.scan import sorted_scan
+from fabula.operators.scan import Resets, segmented_scan
 from fabula.plans.storage import materialize
 
 #: The kinds of facts of each family.
@@ -99,51 +99,37 @@ def canonical_names(groups: DataFrame, people: bool = True, normalize=T.normaliz
     return names.groupBy("scope", "root", "canonical_name").agg(aliases.alias("aliases"))
 
 
-def _character_step(state: dict, row: tuple) -> int:
+def _said(text: str | None) -> str:
+    return " ".join((text or "").lower().split())
+
+
+def _character_reads(row: tuple) -> tuple[bool, dict[str, str], dict[str, str]]:
     kind, hint, summary, confidence = row
-    value = " ".join((summary or "").lower().split())
-    new = False
-    if state["n"]:
-        if kind == "CHARACTER_PLOT_CHANGE" or (hint and state["hint"] and hint != state["hint"]):
-            new = True
-        elif kind in ("CHARACTER_AGE", "CHARACTER_APPEARANCE", "CHARACTER_PERSONALITY"):
-            before = state["last"].get(kind)
-            sure = kind == "CHARACTER_AGE" or confidence >= 0.5
-            new = bool(before and value and sure and before != value)
-    if new:
-        state["n"], state["hint"], state["last"] = 0, None, {}
-        state["segment"] += 1
-    state["n"] += 1
-    state["hint"] = hint or state["hint"]
-    if value:
-        state["last"][kind] = value
-    return state["segment"]
-
-
-def _location_step(state: dict, row: tuple) -> int:
+    sets = {"hint": hint} if hint else {}
+    compared = dict(sets)
+    value = _said(summary)
+    if value and kind in ("CHARACTER_AGE", "CHARACTER_APPEARANCE", "CHARACTER_PERSONALITY"):
+        sets[kind] = value
+        if kind == "CHARACTER_AGE" or (confidence or 0) >= 0.5:
+            compared[kind] = value
+    return kind == "CHARACTER_PLOT_CHANGE", compared, sets
+
+
+def _location_reads(row: tuple) -> tuple[bool, dict[str, str], dict[str, str]]:
     kind, hint, era = row
-    value = " ".join((era or "").lower().split())
-    new = bool(state["n"]) and (kind == "LOCATION_CHANGE" or bool(hint and state["hint"] and hint != state["hint"]) or bool(state["last"].get("era") and value and state["last"]["era"] != value))
-    if new:
-        state["n"], state["hint"], state["last"] = 0, None, {}
-        state["segment"] += 1
-    state["n"] += 1
-    state["hint"] = hint or state["hint"]
-    if value:
-        state["last"]["era"] = value
-    return state["segment"]
-
-
-def version_segments(groups: DataFrame, family: str = "character") -> DataFrame:
+    sets = {k: v for k, v in (("hint", hint), ("era", _said(era))) if v}
+    return kind == "LOCATION_CHANGE", sets, sets
+
+
+def version_segments(groups: DataFrame, family: str = "character", ranges: int | None = None) -> DataFrame:
     """Facts with ``version``, from 1: a new one begins at a change, at another timeline
     hint than the segment's last, and for characters at another age than the segment's
     last or a sure other appearance or personality, for locations at another era.
-    What a segment has not said yet never begins a new one."""
-    start = lambda: {"n": 0, "segment": 1, "hint": None, "last": {}}
-    order = ["chapter_index", "id"]
-    if family == "character":
-        return sorted_scan(groups, "root", order, ["type", "timeline_hint", "summary", "confidence"], start, _character_step, "version", LongType())
-    return sorted_scan(groups, "root", order, ["type", "timeline_hint", "era"], start, _location_step, "version", LongType())
+    What a segment has not said yet never begins a new one. An entity with very many facts
+    is many tasks."""
+    reads = ["type", "timeline_hint", "summary", "confidence"] if family == "character" else ["type", "timeline_hint", "era"]
+    machine = Resets(_character_reads if family == "character" else _location_reads)
+    return segmented_scan(groups, "root", ["chapter_index", "id"], reads, machine, "version", LongType(), ranges)
 
 
 def ordered_distinct(value: Column) -> Column:
