@@ -28,13 +28,13 @@ from fabula.sources import snapshots
 @dataclass(frozen=True)
 class Node:
     """A node for each row of ``table``. ``properties`` maps names to columns; rows with one id
-    are taken in ``order``."""
+    are taken in ``order``, as far as the table has such columns."""
 
     label: str
     table: str
     properties: dict[str, str]
     id: str = "id"
-    order: tuple[str, ...] = ()
+    order: tuple[str, ...] = ("position",)
 
 
 @dataclass(frozen=True)
@@ -50,7 +50,7 @@ class Edge:
     type_of: str = ""
     properties: dict[str, str] | None = None
     constants: dict[str, str] | None = None
-    order: tuple[str, ...] = ()
+    order: tuple[str, ...] = ("position",)
 
 
 def same(*names: str, **others: str) -> dict[str, str]:
