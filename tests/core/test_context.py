@@ -117,27 +117,6 @@ def test_replacing_a_scope(spark, tmp_path):
     assert {tuple(r) for r in upsert(old, spark.createDataFrame([(2, "z"), (3, "n")], "k int, v string"), "k").collect()} == {(1, "a"), (2, "z"), (3, "n")}
 
 
-def test_arriving_chunks_replace_earlier_facts(spark, tmp_path):
-    from fabula.streaming.incremental import CHUNKS, extract_continuously, watch_chunks
-
-    folder, table = str(tmp_path / "in"), str(tmp_path / "facts")
-    for name in ("Anna Karenina", "Kitty Levin"):
-        spark.createDataFrame([("c1", 1, name)], CHUNKS).write.mode("append").parquet(folder)
-        extract_continuously(watch_chunks(spark, folder), RuleProvider(), table, str(tmp_path / "cp"), once=True).awaitTermination()
-    assert [r.entity_name for r in spark.read.parquet(table).collect()] == ["Kitty Levin"]
-
-
-def test_chunks_of_one_document_in_several_batches(spark, tmp_path):
-    from fabula.streaming.incremental import CHUNKS, extract_continuously, watch_chunks
-
-    folder, table = str(tmp_path / "in"), str(tmp_path / "facts")
-    want = [["Anna Karenina"], ["Anna Karenina", "Kitty Levin"], ["Anna Karenina"], []]
-    for (chunk, text), names in zip([("c1", "Anna Karenina"), ("c2", "Kitty Levin"), ("c2", "nobody"), ("c1", "")], want, strict=True):
-        spark.createDataFrame([(chunk, 1, text)], CHUNKS).write.mode("append").parquet(folder)
-        extract_continuously(watch_chunks(spark, folder), RuleProvider(), table, str(tmp_path / "cp"), once=True).awaitTermination()
-        assert sorted(r.entity_name for r in spark.read.schema("entity_name string").parquet(table).collect()) == names
-
-
 def test_stars_over_many_partitions(spark):
     r = random.Random(5)
     edges = [(i, i + 1) for i in range(100, 180)] + [(500, i) for i in range(501, 560)] + [(r.randrange(1000, 1400), r.randrange(1000, 1400)) for _ in range(260)] + [(9, 9), (3, 1), (1, 2)]
