@@ -6,38 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fabula.functions import text as T
+from fabula.operators.dictionary import find_labels
 from fabula.plans.storage import materialize
 
 MARGIN = 0.08
 
 
 def entity_matches(texts: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Best match of each entity in each text. ``labels``: (entity_id, label, is_name).
-
-    A label of n words is in a text where it equals one of its runs of n words; so runs
-    of the lengths that labels have, and stems, meet labels in an equi-join. The text itself
-    never travels. Whole phrases score 1, or 1.05 as an alias; one word of the same stem
-    0.92 or 0.97."""
-    lab = labels.withColumn("l", T.scene_text(F.col("label"))).where("l <> ''").withColumn("n", F.size(F.split("l", " ")))
-    lab = materialize(lab, "labels")  # of a known size, so a small table of labels is broadcast
-    lengths = sorted(r.n for r in lab.select("n").distinct().collect())
-    w = texts.select(id_col, F.split(T.scene_text(F.col(text_col)), " ").alias("w"))
-
-    def run(n: int) -> Column:
-        """All runs of n words, each made of the one a word shorter and the next word."""
-        if n == 1:
-            return F.transform("w", lambda x: F.concat(F.lit("w:"), x))
-        n_runs = F.size("w") - n + 1
-        return F.zip_with(F.slice(run(n - 1), F.lit(1), n_runs), F.slice("w", F.lit(n), n_runs), lambda a, b: F.concat(a, F.lit(" "), b))
-
-    none = F.array().cast("array<string>")
-    runs = [F.when(F.size("w") >= n, run(n)).otherwise(none) for n in lengths]
-    stems = [F.transform(F.array_distinct("w"), lambda x: F.concat(F.lit("s:"), T.stem_token(x)))] if 1 in lengths else []
-    keys = w.select(id_col, F.explode(F.array_distinct(F.concat(none, *runs, *stems))).alias("key"))
-    stem = F.when(F.col("n") == 1, F.concat(F.lit("s:"), T.stem_token(F.col("l"))))
-    lab = lab.select("entity_id", "label", "is_name", F.explode(F.array(F.concat(F.lit("w:"), "l"), stem)).alias("key")).where("key is not null")
-    score = F.when(F.col("key").startswith("w:"), F.when(F.col("is_name"), 1.0).otherwise(1.05)).otherwise(F.when(F.col("is_name"), 0.92).otherwise(0.97))
-    hits = keys.join(lab, "key").withColumn("score", score)
+    """Best match of each entity in each text. ``labels``: (entity_id, label, is_name), of any
+    length. Whole phrases score 1, or 1.05 as an alias; one word of the same stem 0.92 or 0.97.
+    Texts are read where they are; only hits travel."""
+    lab = labels.withColumn("l", T.scene_text(F.col("label"))).where("l <> ''")
+    lab = materialize(lab.select("entity_id", "label", "is_name", "l", F.monotonically_increasing_id().alias("row")), "labels")
+    numbered = lab.groupBy("l").agg(F.min("row").alias("number"))
+    numbered = materialize(numbered, "label-numbers")
+    lab = lab.join(numbered, "l").select("entity_id", "label", "is_name", "number")
+    hits = find_labels(texts, numbered, id_col, text_col).join(lab, "number")
+    score = F.when(F.col("whole"), F.when(F.col("is_name"), 1.0).otherwise(1.05)).otherwise(F.when(F.col("is_name"), 0.92).otherwise(0.97))
+    hits = hits.withColumn("score", score)
     best = F.max_by("label", F.struct("score", F.col("is_name"), "label"))
     return hits.groupBy(id_col, "entity_id").agg(F.max("score").alias("score"), best.alias("matched"))
 
