@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fabula.operators import entities, timeline
 from fabula.operators import project_graph as graph
 from fabula.operators.graph import RELATIONS
-from fabula.plans.queries import _ROOTS, _SEGMENTS, FACTS, facts, query
-from fabula.plans.storage import materialize
+from fabula.operators.vector_index import VectorIndex
+from fabula.plans.queries import _ROOTS, _SEGMENTS, FACTS, facts, query, read
+from fabula.plans.storage import materialize, shared_dir
 
 
 def _told(properties: str = "properties") -> Column:
@@ -135,3 +138,39 @@ def project_edges(spark, sf_dir):
     tables = world_tables(spark, sf_dir)
     nodes = materialize(graph.graph_nodes(tables), "graph-nodes")
     return graph.graph_edges(tables, nodes).select("project", "source", "type", "target", _told().alias("properties"))
+
+
+# ------------------------------------------------------------------ stored vectors
+
+
+def _points(spark, sf_dir) -> DataFrame:
+    e = read(spark, sf_dir, "embeddings")
+    return e.select(F.concat(F.lit("p"), F.col("label").cast("string")).alias("project"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.lit("old").alias("kind"))
+
+
+@query(
+    """SELECT 'p' || CASE WHEN vec_id % 20 = 0 THEN 99 ELSE label END AS project, vec_id AS id, CASE WHEN vec_id % 10 = 0 THEN 'new' ELSE 'old' END AS kind,
+    round(CAST(CASE WHEN vec_id % 10 = 0 THEN -embedding[1] ELSE embedding[1] END AS DOUBLE), 5) AS first FROM embeddings WHERE label <> 3 OR vec_id % 20 = 0
+    UNION ALL SELECT 'p' || label, vec_id, 'old', round(CAST(embedding[1] AS DOUBLE), 5) FROM embeddings WHERE vec_id % 20 = 0 AND label <> 3"""
+)
+def vector_index_updates(spark, sf_dir):
+    """An index of all points, after a tenth of them got opposite vectors (half of these as points of
+    a project of their own) and one project went."""
+    points = _points(spark, sf_dir)
+    index = VectorIndex.create(spark, f"{shared_dir(spark)}/vector-index-{uuid.uuid4().hex}", points, 16)
+    changed = points.where("id % 10 = 0").withColumn("vector", F.transform("vector", lambda x: -x)).withColumn("kind", F.lit("new"))
+    index.upsert(changed.withColumn("project", F.when(F.col("id") % 20 == 0, "p99").otherwise(F.col("project"))))
+    index.delete(F.col("project") == "p3")
+    return index.points().select("project", "id", "kind", F.round(F.col("vector")[0].cast("double"), 5).alias("first"))
+
+
+@query("SELECT count(*) AS n_queries, TRUE AS enough FROM embeddings WHERE vec_id % 50 = 0")
+def vector_index_recall(spark, sf_dir):
+    """Whether a search of the index finds nine tenths of the exact ten best of every vector whose
+    id is divisible by 50, against all, with as many lists as a tenth of these queries asks for."""
+    points = _points(spark, sf_dir).withColumn("project", F.lit("all"))
+    index = VectorIndex.create(spark, f"{shared_dir(spark)}/vector-index-{uuid.uuid4().hex}", points, 32)
+    queries = points.where("id % 50 = 0").select(F.col("id").alias("query_id"), "project", "vector")
+    probes = index.probes_for(queries.where("query_id % 500 = 0"), 10, 0.95)
+    reached = index.recall(queries, 10, probes)
+    return queries.agg(F.count("*").alias("n_queries"), (F.lit(reached) >= 0.9).alias("enough"))
