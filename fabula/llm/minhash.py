@@ -11,10 +11,10 @@ Signatures are split into chunks of ``chunk`` places. If two differ in at most
 out, the rest of the chunk is a key, and all pairs within the distance share a key. That holds
 for every pair of signatures, whatever the data.
 
-Which pairs of *sets* are within the distance is a matter of chance: with 96 places and a
-distance of 47 (half of them less one), a pair of similarity 0.8 is beyond it once in 2 * 10 ** 10,
+Which pairs of *sets* are within the distance is a matter of chance: with 80 places and a
+distance of 39 (half of them less one), a pair of similarity 0.8 is beyond it twice in 10 ** 9,
 and a more similar one less often. Pairs within the distance are confirmed on their full sets, so no
-link is false.
+link is false; those whose sizes or parities of elements already rule that out aren't fetched for it.
 
 Keys go through the join of ngram_join.py: blocks of documents ask which keys two
 different sets have, equal sets are one class, classes meet one leader of each key, links are closed
@@ -31,17 +31,17 @@ none; it is kept only where it has none. An empty table gives an empty result. O
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 from itertools import combinations
-from operator import add
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fabula.llm import words as W
-from fabula.llm.ngram_join import jaccard_components
+from fabula.llm.ngram_join import jaccard_components, parity, parity_allows
 
+#: 64-bit words of the parity sketch that stands after a signature.
+PARITY = 8
 #: Elements that go through all hash functions at once.
 _AT_ONCE = 1 << 15
 
@@ -53,10 +53,12 @@ class HammingIndex:
     words: int = 2
     num: int = 80
     den: int = 100
-    places: int = 96
+    places: int = 80
     chunk: int = 4
     errors: int = 1
     seed: int = 20241105
+    #: Rounds of comparing classes with one leader of each key, before all that is left is compared.
+    turns: int = 1
 
     def __post_init__(self):
         if self.chunk != 4 or self.places % 4:
@@ -65,14 +67,21 @@ class HammingIndex:
     @property
     def distance(self) -> int:
         """Places in which signatures may differ and still share a key."""
-        return self.width * (self.errors + 1) - 1
+        return self.chunks * (self.errors + 1) - 1
 
     @property
-    def width(self) -> int:
-        """Chunks, one 64-bit word each."""
+    def chunks(self) -> int:
+        """One 64-bit word each."""
         return self.places // self.chunk
 
+    @property
+    def width(self) -> int:
+        return self.chunks + PARITY
+
     def sketches(self, value: np.ndarray, first: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.minima(value, first), parity(value, first, PARITY)], axis=1)
+
+    def minima(self, value: np.ndarray, first: np.ndarray) -> np.ndarray:
         """The signature of each set value[first[i]:first[i + 1]]; of an empty one all ones."""
         factors = np.random.default_rng(self.seed).integers(0, 2**63, self.places, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         least = np.full((len(first) - 1, self.places), 2**64 - 1, np.uint64)
@@ -85,32 +94,38 @@ class HammingIndex:
             for k, a in enumerate(factors):
                 least[sets, k] = np.minimum(least[sets, k], np.minimum.reduceat(part * a, at))
         # the top bits of a least hash are mostly zeros, so they are mixed first
-        return W.mix(least).astype(np.uint16).view(np.uint64).reshape(len(least), self.width)
+        return W.mix(least).astype(np.uint16).view(np.uint64).reshape(len(least), self.chunks)
+
+    def _choices(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each key of a signature: its chunk, the places that it keeps, and what tells it
+        from other keys of the same value."""
+        left_out = list(combinations(range(self.chunk), self.errors))
+        masks = [sum(0xFFFF << 16 * i for i in range(self.chunk) if i not in out) for out in left_out]
+        chunk = np.repeat(np.arange(self.chunks), len(masks))
+        return chunk, np.tile(np.array(masks, np.uint64), self.chunks), W.mix(np.arange(1, len(chunk) + 1, dtype=np.uint64))
 
     def signatures(self, value: np.ndarray, first: np.ndarray, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The keys of all sets, and the set of each."""
         some = np.flatnonzero(np.diff(first) > 0)
-        words = self.sketches(value, first)[some]
-        keys, owners = [], []
-        for c in range(self.width):
-            for n, left_out in enumerate(combinations(range(self.chunk), self.errors)):
-                mask = np.uint64(sum(0xFFFF << 16 * i for i in range(self.chunk) if i not in left_out))
-                keys.append(W.mix((words[:, c] & mask) ^ W.mix(np.array([c * 1000 + n + 1], np.uint64))))
-                owners.append(some)
-        if not keys or not len(some):
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        return np.concatenate(keys), np.concatenate(owners)
-
-    def may_link(self, n_a: Column, s_a: list[Column], n_b: Column, s_b: list[Column]) -> Column:
-        """Whether two signatures are within the distance."""
+        chunk, mask, salt = self._choices()
+        keys = W.mix((self.minima(value, first)[some][:, chunk] & mask) ^ salt)
+        return keys.ravel(), np.repeat(some, len(chunk))
 
-        def differing(x: Column, y: Column) -> Column:
-            bits = x.bitwiseXOR(y)
-            for by in (8, 4, 2, 1):  # the lowest bit of each 16 becomes whether any of them is set
-                bits = bits.bitwiseOR(F.shiftrightunsigned(bits, by))
-            return F.bit_count(bits.bitwiseAND(F.lit(0x0001000100010001)))
+    def first_key(self, s_a: np.ndarray, s_b: np.ndarray) -> np.ndarray:
+        """The first key that both of a pair within the distance have."""
+        chunk, mask, salt = self._choices()
+        at = ((s_a[:, chunk] ^ s_b[:, chunk]) & mask == 0).argmax(1)
+        return W.mix((s_a[np.arange(len(s_a)), chunk[at]] & mask[at]) ^ salt[at])
+
+    def within(self, s_a: np.ndarray, s_b: np.ndarray) -> np.ndarray:
+        """Whether two signatures are within the distance."""
+        return ((s_a ^ s_b).view(np.uint16) != 0).sum(1) <= self.distance
 
-        return reduce(add, [differing(x, y) for x, y in zip(s_a, s_b, strict=True)]) <= self.distance
+    def may_link(self, n_a: np.ndarray, s_a: np.ndarray, n_b: np.ndarray, s_b: np.ndarray) -> np.ndarray:
+        at = self.chunks
+        ok = parity_allows(self.num, self.den, n_a, s_a[:, at:], n_b, s_b[:, at:])
+        ok[ok] = self.within(np.ascontiguousarray(s_a[ok, :at]), np.ascontiguousarray(s_b[ok, :at]))
+        return ok
 
     def find_common(self, docs: DataFrame, id_col: str, text_col: str) -> None:
         """Shingles that many documents have need no place of their own here."""

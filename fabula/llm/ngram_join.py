@@ -38,15 +38,15 @@ none. An empty table gives an empty result. Other columns are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache, reduce
+from functools import lru_cache
 from itertools import combinations
-from operator import add
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fabula.llm import exchange as X
@@ -69,8 +69,25 @@ LEADER_TURNS = 2
 #: as some hundred comparisons of sketches; below this size comparing is less work. What a
 #: division has left is divided again only where it is so many times larger.
 TOGETHER, GROWTH, LEVELS = 1 << 15, 64, 4
-#: Classes of one signature that meet under one key when all that are left are compared.
-TILE = 2048
+#: Classes of one signature that meet under one key when all that are left are compared, and
+#: pairs that a task looks at at once.
+TILE, PAIRS_AT_ONCE = 2048, 1 << 16
+
+
+def parity(value: np.ndarray, first: np.ndarray, words: int) -> np.ndarray:
+    """For each set value[first[i]:first[i + 1]] the parity of its elements in each of words * 64 cells."""
+    n, cells = len(first) - 1, words * 64
+    bit = W.mix(value ^ np.uint64(0x7E57)) % np.uint64(cells)
+    owner = np.repeat(np.arange(n), np.diff(first))
+    count = np.bincount(owner * cells + bit.astype(np.int64), minlength=n * cells)
+    return np.packbits((count & 1).astype(np.uint8), bitorder="little").view(np.uint64).reshape(n, words)
+
+
+def parity_allows(num: int, den: int, n_a: np.ndarray, s_a: np.ndarray, n_b: np.ndarray, s_b: np.ndarray) -> np.ndarray:
+    """False only for pairs that can't be similar enough: sketches differ in at most as many
+    bits as the sets do in elements, and similar sets differ in few for their sizes."""
+    bits = np.bitwise_count(s_a ^ s_b).sum(1, dtype=np.int64)
+    return (den + num) * bits <= (den - num) * (n_a + n_b)
 
 
 @dataclass(frozen=True)
@@ -84,24 +101,22 @@ class PartEnum:
     n2: int = 2
     divisions: int = 16
 
-    #: 64-bit words of the sketch that goes with a set.
-    width = SKETCH
+    #: 64-bit words of the sketch that goes with a set; rounds of comparing with leaders.
+    width, turns = SKETCH, LEADER_TURNS
 
     def signatures(self, value: np.ndarray, first: np.ndarray, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         return signatures(self, value, first, common)
 
     def sketches(self, value: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """For each set the parity of its elements in each of SKETCH * 64 cells."""
-        bit = W.mix(value ^ np.uint64(0x7E57)) % np.uint64(SKETCH * 64)
-        owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        cells = np.bincount(owner * (SKETCH * 64) + bit.astype(np.int64), minlength=(len(first) - 1) * SKETCH * 64)
-        return np.packbits((cells & 1).astype(np.uint8), bitorder="little").view(np.uint64).reshape(-1, SKETCH)
-
-    def may_link(self, n_a: Column, s_a: list[Column], n_b: Column, s_b: list[Column]) -> Column:
-        """False only for pairs that can't be similar enough: sketches differ in at most as many
-        bits as the sets do in elements, and similar sets differ in few for their sizes."""
-        bits = reduce(add, [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(s_a, s_b, strict=True)])
-        return (self.den + self.num) * bits.cast("long") <= (self.den - self.num) * (n_a + n_b)
+        return parity(value, first, SKETCH)
+
+    def may_link(self, n_a: np.ndarray, s_a: np.ndarray, n_b: np.ndarray, s_b: np.ndarray) -> np.ndarray:
+        """For each pair of sets, by sizes and sketches, whether it may be similar enough."""
+        return parity_allows(self.num, self.den, n_a, s_a, n_b, s_b)
+
+    def first_key(self, s_a: np.ndarray, s_b: np.ndarray) -> np.ndarray | None:
+        """For each pair of sketches the one signature under which the pair counts, if they tell it."""
+        return None
 
     def find_common(self, docs: DataFrame, id_col: str, text_col: str) -> np.ndarray | None:
         return common_shingles(docs, self, id_col, text_col)
@@ -345,13 +360,22 @@ def shingle_features(docs: DataFrame, p: PartEnum, id_col: str = "doc_id", text_
     return answers.groupBy("block").cogroup(d.groupBy("block")).applyInArrow(expand, FEATURES)
 
 
-def _sketch(p: PartEnum, prefix: str) -> list[str]:
-    return [f"{prefix}{i}" for i in range(p.width)]
+def _sketches(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, width)
 
 
-def _may_link(p: PartEnum, n_a: str, s_a: str, n_b: str, s_b: str) -> Column:
-    columns = lambda prefix: [F.col(c) for c in _sketch(p, prefix)]
-    return p.may_link(F.col(n_a), columns(s_a), F.col(n_b), columns(s_b))
+def _likely(pairs: DataFrame, p: PartEnum) -> DataFrame:
+    """The pairs (a, b, n, s, nb, t) that sizes and sketches don't rule out."""
+
+    def run(batches):
+        for batch in batches:
+            for part in (batch.slice(i, 4096) for i in range(0, len(batch), 4096)):
+                n, nb = part.column("n").to_numpy(), part.column("nb").to_numpy()
+                ok = p.may_link(n, _sketches(part.column("s"), p.width), nb, _sketches(part.column("t"), p.width))
+                yield part.select(["a", "b"]).filter(pa.array(ok))
+            W.release()
+
+    return pairs.select("a", "b", "n", "s", "nb", "t").mapInArrow(run, "a bigint, b bigint")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, p: PartEnum) -> DataFrame:
@@ -380,9 +404,9 @@ def _to_leaders(placed: DataFrame, sketches: DataFrame, p: PartEnum, turn: int)
     lead = placed.groupBy("sig", (F.col("sig") % 2).alias("odd")).agg(leader).select("sig", F.col("lead.node").alias("b"), F.col("lead.component").alias("cb"))
     pairs = placed.join(lead, "sig").where("component <> cb")
     pairs = pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-    one = sketches.select(F.col("node").alias("a"), "n", *_sketch(p, "s"))
-    two = sketches.select(F.col("node").alias("b"), F.col("n").alias("nb"), *(F.col(f"s{i}").alias(f"t{i}") for i in range(p.width)))
-    return pairs.join(one, "a").join(two, "b").where(_may_link(p, "n", "s", "nb", "t")).select("a", "b")
+    one = sketches.select(F.col("node").alias("a"), "n", "s")
+    two = sketches.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("s").alias("t"))
+    return _likely(pairs.join(one, "a").join(two, "b"), p)
 
 
 def _finer_signatures(sets: DataFrame, p: PartEnum, level: int) -> DataFrame:
@@ -403,44 +427,113 @@ def _finer_signatures(sets: DataFrame, p: PartEnum, level: int) -> DataFrame:
 
 
 def _refined(placed: DataFrame, near: DataFrame, p: PartEnum) -> DataFrame:
-    """Rows (sig, node, component) in which signatures of more than TOGETHER classes, such as
+    """Rows (sig, origin, node, component) in which signatures of more than TOGETHER classes, such as
     those of a passage that unlike documents share, are replaced by their combinations with
     those of further divisions. Similar sets share a signature of every division, so no pair
     is lost, and unlike ones would have to agree in each."""
+    placed = placed.select("sig", F.col("sig").alias("origin"), "node", "component")
     for level in range(LEVELS):
-        placed = placed.select("sig", "node", "component")
         large = materialize(placed.groupBy("sig", (F.col("sig") % 2).alias("odd")).agg(F.count("*").alias("n")).where(F.col("n") > TOGETHER * GROWTH**level).select("sig"), "large-signatures")
         if not large.head(1):
             break
         hot = materialize(placed.join(large, "sig", "left_semi"), "large-groups")
         finer = _finer_signatures(near.join(hot.select("node").distinct(), "node", "left_semi"), p, level)
-        finer = hot.join(finer, "node").select(F.xxhash64("sig", "sig2").alias("sig"), "node", "component")
+        finer = hot.join(finer, "node").select(F.xxhash64("sig", "sig2").alias("sig"), "origin", "node", "component")
         several = finer.groupBy("sig", (F.col("sig") % 2).alias("odd")).agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("sig")
-        placed = materialize(placed.join(large, "sig", "left_anti").union(finer.join(several, "sig", "left_semi")), "open-signatures")
+        placed = materialize(placed.join(large, "sig", "left_anti").unionByName(finer.join(several, "sig", "left_semi")), "open-signatures")
     return placed
 
 
-def _tiled(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows of either side of a comparison within signatures. A signature of more than
-    TILE classes is cut into tiles, and every two tiles meet under a key of their own, so
-    no key compares more than about TILE ** 2 pairs, however many classes share it."""
+def _tiled(placed: DataFrame) -> DataFrame:
+    """The rows with (low, high, side): those of one signature, low and high are to be compared,
+    within themselves where low and high are the same, else those of side 0 with those of side 1. A
+    signature of more than TILE classes is cut into tiles, and every two tiles meet under a key of
+    their own, so no key compares more than about TILE ** 2 pairs, however many classes share it."""
     size = placed.groupBy("sig", (F.col("sig") % 2).alias("odd")).agg(F.count("*").alias("size"))
     large = size.where(F.col("size") > TILE).select("sig", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
     rows = placed.join(large, "sig", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-    tile = F.pmod(F.xxhash64("node"), "tiles").cast("int")
-    upper = F.explode(F.sequence(tile, F.col("tiles") - 1))
-    lower = F.explode(F.sequence(F.lit(0), tile))
-    return rows.withColumn("low", tile).withColumn("high", upper), rows.withColumn("high", tile).withColumn("low", lower)
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    ends = [F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), (F.col("tile") > F.col("other")).cast("int").alias("side")]
+    return rows.select(*placed.columns, *ends)
+
+
+def _pairs_of_runs(key: np.ndarray, side: np.ndarray, component: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j): the rows to be compared, in parts. Rows of one ``key`` stand together, those
+    of side 0 first, and within a side those of a component; with one side only, each pair is
+    given once, and none within a component."""
+    n = len(key)
+    begins = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
+    ends = np.append(begins[1:], n)
+    run = np.repeat(np.arange(len(begins)), ends - begins)
+    ones = np.add.reduceat(side, begins)
+    # the first row that a row meets: of the other side, or the next one of another component
+    apart = np.flatnonzero(np.diff(key, prepend=key[:1] - 1) | np.diff(component, prepend=component[:1] - 1))
+    after = np.append(apart[1:], n)[np.searchsorted(apart, np.arange(n), "right") - 1]
+    first = np.where(ones[run] > 0, (ends - ones)[run], after)
+    many = np.where(side == 1, 0, ends[run] - first)
+    at = np.concatenate([[0], np.cumsum(many)])
+    row = 0
+    while row < n:
+        to = max(row + 1, int(np.searchsorted(at, at[row] + PAIRS_AT_ONCE, "right")) - 1)
+        i = np.repeat(np.arange(row, to), many[row:to])
+        yield i, first[i] + np.arange(len(i)) - (at[i] - at[row])
+        row = to
+
+
+def _compared(batches: Iterator[pa.RecordBatch], p: PartEnum) -> Iterator[pa.RecordBatch]:
+    """Pairs of rows of one (sig, low, high) that lie in two components and may be similar enough.
+    Batches are sorted by these, the side and the component."""
+
+    def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        table = table.combine_chunks()
+        sig, origin, low, high, side, node, component, n = (table.column(c).to_numpy() for c in ("sig", "origin", "low", "high", "side", "node", "component", "n"))
+        s = _sketches(table.column("s").chunk(0), p.width)
+        new = np.zeros(len(sig), bool)
+        for x in (sig, low, high):
+            new[1:] |= x[1:] != x[:-1]
+        for i, j in _pairs_of_runs(np.cumsum(new), side.astype(np.int64), component):
+            fits = np.flatnonzero((component[i] != component[j]) & (p.num * np.maximum(n[i], n[j]) <= p.den * np.minimum(n[i], n[j])))
+            i, j = i[fits], j[fits]
+            for at in range(0, len(i), 1 << 13):
+                a, b = i[at : at + (1 << 13)], j[at : at + (1 << 13)]
+                ok = p.may_link(n[a], s[a], n[b], s[b])
+                a, b = a[ok], b[ok]
+                once = p.first_key(s[a], s[b])
+                if once is not None:
+                    here = once.view(np.int64) == origin[a]
+                    a, b = a[here], b[here]
+                a, b = node[a], node[b]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        # the last key of a batch may go on in the next one
+        sig, low, high = (batch.column(c).to_numpy() for c in ("sig", "low", "high"))
+        same = (sig == sig[-1]) & (low == low[-1]) & (high == high[-1])
+        last = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        if held:
+            before = held[-1]
+            goes_on = last == 0 and all(before.column(c)[-1].as_py() == x[0] for c, x in zip(("sig", "low", "high"), (sig, low, high), strict=True))
+            if goes_on:
+                held.append(batch)
+                continue
+        yield from compare(pa.Table.from_batches([*held, batch.slice(0, last)])) if held or last else ()
+        held = [batch.slice(last)]
+        W.release()
+    if held:
+        yield from compare(pa.Table.from_batches(held))
+    W.release()
 
 
 def _across(placed: DataFrame, sketches: DataFrame, near: DataFrame, p: PartEnum) -> DataFrame:
     """Every possible link between two components that share a signature."""
-    placed = _refined(placed, near, p).select("sig", "node", "component").join(sketches, "node")
-    one, two = _tiled(placed)
-    two = two.select("sig", "low", "high", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), *(F.col(f"s{i}").alias(f"t{i}") for i in range(p.width)))
-    fits = ((F.col("low") < F.col("high")) | (F.col("node") < F.col("b"))) & (F.col("component") != F.col("cb")) & _may_link(p, "n", "s", "nb", "t")
-    found = one.join(two, ["sig", "low", "high"]).where(fits)
-    return found.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+    placed = _refined(placed, near, p).join(sketches, "node")
+    keys = ["sig", "low", "high"]
+    rows = _tiled(placed).repartition(*keys).sortWithinPartitions(*keys, "side", "component")
+    return rows.mapInArrow(lambda batches: _compared(batches, p), "a bigint, b bigint").distinct()
 
 
 def _joined(parts: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -466,10 +559,10 @@ def _linked(docs: DataFrame, p: PartEnum, id_col: str, text_col: str) -> DataFra
     )
     classes = materialize(classes, "shingle-classes")
     near = classes.where(F.size("signatures") > 0)
-    sketches = near.select("node", F.col("n_shingles").alias("n"), *(F.col("sketch")[i].alias(f"s{i}") for i in range(p.width)))
+    sketches = near.select("node", F.col("n_shingles").alias("n"), F.col("sketch").alias("s"))
     at = near.select("node", F.size("signatures").alias("rank"), F.explode("signatures").alias("sig"))
     parts, placed = None, at
-    for turn in range(LEADER_TURNS):
+    for turn in range(p.turns):
         placed = _open_signatures(placed if parts is None else placed.drop("component"), parts)
         links = materialize(verify(_to_leaders(placed, sketches, p, turn), near, p), "links")
         if not links.head(1):

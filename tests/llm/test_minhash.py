@@ -25,7 +25,7 @@ def test_all_pairs_within_the_distance_share_a_key(monkeypatch):
     for i in range(1, 600):
         for at in r.sample(range(16), r.randrange(17)):
             base[i, at] ^= np.uint16(r.randrange(1, 2**16))
-    monkeypatch.setattr(M.HammingIndex, "sketches", lambda *_: base.view(np.uint64).reshape(600, -1))
+    monkeypatch.setattr(M.HammingIndex, "minima", lambda *_: base.view(np.uint64).reshape(600, -1))
     keys, owner = index.signatures(np.arange(600, dtype=np.uint64), np.arange(601))
     sets = [set(keys[owner == i].tolist()) for i in range(600)]
     far = lambda a, b: int((base[a] != base[b]).sum())
@@ -33,6 +33,11 @@ def test_all_pairs_within_the_distance_share_a_key(monkeypatch):
     assert index.distance == 7 and {5, 6, 7, 8, 12} <= seen
     assert all(sets[a] & sets[b] for a, b in combinations(range(600), 2) if far(a, b) <= index.distance)
     assert not all(sets[0] & sets[b] for b in range(600))
+    # and each counts under one key, which both have
+    words = base.view(np.uint64).reshape(600, -1)
+    near = [(a, b) for a, b in combinations(range(600), 2) if far(a, b) <= index.distance]
+    first = index.first_key(words[[a for a, _ in near]], words[[b for _, b in near]]).tolist()
+    assert all(k in sets[a] & sets[b] for (a, b), k in zip(near, first, strict=True))
 
 
 def test_places_agree_as_often_as_sets_do_and_slices_change_nothing(monkeypatch):
@@ -40,23 +45,20 @@ def test_places_agree_as_often_as_sets_do_and_slices_change_nothing(monkeypatch)
     pool = r.integers(0, 2**64, 3000, dtype=np.uint64)
     sets = [pool[:2000], pool[500:2500], pool[:0], pool[2000:], pool[:1]]
     value, first = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-    words = index.sketches(value, first)
+    words = index.minima(value, first)
     agree = (words[0].view(np.uint16) == words[1].view(np.uint16)).mean()
     assert abs(agree - 1500 / 2500) < 0.2
-    assert (words[2] == index.sketches(value[:0], np.array([0, 0]))[0]).all()
+    assert (words[2] == index.minima(value[:0], np.array([0, 0]))[0]).all()
     monkeypatch.setattr(M, "_AT_ONCE", 7)
-    assert (index.sketches(value, first) == words).all()
+    assert (index.minima(value, first) == words).all()
 
 
-def test_distance_in_columns_equals_that_of_arrays(spark):
+def test_distance_counts_places():
     index, r = M.HammingIndex(places=8), np.random.default_rng(4)
     a = r.integers(0, 2**16, (200, 8), dtype=np.uint16)
-    b = np.where(r.random((200, 8)) < 0.45, a ^ r.integers(1, 2**16, (200, 8), dtype=np.uint16), a)
-    rows = [(i, *x.tolist(), *y.tolist()) for i, (x, y) in enumerate(zip(a.view(np.int64), b.astype(np.uint16).view(np.int64), strict=True))]
-    df = spark.createDataFrame(rows, "i int, a0 bigint, a1 bigint, b0 bigint, b1 bigint")
-    got = df.select("i", index.may_link(None, [df.a0, df.a1], None, [df.b0, df.b1]).alias("x")).collect()
+    b = np.where(r.random((200, 8)) < 0.45, a ^ r.integers(1, 2**16, (200, 8), dtype=np.uint16), a).astype(np.uint16)
     want = (a != b).sum(1) <= index.distance
-    assert {r.i: r.x for r in got} == dict(enumerate(want.tolist())) and 0 < want.sum() < 200
+    assert (index.within(a.view(np.uint64), b.view(np.uint64)) == want).all() and 0 < want.sum() < 200
 
 
 def test_a_passage_of_many_unlike_texts_is_compared_in_tiles(spark, monkeypatch):
@@ -69,23 +71,47 @@ def test_a_passage_of_many_unlike_texts_is_compared_in_tiles(spark, monkeypatch)
     rows += [t + " more" for t in rows[::5]]
     rows = list(enumerate(rows))
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    for index in (M.HammingIndex(), J.PartEnum(words=2, num=80)):
+    for index, together in ((M.HammingIndex(), 1 << 20), (J.PartEnum(words=2, num=80), 1 << 20), (M.HammingIndex(), 20)):
+        monkeypatch.setattr(J, "TOGETHER", together)
         got = M.near_duplicates(df, index).collect()
         assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == brute(rows, index)
 
 
-def test_no_key_of_a_tiled_join_has_many_pairs(spark, monkeypatch):
+@pytest.mark.parametrize("at_once", [1, 7, 1 << 18])
+def test_tiles_hold_every_pair_once_and_no_key_has_many(spark, monkeypatch, at_once):
     monkeypatch.setattr(J, "TILE", 10)
-    rows = [(7, i, i) for i in range(100)] + [(8, i, i) for i in range(5)]
-    one, two = J._tiled(spark.createDataFrame(rows, "sig bigint, node bigint, component bigint"))
-    a, b = one.select("sig", "low", "high", "node"), two.select("sig", "low", "high", two.node.alias("b"))
-    both = a.join(b, ["sig", "low", "high"]).where("low < high or node < b").collect()
-    pairs = {(x.sig, *sorted((x.node, x.b))) for x in both}
-    assert len(pairs) == len(both) == 100 * 99 // 2 + 10
-    per_key = {}
-    for x in both:
-        per_key[x.sig, x.low, x.high] = per_key.get((x.sig, x.low, x.high), 0) + 1
-    assert max(per_key.values()) < 500
+    monkeypatch.setattr(J, "PAIRS_AT_ONCE", at_once)
+    rows = [(7, i, i // 2) for i in range(100)] + [(8, i, i) for i in range(5)] + [(9, 1, 1)]
+    placed = J._tiled(spark.createDataFrame(rows, "sig bigint, node bigint, component bigint"))
+    made = sorted((r.sig, r.low, r.high, r.side, r.component, r.node) for r in placed.collect())
+    keys = sorted({x[:3] for x in made})
+    key = np.array([keys.index(x[:3]) for x in made])
+    seen = [(i, j) for a, b in J._pairs_of_runs(key, *(np.array([x[c] for x in made]) for c in (3, 4))) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    pairs = [(made[i][0], *sorted((made[i][5], made[j][5]))) for i, j in seen]
+    assert all(made[i][:3] == made[j][:3] for i, j in seen)
+    # pairs of a component are left out where a tile is compared with itself
+    assert len(set(pairs)) == len(pairs) and {p for p in pairs if p[0] == 8 or p[1] // 2 != p[2] // 2} >= {(7, i, j) for i in range(100) for j in range(i + 1, 100) if i // 2 != j // 2}
+    assert sum(p[0] == 8 for p in pairs) == 10 and len(pairs) <= 100 * 99 // 2 + 10
+    assert np.bincount(key[[i for i, _ in seen]]).max() < 500
+
+
+def test_keys_that_go_on_in_the_next_batch(monkeypatch):
+    """Batches of any size give the same pairs."""
+    import pyarrow as pa
+
+    index = J.PartEnum()
+    r = np.random.default_rng(6)
+    sig, component = np.sort(r.integers(0, 9, 60)), r.integers(0, 30, 60)
+    component = component[np.lexsort((component, sig))]
+    base = r.integers(0, 2**62, J.SKETCH)
+    rows = pa.RecordBatch.from_pydict({"sig": sig, "origin": sig, "low": np.zeros(60, int), "high": np.zeros(60, int), "side": np.zeros(60, int), "node": np.arange(60), "component": component, "n": np.full(60, 50), "s": [base.tolist()] * 60})
+
+    def found(size):
+        return sorted(x for b in J._compared((rows.slice(i, size) for i in range(0, 60, size)), index) for x in zip(*b.to_pydict().values(), strict=True))
+
+    c = rows.column("component").to_pylist()
+    want = sorted((i, j) for i, j in combinations(range(60), 2) if sig[i] == sig[j] and c[i] != c[j])
+    assert all(found(size) == want for size in (1, 2, 5, 17, 60))
 
 
 def test_null_ids_and_an_empty_table(spark):
