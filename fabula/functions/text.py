@@ -47,9 +47,18 @@ def _unicode_form(form: str):
     return convert
 
 
+#: Characters that a normal form leaves as they are, whatever stands beside them: Latin, Cyrillic and
+#: punctuation. Only what has others goes to Python.
+_STABLE = {
+    "NFC": r"\x00-\u02ff\u0400-\u0482\u048a-\u052f\u2010-\u2027\u2030-\u205e\u20ac\u2116",
+    "NFKC": r"\x00-\x7f\u00a1-\u00a7\u00a9\u00ab\u00ac\u00ae\u00b0\u00b1\u00b6\u00b7\u00bb\u00bf-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e\u0400-\u0482\u048a-\u052f\u2018-\u201f\u20ac",
+}
+
+
 def unicode_normalize(text: Column, form: str = "NFC") -> Column:
-    """``text`` in a Unicode normal form. Python sees a null in place of plain ASCII."""
-    other = F.when(~text.rlike(r"^\p{ASCII}*$"), text)
+    """``text`` in a Unicode normal form. Python sees a null in place of what is normal by its
+    characters alone."""
+    other = F.when(text.rlike(f"[^{_STABLE[form]}]"), text)
     return F.coalesce(_unicode_form(form)(other), text)
 
 
@@ -151,12 +160,12 @@ def slugify(text: Column, most: int = 140) -> Column:
     return F.substring(F.regexp_replace(t, "^-+|-+$", ""), 1, most)
 
 
-def normalize_text(value: Column, nfc: bool = False) -> Column:
+def normalize_text(value: Column, nfc: bool = True) -> Column:
     v = unicode_normalize(value) if nfc else value
     return collapse_ws(F.lower(trim_ws(v)))
 
 
-def normalize_name(name: Column, nfc: bool = False) -> Column:
+def normalize_name(name: Column, nfc: bool = True) -> Column:
     """For characters: without one leading honorific."""
     v = F.lower(trim_ws(unicode_normalize(name) if nfc else name))
     return collapse_ws(F.regexp_replace(v, HONORIFIC, ""))
@@ -218,7 +227,7 @@ def capitalized_mentions(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(CAPITALIZED), 1))
 
 
-def embedding_tokens(text: Column, nfkc: bool = False) -> Column:
+def embedding_tokens(text: Column, nfkc: bool = True) -> Column:
     t = F.lower(text)
     t = unicode_normalize(t, "NFKC") if nfkc else t
     return F.filter(F.split(t, r"[^\p{L}\p{N}]+"), lambda x: F.length(x) > 1)

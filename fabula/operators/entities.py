@@ -200,7 +200,8 @@ def attribute_conflicts(groups: DataFrame, types: tuple[str, ...] = ("CHARACTER_
     v = F.col(value)
     said = groups.where(F.col("type").isin(*types) & v.isNotNull() & (v != ""))
     items = F.array_sort(F.collect_list(F.struct("chapter_index", F.col("id").alias("fact_id"), v.alias("value"), "confidence")))
-    found = said.groupBy("scope", "root", "type").agg(F.count_distinct(T.normalize_text(v)).alias("n_values"), items.alias("facts"))
+    said = said.withColumn("_v", T.normalize_text(v))
+    found = said.groupBy("scope", "root", "type").agg(F.count_distinct("_v").alias("n_values"), items.alias("facts"))
     return found.where("n_values > 1")
 
 
@@ -210,7 +211,8 @@ def location_conflicts(groups: DataFrame) -> DataFrame:
     value = lambda c: F.struct(F.lit(c).alias("attribute"), F.col(c).alias("value"))
     said = groups.select("scope", "root", "id", "chapter_index", "confidence", F.inline(F.array(*(value(c) for c in LOCATION_VALUES if c in groups.columns)))).where("value <> ''")
     items = F.array_sort(F.collect_list(F.struct("chapter_index", F.col("id").alias("fact_id"), "value", "confidence")))
-    found = said.groupBy("scope", "root", "attribute").agg(F.count_distinct(T.normalize_text(F.col("value"))).alias("n_values"), items.alias("facts"))
+    said = said.withColumn("_v", T.normalize_text(F.col("value")))
+    found = said.groupBy("scope", "root", "attribute").agg(F.count_distinct("_v").alias("n_values"), items.alias("facts"))
     return found.where("n_values > 1")
 
 
@@ -239,7 +241,8 @@ def location_parents(groups: DataFrame) -> DataFrame:
     named = groups.where(T.trim_ws(F.col("parent_name")) != "")
     seen = named.groupBy("scope", "root", "parent_name").agg(F.count("*").alias("n"), F.min(F.struct("chapter_index", "id")).alias("seen"))
     best = Window.partitionBy("scope", "root").orderBy(F.desc("n"), "seen")
-    kinds = F.size(F.collect_set(T.normalize_text(F.col("parent_name"))).over(Window.partitionBy("scope", "root")))
+    seen = seen.withColumn("_parent", T.normalize_text(F.col("parent_name")))
+    kinds = F.size(F.collect_set("_parent").over(Window.partitionBy("scope", "root")))
     return seen.withColumn("_rank", F.row_number().over(best)).withColumn("n_parents", kinds).where("_rank = 1").select("scope", "root", "parent_name", "n_parents")
 
 

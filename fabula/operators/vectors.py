@@ -16,6 +16,21 @@ from fabula.functions import text as T
 DIMENSIONS = 256
 
 
+def _embeddings(tokens: pa.Array, dimensions: int) -> np.ndarray:
+    """A row of length 1 for each list of tokens, or of zeros."""
+    known = tokens.flatten().dictionary_encode()
+    words = known.dictionary.to_pylist()
+    digests = [hashlib.sha256(t.encode()).digest() for t in words]
+    cell = np.array([int.from_bytes(d[:4], "big") % dimensions for d in digests], np.int64)
+    weight = np.array([(1 if d[4] % 2 == 0 else -1) * math.log1p(len(t)) for d, t in zip(digests, words, strict=True)], np.float64)
+    token = known.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(tokens)), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy())
+    sums = np.bincount(row * dimensions + cell[token], weight[token], len(tokens) * dimensions).astype(np.float64).reshape(-1, dimensions)
+    norm = np.sqrt((sums * sums).sum(1))
+    sums /= np.where(norm > 0, norm, 1)[:, None]
+    return sums
+
+
 def hash_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
     """Embeddings of length 1, or all zeros: each token adds the logarithm of its length plus
     one, with a sign, to the dimension that its SHA-256 names. A row is embedded where it
@@ -23,20 +38,22 @@ def hash_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
 
     @F.arrow_udf("array<double>")
     def embed(tokens: pa.Array) -> pa.Array:
-        known = tokens.flatten().dictionary_encode()
-        digests = [hashlib.sha256(t.encode()).digest() for t in known.dictionary.to_pylist()]
-        cell = np.array([int.from_bytes(d[:4], "big") % dimensions for d in digests], np.int64)
-        weight = np.array([(1 if d[4] % 2 == 0 else -1) * math.log1p(len(t)) for d, t in zip(digests, known.dictionary.to_pylist(), strict=True)], np.float64)
-        token = known.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        row = np.repeat(np.arange(len(tokens)), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy())
-        sums = np.bincount(row * dimensions + cell[token], weight[token], len(tokens) * dimensions).astype(np.float64).reshape(-1, dimensions)
-        norm = np.sqrt((sums * sums).sum(1))
-        sums /= np.where(norm > 0, norm, 1)[:, None]
+        sums = _embeddings(tokens, dimensions)
         return pa.ListArray.from_arrays(pa.array(np.arange(len(tokens) + 1) * dimensions, pa.int32()), pa.array(sums.ravel()))
 
     return embed(T.embedding_tokens(text))
 
 
+def hash_score(text: Column, vector: np.ndarray) -> Column:
+    """The cosine of each text's embedding with one of length 1; only the number leaves Python."""
+
+    @F.arrow_udf("double")
+    def score(tokens: pa.Array) -> pa.Array:
+        return pa.array(_embeddings(tokens, len(vector)) @ vector)
+
+    return score(T.embedding_tokens(text))
+
+
 def hash_features(rows: DataFrame, id_col: str, text_col: str, dimensions: int = DIMENSIONS) -> DataFrame:
     """Embeddings as rows (id, dim, weight), those that aren't 0."""
     dense = rows.select(id_col, hash_embedding(F.col(text_col), dimensions).alias("v"))
@@ -54,10 +71,12 @@ def search_text(rows: DataFrame, query: str, id_col: str, text_col: str = "text"
     """The rows of the texts most similar to ``query``. Scores are made where the rows are,
     and only the best of each task move."""
     one = rows.sparkSession.createDataFrame([(query,)], "text string")
-    q = one.select(hash_embedding(F.col("text"), dimensions).alias("v")).first().v
-    v = F.array(*map(F.lit, q))
-    score = F.aggregate(F.zip_with(hash_embedding(F.col(text_col), dimensions), v, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return rows.select(id_col, score.alias("score")).where("score <> 0").orderBy(F.desc(F.round("score", 9)), id_col).limit(clamp_limit(limit))
+    q = np.array(one.select(hash_embedding(F.col("text"), dimensions).alias("v")).first().v)
+    scored = rows.select(id_col, hash_score(F.col(text_col), q).alias("score"))
+    # a score of 0 becomes null, not a filter: that would be evaluated below the one Arrow function, with another
+    best = scored.select(id_col, F.nullif("score", F.lit(0.0)).alias("score"))
+    top = best.orderBy(F.round("score", 9).desc_nulls_last(), id_col).limit(clamp_limit(limit))
+    return top.where("score IS NOT NULL")
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -598,7 +598,7 @@ def prompt_render(spark, sf_dir):
 def style_match(spark, sf_dir):
     presets = spark.createDataFrame([(1, "warm", "red"), (2, "cold", "blue"), (3, "cold", "bolt")], "rank int, style string, trigger string")
     rows = read(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("Style of "), F.col("p_name")).alias("text"))
-    return prompts.abstract_styles(rows, presets, "p_partkey")
+    return prompts.abstract_styles(rows, presets, "p_partkey").drop("avoided")
 
 
 @query(

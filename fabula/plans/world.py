@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fabula.operators import entities, timeline
+from fabula.functions import prompts
+from fabula.operators import entities, points, timeline
 from fabula.operators import project_graph as graph
 from fabula.operators.graph import RELATIONS
 from fabula.operators.vector_index import VectorIndex
@@ -140,10 +141,88 @@ def project_edges(spark, sf_dir):
     return graph.graph_edges(tables, nodes).select("project", "source", "type", "target", _told().alias("properties"))
 
 
+# ------------------------------------------------------------------ points and prompts
+
+_POINT_SQL = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-4' || substr(h, 14, 3) || '-' || substr('89ab', CAST(('0x' || substr(h, 17, 1))::INT % 4 + 1 AS BIGINT), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12)"
+
+
+@query(
+    f"""WITH RECURSIVE {_WORLD}, points AS (
+        SELECT ver.project, 'CharacterVersion' AS entity_type, c || '#' || version AS entity_id, name || ' v' || version AS title, name || coalesce(chr(10) || age, '') || chr(10) || look AS text FROM ver JOIN people ON people.project = ver.project AND people.id = ver.c
+        UNION ALL SELECT project, 'TimelineEvent', id, title, title || chr(10) || 'chapter:' || chapter_index || chr(10) || 'relativeOrder:' || ro FROM ev
+        UNION ALL SELECT 'b' || doc_id % 5, 'BookChunk', CAST(doc_id AS VARCHAR), 'Book ' || lang || ' chapter ' || doc_id % 7 || ' chunk ' || doc_id, text FROM documents)
+    SELECT project, entity_type, entity_id, {_POINT_SQL} AS id, title, sha256(text) AS text_sha256 FROM (SELECT *, sha256(project || ':' || entity_type || ':' || entity_id) AS h FROM points)"""
+)
+def project_points(spark, sf_dir):
+    """Chunks are whole documents, versions and events those of the project graph."""
+    k = F.col("doc_id")
+    chunks = read(spark, sf_dir, "documents").select(F.concat(F.lit("b"), k % 5).alias("project"), k.alias("id"), F.concat(F.lit("Book "), "lang").alias("book_title"), (k % 7).alias("chapter_index"), k.alias("order_index"), "text")
+    made = points.project_points(world_tables(spark, sf_dir) | {"chunks": chunks})
+    return made.select("project", "entity_type", "entity_id", "id", "title", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query(
+    """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'Draw ' || p_name || ', ' || p_brand || '!' WHEN 1 THEN '{{ missing }}' || p_brand || '{{name}}' || p_brand ELSE 'plain $1 \\' END AS text FROM part"""
+)
+def template_rows(spark, sf_dir):
+    """Each row has a template and values of its own; some values look like places."""
+    k = F.col("p_partkey")
+    template = F.when(k % 3 == 0, "Draw {{ name }}, {{brand}}!").when(k % 3 == 1, "{{ missing }}{{ brand }}{{place}}{{ brand }}").otherwise("plain $1 \\")
+    values = F.create_map(F.lit("name"), F.col("p_name"), F.lit("brand"), F.col("p_brand"), F.lit("place"), F.lit("{{name}}"))
+    return read(spark, sf_dir, "part").select("p_partkey", prompts.render_rows(template, values).alias("text"))
+
+
+_STYLE_SQL = "'Visual style: ' || p_type, 'Style language: ' || p_brand, CASE WHEN p_size % 2 = 0 THEN 'Primary color: #' || p_size END, 'Contrast level: ' || p_size % 3 || '/100', 'Grain level: 5/100'"
+
+
+def _style_of_part() -> Column:
+    size = F.col("p_size")
+    color = F.when(size % 2 == 0, F.concat(F.lit("#"), size.cast("string")))
+    none = F.lit(None).cast("string")
+    return F.struct(F.col("p_type").alias("name"), F.col("p_brand").alias("prompt"), F.col("p_brand").alias("negative_prompt"), color.alias("primary_color"), F.lit("").alias("secondary_color"), none.alias("accent_color"), (size % 3).alias("contrast_level"), none.alias("saturation_level"), F.lit(5).alias("grain_level"), none.alias("line_thickness"))
+
+
+def _fields(names, **values: Column) -> Column:
+    """A struct of the fields that prompts have, null where no value is given."""
+    return F.struct(*(values.get(n, F.lit(None).cast("string")).cast("string").alias(n) for n in ("name", *names) if n != "aliases"), values.get("aliases", F.array().cast("array<string>")).alias("aliases"))
+
+
+@query(
+    f"""SELECT p_partkey, concat_ws(chr(10), '{prompts.SCENE_TASK}', 'User scene request: ' || p_name, CASE WHEN p_size % 3 = 0 THEN 'Timeline hint: h' || p_size END, 'Aspect ratio: 16:9',
+    CASE WHEN p_size % 2 = 0 THEN 'Resolved characters:' || chr(10) || '- ' || p_brand || '; aliases=a, b; age=' || p_size || '; appearance={{"x":1}}' || chr(10) || '- other; appearance=plain' END,
+    'Resolved locations:' || chr(10) || '- ' || p_type || '; description=d; era=now', CASE WHEN p_size % 5 = 0 THEN 'Resolved objects:' || chr(10) || '- clock; visual=v' END,
+    'Knowledge graph context:' || chr(10) || 'node A: {{}}', 'Approved reference assets:' || chr(10) || '- character:7; assetId=' || p_partkey || '; path=p; mime=image/png', {_STYLE_SQL}, '{prompts.SCENE_RULES[0]}', '{prompts.SCENE_RULES[1]}') AS prompt,
+    p_brand || ', {prompts.SCENE_AVOIDS}' AS negative_prompt FROM part"""
+)
+def scene_prompt_whole(spark, sf_dir):
+    size = F.col("p_size")
+    people, places, things = prompts.CHARACTER_FIELDS.values(), prompts.LOCATION_FIELDS.values(), prompts.OBJECT_FIELDS.values()
+    none = lambda names: F.filter(F.array(_fields(names)), lambda x: F.lit(False))
+    one = _fields(people, name=F.col("p_brand"), aliases=F.array(F.lit("a"), F.lit("b")), age=size, appearance=F.lit('{"x":1}'))
+    characters = F.when(size % 2 == 0, F.array(one, _fields(people, name=F.lit("other"), appearance=F.lit("plain")))).otherwise(none(people))
+    locations = F.array(_fields(places, name=F.col("p_type"), description=F.lit("d"), era=F.lit("now"), palette=F.lit("")))
+    objects = F.when(size % 5 == 0, F.array(_fields(things, name=F.lit("clock"), visual_prompt=F.lit("v")))).otherwise(none(things))
+    assets = F.array(F.struct(F.lit("character").alias("entity_type"), F.lit("7").alias("entity_id"), F.col("p_partkey").cast("string").alias("id"), F.lit("p").alias("local_path"), F.lit("image/png").alias("mime_type"), F.lit(None).cast("string").alias("prompt")))
+    request = F.struct(F.col("p_name").alias("user_text"), F.when(size % 3 == 0, F.concat(F.lit("h"), size)).alias("timeline_hint"), F.lit("16:9").alias("aspect_ratio"))
+    made = prompts.scene_prompt(request, characters, locations, objects, F.array(F.lit("node A: {}")), assets, _style_of_part())
+    return read(spark, sf_dir, "part").select("p_partkey", made.alias("x")).select("p_partkey", "x.*")
+
+
+@query(
+    f"""SELECT p_partkey, concat_ws(chr(10), 'Character visual passport asset: SHEET', 'Character: ' || p_name, 'Version: ' || p_size, CASE WHEN p_size % 2 = 0 THEN 'Age: ' || p_size END, 'Asset layout: ' || p_type, 'Appearance: a', {_STYLE_SQL}, 'Seed: ' || p_partkey,
+    '{prompts.PASSPORT_RULES[0]}', '{prompts.PASSPORT_RULES[1]}') AS prompt, p_brand || CASE WHEN p_size % 3 = 0 THEN ', bad' ELSE '' END || ', {prompts.PASSPORT_AVOIDS}' AS negative_prompt FROM part"""
+)
+def passport_prompt_whole(spark, sf_dir):
+    size = F.col("p_size")
+    version = _fields((*prompts.PASSPORT_FIELDS.values(), "version", "age", "negative_prompt"), version=size, age=F.when(size % 2 == 0, size), appearance=F.lit("a"), negative_prompt=F.when(size % 3 == 0, "bad"))
+    made = prompts.passport_prompt(F.lit("SHEET"), F.col("p_type"), F.col("p_name"), version, _style_of_part(), F.col("p_partkey"))
+    return read(spark, sf_dir, "part").select("p_partkey", made.alias("x")).select("p_partkey", "x.*")
+
+
 # ------------------------------------------------------------------ stored vectors
 
 
-def _points(spark, sf_dir) -> DataFrame:
+def _vectors(spark, sf_dir) -> DataFrame:
     e = read(spark, sf_dir, "embeddings")
     return e.select(F.concat(F.lit("p"), F.col("label").cast("string")).alias("project"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.lit("old").alias("kind"))
 
@@ -156,9 +235,9 @@ def _points(spark, sf_dir) -> DataFrame:
 def vector_index_updates(spark, sf_dir):
     """An index of all points, after a tenth of them got opposite vectors (half of these as points of
     a project of their own) and one project went."""
-    points = _points(spark, sf_dir)
-    index = VectorIndex.create(spark, f"{shared_dir(spark)}/vector-index-{uuid.uuid4().hex}", points, 16)
-    changed = points.where("id % 10 = 0").withColumn("vector", F.transform("vector", lambda x: -x)).withColumn("kind", F.lit("new"))
+    rows = _vectors(spark, sf_dir)
+    index = VectorIndex.create(spark, f"{shared_dir(spark)}/vector-index-{uuid.uuid4().hex}", rows, 16)
+    changed = rows.where("id % 10 = 0").withColumn("vector", F.transform("vector", lambda x: -x)).withColumn("kind", F.lit("new"))
     index.upsert(changed.withColumn("project", F.when(F.col("id") % 20 == 0, "p99").otherwise(F.col("project"))))
     index.delete(F.col("project") == "p3")
     return index.points().select("project", "id", "kind", F.round(F.col("vector")[0].cast("double"), 5).alias("first"))
@@ -168,9 +247,9 @@ def vector_index_updates(spark, sf_dir):
 def vector_index_recall(spark, sf_dir):
     """Whether a search of the index finds nine tenths of the exact ten best of every vector whose
     id is divisible by 50, against all, with as many lists as a tenth of these queries asks for."""
-    points = _points(spark, sf_dir).withColumn("project", F.lit("all"))
-    index = VectorIndex.create(spark, f"{shared_dir(spark)}/vector-index-{uuid.uuid4().hex}", points, 32)
-    queries = points.where("id % 50 = 0").select(F.col("id").alias("query_id"), "project", "vector")
+    rows = _vectors(spark, sf_dir).withColumn("project", F.lit("all"))
+    index = VectorIndex.create(spark, f"{shared_dir(spark)}/vector-index-{uuid.uuid4().hex}", rows, 32)
+    queries = rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), "project", "vector")
     probes = index.probes_for(queries.where("query_id % 500 = 0"), 10, 0.95)
     reached = index.recall(queries, 10, probes)
     return queries.agg(F.count("*").alias("n_queries"), (F.lit(reached) >= 0.9).alias("enough"))

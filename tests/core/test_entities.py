@@ -67,3 +67,21 @@ def test_markers(spark):
     texts = ["In childhood", "the next day", "через год", "before", "afterwards", "soon", "", None]
     got = spark.createDataFrame([(t,) for t in texts], "x string").select(T.classify_marker(F.col("x"))).collect()
     assert [r[0] for r in got] == ["childhood", "next_day", "year_later", "before", "after", "unknown", None, None]
+
+
+def test_decomposed_and_composed_spellings_are_one_name(spark):
+    import unicodedata
+
+    from fabula.functions import text as T
+
+    forms = ["Zoë", "José Ñandú", "Йога", "ﬁne", "Ｎｏｉｒ", "Å", "á̧", "½ x", "…"]
+    rows = [(f, unicodedata.normalize("NFD", f)) for f in forms]
+    got = spark.createDataFrame(rows, "a string, b string").select("a", T.unicode_normalize(E.F.col("a")), T.unicode_normalize(E.F.col("b")), T.unicode_normalize(E.F.col("b"), "NFKC"), T.unicode_normalize(E.F.col("a"), "NFKC")).collect()
+    for r in got:
+        n, k = unicodedata.normalize("NFC", r[0]), unicodedata.normalize("NFKC", r[0])
+        assert tuple(r)[1:] == (n, n, k, k)
+    names = ["Zoë", unicodedata.normalize("NFD", "Mr. Zoë"), "Other"]
+    facts = spark.createDataFrame([("s", i, "CHARACTER_AGE", n, [], 1, 0.5, None, n) for i, n in enumerate(names)], "scope string, id int, type string, entity_name string, candidate_names array<string>, chapter_index int, confidence double, timeline_hint string, summary string")
+    assert E.entity_groups(facts).select("root").distinct().count() == 2
+    found = E.attribute_conflicts(facts.withColumn("root", E.F.lit("r")).where("id < 2").withColumn("summary", E.F.regexp_replace("summary", "Mr. ", "")))
+    assert found.count() == 0
