@@ -14,11 +14,18 @@ id is written as an empty one and read back as null. Repeated rows are written a
 often as they come; of equal payloads all rows with the largest id are responses.
 An empty table writes no archive and reads back as no rows. Other columns of the
 input are ignored.
+
+Malformed archives are read as far as they go; a record with a fault has an ``error`` among its
+headers. An HTTP block without a blank line in its first MB has no HTTP headers and is payload as a
+whole. A record without a usable Content-Length goes on until the next one begins. One that the archive
+ends in has the bytes that are there. What begins like no record at all ends the archive with one
+empty row.
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
 import re
 import uuid
 import zlib
@@ -34,6 +41,8 @@ from fabula.llm.cluster import materialize, shared_dir
 LEAST_REVISIT = 1000
 CHUNK_BYTES = 1 << 20
 ARCHIVE_BYTES = 64 << 20
+#: Bytes in which a header must end, and how the next record begins.
+HEAD_BYTES, _NEXT = 1 << 20, b"\r\n\r\nWARC/"
 MANIFEST = "path string, n_records bigint, n_bytes bigint"
 CHUNKS = "path string, record_no bigint, record_id string, record_type string, headers map<string,string>, chunk_no bigint, offset bigint, data binary, sha1 string, last boolean"
 
@@ -139,7 +148,11 @@ class _Stream:
                 self.packed = b""
                 return not ended
             # at the end of the file the last member may still hold bytes beyond the step
-            got = self.unpack.decompress(self.packed, self.step)
+            try:
+                got = self.unpack.decompress(self.packed, self.step)
+            except zlib.error:  # as if the archive ended here
+                self.raw, self.packed, self.gzip = io.BytesIO(), b"", False
+                return False
             if ended and not got:
                 return False
             self.packed = self.unpack.unconsumed_tail
@@ -150,27 +163,27 @@ class _Stream:
                 self.buffer += got
                 return True
 
-    def until(self, mark: bytes, most: int = 1 << 20) -> bytes | None:
+    def find(self, mark: bytes, most: int) -> int:
+        """Where ``mark`` is within the next ``most`` bytes, or -1."""
         start = 0
-        while (at := self.buffer.find(mark, start)) < 0:
+        while (at := self.buffer.find(mark, start, most)) < 0:
             start = max(0, len(self.buffer) - len(mark) + 1)
-            if len(self.buffer) > most:
-                raise ValueError("a record's header doesn't end")
-            if not self._more():
-                if self.buffer.strip():
-                    raise ValueError("the archive ends within a record")
-                return None
-        out = bytes(self.buffer[:at])
-        del self.buffer[: at + len(mark)]
-        return out
+            if len(self.buffer) >= most or not self._more():
+                return -1
+        return at
+
+    def ended(self) -> bool:
+        return not self.buffer and not (self._more() and self.buffer)
+
+    def skip(self, n: int) -> None:
+        del self.buffer[:n]
 
     def take(self, n: int) -> bytes:
+        """The next ``n`` bytes, or what is left of the archive."""
         while len(self.buffer) < n and self._more():
             pass
-        if len(self.buffer) < n:
-            raise ValueError("the archive ends within a record")
         out = bytes(self.buffer[:n])
-        del self.buffer[:n]
+        self.skip(n)
         return out
 
 
@@ -179,27 +192,56 @@ def _fields(head: bytes) -> dict[str, str]:
     return {k.strip().decode("utf-8", "replace").lower(): v.strip().decode("utf-8", "replace") for k, _, v in pairs}
 
 
+def _length(fields: dict[str, str]) -> int | None:
+    text = fields.get("content-length", "")
+    return int(text) if text.isascii() and text.isdigit() and len(text) < 19 else None
+
+
 def archive_chunks(raw, path: str, chunk_bytes: int) -> Iterator[tuple]:
     """Rows of the chunk table for one archive."""
     stream, number = _Stream(raw), 0
-    while (head := stream.until(b"\r\n\r\n")) is not None:
-        fields = _fields(head.lstrip(b"\r\n"))
-        left = int(fields["content-length"])
+    while True:
+        while stream.find(b"\r\n", 2) == 0:
+            stream.skip(2)
+        at = stream.find(b"\r\n\r\n", HEAD_BYTES)
+        if not stream.buffer:
+            return
+        head = bytes(stream.buffer[: max(0, at)])
+        if not head.startswith(b"WARC/"):
+            fault = {"error": "no record begins here" if at >= 0 else "a header doesn't end"}
+            yield path, number, "", "", list(fault.items()), 0, 0, b"", hashlib.sha1().hexdigest(), True
+            return
+        stream.skip(at + 4)
+        fields = _fields(head)
+        left = _length(fields)
+        if left is None:
+            fields["error"] = "no usable Content-Length"
         if fields.get("content-type", "").startswith("application/http"):
-            http = stream.until(b"\r\n\r\n") or b""
-            left -= len(http) + 4
-            fields |= {f"http-{k}": v for k, v in _fields(http).items()}
+            most = HEAD_BYTES if left is None else min(left, HEAD_BYTES)
+            if (at := stream.find(b"\r\n\r\n", most)) >= 0:
+                http = stream.take(at + 4)
+                left = None if left is None else left - len(http)
+                fields |= {f"http-{k}": v for k, v in _fields(http[:-4]).items()}
         digest, chunk, offset = hashlib.sha1(), 0, 0
         record = fields.get("warc-record-id", ""), fields.get("warc-type", "")
-        while True:
-            data = stream.take(min(left, chunk_bytes))
+        last = False
+        while not last:
+            if left is None:
+                end = stream.find(_NEXT, chunk_bytes + len(_NEXT))
+                data = stream.take(end if end >= 0 else chunk_bytes)
+                last = end >= 0 or stream.ended()
+                if last and end < 0:
+                    data = data.removesuffix(b"\r\n\r\n")
+            else:
+                wanted = min(left, chunk_bytes)
+                data = stream.take(wanted)
+                left -= len(data)
+                if len(data) < wanted:
+                    fields["error"], left = "the archive ends within the record", 0
+                last = left == 0
             digest.update(data)
-            left -= len(data)
-            yield path, number, *record, list(fields.items()) if not chunk or not left else None, chunk, offset, data, digest.hexdigest(), left == 0
+            yield path, number, *record, list(fields.items()) if not chunk or last else None, chunk, offset, data, digest.hexdigest(), last
             chunk, offset = chunk + 1, offset + len(data)
-            if not left:
-                break
-        stream.take(4)
         number += 1
 
 
