@@ -215,10 +215,15 @@ def matched_pattern(index: dict[str, list[str]], rest: list[str], url: Column) -
 
 
 def judge_urls(pages: DataFrame, host_rules=HOST_RULES, patterns=PATTERNS, url: str = "url") -> DataFrame:
-    """Adds host, path, rule (host rule or null), pattern (or null) and verdict. Rows stay
-    where they are: no shuffle beside the small count of rule tokens."""
+    """Adds host, path, pattern (or null), rule (host rule or null) and verdict, in place of any
+    columns of these names; others may have any name. Rows stay where they are: no shuffle beside the small
+    count of rule tokens."""
     index, rest = rule_index(pages, patterns, url)
-    d = pages.withColumns({"host": host_of(url), "path": path_of(url)}).withColumn("_fit", host_rule(host_rules))
-    d = d.withColumn("pattern", matched_pattern(index, rest, F.when(F.col("_fit").isNull(), F.coalesce(F.col(url), F.lit("")))))
+    made = ("host", "path", "pattern", "rule", "verdict")
+    kept = [c for c in pages.columns if c not in made]
+    d = pages.select(F.struct(*(pages[c] for c in kept)).alias("page") if kept else F.lit(None).alias("page"), F.coalesce(pages[url], F.lit("")).alias("url"))
+    d = d.withColumns({"host": host_of("url"), "path": path_of("url")}).withColumn("fit", host_rule(host_rules))
+    d = d.withColumn("pattern", matched_pattern(index, rest, F.when(F.col("fit").isNull(), F.col("url"))))
     method = F.when(F.col("pattern").isNotNull(), "block").otherwise("allow")
-    return d.withColumns({"rule": F.col("_fit.rule"), "verdict": F.coalesce(F.col("_fit.verdict"), method)}).drop("_fit")
+    d = d.withColumns({"rule": F.col("fit.rule"), "verdict": F.coalesce(F.col("fit.verdict"), method)})
+    return d.select(*(F.col("page")[c].alias(c) for c in kept), *made)

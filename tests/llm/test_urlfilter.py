@@ -86,3 +86,12 @@ def test_ten_thousand_rules_equal_running_each(spark):
 
 def test_empty_table(spark):
     assert U.judge_urls(spark.createDataFrame([], "page_id bigint, url string")).count() == 0
+
+
+def test_columns_of_any_names_stay(spark):
+    from fabula.llm.urlfilter import judge_urls
+
+    df = spark.createDataFrame([(1, "http://a.org/x", "mine", "p", "u", "h")], "page_id bigint, link string, _fit string, page string, url string, host string")
+    got = judge_urls(df, url="link").first().asDict()
+    assert {k: got[k] for k in ("page_id", "link", "_fit", "page", "url")} == {"page_id": 1, "link": "http://a.org/x", "_fit": "mine", "page": "p", "url": "u"}
+    assert got["host"] == "a.org" and got["path"] == "/x" and got["verdict"] == "allow"
