@@ -541,11 +541,12 @@ def encode(docs: DataFrame, v: Vocabulary, text_col: str = "text", ids_col: str
 
     size = F.coalesce(F.length(text_col), F.lit(0))
     small = docs.where(size <= chunk).mapInArrow(short, schema)
-    key = "_text_key"
-    giants = materialize(docs.where(size > chunk).withColumn(key, F.expr("uuid()")), "giants")
-    chunks = materialize(giant_chunks(giants.select(F.col(key).alias("text_key"), F.col(text_col).alias("text")), v, chunk), "chunks")
-    found = scan_chunks(chunks, v).select(F.col("text_key").alias(key), F.col("ids").alias("_ids"))
-    large = giants.join(found, key).select(*(giants[f.name] for f in docs.schema), F.col("_ids").alias(ids_col))
+    # the rows' own columns go in a struct, so that they may have any names
+    giants = docs.where(size > chunk).select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.expr("uuid()").alias("text_key"))
+    giants = materialize(giants, "giants")
+    chunks = materialize(giant_chunks(giants.select("text_key", F.col("row")[text_col].alias("text")), v, chunk), "chunks")
+    found = scan_chunks(chunks, v).select("text_key", F.col("ids").alias("found"))
+    large = giants.join(found, "text_key").select("row", "found").select(*(F.col("row")[c].alias(c) for c in docs.columns), F.col("found").alias(ids_col))
     return small.union(large)
 
 

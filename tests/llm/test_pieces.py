@@ -150,3 +150,13 @@ def test_tables_with_giant_texts(spark, vocabulary):
         assert row.ids == (None if row.text is None else brute(v, row.text))
     empty = df.limit(0)
     assert P.decode(P.encode(empty, vocabulary), vocabulary).count() == 0
+
+
+def test_rows_of_giant_texts_keep_columns_of_any_names(spark):
+    v = P.Vocabulary.load()
+    text = "abc def " * 40
+    rows = [(1, text, "key", [7], "row", 3), (2, "short", "k", None, None, None), (None, None, "k", None, None, None), (1, text, "other", None, "x", 9)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, _text_key string, _ids array<int>, row string, found int")
+    got = P.encode(df, v, chunk=100).collect()
+    assert sorted((str(tuple(r)[:6]) for r in got)) == sorted(str(r) for r in rows)
+    assert {len(r.ids) if r.ids is not None else None for r in got if r.text == text} == {len(P.encode_texts(v, [text])[0])}
