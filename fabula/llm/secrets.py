@@ -25,6 +25,7 @@ import string
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,16 +37,22 @@ from fabula.llm.cluster import materialize
 
 FINDINGS = "array<struct<begin:int,end:int,score:double,sha256:string>>"
 LABELLED = "value string, before string, after string, secret int"
-#: What is assigned to a name with an asking word in it, as in DB_PASSWORD or token-v2. A name is
-#: tried once, from its begin and only before a sign, so any text is read in linear time.
-ASSIGNED = re.compile(
-    r"(?i:(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]++[\"']?[ \t]{0,2}[=:])"
-    r"(?>(?:[A-Za-z0-9]*[_-])*?(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)(?![A-Za-z0-9])[A-Za-z0-9_-]*+[\"']?[ \t]{0,2}[=:][ \t]{0,2}[\"']?))"
-    r"([^\s\"'<>]{6,})"
-)
+#: A name before a sign, tried once from its begin, so any text is read in linear time; and what may be
+#: assigned to it: all between quotes of one line, or else up to a blank or quote.
+SIGNED = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]++)[\"']?+[ \t]{0,2}[=:][ \t]{0,2}")
+VALUE = re.compile(r"\"([^\"\n]{6,})\"|'([^'\n]{6,})'|[\"']?([^\s\"'<>]{6,})")
+#: What names of secrets are made of: as a word of a name (dbPassword, DB_PASSWORD, token-v2), as two words of it
+#: side by side (privateKey, api_key), or, for long ones, as the end of a word (PGPASSWORD).
+NAME_WORDS = frozenset("password passwd passphrase pwd secret token auth bearer credential credentials apikey accesskey privatekey secretkey".split())
+_NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+_NAME_ENDS = ("password", "passwd", "passphrase", "secret", "credential", "credentials")
+#: Secrets that are not assigned to a name: those of an authorization header, and passwords in URLs.
+HEADED = re.compile(r"(?i:authorization[\"']?[ \t]{0,2}[:=][ \t]{0,2}[\"']?(?:bearer|basic|token)[ \t]{1,2})([^\s\"'<>]{6,})|://[^\s/:@\"'<>]++:([^\s/@\"'<>]{3,})@")
 RUN = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{12,}={0,2}")
 _MIXED = re.compile(r"[0-9]|[a-z][A-Z]")
 NEAR = 32
+#: Letters at the end of a name that are looked at.
+NAME_LETTERS = 256
 #: Names that stand before secrets, and before values that only look like them.
 ASKING = ("password", "passwd", "pwd", "secret", "token", "key", "auth", "bearer", "credential", "private", "access")
 EXPLAINING = ("commit", "sha1", "sha256", "sha", "md5", "checksum", "digest", "etag", "uuid", "guid", "version", "build", "revision", "integrity", "example", "sample", "test", "isbn", "order", "invoice", "phone", "card", "data:image", "hash")
@@ -57,20 +64,45 @@ DICTIONARY_WORDS, WORD_LETTERS = 20_000, (4, 11)
 FEATURES = ("length", "digits", "upper", "lower", "signs", "transitions", "entropy", "coverage", "hex", "path", "asking", "explaining", "assigned", "quoted", "prefix", "run", "url", "mail")
 
 
+@lru_cache(1 << 14)
+def asks(name: str) -> bool:
+    """Whether a name is that of a secret."""
+    parts = [p.lower() for p in _NAME_PART.findall(name)]
+    both = {a + b for a, b in zip(parts, parts[1:], strict=False)}
+    return not NAME_WORDS.isdisjoint(both.union(parts)) or any(p.endswith(_NAME_ENDS) for p in parts)
+
+
+def _assigned(text: str) -> Iterator[tuple[int, int]]:
+    """Values of asking names, of headers and of URLs, from left to right."""
+    end = 0
+    heads = HEADED.finditer(text)
+    head = next(heads, None)
+    for m in [*SIGNED.finditer(text), None]:
+        while head and (m is None or head.end() <= m.start()):
+            begin, to = head.span(head.lastindex)
+            if begin >= end:
+                yield begin, to
+                end = to
+            head = next(heads, None)
+        if m and m.start() >= end and asks(m[1][-NAME_LETTERS:]) and (v := VALUE.match(text, m.end())):
+            end = v.end(v.lastindex)
+            yield v.span(v.lastindex)
+
+
 def candidates(text: str) -> Iterator[tuple[int, int]]:
     """Assigned values, and the runs outside them that look mixed or begin like a known key."""
     end = 0
     runs = RUN.finditer(text)
     run = next(runs, None)
-    for m in [*ASSIGNED.finditer(text), None]:
-        begin = m.start(1) if m else len(text)
+    for span in [*_assigned(text), None]:
+        begin = span[0] if span else len(text)
         while run and run.start() < begin:
             if run.start() >= end and (run[0].startswith(PREFIXES) or _MIXED.search(run[0])):
                 yield run.span()
             run = next(runs, None)
-        if m:
-            yield m.span(1)
-            end = m.end(1)
+        if span:
+            yield span
+            end = span[1]
 
 
 def corpus_dictionary(docs: DataFrame, most: int = DICTIONARY_WORDS, text_col: str = "text") -> tuple[str, ...]:
@@ -161,7 +193,7 @@ def labelled_findings(spark: SparkSession, rows: int = 3000, seed: int = 7, word
     alnum, hexa = string.ascii_letters + string.digits, "0123456789abcdef"
     word = lambda: r.choice(words)
     prose = lambda: " ".join(pick("etaoinshrdlu", r.randrange(2, 9)) for _ in range(4))
-    names = ("password", "secret", "token", "api_key", "access_key", "auth_token", "client_secret", "db_password")
+    names = ("password", "secret", "token", "api_key", "access_key", "auth_token", "client_secret", "db_password", "dbPassword", "accessToken", "PGPASSWORD", "private_key", "credentials", "clientSecret")
 
     def secret() -> tuple[str, str, str]:
         value = r.choice(
@@ -177,8 +209,17 @@ def labelled_findings(spark: SparkSession, rows: int = 3000, seed: int = 7, word
                 lambda: pick(alnum, r.randrange(20, 50)),
                 lambda: pick(alnum, r.randrange(8, 16)),
                 lambda: "eyJ" + pick(alnum, 60),
+                lambda: pick(string.ascii_lowercase, r.randrange(6, 13)) + pick(string.digits, r.randrange(3)),
+                lambda: " ".join(pick(string.ascii_lowercase, r.randrange(3, 8)) for _ in range(r.randrange(3, 5))),
             ]
         )()
+        if " " in value:  # a phrase is one between quotes only
+            quote = r.choice(["'", '"'])
+            return value, f"{prose()} {r.choice(names)}{r.choice([': ', ' = ', '='])}{quote}", quote + " " + prose()
+        if not value.startswith(PREFIXES) and r.random() < 0.15:
+            if r.random() < 0.5 and not set(value) & set("/+"):
+                return value, f"{prose()} {r.choice(['postgres', 'https', 'amqp', 'redis'])}://{word()}:", f"@{word()}.{r.choice(['com', 'net', 'local'])}/" + prose()
+            return value, f"{prose()} Authorization: {r.choice(['Bearer', 'Basic', 'Token'])} ", " " + prose()
         if value.startswith(PREFIXES) and r.random() < 0.6:
             return value, prose() + " ", " " + prose()
         quote = r.choice(["", "", '"', "'"])

@@ -96,3 +96,71 @@ def test_an_assigned_value_of_any_length_is_one_candidate(spark, forest):
     df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
     assert S.redact(df, forest).first().text == "a token=[SECRET] b"
     assert S.scan_secrets(df, forest).first().findings[0].sha256 == hashlib.sha256(value.encode()).hexdigest()
+
+
+def test_candidates_of_all_forms():
+    """Written by hand: name forms, quoted phrases, headers, URLs; and what is none of these."""
+    found = {
+        "dbPassword=hunter2x": "hunter2x",
+        "accessToken = qwertyuiop": "qwertyuiop",
+        "PGPASSWORD=letmein99": "letmein99",
+        "private_key=abcdefgh": "abcdefgh",
+        "credentials=abcdefgh": "abcdefgh",
+        'clientSecret: "abcdefgh"': "abcdefgh",
+        '"userPasswd" : "two words here"': "two words here",
+        "password = 'correct horse battery'": "correct horse battery",
+        "Authorization: Bearer abcdefghijk": "abcdefghijk",
+        'authorization="Basic dXNlcjpwYXNz"': "dXNlcjpwYXNz",
+        "postgres://me:s3cr3t!@db.local/x": "s3cr3t!",
+        "url=https://u:longpass@h/": "longpass",
+        "x=token=abcdefgh": "abcdefgh",
+        "spring.datasource.password=abcdefgh": "abcdefgh",
+        "MY_API_KEY: abcdefgh": "abcdefgh",
+    }
+    for text, value in found.items():
+        assert value in [text[b:e] for b, e in S.candidates(f"so {text}, end")] or value in [text[b:e] for b, e in S.candidates(text)], text
+    for text in ("author=hemingway", "keyboard: qwertyuiop", "monkey=abcdefgh", "passage: somewhere", "tokenizer=wordpiece", "http://host:8080/path", "mail me:you@host", "password=short", "secretary: margaret"):
+        assert list(S.candidates(text)) == [], text
+    nested = 'password="a token=\'abcdefgh\' b" next'
+    assert [nested[b:e] for b, e in S.candidates(nested)] == ["a token='abcdefgh' b"]
+    for long in ("a=" * 300_000, "password='" * 100_000, "://" * 300_000, "://a:" * 200_000, "authorization: bearer " * 50_000):
+        spans = list(S.candidates(long))
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_candidates_equal_a_search_from_every_place():
+    """Brute force: every place where a name may begin is tried, from left to right."""
+    import random
+    import re
+
+    r = random.Random(12)
+    bits = ["password", "dbToken", "x", "=", ": ", " = ", '"', "'", "abcdefgh", "s3cr3t99", " ", "\n", "monkey", "AKIA" + "A" * 16, "Qw3rTyUi0pAs", "-", "_"]
+
+    def slow(text):
+        spans, at = [], 0
+        while at < len(text):
+            m = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]+)(?![A-Za-z0-9_-])[\"']?[ \t]{0,2}[=:][ \t]{0,2}").match(text, at)
+            v = S.VALUE.match(text, m.end()) if m and S.asks(m[1]) else None
+            if v:
+                spans.append(v.span(v.lastindex))
+                at = v.end(v.lastindex)
+            else:
+                at += 1
+        runs = [m.span() for m in S.RUN.finditer(text) if (m[0].startswith(S.PREFIXES) or S._MIXED.search(m[0])) and not any(b <= m.start() < e for b, e in spans)]
+        return sorted(spans + runs)
+
+    for _ in range(3000):
+        text = "".join(r.choices(bits, k=r.randrange(1, 14)))
+        assert sorted(S.candidates(text)) == slow(text), text
+
+
+def test_secrets_of_other_forms_are_found(spark, forest):
+    """By hand, not by the rules of the training rows."""
+    true = ["dbPassword=hunter2xq", "PGPASSWORD=zkwqpvbn99", "accessToken = qzrtyuvop", 'clientSecret: "bq7xkzwp"', "password = 'vrk plomq wexz tuj'", "see postgres://app:tq8Zk2wLp@db.local/x", "Authorization: Bearer qk7Zp3vB9sLd2", "private_key=wq8zkx3vbn2", "smtp_passwd: G7k#pq2Zr9", "x-api-key: 0d8f7a6b5c4e3d2f1a0b"]
+    false = ["password: your_password_here", "token = process.env.TOKEN", "password=changemechangeme", "the secret: garden, a book", "https://example.com/en/page-1234567", "keyboard: qwertyuiop", "author=hemingway", "sha256 checksum=9f86d081884c7d659a2feaa0c55ad015"]
+    plain = ["a book of the secret garden", "in the garden is a book", "hemingway was an author", "read hemingway"]
+    docs = spark.createDataFrame(list(enumerate(true + false + plain)), "doc_id bigint, text string")
+    got = {r.doc_id for r in S.scan_secrets(docs, S.corpus_forest(docs)).collect() if r.findings}  # its dictionary has the words of plain texts
+    missed = [t for i, t in enumerate(true) if i not in got]
+    assert len(missed) <= 1, missed
+    assert not [t for i, t in enumerate(false) if i + len(true) in got]
