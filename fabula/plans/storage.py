@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,8 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-#: Paths of the tables written in each open scratch block.
-_written: list[list[str]] = []
+#: Paths of the tables written in each open scratch block of a thread.
+_written: ContextVar[tuple[list[str], ...]] = ContextVar("written", default=())
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -42,11 +43,13 @@ def remove(spark: SparkSession, path: str) -> None:
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables that are materialized in the block are deleted when it ends. What reads them has
     to be written by then; without such a block they stay, as results still read them."""
-    _written.append([])
+    paths: list[str] = []
+    before = _written.set((*_written.get(), paths))
     try:
         yield
     finally:
-        for path in _written.pop():
+        _written.reset(before)
+        for path in paths:
             remove(spark, path)
 
 
@@ -55,7 +58,7 @@ def materialize(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
     and its shuffle files go. A ``kept`` table outlives the innermost scratch block."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    blocks = _written[:-1] if kept else _written
+    blocks = _written.get()[:-1] if kept else _written.get()
     if blocks:
         blocks[-1].append(path)
     before = spark.conf.get(CLEANUP, None)
