@@ -13,7 +13,7 @@ import json
 import re
 import time
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import Future, ThreadPoolExecutor
 from datetime import datetime
 from typing import Protocol
 
@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
 from fabula.operators.entities import FAMILIES, typed_values
+from fabula.operators.ledger import Ledger
 
 FACTS = "chunk_id string, doc_id bigint, family string, type string, entity_name string, summary string, confidence double, quote string, timeline_hint string, value string, error string"
 #: The members of each family's values, those that are lists of strings, and the
@@ -66,14 +67,36 @@ def with_retry(call: Callable[[], object], attempts: int = 3, sleep: Callable[[f
     raise AssertionError
 
 
+class Hanging(RuntimeError):
+    """Too many calls of a task are still open."""
+
+
+class Clock:
+    """Calls with a time limit. Nothing can end a thread from outside, so a call that takes too long
+    is left to itself; once ``most`` of them are open, no other one is begun."""
+
+    def __init__(self, seconds: float = TIMEOUT_S, most: int = 16):
+        self.seconds, self.most = seconds, most
+        self.open: set[Future] = set()
+
+    def __call__(self, call: Callable[[], object]):
+        self.open = {f for f in list(self.open) if not f.done()}
+        if len(self.open) >= self.most:
+            raise Hanging(f"{len(self.open)} calls are open")
+        pool = ThreadPoolExecutor(1)
+        made = pool.submit(call)
+        try:
+            return made.result(timeout=self.seconds)
+        except TimeoutError:
+            self.open.add(made)
+            raise
+        finally:
+            pool.shutdown(wait=False)
+
+
 def with_timeout(call: Callable[[], object], seconds: float = TIMEOUT_S):
-    """The call's result, or TimeoutError once it takes too long; a call that hangs is left
-    to itself."""
-    pool = ThreadPoolExecutor(1)
-    try:
-        return pool.submit(call).result(timeout=seconds)
-    finally:
-        pool.shutdown(wait=False)
+    """The call's result, or TimeoutError once it takes too long."""
+    return Clock(seconds)(call)
 
 
 def unwrap_json(answer: str):
@@ -129,22 +152,38 @@ def valid_facts(answer: str, family: str) -> list[tuple]:
     return [_fact(x, family) for x in facts]
 
 
-def extract_facts(chunks: DataFrame, provider: Provider, families: tuple[str, ...] = ("character",), attempts: int = 3, timeout_s: float = TIMEOUT_S) -> DataFrame:
-    """Facts of all chunks (chunk_id, doc_id, text); chunks stay in their partitions."""
+def extract_facts(chunks: DataFrame, provider: Provider, families: tuple[str, ...] = ("character",), attempts: int = 3, timeout_s: float = TIMEOUT_S, ledger: Ledger | None = None, in_flight: int = 1) -> DataFrame:
+    """Facts of all chunks (chunk_id, doc_id, text); chunks stay in their partitions. At most ``in_flight``
+    calls of a partition are open at once. With a ``ledger`` valid answers are kept as they come, and what
+    it has is not asked again."""
     names = [x.split()[0] for x in FACTS.split(", ")]
     kinds = [pa.float64() if n == "confidence" else pa.int64() if n == "doc_id" else pa.string() for n in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for chunk, doc, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                for family in families:
-                    try:
-                        call = lambda t=text or "", f=family: valid_facts(with_timeout(lambda: provider.complete(t, f), timeout_s), f)
-                        out += [(chunk, doc, family, *f, None) for f in with_retry(call, attempts)]
-                    except Exception as e:  # one chunk must not stop the others
-                        out.append((chunk, doc, family, *[None] * 7, f"{type(e).__name__}: {e}"[:300]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+        clock = Clock(timeout_s, max(16, 2 * in_flight))
+
+        def ask(request: tuple) -> list[tuple]:
+            chunk, doc, text, family = request
+            known = ledger.get(text, family) if ledger else None
+
+            def call() -> list[tuple]:
+                answer = clock(lambda: provider.complete(text, family))
+                facts = valid_facts(answer, family)
+                if ledger:
+                    ledger.put(text, family, answer)
+                return facts
+
+            try:
+                return [(chunk, doc, family, *f, None) for f in (with_retry(call, attempts) if known is None else valid_facts(known, family))]
+            except Exception as e:  # one chunk must not stop the others
+                return [(chunk, doc, family, *[None] * 7, f"{type(e).__name__}: {e}"[:300])]
+
+        with ThreadPoolExecutor(in_flight) as pool:
+            for batch in batches:
+                rows = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
+                requests = [(chunk, doc, text or "", family) for chunk, doc, text in rows for family in families]
+                out = [r for made in pool.map(ask, requests) for r in made]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     return chunks.select("chunk_id", "doc_id", "text").mapInArrow(run, FACTS)

@@ -33,20 +33,36 @@ def graph_key(project: Column | str, label: str, key: Column | str) -> Column:
     return F.concat_ws(":", col(project).cast("string"), F.lit(label), col(key).cast("string"))
 
 
+def _in_order(tables: tuple[DataFrame, ...]) -> tuple[DataFrame, list[list[str]]]:
+    """All rows with ``_at``, which is larger for later tables and, within one, for a larger
+    ``position``, if it has that column; and the properties that each table has."""
+    made, have = [], []
+    for i, t in enumerate(tables):
+        position = F.col("position").cast("double") if "position" in t.columns else F.lit(0.0)
+        made.append(t.withColumn("_at", F.struct(F.lit(i).alias("table"), position.alias("position"))).drop("position"))
+        have.append([c for c in t.columns if c != "position"])
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), made), have
+
+
 def nodes(*tables: DataFrame) -> DataFrame:
     """Nodes of all tables (key, label, name and any properties); of several with one key the
-    row of the largest name stays."""
-    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
-    rest = ["name", *(c for c in both.columns if c not in ("key", "label", "name"))]
-    return both.groupBy("key", "label").agg(F.max(F.struct(*rest)).alias("x")).select("key", "label", "x.*")
+    last row stays, all of it. Rows that their order doesn't tell apart are taken by their values."""
+    both, _ = _in_order(tables)
+    rest = ["name", *(c for c in both.columns if c not in ("key", "label", "name", "_at"))]
+    return both.groupBy("key", "label").agg(F.max(F.struct("_at", *rest)).alias("x")).select("key", "label", *(f"x.{c}" for c in rest))
 
 
 def edges(node_table: DataFrame, *tables: DataFrame) -> DataFrame:
-    """One edge for each (source, type, target) of which both ends are nodes, with the
-    largest of its properties, if there are any."""
-    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
-    ends, rest = ["source", "type", "target"], [c for c in both.columns if c not in ("source", "type", "target")]
-    both = both.groupBy(*ends).agg(F.max(F.struct(*rest)).alias("x")).select(*ends, "x.*") if rest else both.select(*ends).distinct()
+    """One edge for each (source, type, target) of which both ends are nodes; each property has
+    the value of the last row whose table has it."""
+    both, have = _in_order(tables)
+    ends, rest = ["source", "type", "target"], [c for c in both.columns if c not in ("source", "type", "target", "_at")]
+
+    def last(c: str) -> Column:
+        said = F.col("_at.table").isin(*(i for i, columns in enumerate(have) if c in columns))
+        return F.max(F.when(said, F.struct("_at", c)))[c].alias(c)
+
+    both = both.groupBy(*ends).agg(*map(last, rest)) if rest else both.select(*ends).distinct()
     known = node_table.select("key")
     both = both.join(known.withColumnRenamed("key", "source"), "source", "left_semi")
     return both.join(known.withColumnRenamed("key", "target"), "target", "left_semi").select(*ends, *rest)

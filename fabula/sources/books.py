@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fabula.functions import text as T
+from fabula.operators.ledger import write_whole
 
 #: What may be uploaded, and the order in which formats are tried.
 FORMATS = (
@@ -144,7 +145,8 @@ def read_books(spark: SparkSession, glob: str, pdf: Callable[[bytes], str] | Non
 
 def save_originals(files: DataFrame, root: str) -> DataFrame:
     """Writes each file (path, content) below ``root`` under the name of its content, and
-    returns (path, stored). The same content is the same file, so a task may run again. Files
+    returns (path, stored). A file has its name once it is whole; the same content is the same
+    file, so a task may run again, and two at once. Files
     go through ``pyarrow.fs``, so ``root`` needs a scheme that it knows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,8 +154,7 @@ def save_originals(files: DataFrame, root: str) -> DataFrame:
         store.create_dir(base, recursive=True)
         for batch in batches:
             for path, data, name in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                with store.open_output_stream(f"{base}/{name}") as out:
-                    out.write(data)
+                write_whole(store, f"{base}/{name}", data)
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([f"{root}/{name}"])], names=["path", "stored"])
 
     name = F.substring_index(storage_path(F.sha2("content", 256), F.col("path"), ""), "/", -1).alias("name")
