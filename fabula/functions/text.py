@@ -70,18 +70,21 @@ def collapse_ws(text: Column) -> Column:
     return F.regexp_replace(text, f"{WS}+", " ")
 
 
+#: The same white space as single characters, for trimming without a pattern; within a line, without its end.
+_BLANKS = " \t\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def normalize_book_text(text: Column, nfc: bool = True) -> Column:
     """Composed characters, one kind of line end, single spaces, at most one blank line in a
-    row, trimmed lines. Lines are trimmed after blank lines are reduced."""
+    row, trimmed lines. Lines are trimmed after blank lines are reduced. A pattern only matches
+    what it changes: a single space between words is left alone."""
     t = unicode_normalize(text) if nfc else text
     t = F.replace(t, F.lit("\x00"), F.lit(""))
-    t = F.regexp_replace(t, r"\r\n?", "\n")
-    t = F.regexp_replace(t, r"[\t\f\x0b]+", " ")
-    t = F.regexp_replace(t, r"[ \u00a0]+", " ")
-    t = F.regexp_replace(t, r"\n{3,}", "\n\n")
-    ws = WS.replace(r"\s", r" \t\x0b\f\r")
-    t = F.regexp_replace(t, f"(?m)^{ws}+|{ws}+$", "")
-    return trim_ws(t)
+    t = F.when(F.contains(t, F.lit("\r")), F.regexp_replace(t, r"\r\n?", "\n")).otherwise(t)
+    t = F.regexp_replace(t, r"[\t\f\x0b\u00a0][ \t\f\x0b\u00a0]*| [ \t\f\x0b\u00a0]+", " ")
+    t = F.when(F.contains(t, F.lit("\n\n\n")), F.regexp_replace(t, r"\n{3,}", "\n\n")).otherwise(t)
+    t = F.array_join(F.transform(F.split(t, "\n"), lambda line: F.btrim(line, F.lit(_BLANKS))), "\n")
+    return F.btrim(t, F.lit(_BLANKS + "\n"))
 
 
 def strip_xml_tags(html: Column) -> Column:

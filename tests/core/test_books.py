@@ -75,3 +75,26 @@ def test_upload_rules(spark):
     assert [r[0] for r in got] == [None, "extension", "media type", "size"]
     kinds = spark.createDataFrame([("a.txt", None), ("x", "application/x-fictionbook+xml"), ("x", None)], "path string, kind string")
     assert [r[0] for r in kinds.select(S.book_format(F.col("path"), F.col("kind"))).collect()] == ["TXT", "FB2", None]
+
+
+def test_normalized_texts_equal_the_rule_line_by_line(spark):
+    import random
+    import re
+    import unicodedata
+
+    from pyspark.sql import functions as F
+
+    from fabula.functions import text as T
+
+    blanks = " \t\x0b\f\r      　﻿" + "".join(map(chr, range(0x2000, 0x200B)))
+
+    def plain(t):
+        t = unicodedata.normalize("NFC", t).replace("\x00", "")
+        t = re.sub(r"\n{3,}", "\n\n", re.sub("[  ]+", " ", re.sub(r"[\t\f\x0b]+", " ", re.sub(r"\r\n?", "\n", t))))
+        return "\n".join(line.strip(blanks) for line in t.split("\n")).strip(blanks + "\n")
+
+    r = random.Random(1)
+    bits = ["a", "b c", " ", "  ", "\t", "\n", "\n\n", "\n\n\n", "\r", "\r\n", "\x0b", "\f", " ", " ", " ", " ", "　", "﻿", "é", "é", "\x00", "\u0085", "$"]
+    rows = [("".join(r.choices(bits, k=r.randrange(25))),) for _ in range(3000)]
+    got = spark.createDataFrame([*rows, (None,)], "t string").select("t", T.normalize_book_text(F.col("t")).alias("n")).collect()
+    assert all(x.n == (None if x.t is None else plain(x.t)) for x in got)
