@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fabula.functions import prompts
-from fabula.operators import entities, points, timeline
+from fabula.operators import entities, points, scenes, timeline
 from fabula.operators import project_graph as graph
-from fabula.operators.graph import RELATIONS
+from fabula.operators.graph import RELATIONS, ancestry
 from fabula.operators.vector_index import VectorIndex
 from fabula.plans.queries import _ROOTS, _SEGMENTS, FACTS, facts, query, read
 from fabula.plans.storage import materialize, shared_dir
@@ -38,6 +38,44 @@ def version_segments_hot(spark, sf_dir):
     return entities.version_segments(f, "location").select("id", "root", "version")
 
 
+@query(
+    f"""WITH RECURSIVE {FACTS}, o AS (SELECT *, entity_name AS root, row_number() OVER (PARTITION BY entity_name ORDER BY chapter_index, id) AS i FROM facts),
+    steps AS (SELECT root, i, id, 1::BIGINT AS version, timeline_hint AS hint, era FROM o WHERE i = 1
+        UNION ALL SELECT root, i, id, CASE WHEN fresh THEN version + 1 ELSE version END, CASE WHEN fresh THEN own_hint ELSE coalesce(own_hint, hint) END, CASE WHEN fresh THEN own_era ELSE coalesce(own_era, era) END
+        FROM (SELECT o.root, o.i, o.id, s.version, s.hint, s.era, o.timeline_hint AS own_hint, o.era AS own_era, coalesce(o.type = 'CHARACTER_PLOT_CHANGE' OR o.timeline_hint <> s.hint OR o.era <> s.era, FALSE) AS fresh FROM steps s JOIN o ON o.root = s.root AND o.i = s.i + 1))
+    SELECT id, root, version FROM steps"""
+)
+def location_change_versions(spark, sf_dir):
+    """Versions of locations, of whose facts a tenth and more are changes."""
+    kind = F.when(F.col("type") == "CHARACTER_PLOT_CHANGE", "LOCATION_CHANGE").otherwise("LOCATION_MENTION")
+    f = facts(spark, sf_dir).withColumn("root", F.col("entity_name")).withColumn("type", kind)
+    return entities.version_segments(f, "location").select("id", "root", "version")
+
+
+@query(
+    """WITH RECURSIVE c AS (SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey > 1 THEN c_custkey // 2 END AS parent FROM customer),
+    up AS (SELECT id, id AS at, name AS path, parent, 1 AS n FROM c UNION ALL SELECT up.id, c.id, c.name || ' > ' || path, c.parent, n + 1 FROM up JOIN c ON c.id = up.parent)
+    SELECT id, arg_max(path, n) AS path FROM up GROUP BY id"""
+)
+def hierarchy_deep(spark, sf_dir):
+    """Every customer lies in the one of half its key: as many levels as the key has bits."""
+    k = F.col("c_custkey")
+    rows = read(spark, sf_dir, "customer").select(k.alias("id"), F.col("c_name").alias("name"), F.when(k > 1, F.floor(k / 2)).alias("parent_id"))
+    return ancestry(rows).select("id", F.array_join("path", " > ").alias("path"))
+
+
+@query(
+    """WITH c AS (SELECT event_id // 3 AS asset_id, CASE WHEN event_id % 2 = 0 THEN 'character' ELSE 'style' END AS type, event_type NOT IN ('error', 'signup') AS passed, least(1.0, greatest(0.0, value / 50)) AS s FROM events),
+    a AS (SELECT asset_id, floor(avg(s) * 100 + 0.5) / 100 AS score, bool_and(passed) AS all_passed, bool_or(type = 'character' AND NOT passed) AS failed FROM c GROUP BY asset_id)
+    SELECT asset_id, score, all_passed, CASE WHEN score >= 0.82 AND all_passed THEN 'approve' WHEN score < 0.45 THEN 'regenerate' WHEN failed THEN 'inpaint' ELSE 'manual_review' END AS recommendation FROM a"""
+)
+def validation_advice(spark, sf_dir):
+    """Three checks of an asset, so that each advice is given; characters fail as well."""
+    e, k = read(spark, sf_dir, "events"), F.col("event_id")
+    checks = e.select(F.floor(k / 3).alias("asset_id"), F.when(k % 2 == 0, "character").otherwise("style").alias("type"), (~F.col("event_type").isin("error", "signup")).alias("passed"), (F.col("value") / 50).alias("score"))
+    return scenes.validate(checks).select("asset_id", "score", "all_passed", "recommendation")
+
+
 # ------------------------------------------------------------------ graph of a project
 
 _KINDS = list(RELATIONS)
