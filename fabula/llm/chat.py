@@ -8,7 +8,7 @@ A turn's node is the hash of its parent's node, role and text: conversations tha
 begin alike have the same first nodes. Conversations are ranked by their path of nodes,
 which is depth-first order; a node belongs to the first conversation that has it, and
 is emitted there, once in the whole corpus. The nodes' tokens follow each other in this
-order; each has the place where it begins, the position of its first token in its
+order; each has its token ids, the place where it begins, the position of its first token in its
 conversation, and the intervals of places that hold its ancestors and may be attended
 to. Nodes that conversations share move once; conversations only name them.
 
@@ -24,6 +24,7 @@ its own, and an empty table gives no rows. Only the four named columns are read.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from fabula.llm import words as W
 from fabula.llm.cluster import materialize
@@ -42,8 +43,9 @@ TURNS = "conv string, conv_id bigint, turn_no int, node binary, parent binary, t
 SPANS = "conv string, conv_id bigint, node binary, depth int, position bigint, attends array<struct<begin:bigint,end:bigint>>"
 _INTERVALS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 _ROWS, _CHARS = 2000, 4 << 20
-#: Digits of a path for each turn, and how many of them deal conversations to tasks.
-_STEP, _DEALT = 16, 2048
+#: Digits of a path for each turn, how many of them deal conversations to tasks at a time, and how many
+#: conversations with different paths may be dealt together because they are alike in these.
+_STEP, _DEALT, _TIED = 16, 2048, 1000
 
 
 def escape(text: str) -> str:
@@ -75,15 +77,16 @@ def _names(schema: str) -> list[str]:
     return [x.split()[0] for x in re.sub("<.*?>", "", schema).split(", ")]
 
 
-def characters(texts: list[str]) -> list[int]:
-    return [len(t) for t in texts]
+def characters(texts: list[str]) -> list[list[int]]:
+    """Code points as tokens."""
+    return [list(map(ord, t)) for t in texts]
 
 
-def pieces(vocabulary) -> Callable[[list[str]], list[int]]:
-    """Counts the tokens of a SentencePiece vocabulary."""
+def pieces(vocabulary) -> Callable[[list[str]], list[list[int]]]:
+    """The token ids of a SentencePiece vocabulary."""
     from fabula.llm.pieces import encode_texts
 
-    return lambda texts: [len(ids) for ids in encode_texts(vocabulary, texts)]
+    return lambda texts: encode_texts(vocabulary, texts)
 
 
 def turn_nodes(conversations: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -146,7 +149,7 @@ def running_sum(rows: DataFrame, deal: list, order: list[str], value: str, out:
 
 @dataclass
 class PrefixForest:
-    """nodes: each shared turn once (node, parent, depth, begin, n_tokens, position, attends, text,
+    """nodes: each shared turn once (node, parent, depth, begin, n_tokens, ids, position, attends, text,
     loss_begin, loss_end). members: (conv, conv_id, turn_no, node). conversations: (conv_id,
     n_turns, n_tokens, attends)."""
 
@@ -184,27 +187,56 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(out, types, _names(SPANS))
 
 
-def format_conversations(conversations: DataFrame, loss_roles: tuple[str, ...] = ("assistant",), count: Callable[[list[str]], list[int]] = characters) -> PrefixForest:
-    """The prefix forest of all conversations. ``count`` gives the tokens of formatted turns;
-    turns are encoded one by one, so counts add up."""
+def _dealing(paths: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The rows (conv, path) with columns that deal them by ranges in the order of paths, and these columns.
+
+    The first digits of a path deal most. Conversations that are alike in them have a common
+    beginning, however long; what follows it deals them further, until few different paths are left
+    together. Equal paths are dealt by conversation."""
+    rows, keys = paths.withColumn("_k0", F.substring("path", 1, _DEALT)), ["_k0"]
+
+    @F.arrow_udf("int")
+    def shared(low: pa.Array, high: pa.Array) -> pa.Array:
+        return pa.array([len(os.path.commonprefix(x)) for x in zip(low.to_pylist(), high.to_pylist(), strict=True)], pa.int32())
+
+    while True:
+        alike = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("path").alias("_low"), F.max("path").alias("_high")).where("_n > 1")
+        alike = materialize(alike.withColumn("_same", F.col("_low") == F.col("_high")), "alike-paths")
+        tied = alike.where((F.col("_n") > _TIED) & ~F.col("_same"))
+        if not tied.head(1):
+            break
+        starts = tied.select(*keys, (shared("_low", "_high") + 1).alias("_start"))
+        key = f"_k{len(keys)}"
+        rows = rows.join(starts, keys, "left").withColumn(key, F.coalesce(F.substring(F.col("path"), F.col("_start"), F.lit(_DEALT)), F.lit(""))).drop("_start")
+        rows, keys = materialize(rows, "dealt-paths"), [*keys, key]
+    equal = alike.where("_same").select(*keys, "_same")
+    rows = rows.join(equal, keys, "left").withColumn("_own", F.when(F.col("_same"), F.col("conv")).otherwise(F.lit(""))).drop("_same")
+    return rows, [*keys, "_own"]
+
+
+def format_conversations(conversations: DataFrame, loss_roles: tuple[str, ...] = ("assistant",), tokens: Callable[[list[str]], list[list[int]]] = characters, count: Callable[[list[str]], list[list[int]]] | None = None) -> PrefixForest:
+    """The prefix forest of all conversations. ``tokens`` gives the token ids of formatted turns (``count`` is its
+    older name); turns are encoded one by one, so those of a conversation follow each other."""
+    tokens = count or tokens
     made = materialize(turn_nodes(conversations, loss_roles), "turns")
     turns, ends = made.where("path is null"), made.where("path is not null")
-    one = ends.select("conv", "path", F.lit(1).alias("one"))
-    ranks = running_sum(one, [F.substring("path", 1, _DEALT), "conv"], ["path", "conv"], "one", "rank").select("conv", "rank")
+    one, deal = _dealing(ends.select("conv", "path", F.lit(1).alias("one")))
+    ranks = running_sum(one, deal, ["path", "conv"], "one", "rank").select("conv", "rank")
     ranked = turns.select("conv", "conv_id", "turn_no", "node").join(ranks, "conv")
     owner = ranked.groupBy("node", (F.xxhash64("node") % 2).alias("half")).agg(F.min("rank").alias("owner")).drop("half")
     members = materialize(ranked.join(owner, "node"), "members")
 
-    kept = StructType([StructField(f.name, f.dataType) for f in turns.select("node", "parent", "text", "loss_begin", "loss_end", "turn_no").schema] + [StructField("owner", LongType()), StructField("n_tokens", LongType())])
+    kept = StructType([StructField(f.name, f.dataType) for f in turns.select("node", "parent", "text", "loss_begin", "loss_end", "turn_no").schema] + [StructField("owner", LongType()), StructField("ids", ArrayType(IntegerType())), StructField("n_tokens", LongType())])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.slices(batch, "text", 1 << 20):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(count(part.column("text").to_pylist()), pa.int64())], names=kept.names)
+                ids = tokens(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64())], names=kept.names)
             W.release()
 
     own = members.where("rank = owner").select("conv", "turn_no", "owner")
-    texts = turns.join(own, ["conv", "turn_no"]).select(*kept.names[:-1])
+    texts = turns.join(own, ["conv", "turn_no"]).select(*kept.names[:-2])
     nodes = running_sum(texts.mapInArrow(counted, kept), ["owner", "turn_no"], ["owner", "turn_no"], "n_tokens", "begin")
     nodes = materialize(nodes, "nodes")
     placed = members.select("conv", "conv_id", "turn_no", "node", (F.col("rank") == F.col("owner")).alias("own")).join(nodes.select("node", "begin", "n_tokens"), "node")

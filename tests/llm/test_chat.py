@@ -101,3 +101,48 @@ def test_depth_first_order_and_real_tokens(spark):
 
 def test_empty_table(spark):
     assert C.read_conversations(C.format_conversations(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def in_order(nodes):
+    open_path = []
+    for r in nodes:
+        while open_path and open_path[-1] != r.parent:
+            open_path.pop()
+        if bool(open_path) != bool(r.parent):
+            return False
+        open_path.append(r.node)
+    return True
+
+
+def test_depth_first_order_after_hundreds_of_shared_turns(spark, monkeypatch):
+    """Forks at 130 and at 300 shared turns, equal conversations, and more ranges than conversations."""
+    shared = [("user", f"t{i}") for i in range(300)]
+    ways = [shared + [("user", w), ("assistant", f"{w}{i}")] for i in range(4) for w in ("p", "q", "x")]
+    ways += [shared[:130] + [("user", w), ("assistant", str(i))] for i in range(3) for w in ("r", "s")] + [ways[0]] * 5 + [shared[:10]]
+    data = [(c, n, *turn, "", "") for c, turns in enumerate(ways) for n, turn in enumerate(turns)]
+    df = spark.createDataFrame(data, SCHEMA).repartition(4)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        for tied in (1000, 1):
+            monkeypatch.setattr(C, "_TIED", tied)
+            forest = C.format_conversations(df)
+            nodes = sorted(forest.nodes.collect(), key=lambda r: r.begin)
+            assert in_order(nodes) and len(nodes) == 300 + 3 + 12 + 2 + 6
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_ids_of_nodes_put_together_are_those_of_conversations(spark):
+    from fabula.llm.pieces import Vocabulary, encode_texts
+
+    v = Vocabulary.load()
+    data = rows()
+    forest = C.format_conversations(spark.createDataFrame([(*x, "", "") for x in data], SCHEMA), tokens=C.pieces(v))
+    whole = [i for r in sorted(forest.nodes.collect(), key=lambda r: r.begin) for i in r.ids]
+    conv = {}
+    for c, t, role, text in data:
+        conv.setdefault(c, []).append((-1 if t is None else t, role or "", text or ""))
+    want = {c: [i for ids in encode_texts(v, [C.render(role, t)[0] for _, role, t in sorted(turns)]) for i in ids] for c, turns in conv.items()}
+    got = {r.conv_id: [i for x in r.attends for i in whole[x.begin : x.end]] for r in forest.conversations.collect()}
+    assert got == want
