@@ -530,9 +530,9 @@ def _compared(batches: Iterator[pa.RecordBatch], p: PartEnum) -> Iterator[pa.Rec
 
 def _across(placed: DataFrame, sketches: DataFrame, near: DataFrame, p: PartEnum) -> DataFrame:
     """Every possible link between two components that share a signature."""
-    placed = _refined(placed, near, p).join(sketches, "node")
     keys = ["sig", "low", "high"]
-    rows = _tiled(placed).repartition(*keys).sortWithinPartitions(*keys, "side", "component")
+    # sketches join last, so that they are dealt by key once
+    rows = _tiled(_refined(placed, near, p)).join(sketches, "node").repartition(*keys).sortWithinPartitions(*keys, "side", "component")
     return rows.mapInArrow(lambda batches: _compared(batches, p), "a bigint, b bigint").distinct()
 
 
