@@ -104,7 +104,7 @@ def world_tables(spark, sf_dir) -> dict[str, DataFrame]:
     other = groups.select((F.col("id") - 1).alias("id"), F.col("scope").alias("other_scope"), name("root").alias("target_character_id"))
     kinds = F.array(*map(F.lit, _KINDS))
     relations = groups.join(other, "id").where(F.col("scope") == F.col("other_scope"))
-    return {
+    made = {
         "projects": groups.select("project", F.col("project").alias("id"), F.concat(F.lit("project "), "project").alias("name")).distinct(),
         "characters": names.select(F.col("scope").alias("project"), "id", "canonical_name", "aliases"),
         "character_versions": versions.select(F.col("scope").alias("project"), version_id.alias("id"), name("root").alias("character_id"), "version", "age", "appearance"),
@@ -114,6 +114,7 @@ def world_tables(spark, sf_dir) -> dict[str, DataFrame]:
         "scenes": groups.where("id % 50 = 0").select("project", F.concat(F.lit("s"), F.col("id").cast("string")).alias("id"), name("root").alias("character_id"), F.col("parent_name").alias("location_id")),
         "relationships": relations.select("project", "id", name("root").alias("source_character_id"), "target_character_id", F.get(kinds, (F.col("k") % len(_KINDS)).cast("int")).alias("type"), F.when(F.col("k") % 3 > 0, F.col("summary")).alias("description")),
     }
+    return {n: materialize(t, f"world-{n}") for n, t in made.items()}  # several rules read each, none makes it again
 
 
 _KIND_SQL = "[" + ", ".join(f"'{k}'" for k in _KINDS) + "]"
