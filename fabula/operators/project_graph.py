@@ -100,9 +100,10 @@ def _properties(df: DataFrame, columns: dict[str, str], constants: dict[str, Col
     return F.map_from_arrays(F.array(*(F.lit(n) for n in made)), F.array(*made.values()))
 
 
-def _position(df: DataFrame, order: tuple[str, ...]) -> Column:
-    """What the last row has the most of; rows alike in that are told apart by their values."""
-    return F.struct(*(F.col(c) for c in order if c in df.columns), F.to_json(F.struct(*df.columns)).alias("_row"))
+def _position(df: DataFrame, order: tuple[str, ...], without: Iterable[str] = ()) -> Column:
+    """What the last row has the most of; rows alike in that are told apart by their values, but for
+    those of ``without``."""
+    return F.struct(*(F.col(c) for c in order if c in df.columns), F.to_json(F.struct(*(c for c in df.columns if c not in without))).alias("_row"))
 
 
 def _last(rows: DataFrame, *keys: str) -> DataFrame:
@@ -137,11 +138,17 @@ def graph_nodes(tables: dict[str, DataFrame], rules: Iterable[Node] = NODES) ->
     return _folded(made, "project", "key", "label", whole=True)
 
 
+def _lists(df: DataFrame, rule: Edge) -> list[str]:
+    """Columns of a rule's ends that give a row for each element."""
+    kinds = dict(df.dtypes)
+    return [c for _, c in (rule.source, rule.target) if kinds[c].startswith("array")]
+
+
 def _ends(df: DataFrame, rule: Edge) -> DataFrame:
     """Rows with the ids of both ends; lists give a row for each element."""
-    kinds = dict(df.dtypes)
+    lists = _lists(df, rule)
     for (label, column), name in ((rule.source, "_source"), (rule.target, "_target")):
-        df = df.withColumn(name, F.explode(column) if kinds[column].startswith("array") else F.col(column))
+        df = df.withColumn(name, F.explode(column) if column in lists else F.col(column))
         df = df.where(F.trim(F.col(name).cast("string")) != "").withColumn(f"{name}_key", graph_key("project", label, name))
     return df
 
@@ -158,16 +165,22 @@ def graph_edges(tables: dict[str, DataFrame], nodes: DataFrame, rules: Iterable[
     """(project, source, type, target, properties) of edges between known nodes."""
     if "events" in tables and "_adjacent" not in tables:
         tables = tables | {"_adjacent": event_order(tables["events"])}
-    made = []
+    made, keys = [], ["project", "source", "type", "target"]
     for rule in rules:
         if rule.table not in tables or any(c not in tables[rule.table].columns for _, c in (rule.source, rule.target)):
             continue
         df = tables[rule.table]
         kind = relation_label(F.col(rule.type_of)) if rule.type_of else F.lit(rule.type)
         own = {k: F.lit(v) for k, v in (rule.constants or {}).items()} | {"projectId": F.col("project").cast("string"), "type": kind}
-        rows = _ends(df, rule).select("project", F.col("_source_key").alias("source"), kind.alias("type"), F.col("_target_key").alias("target"), _properties(df, rule.properties or {}, own).alias("properties"), _position(df, rule.order).alias("at"))
-        made.append(_last(rows.where("type is not null"), "project", "source", "type", "target"))
-    keys = ["project", "source", "type", "target"]
+        rows = _ends(df, rule).withColumns({"_type": kind, "_project": F.col("project")}).where("_type is not null")
+        ends = [F.col("_project").alias("project"), F.col("_source_key").alias("source"), F.col("_type").alias("type"), F.col("_target_key").alias("target")]
+        told = {name: c for name, c in (rule.properties or {}).items() if c in df.columns}
+        if told:
+            at = _position(df, rule.order, [c for c in _lists(df, rule) if c not in told.values()])
+            made.append(_last(rows.select(*ends, _properties(df, told, own).alias("properties"), at.alias("at")), *keys))
+        else:  # all rows of an edge say the same: only its ends travel, not the list that an element was in
+            own["type"] = F.col("type")
+            made.append(rows.select(*ends).distinct().select(*keys, _properties(df, {}, own).alias("properties")))
     both = _folded(made, *keys, whole=False)
     known = nodes.select("key")
     for end in ("source", "target"):

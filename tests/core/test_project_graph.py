@@ -103,3 +103,16 @@ def test_events_of_one_project_in_many_ranges(spark):
     got = {r.id: r.before for r in P.event_order(events, ranges=8).collect()}
     order = sorted(range(300), key=lambda i: (i // 3, i % 2, i))
     assert got == {"z": None} | {f"e{i:03}": f"e{order[k - 1]:03}" if k else None for k, i in enumerate(order)}
+
+
+def test_edges_of_long_lists_do_not_carry_the_lists(spark):
+    """Shuffled bytes grow with the elements of a list, not with their square."""
+    n = 2000
+    people = spark.range(n).select(F.lit("p").alias("project"), F.concat(F.lit("c"), "id").alias("id"))
+    events = spark.range(4).select(F.lit("p").alias("project"), F.concat(F.lit("e"), "id").alias("id"), F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.concat(F.lit("c"), i.cast("string"))).alias("involved_character_ids"))
+    nodes = people.select(F.concat(F.lit("p:Character:"), "id").alias("key")).union(events.select(F.concat(F.lit("p:TimelineEvent:"), "id")))
+    rules = [e for e in P.EDGES if e.source == ("Character", "involved_character_ids")]
+    edges = P.graph_edges({"events": events, "_adjacent": events}, nodes, rules)
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert edges.count() == 4 * n and "json" not in plan.lower()
+    assert edges.first().properties == {"projectId": "p", "type": "APPEARS_IN"}
