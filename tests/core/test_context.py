@@ -137,3 +137,12 @@ def test_stars_over_many_partitions(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", before)
     assert {x.node: x.root for x in made} == {n: find(n) for n in root}
+
+
+def test_a_hub_of_a_neighbourhood_is_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(G, "LINKS_AT_ONCE", 100)
+    monkeypatch.setattr(G, "PAIRS_AT_ONCE", 5000)
+    edges = spark.range(1000).select(F.concat(F.lit("n"), "id").alias("source"), F.lit("hub").alias("target"))
+    made = G.neighbourhood(edges, edges.where("substr(source, -2) = '00'").select(F.col("source").alias("key")))
+    parts = [n for n in made.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    assert sum(parts) == 9 * 1001 + 0 and len(parts) > 2 and max(parts) < sum(parts) / 2
