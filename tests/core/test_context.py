@@ -139,6 +139,23 @@ def test_stars_over_many_partitions(spark):
     assert {x.node: x.root for x in made} == {n: find(n) for n in root}
 
 
+def test_context_of_seeds_is_that_of_their_neighbourhoods(spark, monkeypatch):
+    """Hubs, leaves, loops, and edges whose ends both are two edges away; blocks of two links."""
+    monkeypatch.setattr(G, "LINKS_AT_ONCE", 2)
+    links = [("a", "h"), ("h", "x"), ("h", "y"), ("x", "y"), ("a", "b"), ("b", "z"), ("z", "x"), ("y", "y"), ("z", "far"), ("far", "q"), *((f"l{i}", "h") for i in range(9)), ("h", "gone"), ("q", "q")]
+    edges = spark.createDataFrame([(s, t, k) for s, k in links for t in ("R", "S") if t == "R" or s < k], "source string, type string, target string")
+    nodes = spark.createDataFrame([(k, "N" if k < "m" else "M", k.upper()) for k in {x for link in links for x in link} - {"gone"}], "key string, label string, name string")
+    seeds = spark.createDataFrame([("a",), ("q",), ("l3",), ("alone",)], "key string")
+    near = G.neighbourhood(edges, seeds)
+    reach = {}
+    for s in ("a", "q", "l3", "alone"):
+        one = {s} | {y for x, y in links if x == s} | {x for x, y in links if y == s}
+        reach[s] = one | {y for x, y in links if x in one} | {x for x, y in links if y in one}
+    assert sorted(map(tuple, near.collect())) == sorted((s, k) for s, ks in reach.items() for k in ks)
+    for most in ((20, 30), (3, 4)):
+        assert sorted(map(tuple, G.seed_context(seeds, nodes, edges, *most).collect())) == sorted(map(tuple, G.context_lines(near, nodes, edges, *most).collect()))
+
+
 def test_a_hub_of_a_neighbourhood_is_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(G, "LINKS_AT_ONCE", 100)
     monkeypatch.setattr(G, "PAIRS_AT_ONCE", 5000)
