@@ -163,3 +163,14 @@ def test_a_hub_of_a_neighbourhood_is_many_tasks(spark, monkeypatch):
     made = G.neighbourhood(edges, edges.where("substr(source, -2) = '00'").select(F.col("source").alias("key")))
     parts = [n for n in made.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
     assert sum(parts) == 9 * 1001 + 0 and len(parts) > 2 and max(parts) < sum(parts) / 2
+
+
+def test_objects_are_listed_once_for_scenes_of_the_same_locations(spark):
+    scenes = spark.createDataFrame([("s1",), ("s2",), ("s3",), ("s4",)], "scene string")
+    happens = spark.createDataFrame([("s1", "l1"), ("s1", "l2"), ("s2", "l2"), ("s2", "l1"), ("s3", "l3")], "scene string, location string")
+    located = spark.createDataFrame([("o2", "l1"), ("o1", "l2"), ("o1", "l1"), ("o9", "l9")], "object string, location string")
+    appears = spark.createDataFrame([("c2", "s1"), ("c1", "s1"), ("c1", "s1"), ("c1", "s4")], "character string, scene string")
+    made = G.scene_entities(scenes, appears, happens, located)
+    assert {tuple(map(str, r)) for r in made.collect()} == {("s1", "['c1', 'c2']", "['l1', 'l2']", "['o1', 'o2']"), ("s2", "[]", "['l1', 'l2']", "['o1', 'o2']"), ("s3", "[]", "['l3']", "[]"), ("s4", "['c1']", "[]", "[]")}
+    last = made._jdf.queryExecution().optimizedPlan().toString().split("Join")
+    assert "location_ids" in last[1].splitlines()[0]  # lists of objects are in the last join only, by locations
