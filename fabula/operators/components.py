@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from fabula.plans.storage import materialize
 
-#: Edges that a task gathers before it contracts them.
-EDGES_AT_ONCE = 1 << 20
+#: Edges that a task gathers before it contracts them, if it doesn't hold more stars than that.
+EDGES_AT_ONCE = 1 << 17
 
 
 def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -45,12 +45,13 @@ def _stars(edges: pa.Table) -> pa.Table:
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The stars of a partition's edges; at most one row for each of its nodes."""
     held: list[pa.RecordBatch] = []
-    fresh = 0
+    fresh, most = 0, EDGES_AT_ONCE
     for batch in batches:
         held.append(batch)
         fresh += len(batch)
-        if fresh >= EDGES_AT_ONCE:
+        if fresh >= most:
             held, fresh = _stars(pa.Table.from_batches(held)).to_batches(), 0
+            most = max(EDGES_AT_ONCE, sum(map(len, held)))
     if held:
         yield from _stars(pa.Table.from_batches(held)).to_batches(1 << 16)
 

@@ -68,11 +68,16 @@ def entity_groups(facts: DataFrame, normalize=T.normalize_name) -> DataFrame:
     """Facts with ``root``: the component of their entity's normalized name, names that
     one fact mentions together being connected."""
     key = lambda c: F.concat_ws(_SEP, F.col("scope").cast("string"), normalize(c))
-    named = facts.withColumn("_key", key(F.col("entity_name")))
-    edges = named.select(F.col("_key").alias("a"), F.explode_outer("candidate_names").alias("name"))
-    edges = edges.withColumn("scope", F.split("a", _SEP)[0]).select("a", F.coalesce(F.when(T.trim_ws(F.col("name")) != "", key(F.col("name"))), "a").alias("b"))
-    roots = components(edges).withColumnRenamed("node", "_key")
-    return named.join(roots, "_key").drop("_key")
+    # every different pair of names once: facts repeat them, and names are normalized in Python
+    pairs = facts.select("scope", "entity_name", F.explode_outer("candidate_names").alias("name")).distinct()
+    keyed = pairs.select("scope", "entity_name", "name", key(F.col("entity_name")).alias("a"))
+    keyed = keyed.withColumn("_scope", F.col("scope")).withColumn("scope", F.split("a", _SEP)[0])
+    other = F.coalesce(F.when(T.trim_ws(F.col("name")) != "", key(F.col("name"))), "a")
+    keyed = materialize(keyed.select(F.col("_scope"), F.col("entity_name").alias("_name"), "a", other.alias("b")), "names")
+    roots = components(keyed.select("a", "b")).withColumnRenamed("node", "a")
+    rooted = keyed.select("_scope", "_name", "a").distinct().join(roots, "a").drop("a")
+    same = F.col("scope").eqNullSafe(F.col("_scope")) & F.col("entity_name").eqNullSafe(F.col("_name"))
+    return facts.join(rooted, same).drop("_scope", "_name")
 
 
 def entity_names(groups: DataFrame) -> DataFrame:

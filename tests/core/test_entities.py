@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from fabula.operators import entities as E
 from fabula.operators import timeline as L
 
@@ -85,3 +87,23 @@ def test_decomposed_and_composed_spellings_are_one_name(spark):
     assert E.entity_groups(facts).select("root").distinct().count() == 2
     found = E.attribute_conflicts(facts.withColumn("root", E.F.lit("r")).where("id < 2").withColumn("summary", E.F.regexp_replace("summary", "Mr. ", "")))
     assert found.count() == 0
+
+
+def test_names_that_facts_repeat_are_normalized_once(spark):
+    """Each pair of names once, however many facts have it; facts without a name or scope stay."""
+    from fabula.functions import text as T
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(name):
+        @F.udf("string")
+        def tell(x):
+            seen.add(1)
+            return x
+
+        return tell(T.normalize_text(name))
+
+    rows = [("s", i, f"N{i % 3}", ["n0"] if i % 3 == 2 else []) for i in range(300)] + [("s", 300, None, None), (None, 301, "n1", [" "]), ("t", 302, "n2", None)]
+    got = {r.id: r.root for r in E.entity_groups(spark.createDataFrame(rows, "scope string, id int, entity_name string, candidate_names array<string>"), counted).collect()}
+    assert len(got) == 303 and {got[i] for i in range(300) if i % 3 != 1} == {"s\x1fn0"} and got[1] == "s\x1fn1" and got[302] == "t\x1fn2"
+    assert got[300] == "s" and got[301] == "n1" and seen.value < 60
