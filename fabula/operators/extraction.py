@@ -35,6 +35,8 @@ LISTS = {"character": ("candidateNames",), "location": ("candidateNames", "color
 REQUIRED = {"character": "summary", "location": "summary", "timeline": "title"}
 ORDER_HINTS = ("before", "after", "same_time", "childhood", "next_day", "year_later", "unknown")
 TIMEOUT_S = 60.0
+#: Chunks of which a task holds the requests and the facts at once.
+CHUNKS_AT_ONCE = 64
 
 
 class Provider(Protocol):
@@ -179,7 +181,7 @@ def extract_facts(chunks: DataFrame, provider: Provider, families: tuple[str, ..
                 return [(chunk, doc, family, *[None] * 7, f"{type(e).__name__}: {e}"[:300])]
 
         with ThreadPoolExecutor(in_flight) as pool:
-            for batch in batches:
+            for batch in (b.slice(at, CHUNKS_AT_ONCE) for b in batches for at in range(0, len(b), CHUNKS_AT_ONCE)):
                 rows = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
                 requests = [(chunk, doc, text or "", family) for chunk, doc, text in rows for family in families]
                 out = [r for made in pool.map(ask, requests) for r in made]

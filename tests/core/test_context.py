@@ -174,3 +174,15 @@ def test_objects_are_listed_once_for_scenes_of_the_same_locations(spark):
     assert {tuple(map(str, r)) for r in made.collect()} == {("s1", "['c1', 'c2']", "['l1', 'l2']", "['o1', 'o2']"), ("s2", "[]", "['l1', 'l2']", "['o1', 'o2']"), ("s3", "[]", "['l3']", "[]"), ("s4", "['c1']", "[]", "[]")}
     last = made._jdf.queryExecution().optimizedPlan().toString().split("Join")
     assert "location_ids" in last[1].splitlines()[0]  # lists of objects are in the last join only, by locations
+
+
+def test_extraction_and_scores_go_by_portions(spark):
+    """A batch is several portions: each text has its facts, and the score that a whole batch gives it."""
+    from fabula.operators.extraction import CHUNKS_AT_ONCE
+
+    chunks = spark.createDataFrame([(f"c{i}", i, f"Anna Karenina met No{chr(97 + i % 26)}body Else in Moscow") for i in range(600)], "chunk_id string, doc_id bigint, text string").coalesce(1)
+    assert max(CHUNKS_AT_ONCE, V.TEXTS_AT_ONCE) < 600 and extract_facts(chunks, RuleProvider()).count() == 1200
+    v = V.np.arange(256) / 256
+    one = [r[0] for r in chunks.select(V.hash_score(F.col("text"), v)).collect()]
+    whole = [V.np.dot(r[0], v) for r in chunks.select(V.hash_embedding(F.col("text"))).collect()]
+    assert V.np.allclose(one, whole)
