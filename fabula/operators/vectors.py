@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from fabula.functions import text as T
 
 DIMENSIONS = 256
+#: Texts that a task embeds at once where only their scores stay.
+TEXTS_AT_ONCE = 256
 
 
 def _embeddings(tokens: pa.Array, dimensions: int) -> np.ndarray:
@@ -49,7 +51,8 @@ def hash_score(text: Column, vector: np.ndarray) -> Column:
 
     @F.arrow_udf("double")
     def score(tokens: pa.Array) -> pa.Array:
-        return pa.array(_embeddings(tokens, len(vector)) @ vector)
+        parts = [_embeddings(tokens.slice(at, TEXTS_AT_ONCE), len(vector)) @ vector for at in range(0, len(tokens), TEXTS_AT_ONCE)]
+        return pa.array(np.concatenate(parts) if parts else np.empty(0))
 
     return score(T.embedding_tokens(text))
 
