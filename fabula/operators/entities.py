@@ -75,7 +75,8 @@ def entity_groups(facts: DataFrame, normalize=T.normalize_name) -> DataFrame:
     other = F.coalesce(F.when(T.trim_ws(F.col("name")) != "", key(F.col("name"))), "a")
     keyed = materialize(keyed.select(F.col("_scope"), F.col("entity_name").alias("_name"), "a", other.alias("b")), "names")
     roots = components(keyed.select("a", "b")).withColumnRenamed("node", "a")
-    rooted = keyed.select("_scope", "_name", "a").distinct().join(roots, "a").drop("a")
+    # written, so that Spark knows its size: facts stay where they are if it is small
+    rooted = materialize(keyed.select("_scope", "_name", "a").distinct().join(roots, "a").drop("a"), "rooted")
     same = F.col("scope").eqNullSafe(F.col("_scope")) & F.col("entity_name").eqNullSafe(F.col("_name"))
     return facts.join(rooted, same).drop("_scope", "_name")
 

@@ -112,9 +112,12 @@ def _last(rows: DataFrame, *keys: str) -> DataFrame:
 
 def _folded(rules: list[DataFrame], *keys: str, whole: bool) -> DataFrame:
     """Rows of all rules, those of one key as one: the last rule's properties, or all of them
-    with the last value of each name. There are at most as many rows of a key as rules."""
+    with the last value of each name. There are at most as many rows of a key as rules, and one row of
+    one rule, which needs no exchange."""
     rows = reduce(DataFrame.unionByName, (r.withColumn("rule", F.lit(i)) for i, r in enumerate(rules)))
-    if whole:
+    if len(rules) == 1:
+        merged = rows
+    elif whole:
         merged = rows.groupBy(*keys).agg(F.max_by("properties", "rule").alias("properties"))
     else:
         each = F.transform(F.array_sort(F.collect_list(F.struct("rule", F.map_entries("properties").alias("entries")))), lambda x: x["entries"])
@@ -127,15 +130,15 @@ def _folded(rules: list[DataFrame], *keys: str, whole: bool) -> DataFrame:
 
 def graph_nodes(tables: dict[str, DataFrame], rules: Iterable[Node] = NODES) -> DataFrame:
     """(project, key, label, properties) of all tables that are there."""
-    made = []
+    made: dict[str, list[DataFrame]] = {}
     for rule in rules:
         if rule.table in tables:
             df = tables[rule.table]
             key = graph_key("project", rule.label, rule.id)
             own = {"graphKey": key, "projectId": F.col("project").cast("string"), "label": F.lit(rule.label)}
             rows = df.where(F.col(rule.id).isNotNull()).select("project", key.alias("key"), F.lit(rule.label).alias("label"), _properties(df, rule.properties, own).alias("properties"), _position(df, rule.order).alias("at"))
-            made.append(_last(rows, "project", "key", "label"))
-    return _folded(made, "project", "key", "label", whole=True)
+            made.setdefault(rule.label, []).append(_last(rows, "project", "key", "label"))
+    return reduce(DataFrame.unionByName, (_folded(rows, "project", "key", "label", whole=True) for rows in made.values()))
 
 
 def _lists(df: DataFrame, rule: Edge) -> list[str]:

@@ -5,9 +5,9 @@ small state machine, so a key with very many rows needs no more memory than any
 is one task, though.
 
 ``segmented_scan``: rows are dealt by ranges of key and order, so that one key may be many
-tasks. What a range does to any state it may begin with is summarised; the summaries
-are composed, range after range, to the state each one begins with; then all ranges are
-replayed from there at once.
+tasks. Only the first key of a range may have begun before it; all others are done at once. What a
+range does to any state it may begin with is summarised; the summaries are composed, range after
+range, to the state each one begins with; then the first keys of all ranges are replayed from there.
 """
 
 from __future__ import annotations
@@ -20,11 +20,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import DataType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DataType, StringType, StructField, StructType
 
 from fabula.plans.storage import materialize
 
 
+def _listed(column: pa.Array) -> list:
+    """The values of a column; strings and whole columns of numbers by numpy, which is much faster."""
+    kind = column.type
+    plain = pa.types.is_string(kind) or (column.null_count == 0 and (pa.types.is_integer(kind) or pa.types.is_floating(kind)))
+    return column.to_numpy(zero_copy_only=False).tolist() if plain else column.to_pylist()
+
+
 def sorted_scan(df: DataFrame, key: str, order: list, reads: list[str], start: Callable[[], object], step: Callable[[object, tuple], object], out: str, out_type: DataType) -> DataFrame:
     """Adds column ``out``: what ``step(state, values of reads)`` returns for each row, with
     a state from ``start()`` for every new value of ``key``."""
@@ -35,8 +42,8 @@ def sorted_scan(df: DataFrame, key: str, order: list, reads: list[str], start: C
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state = object(), None
         for batch in batches:
-            keys = batch.column(names.index(key)).to_pylist()
-            rows = zip(*(batch.column(names.index(c)).to_pylist() for c in reads), strict=True)
+            keys = _listed(batch.column(names.index(key)))
+            rows = zip(*(_listed(batch.column(names.index(c))) for c in reads), strict=True)
             made = []
             for k, row in zip(keys, rows, strict=True):
                 if k != current:
@@ -137,7 +144,7 @@ class Previous:
         return {"value": summary}
 
 
-_RANGE, _TAIL, _STATE = "__range", "__tail", "__state"
+_RANGE, _TAIL, _STATE, _OPEN = "__range", "__tail", "__state", "__open"
 
 
 def _runs(keys: list) -> list[tuple[int, int]]:
@@ -155,24 +162,29 @@ def segmented_scan(df: DataFrame, key: str, order: list[str | Column], reads: li
     dealt = dealt.withColumn(_RANGE, F.spark_partition_id()).sortWithinPartitions(*by)
     names = df.columns
     at_key, at_reads = names.index(key), [names.index(c) for c in reads]
-    values = lambda batch: list(zip(*(batch.column(i).to_pylist() for i in at_reads), strict=True))
+    values = lambda batch: list(zip(*(_listed(batch.column(i)) for i in at_reads), strict=True))
+    kind = to_arrow_type(out_type)
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rows as they are; the last one of a range has what is to be known of its ends."""
-        held, first, run, alone = None, None, [], True
+        """The rows with their values, those of the first key left open; the last one of a range
+        has what is to be known of its ends."""
+        held, first, run, alone, state = None, None, [], True, None
         for batch in batches:
             if not len(batch):
                 continue
-            keys, rows = batch.column(at_key).to_pylist(), values(batch)
+            keys, rows = _listed(batch.column(at_key)), values(batch)
+            made, opened = [], []
             for begin, end in _runs(keys):
                 if first is None:
                     first = current = [keys[begin]]
                 elif keys[begin] != current[0]:
-                    run, alone, current = [], False, [keys[begin]]
+                    run, alone, current, state = [], False, [keys[begin]], machine.start()
                 run += rows[begin:end]
+                made += [None] * (end - begin) if alone else [machine.step(state, row) for row in rows[begin:end]]
+                opened += [alone] * (end - begin)
             if held is not None:
                 yield _with(held, None)
-            held = batch
+            held = pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, kind), pa.array(opened)], names=[*batch.schema.names, out, _OPEN])
         if held is not None:
             summary = machine.summary(run)
             yield _with(held, json.dumps({"first": _told(first[0]), "last": _told(current[0]), "alone": alone, "summary": summary}))
@@ -180,7 +192,8 @@ def segmented_scan(df: DataFrame, key: str, order: list[str | Column], reads: li
     def _with(batch: pa.RecordBatch, tail: str | None) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array([None] * (len(batch) - 1) + [tail], pa.string())], names=[*batch.schema.names, _TAIL])
 
-    kept = materialize(dealt.mapInArrow(summarise, StructType([*dealt.schema.fields, StructField(_TAIL, StringType())])), "ranges")
+    added = [StructField(out, out_type), StructField(_OPEN, BooleanType()), StructField(_TAIL, StringType())]
+    kept = materialize(dealt.mapInArrow(summarise, StructType([*dealt.schema.fields, *added])), "ranges")
 
     def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The state that a range begins with, where its first key began before."""
@@ -198,13 +211,12 @@ def segmented_scan(df: DataFrame, key: str, order: list[str | Column], reads: li
     # one small row for each range, not for each row of the input
     ends = kept.where(F.col(_TAIL).isNotNull()).select(_RANGE, _TAIL)
     states = ends.coalesce(1).sortWithinPartitions(_RANGE).mapInArrow(compose, f"{_RANGE} int, {_STATE} string")
-    kind = to_arrow_type(out_type)
 
     def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, current, state = None, None, None
         for batch in batches:
-            keys, rows = batch.column(at_key).to_pylist(), values(batch)
-            where, given = batch.column(len(names)).to_pylist(), batch.column(len(names) + 1)
+            keys, rows = _listed(batch.column(at_key)), values(batch)
+            where, given = _listed(batch.column(len(names))), batch.column(len(names) + 1)
             made = []
             for i, (k, row) in enumerate(zip(keys, rows, strict=True)):
                 if place != where[i]:
@@ -216,9 +228,10 @@ def segmented_scan(df: DataFrame, key: str, order: list[str | Column], reads: li
                 made.append(machine.step(state, row))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(made, kind)], names=[*names, out])
 
-    rows = kept.drop(_TAIL).join(states, _RANGE, "left").select(*names, _RANGE, _STATE)
+    rows = kept.where(_OPEN).select(*names, _RANGE).join(states, _RANGE, "left").select(*names, _RANGE, _STATE)
     rows = rows.repartition(_RANGE).sortWithinPartitions(_RANGE, *by)
-    return rows.mapInArrow(replay, StructType([*df.schema.fields, StructField(out, out_type)]))
+    replayed = rows.mapInArrow(replay, StructType([*df.schema.fields, added[0]]))
+    return kept.where(~F.col(_OPEN)).select(*names, out).union(replayed)
 
 
 def _told(key: Any) -> str:

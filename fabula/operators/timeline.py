@@ -8,12 +8,23 @@ from pyspark.sql.types import LongType
 
 from fabula.functions import text as T
 from fabula.operators.scan import sorted_scan
+from fabula.plans.storage import materialize
 
 
 def planned_events(facts: DataFrame) -> DataFrame:
-    """Facts with ``seq`` within their scope and the order they begin with."""
-    w = Window.partitionBy("scope").orderBy("chapter_index", "created_at", "id")
-    return facts.withColumn("seq", F.row_number().over(w) - 1).withColumn("relative_order", (F.col("chapter_index") * 1000 + F.col("seq")).cast("long"))
+    """Facts with ``seq`` within their scope and the order they begin with. They are dealt by ranges of
+    scope and order, so that one scope may be many tasks, and counted on from range to range."""
+    by = ["scope", "chapter_index", "created_at", "id"]
+    dealt = facts.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()).sortWithinPartitions(*by)
+    kept = materialize(dealt.withColumn("_place", F.monotonically_increasing_id()), "planned")
+    # one small row for each scope of a range
+    parts = kept.groupBy(F.col("_range").alias("_of"), F.col("scope").alias("_scope")).agg(F.count("*").alias("n"), F.min("_place").alias("first"))
+    earlier = Window.partitionBy("_scope").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")
+    shifts = materialize(parts.select("_of", "_scope", shift.alias("_shift")), "shifts")
+    rows = kept.join(shifts, (F.col("_range") == F.col("_of")) & F.col("scope").eqNullSafe(F.col("_scope")))
+    rows = rows.withColumn("seq", (F.col("_place") + F.col("_shift")).cast("int")).drop("_range", "_place", "_of", "_scope", "_shift")
+    return rows.withColumn("relative_order", (F.col("chapter_index") * 1000 + F.col("seq")).cast("long"))
 
 
 def running_pairwise_mean(value: str, *keys: str, order: str = "seq") -> list[Column]:
@@ -31,7 +42,7 @@ MARKER_KEYS = ("relative_marker", "hint", "anchor_title", "period_name", "timeli
 
 def united(value: str, order: str = "seq") -> Column:
     """The distinct, trimmed, non-empty strings of all arrays, first ones first."""
-    items = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(value).alias("v")))), lambda x: x["v"]))
+    items = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(value).alias("v")))), lambda x: x["v"])))
     return F.array_distinct(F.filter(F.transform(items, T.trim_ws), lambda x: x != ""))
 
 
@@ -40,7 +51,10 @@ def merge_events(events: DataFrame, digits: int = 4) -> DataFrame:
     lists of names, chunks and facts, for each marker the last known, and the running
     pairwise mean of the confidences."""
     keys = ["scope", "chapter_index", "_title"]
-    e = events.withColumn("_title", T.normalize_text(F.col("title")))
+    # every different title once: facts repeat them, and they are normalized in Python
+    titles = events.select(F.col("title").alias("_raw")).distinct()
+    titles = materialize(titles.withColumn("_title", T.normalize_text(F.col("_raw"))), "titles")
+    e = events.join(titles, F.col("title").eqNullSafe(F.col("_raw"))).drop("_raw")
     e = e.select("*", *running_pairwise_mean("confidence", *keys))
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
     lists = [c for c in ("character_names", "location_names", "source_chunk_ids") if c in e.columns]
@@ -69,8 +83,12 @@ def name_index(entities: DataFrame) -> DataFrame:
 def resolve_names(events: DataFrame, index: DataFrame, names: str, event_id: str = "id") -> DataFrame:
     """(scope, event_id, entity_id, position): the distinct entities of the events' names,
     each at its first place; names of no entity are left out."""
-    listed = events.select("scope", event_id, F.posexplode(names).alias("position", "name")).withColumn("name", T.normalize_text(F.col("name")))
-    found = listed.join(index, ["scope", "name"])
+    listed = events.select("scope", event_id, F.posexplode(names).alias("position", "_raw"))
+    # every different name once: events repeat them, and they are normalized in Python
+    called = listed.select("scope", "_raw").distinct().withColumn("name", T.normalize_text(F.col("_raw")))
+    called = materialize(called, "names")  # else the join's test for nulls is made of every row, before they are told apart
+    called = materialize(called.join(index, ["scope", "name"]).select("scope", "_raw", "entity_id"), "called")
+    found = listed.join(called, ["scope", "_raw"])
     return found.groupBy("scope", event_id, "entity_id").agg(F.min("position").alias("position"))
 
 

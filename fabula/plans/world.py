@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,19 +82,23 @@ def validation_advice(spark, sf_dir):
 _KINDS = list(RELATIONS)
 
 
-def world_tables(spark, sf_dir) -> dict[str, DataFrame]:
+def world_tables(spark, sf_dir, wanted: Iterable[str] | None = None) -> dict[str, DataFrame]:
     """Each scope is a project: its people and their versions, places that are named twice,
-    one event for each kind of fact and day, scenes, and relationships of all kinds."""
+    one event for each kind of fact and day, scenes, and relationships of all kinds. Only the
+    ``wanted`` tables are made, or all."""
     name = lambda c: F.element_at(F.split(c, "\x1f"), -1)
     groups = materialize(entities.entity_groups(facts(spark, sf_dir)), "groups").withColumn("project", F.col("scope"))
-    names = entities.canonical_names(groups).withColumn("id", name("root"))
-    segmented = materialize(entities.version_segments(groups), "segments")
+    names = materialize(entities.canonical_names(groups).withColumn("id", name("root")), "names")
+    segmented = entities.version_segments(groups.select("scope", "root", "id", "chapter_index", "type", "timeline_hint", "summary", "confidence"))
     versions = entities.character_versions(segmented)
     version_id = F.concat(name("root"), F.lit("#"), F.col("version").cast("string"))
-    titled = groups.withColumn("title", F.concat("type", F.lit(" "), (F.col("k") % 5).cast("string")))
-    titled = timeline.planned_events(titled).withColumn("absolute_date", F.lit(None).cast("date")).withColumn("description", F.col("summary"))
-    titled = materialize(titled.withColumn("character_names", F.array("entity_name")).withColumn("location_names", F.array("parent_name")), "planned")
+    title = F.concat("type", F.lit(" "), (F.col("k") % 5).cast("string"))
+    titled = timeline.planned_events(groups.select("scope", "id", "chapter_index", "created_at", "confidence", "summary", "entity_name", "parent_name", title.alias("title")))
+    titled = titled.withColumn("absolute_date", F.lit(None).cast("date")).withColumn("description", F.col("summary"))
+    titled = titled.withColumn("character_names", F.array("entity_name")).withColumn("location_names", F.array("parent_name"))
     merged = timeline.merge_events(titled).withColumn("id", F.concat(F.lit("e"), F.element_at("source_fact_ids", 1).cast("string")))
+    # written with what is read of it: it is named, and joined with the names found
+    merged = materialize(merged.select("scope", "id", "title", "chapter_index", "relative_order", "character_names", "location_names", "source_fact_ids"), "merged")
     called = names.select("scope", F.col("id").alias("entity_id"), F.lit(0).alias("rank"), F.explode(F.concat(F.array("canonical_name"), "aliases")).alias("name"))
     found = timeline.resolve_names(merged, timeline.name_index(called), "character_names")
     people = found.groupBy("scope", "id").agg(F.array_sort(F.collect_list("entity_id")).alias("involved_character_ids"))
@@ -106,15 +111,17 @@ def world_tables(spark, sf_dir) -> dict[str, DataFrame]:
     relations = groups.join(other, "id").where(F.col("scope") == F.col("other_scope"))
     made = {
         "projects": groups.select("project", F.col("project").alias("id"), F.concat(F.lit("project "), "project").alias("name")).distinct(),
-        "characters": names.select(F.col("scope").alias("project"), "id", "canonical_name", "aliases"),
         "character_versions": versions.select(F.col("scope").alias("project"), version_id.alias("id"), name("root").alias("character_id"), "version", "age", "appearance"),
         "locations": places,
-        "events": events.select(F.col("scope").alias("project"), "id", "title", "chapter_index", "relative_order", "involved_character_ids", F.array_sort("location_names").alias("involved_location_ids")),
-        "event_versions": segmented.select("project", F.col("id").alias("fact"), version_id.alias("character_version_id")).join(of_event, "fact").drop("fact"),
+        "event_versions": segmented.select(F.col("scope").alias("project"), F.col("id").alias("fact"), version_id.alias("character_version_id")).join(of_event, "fact").drop("fact"),
         "scenes": groups.where("id % 50 = 0").select("project", F.concat(F.lit("s"), F.col("id").cast("string")).alias("id"), name("root").alias("character_id"), F.col("parent_name").alias("location_id")),
         "relationships": relations.select("project", "id", name("root").alias("source_character_id"), "target_character_id", F.get(kinds, (F.col("k") % len(_KINDS)).cast("int")).alias("type"), F.when(F.col("k") % 3 > 0, F.col("summary")).alias("description")),
     }
-    return {n: materialize(t, f"world-{n}") for n, t in made.items()}  # several rules read each, none makes it again
+    made = {n: materialize(t, f"world-{n}") for n, t in made.items() if wanted is None or n in wanted}  # several rules read each, none makes it again
+    return made | {
+        "characters": names.select(F.col("scope").alias("project"), "id", "canonical_name", "aliases"),
+        "events": events.select(F.col("scope").alias("project"), "id", "title", "chapter_index", "relative_order", "involved_character_ids", F.array_sort("location_names").alias("involved_location_ids")),
+    }
 
 
 _KIND_SQL = "[" + ", ".join(f"'{k}'" for k in _KINDS) + "]"
@@ -169,7 +176,7 @@ def _edges_sql() -> str:
 @query(f"WITH RECURSIVE {_WORLD} SELECT project, project || ':' || label || ':' || id AS key, label, properties FROM nodes")
 def project_nodes(spark, sf_dir):
     """Places come twice, so that the last row of a node stays."""
-    return graph.graph_nodes(world_tables(spark, sf_dir)).select("project", "key", "label", _told().alias("properties"))
+    return graph.graph_nodes(world_tables(spark, sf_dir, [n.table for n in graph.NODES])).select("project", "key", "label", _told().alias("properties"))
 
 
 @query(f"WITH RECURSIVE {_WORLD} {_edges_sql()}")
@@ -196,7 +203,7 @@ def project_points(spark, sf_dir):
     """Chunks are whole documents, versions and events those of the project graph."""
     k = F.col("doc_id")
     chunks = read(spark, sf_dir, "documents").select(F.concat(F.lit("b"), k % 5).alias("project"), k.alias("id"), F.concat(F.lit("Book "), "lang").alias("book_title"), (k % 7).alias("chapter_index"), k.alias("order_index"), "text")
-    made = points.project_points(world_tables(spark, sf_dir) | {"chunks": chunks})
+    made = points.project_points(world_tables(spark, sf_dir, ["characters", "character_versions", "events"]) | {"chunks": chunks})
     return made.select("project", "entity_type", "entity_id", "id", "title", F.sha2("text", 256).alias("text_sha256"))
 
 

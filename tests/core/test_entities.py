@@ -107,3 +107,39 @@ def test_names_that_facts_repeat_are_normalized_once(spark):
     got = {r.id: r.root for r in E.entity_groups(spark.createDataFrame(rows, "scope string, id int, entity_name string, candidate_names array<string>"), counted).collect()}
     assert len(got) == 303 and {got[i] for i in range(300) if i % 3 != 1} == {"s\x1fn0"} and got[1] == "s\x1fn1" and got[302] == "t\x1fn2"
     assert got[300] == "s" and got[301] == "n1" and seen.value < 60
+
+
+def test_events_of_one_scope_are_numbered_by_many_tasks(spark):
+    import datetime
+
+    from pyspark.sql import functions as F
+
+    day = lambda n: datetime.datetime(2024, 1, 1 + n) if n else None
+    rows = [("a" if i % 10 == 9 else "hot", f"f{i:04}", i * 7 % 5, day(i * 11 % 3), None) for i in range(1200)] + [("z", "f", 1, None, 7), (None, "n1", 2, None, None), (None, "n2", 1, None, None)]
+    df = spark.createDataFrame(rows, "scope string, id string, chapter_index int, created_at timestamp, seq int").repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        made = L.planned_events(df)
+        got = {(r.scope, r.id): (r.seq, r.relative_order) for r in made.collect()}
+        tasks = [r["count"] for r in made.where("scope = 'hot'").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {}
+    for scope in ("a", "hot", "z", None):
+        mine = sorted((r for r in rows if r[0] == scope), key=lambda r: (r[2], r[3] or datetime.datetime.min, r[1]))
+        want |= {(scope, r[1]): (i, r[2] * 1000 + i) for i, r in enumerate(mine)}
+    assert got == want and made.schema["seq"].dataType.simpleString() == "int"
+    assert len(tasks) > 1 and max(tasks) < 800
+
+
+def test_titles_and_names_are_normalized_once(spark):
+    """What is left to do for every event has no Python in it, and finds the same."""
+    titled = spark.createDataFrame([("p", f"f{i}", 1, None, t, None, None, None, None, 0.5) for i, t in enumerate(["A b", "a  B", None, None])], EVENT)
+    merged = L.merge_events(L.planned_events(titled))
+    assert sorted(map(len, (r.source_fact_ids for r in merged.collect()))) == [2, 2]
+    people = spark.createDataFrame([("s", "p1", 1, "Anna"), ("t", "p2", 1, "Anna")], "scope string, entity_id string, rank int, name string")
+    events = spark.createDataFrame([("s", 1, ["?", " anna", "ANNA", None]), ("t", 2, ["anna"]), ("u", 3, ["anna"])], "scope string, id int, names array<string>")
+    found = L.resolve_names(events, L.name_index(people), "names")
+    assert {(r.id, r.entity_id, r.position) for r in found.collect()} == {(1, "p1", 1), (2, "p2", 0)}
+    for df in (merged, found):
+        assert "Python" not in df._jdf.queryExecution().executedPlan().toString()

@@ -116,3 +116,24 @@ def test_edges_of_long_lists_do_not_carry_the_lists(spark):
     plan = edges._jdf.queryExecution().optimizedPlan().toString()
     assert edges.count() == 4 * n and "json" not in plan.lower()
     assert edges.first().properties == {"projectId": "p", "type": "APPEARS_IN"}
+
+
+def test_labels_of_one_rule_are_exchanged_once(spark):
+    make = spark.createDataFrame
+    tables = {"a": make([("p", "x", "A")], "project string, id string, name string"), "b": make([("p", "x", "B")], "project string, id string, name string"), "c": make([("p", "x", "C")], "project string, id string, name string")}
+    nodes = lambda *rules: P.graph_nodes(tables, [P.Node(label, t, {"name": "name"}) for label, t in rules])
+    apart = nodes(("N", "a"), ("M", "b"))
+    assert apart._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    assert {(r.key, r.properties["name"]) for r in apart.collect()} == {("p:N:x", "A"), ("p:M:x", "B")}
+    both = nodes(("N", "a"), ("M", "b"), ("N", "c"))
+    assert {(r.key, r.properties["name"]) for r in both.collect()} == {("p:N:x", "C"), ("p:M:x", "B")}
+
+
+def test_nodes_make_no_tables_of_edges(spark, monkeypatch):
+    from fabula.plans import world as W
+
+    written, write = [], W.materialize
+    monkeypatch.setattr(W, "materialize", lambda df, name: (written.append(name), write(df, name))[1])
+    assert W.project_nodes(spark, "/root/testdata/sf0.001").count() > 0
+    assert "world-relationships" not in written and "world-event_versions" not in written
+    assert written.count("merged") == 1 and len(written) == len(set(written))

@@ -76,3 +76,13 @@ def test_an_empty_table_and_keys_of_other_types(spark):
     rows = spark.sql("SELECT date'2020-01-01' + CAST(id % 2 AS INT) AS k, id AS o FROM range(20)")
     got = S.segmented_scan(rows, "k", ["o"], ["o"], S.Previous(), "x", LongType(), 6).collect()
     assert {r.o: r.x for r in got} == {i: i - 2 if i > 1 else None for i in range(20)}
+
+
+def test_only_the_first_key_of_a_range_is_replayed(spark, monkeypatch):
+    """The others are done where their range is read, and are not dealt again."""
+    kept, write = [], S.materialize
+    monkeypatch.setattr(S, "materialize", lambda df, name: (kept.append(write(df, name)), kept[-1])[1])
+    rows = spark.range(3000).selectExpr("CAST(id % 300 AS STRING) AS k", "id AS o", "CASE WHEN id % 5 > 0 THEN id END AS v")
+    made = S.segmented_scan(rows, "k", ["o"], ["v"], S.Previous(), "x", LongType(), 6)
+    assert {r.o: r.x for r in made.collect()} == {o: o - 300 if o >= 300 and o % 5 else None for o in range(3000)}
+    assert kept[0].where("__open").count() <= 60
